@@ -65,9 +65,9 @@ class Node:
         self.hash, self.size, self.linked, self.prose = 0, 0, 0, False
 
 
-def furniture(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element says that it is not the article; `inside`: it stands in an article."""
-    if tag in GONE or (tag == "header" and not inside):
+def furniture(tag: str, attributes: str, inside: bool, held: bool) -> bool:
+    """Whether an element says that it is not the article; `inside`: it stands in an article; `held`: in that or in main."""
+    if tag in GONE or (tag == "header" and not held):
         return True
     if not attributes.strip() or tag in ("html", "body"):
         return False
@@ -86,12 +86,13 @@ def furniture(tag: str, attributes: str, inside: bool) -> bool:
 def parse(source: str) -> Node:
     """The tree of a page, however broken; every open element ends with the page."""
     root = node = Node("#", None)
-    inside, at = 0, 0
+    inside, held, at = 0, 0, 0
 
     def close(upto: Node) -> None:
-        nonlocal node, inside
+        nonlocal node, inside, held
         while True:
             inside -= node.tag == "article"
+            held -= node.tag in MAIN
             done, node = node is upto, node.parent
             if done:
                 return
@@ -136,7 +137,7 @@ def parse(source: str) -> Node:
             if tag == "br":
                 node.children.append(" ")
             continue
-        child = Node(tag, node, furniture(tag, token[3], inside > 0))
+        child = Node(tag, node, furniture(tag, token[3], inside > 0, held > 0))
         node.children.append(child)
         if tag in VOID or token[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -148,6 +149,7 @@ def parse(source: str) -> Node:
             continue
         node = child
         inside += tag == "article"
+        held += tag in MAIN
     return root
 
 

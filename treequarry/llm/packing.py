@@ -7,8 +7,8 @@ corpus. The plan is a list of patterns: a multiset of lengths, a sequence length
 
 A bin starts with the longest length that is left. For each permitted sequence length it is filled with the best
 fit, the longest left that the room takes, again and again; the sequence length of the least cost per token opens.
-As many bins are opened by the pattern as the histogram allows, so each pattern uses up a length and there are no
-more patterns than lengths. At the end each bin is downsized to the least permitted length that holds its contents.
+As many bins are opened by the pattern as the histogram allows. Each pattern uses up a length or leaves less than half
+of what a bin took of it, so a length limits the pattern at most as often as its first count in a bin can be halved. At the end each bin is downsized to the least permitted length that holds its contents.
 
 Pieces get their ranks within their length from counts per length and salt, so that no length, however frequent, is
 ranked in one task, and ranks meet the plan's ranges in a join.
