@@ -56,10 +56,8 @@ def supported(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    out = F.lit("unknown")
-    for name, extensions in reversed(LANGUAGES.items()):
-        out = F.when(extension(path).isin(extensions), name).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for name, extensions in LANGUAGES.items() for e in extensions for x in (e, name)])
+    return F.coalesce(F.try_element_at(known, F.coalesce(extension(path), F.lit(""))), F.lit("unknown"))
 
 
 def is_code(path: Column) -> Column:
