@@ -45,7 +45,10 @@ def not_ignored(files: DataFrame, rules: list[tuple[int, str, bool]]) -> DataFra
 
 
 def scan(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
-    """path (relative), content, size, modified of the supported source files below a folder, hidden ones included."""
+    """path (relative), content, size, modified of the supported source files below a folder.
+
+    Spark's listing leaves out names that begin with a dot or an underscore.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace("path", "^.*?" + "\\Q" + root.rstrip("/").removeprefix("file:") + "\\E/", "")
     rows = found.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

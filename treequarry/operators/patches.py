@@ -96,7 +96,7 @@ def apply(files: DataFrame, patch_lines: DataFrame) -> DataFrame:
 
     def change(key: tuple, file: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         if not len(lines):
-            return pd.DataFrame({"path": [], "content": [], "status": []})
+            return pd.DataFrame(columns=["path", "content", "status"], dtype=object)
         text = file["content"].iloc[0] if len(file) else ""
         lines = lines[lines["op"] != "\\"].sort_values(["hunk_no", "line_no"])
         hunks = [list(zip(h["old_start"], h["op"], h["text"], strict=True)) for _, h in lines.groupby("hunk_no", sort=True)]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treequarry.functions.names import STD
-from treequarry.operators import budget, entrypoints, graph, symbols
+from treequarry.operators import budget, entrypoints, graph, parse, symbols
 from treequarry.plans.registry import query
 from treequarry.sources import tables as S
 
@@ -390,3 +390,22 @@ def a11_budget_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_items}, {_fold.format(budget=120)} SELECT plan, max(used)::BIGINT AS used_tokens, max(dropped)::BIGINT AS dropped_tokens, count_if(taken)::BIGINT AS n_entries FROM fold GROUP BY plan")
 def m26_disclosure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.summary(budget.greedy(_items_of(spark, sf_dir), 120, ["ord"], ["plan"]), ["plan"])
+
+
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files whose functions are the symbols: a head, then a call of the symbol before in every further line."""
+    s = S.symbols(spark, sf_dir).withColumn("before", F.lag("name").over(Window.partitionBy("file").orderBy("ordinal")))
+    body = F.when(F.col("line_no") == F.col("line_start"), F.concat(F.lit("def "), "name", F.lit("():"))).otherwise(F.concat(F.lit("    "), F.coalesce("before", F.lit("print")), F.lit("(1)")))
+    return s.select("file", "name", "before", "line_start", F.explode(F.sequence("line_start", "line_end")).alias("line_no")).select(F.col("file").alias("path"), "line_no", body.alias("text"))
+
+
+@query("SELECT file AS path, name, line_start, line_end FROM fx_symbols")
+def p4_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.definitions(source_lines(spark, sf_dir)).select("path", "name", "line_start", "line_end")
+
+
+@query(
+    "SELECT file AS path, name AS caller, coalesce(before, 'print') AS callee, unnest(generate_series(line_start + 1, line_end)) AS line_no FROM (SELECT *, lag(name) OVER (PARTITION BY file ORDER BY ordinal) AS before FROM fx_symbols)"
+)
+def p10_calls_with_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.calls_with_callers(source_lines(spark, sf_dir))
