@@ -31,15 +31,13 @@ def frequent_lengths(documents: DataFrame, tokenizer: str = TOKENIZER, table_row
     share = min(1.0, sample_rows / max(1, documents.count()))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        times, lengths = Counter(), {}
+        times: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"].dropna():
-                if not tokens.RUN.search(text):
-                    times.update(text.split(" ")[1:])
+                times.update(c for line in text.split("\n") for c in line.split(" ")[1:])
         encoder = tokens.PreTokens(tokenizer, len, sum)
-        for chunk, n in times.most_common(table_rows):
-            if len(chunk) <= tokens.LONGEST and not any(s in chunk for s in encoder.special):
-                lengths[chunk] = (n, encoder.whole(" " + chunk))
+        common = {c: n for c, n in times.most_common(table_rows) if tokens.splits(c) and len(c) <= tokens.LONGEST and not any(s in c for s in encoder.special)}
+        lengths = {c: (common[c], k) for c, k in encoder.learn(common).items()}
         yield pd.DataFrame([(c, n, k) for c, (n, k) in lengths.items()], columns=["chunk", "n", "length"])
 
     sample = documents.select("text").sample(fraction=share, seed=seed).coalesce(4)
@@ -55,7 +53,7 @@ def counter(documents: DataFrame, tokenizer: str = TOKENIZER, table_rows: int =
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = tokens.PreTokens(tokenizer, len, sum, first.value)
         for texts in batches:
-            yield pd.Series([count(t) for t in texts], dtype="int64")
+            yield pd.Series(count.many(list(texts)), dtype="int64")
 
     return n_tokens
 

@@ -14,6 +14,7 @@ never stored is found out. A look-up reads one bucket, one displacement and one
 
 from __future__ import annotations
 
+import sys
 import uuid
 import zlib
 from array import array
@@ -69,22 +70,28 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Encode in ascending doc_id order and write shards; the rows say where each document went."""
     kind = {2: "H", 4: "I"}[id_bytes]
 
+    def packed(ids: list[int]) -> bytes:
+        words = array(kind, ids)
+        if sys.byteorder == "big":
+            words.byteswap()
+        return words.tobytes()
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.PreTokens(tokenizer, lambda ids: array(kind, ids).tobytes(), b"".join, limit=600_000)
+        encode = tokens.PreTokens(tokenizer, packed, b"".join)
         fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
-        stem, end = f"part-{TaskContext.get().partitionId():07d}", array(kind, [end_id]).tobytes()
+        stem, end = f"part-{TaskContext.get().partitionId():07d}", packed([end_id])
         attempt, number, out, name, offset = uuid.uuid4().hex[:8], 0, None, "", 0
         last, occurrence = object(), 0
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist()), strict=True):
                 if out is None or offset * id_bytes >= shard_bytes:
                     if out is not None:
                         out.close()
                     name, number, offset = f"{stem}-{number:05d}-{attempt}.ids", number + 1, 0
                     out = fs.open_output_stream(f"{root}/{name}")
-                ids = encode(text) + end
+                ids = encoded + end
                 occurrence = occurrence + 1 if doc_id == last else 0
                 last = doc_id
                 out.write(ids)
@@ -99,40 +106,48 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end_id: int,
     return ordered.mapInArrow(write, PLACES)
 
 
-def mixed(x: np.ndarray, y: np.ndarray, salt: int) -> np.ndarray:
+def mixed(x: np.ndarray, y: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     """A 64-bit mix of two hashes and a number (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
-        z = x + (y | np.uint64(1)) * np.uint64(2 * salt + 1)
+        z = x + (y | np.uint64(1)) * (np.uint64(2) * np.asarray(salt).astype(np.uint64) + np.uint64(1))
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
 
 
 def n_groups(n_keys: int) -> int:
-    return n_keys // 4 + 1
+    return n_keys // 2 + 1
 
 
 def displacements(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A minimal perfect hash of n distinct pairs of hashes: its displacements, and each key's slot below n.
 
-    A displacement d >= 0 is the salt of its group; d < 0 is the slot -d - 1 of a group of one key.
+    A displacement d > 0 is the salt of its group; d < 0 is the slot -d - 1 of a group of one key. Groups of one size
+    are placed together, the largest first: with each salt those stay whose slots are free and whom no other group
+    disturbs.
     """
     n = len(x)
     group = (mixed(x, y, 0) % np.uint64(n_groups(n))).astype(np.int64)
     d, slot, free = np.zeros(n_groups(n), np.int64), np.full(n, -1, np.int64), np.ones(n, bool)
     order = np.argsort(group, kind="stable")
-    first = np.searchsorted(group[order], np.arange(n_groups(n) + 1))
-    sizes = np.diff(first)
-    for g in np.argsort(-sizes, kind="stable"):
-        keys = order[first[g] : first[g + 1]]
-        if len(keys) < 2:
-            break
-        for salt in range(1, 1 << 40):
+    sizes = np.bincount(group, minlength=n_groups(n))
+    first = np.cumsum(sizes) - sizes
+    for size in range(int(sizes.max(initial=0)), 1, -1):
+        todo = np.flatnonzero(sizes == size)
+        salt = 0
+        while len(todo):
+            salt += 1
+            keys = order[first[todo][:, None] + np.arange(size)]
             at = (mixed(x[keys], y[keys], salt) % np.uint64(n)).astype(np.int64)
-            if free[at].all() and len(np.unique(at)) == len(at):
-                break
-        d[g], slot[keys], free[at] = salt, at, False
-    alone = order[first[:-1][sizes == 1]]
+            taker = np.full(n, -1, np.int64)
+            rows = np.repeat(np.arange(len(todo)), size)
+            taker[at.ravel()[::-1]] = rows[::-1]
+            sole = np.sort(at, axis=1)
+            fits = free[at].all(axis=1) & (taker[at] == np.arange(len(todo))[:, None]).all(axis=1) & (sole[:, 1:] != sole[:, :-1]).all(axis=1)
+            slot[keys[fits]], d[todo[fits]] = at[fits], salt
+            free[at[fits].ravel()] = False
+            todo = todo[~fits]
+    alone = order[first[sizes == 1]]
     slot[alone] = np.flatnonzero(free)[: len(alone)]
     d[group[alone]] = -slot[alone] - 1
     return d, slot
@@ -140,13 +155,8 @@ def displacements(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def slots_of(x: np.ndarray, y: np.ndarray, d: np.ndarray, n_keys: int) -> np.ndarray:
     """The slot of each key."""
-    group = (mixed(x, y, 0) % np.uint64(n_groups(n_keys))).astype(np.int64)
-    own = d[group]
-    at = np.empty(len(x), np.int64)
-    for salt in np.unique(own):
-        here = own == salt
-        at[here] = -salt - 1 if salt < 0 else (mixed(x[here], y[here], int(salt)) % np.uint64(n_keys)).astype(np.int64)
-    return at
+    own = d[(mixed(x, y, 0) % np.uint64(n_groups(n_keys))).astype(np.int64)]
+    return np.where(own < 0, -own - 1, (mixed(x, y, np.maximum(own, 0)) % np.uint64(n_keys)).astype(np.int64))
 
 
 def with_hashes(keys: DataFrame, n_buckets: int) -> DataFrame:

@@ -2,20 +2,24 @@
 
 In the byte-level pattern of the vocabulary a single line end between other characters is a token of its own, and
 a single space belongs to what follows it. So a text in which no white space stands beside white space splits at
-line ends and spaces into pre-tokens whose ids do not depend on their neighbours. Those are looked up; the library
-encodes what is missing, and whole every text whose split would not be exact (runs of white space, white space at
-either end, or a special string).
+line ends and spaces into chunks whose ids do not depend on their neighbours. Chunks are looked up. A missing chunk
+is cut by the pattern, and the library's model encodes the pieces that are new. The library encodes whole every text
+that does not split exactly (runs of white space, white space at either end, a special string), and every chunk
+with characters for which Unicode versions might differ.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-RUN = re.compile(r"\s\s|^\s|\s\Z")
-#: Longer pre-tokens are encoded without being kept.
+#: Longer chunks are encoded without being kept.
 LONGEST = 48
+#: Below it, letters, digits and the rest are told apart alike by every Unicode version.
+SETTLED = "\u0250"
+#: Bytes as the characters of byte-level vocabularies: printable ones stand for themselves, the others follow from U+0100.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: chr(b) if b in PRINTABLE else chr(256 + sum(x not in PRINTABLE for x in range(b))) for b in range(256)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,48 +31,101 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Lookup(dict):
-    """Pre-token to value. A first tier that stays, and a bounded worker cache for what it misses."""
-
-    def __init__(self, encode: Callable[[str], object], first: dict, limit: int):
-        super().__init__(first)
-        self.encode, self.first, self.limit = encode, first, limit
-
-    def __missing__(self, chunk: str):
-        value = self.encode(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= self.limit + len(self.first):
-                self.clear()
-                self.update(self.first)
-            self[chunk] = value
-        return value
+def splits(chunk: str) -> bool:
+    """Whether a chunk between spaces or line ends stands for itself: it is not empty, and no white space at its ends."""
+    return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 
 
 class PreTokens:
-    """Values of whole texts: `value` turns ids into what is kept (a count, bytes), `join` puts those of a text together."""
+    """Values of whole texts. `value` turns a list of ids into what is kept of it (a count, bytes), `join` puts the values
+    of parts together.
+
+    Chunks come in two tiers: a first one that stays, and caches of at most `limit` entries each, which are emptied
+    when they are full.
+    """
 
-    def __init__(self, name: str, value: Callable[[list[int]], object], join: Callable, first: dict | None = None, limit: int = 800_000):
+    def __init__(self, name: str, value: Callable[[list[int]], object], join: Callable, first: dict | None = None, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        self.whole = lambda text: value(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.join = join
-        self.after_space = Lookup(lambda chunk: value(tokenizer.encode(" " + chunk, add_special_tokens=False).ids), first or {}, limit)
-        self.at_start = Lookup(lambda chunk: value(tokenizer.encode(chunk, add_special_tokens=False).ids), {}, limit // 8)
+        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.value, self.join, self.limit, self.first = value, join, limit, first or {}
+        self.pieces: dict[str, object] = {}
+        self.after_space, self.at_start = dict(self.first), {}
         self.line_end = self.whole("\n")
 
-    def __call__(self, text: str | None):
-        text = text or ""
-        if not text or RUN.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        parts = []
-        for line in text.split("\n"):
-            start, *rest = line.split(" ")
-            parts.append(self.at_start[start])
-            parts += map(self.after_space.__getitem__, rest)
-            parts.append(self.line_end)
-        return self.join(parts[:-1])
+    def whole(self, text: str):
+        return self.value(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def piece(self, piece: str):
+        """What the pattern takes in one."""
+        found = self.pieces.get(piece)
+        if found is None:
+            signs = piece.encode("utf-8").decode("latin-1").translate(BYTE_SIGNS)
+            found = self.pieces[piece] = self.value([t.id for t in self.model.tokenize(signs)])
+        return found
+
+    def chunk(self, chunk: str, before: str):
+        """A chunk after a space or, with an empty `before`, at the start of a line; None if the text may not be split there."""
+        settled = len(chunk) <= LONGEST and (chunk.isascii() or max(chunk) < SETTLED)
+        if settled and chunk.isalpha():
+            return self.piece(before + chunk)
+        if not splits(chunk):
+            return None
+        if settled and len(chunk.split()) == 1:
+            return self.join([self.piece(p) for p in self.cut(before + chunk)])
+        return self.whole(before + chunk)
+
+    def learn(self, chunks: Iterable[str]) -> dict[str, object]:
+        """Values of chunks that follow a space."""
+        return {c: self.chunk(c, " ") for c in chunks}
+
+    def many(self, texts: list[str | None], at_once: int = 64) -> list:
+        """The value of each text; null counts as empty."""
+        return [v for i in range(0, len(texts), at_once) for v in self._some(texts[i : i + at_once])]
+
+    def _some(self, texts: list[str | None]) -> list:
+        if len(self.after_space) > self.limit + len(self.first):
+            self.after_space = dict(self.first)
+        if len(self.at_start) > self.limit // 4:
+            self.at_start = {}
+        if len(self.pieces) > self.limit:
+            self.pieces = {}
+        lines = [None if not t or any(s in t for s in self.special) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        wanted: set[str] = set()
+        for text in lines:
+            for line in text or ():
+                wanted.update(line[1:])
+        look, start_look = self.after_space, self.at_start
+        missing = wanted.difference(look)
+        if missing:
+            learned = self.learn(missing)
+            look.update((c, v) for c, v in learned.items() if len(c) <= LONGEST)
+            long = {c: v for c, v in learned.items() if len(c) > LONGEST}
+            if long:
+                look = look | long
+        out = []
+        for text, parted in zip(texts, lines, strict=True):
+            if parted is None:
+                out.append(self.whole(text or ""))
+                continue
+            values = []
+            for start, *rest in parted:
+                value = start_look.get(start)
+                if value is None:
+                    value = self.chunk(start, "")
+                    if value is not None and len(start) <= LONGEST:
+                        start_look[start] = value
+                values.append(value)
+                values += map(look.__getitem__, rest)
+                values.append(self.line_end)
+            values.pop()
+            out.append(self.whole(text) if None in values else self.join(values))
+        return out
