@@ -6,13 +6,44 @@ from collections import defaultdict
 
 import pytest
 
-from tests.llm.test_documents import plain_components, plain_fingerprint, plain_quality
+from tests.llm.test_documents import plain_quality
 from tests.llm.test_passages_and_packing import check_bins, plain_removed
-from treequarry.llm import substrings
+from treequarry.llm import near_copies, substrings
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
+def plain_heads(pairs):
+    """The smallest doc_id of each component of the documents whose fingerprints are near enough, trying all pairs."""
+    prints = [(i, sum((f % (1 << 64)) << 64 * k for k, f in enumerate(near_copies.wide_simhash(t)))) for i, t in sorted(pairs)]
+    top = {i: i for i, _ in prints}
+    for _ in prints:
+        for i, a in prints:
+            for j, b in prints:
+                if (a ^ b).bit_count() <= near_copies.BITS:
+                    top[i] = top[j] = min(top[i], top[j])
+    return set(top.values())
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(900)]
+    rows, n = [], 0
+    for size in [1] * 30 + [2] * 10 + [40]:
+        base = rng.choices(words, k=rng.randint(90, 300))
+        for copy in range(size):
+            text = list(base)
+            for at in rng.sample(range(len(text)), copy and len(text) // 60):
+                text[at] = rng.choice(words) + "x"
+            rows.append((n, " ".join(text), "clash"))
+            n += 1
+    rows += [(n, None, ""), (n + 1, "", ""), (5, rows[5][1], "again"), (None, rows[3][1] + " end", "")]
+    out = near_copies.representatives(spark.createDataFrame(rows, "doc_id long, text string, f0 string"))
+    got = sorted(r["doc_id"] for r in out.collect())
+    assert out.columns == ["doc_id", "text", "f0"] and got == sorted(plain_heads([(i, t) for i, t, _ in rows if i is not None])) and len(got) == 30 + 10 + 1 + 1
+    assert near_copies.representatives(out.limit(0)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(900)]
@@ -27,8 +58,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
 
     good = [(i, t) for i, t, *_ in rows if not plain_quality(t)[5] and plain_quality(t)[2] <= 0.2 * plain_quality(t)[0]]
-    labels = plain_components([(i, plain_fingerprint(t)) for i, t in good])
-    heads = {c for *_, c in labels}
+    heads = plain_heads(good)
     single = [(i, t) for i, t in good if i in heads]
     cut = {i: substrings.without(t, s) for (i, t), s in plain_removed(single).items()}
     flat = lambda t: " ".join(re.findall(r"[a-z]+", t))
