@@ -146,3 +146,33 @@ def test_method_owner_is_the_tightest(spark):
     f = spark.createDataFrame([("f", "m", 3, 4, 0), ("f", "out", 40, 41, 1)], "file string, name string, line_start long, line_end long, ordinal long")
     c = spark.createDataFrame([("f", "Outer", 1, 30), ("f", "Inner", 2, 10), ("g", "Other", 1, 99)], "file string, name string, line_start long, line_end long")
     assert rows(symbols.method_owners(f, c), "name", "owner") == [("m", "Inner"), ("out", None)]
+
+
+def test_settings_and_ignore_block(spark):
+    from treequarry.operators import project
+
+    text = "mode: blacklist\nblacklist:\n- src/\n- a.py#1-2\n"
+    settings_ = project.load_settings(text)
+    assert settings_["mode"] == "blacklist" and settings_["whitelist"] == [] and project.load_settings(project.save_settings(settings_)) == settings_
+    assert project.load_settings("")["mode"] == "whitelist"
+    table = project.entries(spark, settings_)
+    more = project.added(project.added(table, "black", "src/"), "black", "new")
+    assert rows(more, "list", "ord", "entry") == [("black", 1, "src/"), ("black", 2, "a.py#1-2"), ("black", 3, "new")]
+    assert rows(project.removed(more, "black", "src/"), "entry") == [("a.py#1-2",), ("new",)]
+    once = project.ignore_block("x\n\n", ["/.data/"])
+    assert once == "x\n\n# treequarry begin\n/.data/\n# treequarry end\n" and project.ignore_block(once, ["/.data/"]) == once
+    assert project.ignore_block("a\r\n", ["b"]) == "a\r\n\r\n# treequarry begin\r\nb\r\n# treequarry end\r\n"
+
+
+def test_hide_show_round_trip(spark):
+    from treequarry.operators import project
+
+    files_ = spark.createDataFrame([("a.rs", "one"), ("b.rs", "two\n...[abc1234]...\n"), ("c.png", "x"), (".git/h", "y"), ("d.rs", "one")], "path string, content string")
+    tracked = spark.createDataFrame([], "key string, path string, hash string")
+    wanted = spark.createDataFrame([("a.rs",), ("b.rs",), ("c.png",), (".git/h",), ("d.rs",), ("gone",)], "path string")
+    errors = {r["path"]: r["error"] for r in project.checked(wanted, files_, tracked).collect()}
+    assert errors == {"a.rs": None, "d.rs": None, "b.rs": "E014", "c.png": "E005", ".git/h": "E020", "gone": "E023"}
+    left, known, objects = project.hide(wanted, files_, tracked)
+    assert rows(left, "path") == [(".git/h",), ("b.rs",), ("c.png",)] and objects.count() == 1 and known.count() == 2
+    back, still = project.show(wanted, left, known, objects)
+    assert rows(back, "path", "content") == rows(files_, "path", "content") and still.count() == 0
