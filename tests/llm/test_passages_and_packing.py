@@ -8,17 +8,15 @@ import pytest
 from treequarry.llm import packing, substrings
 
 
-def plain_removed(pairs, min_words=25):
+def plain_removed(pairs, min_words=16):
     """Documents in rank order against the set of units seen so far."""
     seen, out = set(), {}
     for doc in sorted(set(pairs), key=lambda x: (x[0] is None, x[0] or 0, x[1])):
         units, marked = substrings.unit_words(doc[1]), set()
         for n, unit in enumerate(units):
-            if len(unit) >= substrings.SHORTEST:
-                key = tuple(unit)
-                if key in seen:
-                    marked.add(n)
-                seen.add(key)
+            if tuple(unit) in seen:
+                marked.add(n)
+            seen.add(tuple(unit))
         out[doc] = substrings.removed_spans(doc[1], marked, min_words)
     return out
 

@@ -1,15 +1,14 @@
 """Removal of passages that repeat, by hashing units of text (operator 5).
 
 Lines alone would miss a passage that stands inside another paragraph. So a unit ends at a line end, and within a
-line after any word at which the content itself says so: when the hash of the normalised word falls in one of
-`CUT` residues. Equal passages are cut alike wherever they stand, apart from the words before their first cut and
-after their last.
+line after `SHORTEST` words or more at a word that says so itself: one whose hash falls in one of `CUT` residues.
+Equal passages are soon cut alike wherever they stand, apart from the words before their first common cut and after
+their last.
 
 A unit is normalised (lower case, single spaces) and hashed to 128 bits. The least (doc_id, unit) of each hash is
 found by aggregation, which combines on the map side, and so the first occurrence in rank order stays. Later ones
-are marked. Marked units that follow one another, with very short units between them, form a run; a run of
-`min_words` words or more goes, with its offsets in the original text on record. Short lines that many documents
-share by chance or as a formula stay.
+are marked. Marked units that follow one another form a run; a run of `min_words` words or more goes, with its
+offsets in the original text on record. Short lines that many documents share by chance or as a formula stay.
 
 Rows carry hashes and positions, not text. Joins are keyed by hash or by document, so Spark can split hot ones.
 """
@@ -29,12 +28,11 @@ from pyspark.sql import functions as F
 
 from treequarry.llm.common import checkpointed, small_batches, with_text
 
-#: One word in so many ends a unit.
-CUT = 10
-#: Shorter units have too little content to be held against others; they go with their neighbours.
-SHORTEST = 4
+#: One word in so many may end a unit.
+CUT = 6
+#: Words of a unit, but for lines that have fewer.
+SHORTEST = 5
 WORD = re.compile(r"\S+")
-UNIT = "h1 long, h2 long"
 
 
 @lru_cache(maxsize=1 << 18)
@@ -43,16 +41,18 @@ def ends_unit(word: str) -> bool:
 
 
 def unit_words(text: str) -> list[list[str]]:
-    """Normalised words of each unit."""
+    """Normalised words of each unit; what is left at the end of a line, if short, goes with the unit before it."""
     units = []
     for line in text.lower().split("\n"):
-        unit: list[str] = []
+        first, unit = len(units), []
         for word in line.split():
             unit.append(word)
-            if ends_unit(word):
+            if len(unit) >= SHORTEST and ends_unit(word):
                 units.append(unit)
                 unit = []
-        if unit:
+        if unit and len(unit) < SHORTEST and len(units) > first:
+            units[-1] = units[-1] + unit
+        elif unit:
             units.append(unit)
     return units
 
@@ -68,21 +68,15 @@ def unit_spans(text: str, counts: list[int]) -> list[tuple[int, int]]:
 
 
 def runs(counts: list[int], marked: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Stretches [first, last] of units to remove."""
-    out, first, last, words, between = [], None, None, 0, 0
-    for i, n in enumerate(counts):
+    """Stretches [first, last] of units to remove; counts: words of each unit."""
+    out, first, words = [], 0, 0
+    for i, n in enumerate([*counts, 0]):
         if i in marked:
-            if first is None:
-                first, words, between = i, 0, 0
-            words, between, last = words + between + n, 0, i
-        elif first is not None and n < SHORTEST:
-            between += n
-        elif first is not None:
-            if words >= min_words:
-                out.append((first, last))
-            first = None
-    if first is not None and words >= min_words:
-        out.append((first, last))
+            words += n
+            continue
+        if words >= min_words:
+            out.append((first, i - 1))
+        first, words = i + 1, 0
     return out
 
 
@@ -113,7 +107,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _units(documents: DataFrame) -> DataFrame:
-    """doc (doc_id and a hash of the text), n (the unit's number), h1, h2: the unit's hash. Short units have no row."""
+    """doc_id, key (a hash of the text), n (the unit's number), h1 and h2 (the unit's hash)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -121,12 +115,11 @@ def _units(documents: DataFrame) -> DataFrame:
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
             doc, key, number, hashes = [], [], [], []
             for doc_id, text_key, text in zip(ids, keys, texts, strict=True):
-                for n, unit in enumerate(unit_words(text)):
-                    if len(unit) >= SHORTEST:
-                        doc.append(doc_id)
-                        key.append(text_key)
-                        number.append(n)
-                        hashes.append(digest(" ".join(unit)))
+                units = unit_words(text)
+                doc += [doc_id] * len(units)
+                key += [text_key] * len(units)
+                number += range(len(units))
+                hashes += [digest(" ".join(u)) for u in units]
             pair = pa.py_buffer(b"".join(hashes))
             both = pa.Array.from_buffers(pa.int64(), 2 * len(hashes), [None, pair]).to_numpy(zero_copy_only=False) if hashes else []
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(number, pa.int32()), pa.array(both[0::2], pa.int64()), pa.array(both[1::2], pa.int64())], names=["doc_id", "key", "n", "h1", "h2"])
@@ -149,7 +142,7 @@ def marks(documents: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "key").agg(F.collect_set("n").alias("marked"))
 
 
-def deduplicated(documents: DataFrame, min_words: int = 25) -> DataFrame:
+def deduplicated(documents: DataFrame, min_words: int = 16) -> DataFrame:
     """The input's rows and columns with `text` cut, and a column `removed_spans`, an array of (start, end) in the original.
 
     Rows that repeat both doc_id and text share their fate: they count as one document. A null text stays null, and
@@ -174,7 +167,7 @@ def deduplicated(documents: DataFrame, min_words: int = 25) -> DataFrame:
     return out.select(*columns, F.col("cut.spans").alias("removed_spans"))
 
 
-def passages(documents: DataFrame, min_words: int = 25) -> DataFrame:
+def passages(documents: DataFrame, min_words: int = 16) -> DataFrame:
     """One row per input row: doc_id, text (cut), n_removed (passages), removed_chars, removed_spans ("start-end", comma-joined)."""
     out = deduplicated(documents.select("doc_id", "text"), min_words)
     chars = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
