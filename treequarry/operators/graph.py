@@ -16,6 +16,8 @@ from treequarry.functions.names import is_std
 
 #: Depths that the commands of the engine use.
 REACHABLE, CALLERS, CONTEXT, DISCLOSE = 100, 10, 2, 5
+#: A frontier of at most so many rows of two names is broadcast to the edges; a larger one meets them by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -55,20 +57,19 @@ def trace(edges: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame
     edge scanned on the way led to something already seen, which is more than a cycle: diamonds and repeated edges
     count too. Seeds that are on no edge have no rows in the first and false in the second.
     """
-    seeds = seeds.select("seed").distinct()
-    known = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct()
-    seen = checkpointed(seeds.join(known, F.col("seed") == F.col("name"), "left_semi").select("seed", F.col("seed").alias("name"), F.lit(0).cast("long").alias("depth")))
-    scanned = []
+    seeds = checkpointed(seeds.select("seed").distinct())
+    frontier = seeds.select("seed", F.col("seed").alias("name"), F.lit(0).cast("long").alias("depth"))
+    size, seen, scanned = seeds.count(), frontier, []
     for depth in range(1, max_depth + 1):
-        frontier = seen.filter(F.col("depth") == depth - 1)
-        step = frontier.join(edges, F.col("name") == F.col("src")).groupBy("seed", F.col("dst").alias("name")).agg(F.count("*").alias("times"))
+        if not size:
+            break
+        near = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
+        step = near.join(edges, F.col("name") == F.col("src")).groupBy("seed", F.col("dst").alias("name")).agg(F.count("*").alias("times"))
         step = checkpointed(step.join(seen.select("seed", "name", F.lit(True).alias("old")), ["seed", "name"], "left"))
         scanned.append(step.groupBy("seed").agg((F.sum("times") > F.count(F.when(F.col("old").isNull(), 1))).alias("again")))
-        new = step.filter("old is null").select("seed", "name", F.lit(depth).cast("long").alias("depth"))
-        if new.isEmpty():
-            break
-        seen = checkpointed(seen.unionByName(new))
-    again = scanned[0] if scanned else seen.sparkSession.createDataFrame([], "seed string, again boolean")
+        frontier = step.filter("old is null").select("seed", "name", F.lit(depth).cast("long").alias("depth"))
+        size, seen = frontier.count(), seen.unionByName(frontier)
+    again = scanned[0] if scanned else seeds.select("seed", F.lit(False).alias("again"))
     for more in scanned[1:]:
         again = again.unionByName(more)
     flags = seeds.join(again.groupBy("seed").agg(F.bool_or("again").alias("again")), "seed", "left").select("seed", F.coalesce("again", F.lit(False)).alias("revisits"))

@@ -288,6 +288,11 @@ def project_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions.unionByName(modules)
 
 
+def project_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Paths and symbols, computed once for all rules."""
+    return S.files(spark, sf_dir).select("path"), graph.checkpointed(project_symbols(spark, sf_dir))
+
+
 _q = lambda values: "[" + ", ".join("'" + v + "'" for v in values) + "]"
 _b = "regexp_extract(path, '[^/]*$')"
 _sym = f"""f AS (SELECT path, {_b} AS b, regexp_extract({_b}, '[^.]*$') AS ext, strlen(content) AS n FROM fx_files),
@@ -327,7 +332,7 @@ _every = " UNION ALL ".join(p for parts in RULES.values() for p in parts)
 
 def _detector(number: int, language: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return entrypoints.DETECTORS[language](S.files(spark, sf_dir), project_symbols(spark, sf_dir))
+        return entrypoints.DETECTORS[language](*project_tables(spark, sf_dir))
 
     run.__name__ = f"e{number}_{language}"
     query(f"WITH {_sym} " + " UNION ALL ".join(RULES[language]))(run)
@@ -339,17 +344,17 @@ for _number, _language in enumerate(RULES, 1):
 
 @query(f"WITH {_sym}, every AS ({_every}) SELECT * FROM every WHERE entry_type <> 'test' AND language IN ('rust', 'typescript', 'python', 'go', 'zig')")
 def f15_entrypoints_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entrypoints.shown(entrypoints.entrypoints(S.files(spark, sf_dir), project_symbols(spark, sf_dir)))
+    return entrypoints.shown(entrypoints.entrypoints(*project_tables(spark, sf_dir)))
 
 
 @query(f"WITH {_sym}, every AS ({_every}) SELECT * FROM every WHERE entry_type = 'test' AND language = 'rust'")
 def f14_entrypoints_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entrypoints.shown(entrypoints.entrypoints(S.files(spark, sf_dir), project_symbols(spark, sf_dir)), entry_type="test", language="rust")
+    return entrypoints.shown(entrypoints.entrypoints(*project_tables(spark, sf_dir)), entry_type="test", language="rust")
 
 
 @query(f"WITH {_sym}, every AS ({_every}) SELECT entry_type, count(*) AS n, count(DISTINCT file) AS n_files FROM every GROUP BY entry_type")
 def a1_group_entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entrypoints.grouped(entrypoints.entrypoints(S.files(spark, sf_dir), project_symbols(spark, sf_dir)), "entry_type")
+    return entrypoints.grouped(entrypoints.entrypoints(*project_tables(spark, sf_dir)), "entry_type")
 
 
 FOCUS = ["f/C7.py", "f/N2.py"]
