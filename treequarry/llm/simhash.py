@@ -125,19 +125,18 @@ def fingerprint_edges(nodes: DataFrame, bits: int = 4, block: int = 1024) -> Dat
 
 
 def fingerprint_components(documents: DataFrame, width: int = 4, seed: int = 42, bits: int = 4) -> DataFrame:
-    """One row per input row: doc_id, row_key (a hash of doc_id and text), fp (a long), root, component_id.
-
-    root tells components apart even where several of them have the same component_id.
-    """
+    """One row per input row: doc_id, fp (a long), component_id."""
     with_text(documents)
     small_batches(documents.sparkSession)
-    found = checkpointed(documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), fingerprint_column(width, seed)("text").alias("fp")))
-    nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = checkpointed(documents.select("doc_id", fingerprint_column(width, seed)("text").alias("fp")))
+    # each entry becomes many postings, so the entries keep as many partitions as a shuffle has
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first")).repartition(parts, "fp"))
     roots = connected_components(fingerprint_edges(nodes.select("fp"), bits))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = labelled.join(lowest, "root").select("fp", "root", "component_id")
-    return found.join(component, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
+    component = labelled.join(lowest, "root").select("fp", "component_id")
+    return found.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(documents: DataFrame, width: int = 4, seed: int = 42, bits: int = 4) -> DataFrame:
@@ -149,13 +148,3 @@ def near_duplicates(documents: DataFrame, width: int = 4, seed: int = 42, bits:
     """
     found = fingerprint_components(documents, width, seed, bits)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(documents: DataFrame, width: int = 4, seed: int = 42, bits: int = 4) -> DataFrame:
-    """The input's columns, and of each component one row: with the smallest doc_id (null last), then the smallest hash."""
-    found = fingerprint_components(documents, width, seed, bits)
-    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key")
-    heads = found.groupBy("root").agg(F.min(rank).alias("head")).select(F.col("head.row_key").alias("row_key"))
-    keyed = documents.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))
-    kept = keyed.join(heads, "row_key", "left_semi").dropDuplicates(["row_key"])
-    return kept.select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 CONVERTER = "treequarry plain text"
-HIDDEN = [r"(?s)<!--.*?(?:-->|\z)", *(rf"(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("head", "script", "style", "noscript", "template"))]
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("head", "script", "style", "noscript", "template")) + ")"
 BREAK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|form|dl|dt|dd|hr)\b[^>]*>"
 TITLE = r"(?is)<title\b[^>]*>([^<]*)"
 LINK = r"(?i)<a\b[^>]*\bhref="
@@ -29,8 +29,9 @@ LINK = r"(?i)<a\b[^>]*\bhref="
 REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
-def _uuid(hexadecimal: Column) -> Column:
-    return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(hexadecimal, a, n)]], F.lit(">"))
+def _uuid(text: Column) -> Column:
+    """A record id from the hash of a text."""
+    return F.regexp_replace(F.sha2(text, 256), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -41,13 +42,12 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     digest = F.sha1(html)
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n"))
-    return pages.select("page_id", _uuid(F.sha2(F.concat(F.lit("response|"), url, F.lit("|"), digest), 256)).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("warc_date"), headers.alias("http_headers"), html.alias("payload"), F.concat(F.lit("sha1:"), digest).alias("payload_digest"))
+    return pages.select("page_id", _uuid(F.concat(F.lit("response|"), url, F.lit("|"), digest)).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("warc_date"), headers.alias("http_headers"), html.alias("payload"), F.concat(F.lit("sha1:"), digest).alias("payload_digest"))
 
 
 def plain_text(html: Column) -> Column:
-    for pattern in HIDDEN:
-        html = F.regexp_replace(html, pattern, "")
-    text = F.regexp_replace(F.regexp_replace(html, BREAK, "\n"), r"<[^>]*>", "")
+    shown = F.regexp_replace(html, HIDDEN, "")
+    text = F.regexp_replace(F.regexp_replace(shown, BREAK, "\n"), r"<[^>]*>", "")
     for reference, char in REFERENCES.items():
         text = F.replace(text, F.lit(reference), F.lit(char))
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
@@ -69,12 +69,15 @@ def derivatives(records: DataFrame) -> DataFrame:
     links = F.regexp_count("payload", F.lit(LINK)).cast("long")
     listed = F.regexp_replace(F.regexp_replace("http_headers", r"^HTTP[^\n]*\n", ""), r"(?m)^([^:\r\n]+:)", "source-$1")
     fields = F.concat(F.lit("source-status: "), status, F.lit("\r\n"), listed, F.lit("source-digest: "), F.col("payload_digest"), F.lit("\r\ntitle: "), title, F.lit("\r\nlinks: "), links.cast("string"), F.lit("\r\n"))
-    own = lambda kind: _uuid(F.sha2(F.concat(F.lit(kind + "|"), F.col("record_id")), 256))
     both = F.array(
-        F.struct(F.lit("metadata").alias("warc_type"), own("metadata").alias("record_id"), own("conversion").alias("concurrent_to"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), own("conversion").alias("record_id"), own("metadata").alias("concurrent_to"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block")),
+        F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block")),
     )
     rows = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), links.alias("n_links"), F.inline(both))
+    # the ids come after the rows are two, so that what they are made of is computed once
+    other = F.when(F.col("warc_type") == "metadata", "conversion").otherwise("metadata")
+    own = lambda kind: _uuid(F.concat(kind, F.lit("|"), "refers_to"))
+    rows = rows.withColumn("record_id", own(F.col("warc_type"))).withColumn("concurrent_to", own(other))
     return rows.select("page_id", "warc_type", "record_id", "refers_to", "concurrent_to", "target_uri", "warc_date", "content_type", "source_headers", "source_digest", "block", F.concat(F.lit("sha1:"), F.sha1("block")).alias("block_digest"), F.octet_length("block").cast("long").alias("content_length"), "n_links")
 
 
@@ -119,9 +122,7 @@ def oracle(date: str = DATE) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     raw = lambda s: "'" + s.replace("'", "''") + "'"
     uuid = lambda h: "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
-    text = "payload"
-    for pattern in HIDDEN:
-        text = f"regexp_replace({text}, {q(pattern)}, '', 'g')"
+    text = f"regexp_replace(payload, {q(HIDDEN)}, '', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {q(BREAK)}, chr(10), 'g'), '<[^>]*>', '', 'g')"
     for reference, char in REFERENCES.items():
         text = f"replace({text}, {raw(reference)}, {raw(char)})"
