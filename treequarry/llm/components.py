@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +15,55 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def spanning_edges(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The edges that close no circle with those before them."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kept = []
+    for a, b in edges:
+        x, y = top(a), top(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
+
+
+def thinned(pairs: DataFrame, n_pairs: int, chunk: int = 16_384) -> DataFrame:
+    """Edges with the same components: each chunk of about `chunk` edges keeps a spanning forest, fewer than it has nodes."""
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[int, int]] = []
+
+        def kept() -> pa.RecordBatch:
+            found = spanning_edges(edges)
+            return pa.record_batch([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            edges += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            if len(edges) >= chunk:
+                yield kept()
+                edges = []
+        yield kept()
+
+    return pairs.coalesce(max(1, -(-n_pairs // chunk))).mapInArrow(forests, "a long, b long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) to rows (node, root): root is the smallest node of the component; one row per node with an edge.
 
     In a round, every node first hangs its larger neighbours on the smallest node it knows, then its smaller ones.
-    Rounds grow with the logarithm of the longest chain. Rows are pre-aggregated before they are shuffled, joins are
+    Rounds grow with the logarithm of the longest chain. Before them, edges that close circles go, chunk by chunk, so
+    that a dense group costs the rounds little more than its nodes. Rows are pre-aggregated before they are shuffled, joins are
     keyed by node, and the edges of each round go to a reliable checkpoint.
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     pairs = checkpointed(pairs)
+    pairs = checkpointed(thinned(pairs, pairs.count()))
     seen = _signature(pairs)
     while seen[0]:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
