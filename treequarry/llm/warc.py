@@ -4,7 +4,8 @@ A table of WARC response records gives two records per response: `metadata` (app
 status, headers, digest, title and number of links) and `conversion` (text/plain). Both name the response in
 WARC-Refers-To and each other in WARC-Concurrent-To; the response's HTTP headers and payload digest are carried
 over. Record ids are derived from the response's, so a repeated run gives the same ids. Everything is DataFrame
-functions: no shuffle, no Python.
+functions without a shuffle, but for character references: the plain text goes through Python's table of them. The
+title keeps its references as they stand.
 
 Records are written with Spark's text writer, whose line separator is the two line ends that close a WARC record,
 and read back by their Content-Length.
@@ -12,12 +13,16 @@ and read back by their Content-Length.
 
 from __future__ import annotations
 
+import html as entities
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from treequarry.llm.common import small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 CONVERTER = "treequarry plain text"
@@ -25,7 +30,7 @@ HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{tag}\b.*?(?:</{tag}\s*>|\z
 BREAK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|form|dl|dt|dd|hr)\b[^>]*>"
 TITLE = r"(?is)<title\b[^>]*>([^<]*)"
 LINK = r"(?i)<a\b[^>]*\bhref="
-#: Character references of plain text; the ampersand comes last.
+#: The character references that the SQL knows; the ampersand comes last.
 REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
@@ -45,12 +50,20 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select("page_id", _uuid(F.concat(F.lit("response|"), url, F.lit("|"), digest)).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("warc_date"), headers.alias("http_headers"), html.alias("payload"), F.concat(F.lit("sha1:"), digest).alias("payload_digest"))
 
 
+def decoded(text: str) -> str:
+    """All character references of HTML, once; a named no-break space is a plain one."""
+    return entities.unescape(text.replace("&nbsp;", " ")) if "&" in text else text
+
+
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(decoded)
+
+
 def plain_text(html: Column) -> Column:
     shown = F.regexp_replace(html, HIDDEN, "")
     text = F.regexp_replace(F.regexp_replace(shown, BREAK, "\n"), r"<[^>]*>", "")
-    for reference, char in REFERENCES.items():
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
+    text = F.regexp_replace(F.regexp_replace(_decoded(text), r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))
 
 
@@ -63,15 +76,18 @@ def derivatives(records: DataFrame) -> DataFrame:
     empty text; extra columns are dropped.
     """
     known = {c: F.coalesce(c, F.lit("")) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload", "payload_digest")}
+    small_batches(records.sparkSession)
     source = records.select("page_id", *[v.alias(k) for k, v in known.items()])
-    title = F.btrim(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n\f]+", " "))
+    # before the rows are two, so that Python gets each text once
+    source = source.withColumn("shown", plain_text(F.col("payload")))
+    source = source.withColumn("title", F.btrim(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n\f]+", " ")))
     status = F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
     links = F.regexp_count("payload", F.lit(LINK)).cast("long")
     listed = F.regexp_replace(F.regexp_replace("http_headers", r"^HTTP[^\n]*\n", ""), r"(?m)^([^:\r\n]+:)", "source-$1")
-    fields = F.concat(F.lit("source-status: "), status, F.lit("\r\n"), listed, F.lit("source-digest: "), F.col("payload_digest"), F.lit("\r\ntitle: "), title, F.lit("\r\nlinks: "), links.cast("string"), F.lit("\r\n"))
+    fields = F.concat(F.lit("source-status: "), status, F.lit("\r\n"), listed, F.lit("source-digest: "), F.col("payload_digest"), F.lit("\r\ntitle: "), F.col("title"), F.lit("\r\nlinks: "), links.cast("string"), F.lit("\r\n"))
     both = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("shown").alias("block")),
     )
     rows = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), links.alias("n_links"), F.inline(both))
     # the ids come after the rows are two, so that what they are made of is computed once
