@@ -1,7 +1,8 @@
 """Operators 1, 9 and 10 on small fixtures."""
 
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -39,11 +40,42 @@ def test_main_text(html, text):
     assert html_text.main_text(html, set()) == text
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div id=page class=header-fixed><article>{}</article></div>",
+        "<div class='layout has-sidebar'>{}</div>",
+        "<div class=sidebar><p>x</p>{}</div>",
+        "<body><form id=aspnetForm><article>{}</article><div class=comments><article>a reader</article></div></form>",
+        "<article><div class=related-work>{}</div></article>",
+        "<article><div class=notice-board>{}</div><div class=search-results><p>kept</p></div></article>",
+        "<header><article>{}</article></header>",
+        "<article>{}</article><article class=teaser><a href=x>more of this kind of thing, and more</a></article>",
+        "<article>{}</article><section id=comments><p>" + "a long remark of a reader " * 40 + "</p></section>",
+    ],
+)
+def test_what_holds_the_text_stays(html):
+    prose = "<p>" + "Words of the article that must not be lost. " * 5 + "</p>"
+    text = html_text.main_text(html.format(prose), set())
+    assert "Words of the article" in text and "a reader" not in text and "more of" not in text
+
+
+def test_every_article_stays():
+    assert html_text.main_text("<article><p>one story</article><article><p>a much longer second story here</article>", set()) == "one story\n\na much longer second story here"
+
+
 def test_templates_go_and_copies_stay(spark):
     box = "<div class=x1>Join our list of readers today</div>"
+    menus = [f"<div class=m>Today {w}</div>" for w in ("sun", "rain", "snow")]
     rows = [page(f"<body>{box}<div><p>Story number {i} with words of its own.</p><p>And another {i * 7} paragraph.</p></div><div class=z>All rights with the site</div></body>", i, "http://h.example.org/" + str(i)) for i in range(20)]
     rows += [page(f"<body><nav>m</nav><article><p>The same story on every page, word for word.</p><p>And its end.</p>{box}</article></body>", i, "http://c.example.org/" + str(i)) for i in range(100, 115)]
-    rows += [page(f"<body>{box}<p>Few pages here, so nothing can be told.</p></body>", i, None) for i in range(200, 203)]
+    rows += [page(f"<body>{box}<p>Few pages here, so nothing can be told.</p></body>", i, None) for i in range(200, 202)]
+    # a slot whose contents take turns is a template, one with other words on every page is not
+    rows += [page(f"<body>{menus[i % 3]}<div class=lead>In short, number {i} is about this</div><div class=b><p>Body {i} of the text, which goes on for a while.</p></div></body>", i, "http://s.example.org/" + str(i)) for i in range(400, 408)]
+    # in the article a box goes that stands in articles that differ, but nothing that near copies share
+    rows += [page(f"<body><article><p>Report {i} says something else each time.</p><section>Write to us for more</section></article></body>", i, "http://i.example.org/" + str(i)) for i in range(500, 508)]
+    parts = "".join(f"<section><p>Part {k} of a story that has many copies.</p></section>" for k in range(12))
+    rows += [page(f"<body><article>{parts}<section>Copy {i}</section></article></body>", i, "http://n.example.org/" + str(i)) for i in range(600, 630)]
     rows += [(300, "http://h.example.org/", None, None, None), (300, "http://h.example.org/", None, None, None)]
     pages = spark.createDataFrame(rows, PAGES)
     out = defaultdict(list)
@@ -51,15 +83,51 @@ def test_templates_go_and_copies_stay(spark):
         out[r["page_id"]].append((r["text"], r["n_chars"]))
     assert sum(map(len, out.values())) == len(rows)
     assert all(out[i][0][0] == f"Story number {i} with words of its own.\n\nAnd another {i * 7} paragraph." for i in range(20))
-    assert all(out[i][0][0] == "The same story on every page, word for word.\n\nAnd its end." for i in range(100, 115))
+    assert all(out[i][0][0].startswith("The same story on every page, word for word.\n\nAnd its end.") for i in range(100, 115))
+    assert all(out[i][0][0] == f"In short, number {i} is about this\n\nBody {i} of the text, which goes on for a while." for i in range(400, 408))
+    assert all(out[i][0][0] == f"Report {i} says something else each time." for i in range(500, 508))
+    assert all(out[i][0][0].count("Part") == 12 for i in range(600, 630))
     assert out[200][0][0].startswith("Join our list") and out[300] == [("", 0)] * 2
     assert html_text.main_texts(pages.limit(0)).count() == 0
+    bare = {r["page_id"]: r["text"] for r in html_text.main_texts(pages, names=False).collect()}
+    assert bare[3] == out[3][0][0] and bare[401] == out[401][0][0] and bare[100].startswith("m\n\n")
+
+
+def test_templates_are_counted_by_host(spark):
+    """The hashes that Spark finds, against counts page by page."""
+    path = "/root/testdata/sf0.01/pages.parquet"
+    pages = spark.read.parquet(path)
+    rows = pages.select("url", "html").collect()
+    hosts = [re.sub(r"^.*?://|[/?#].*$", "", r["url"] or "", flags=re.S).lower() for r in rows]
+    on, mains, times = Counter(hosts), defaultdict(set), Counter()
+    for host, r in zip(hosts, rows, strict=True):
+        main, found = html_text.boxes(r["html"])
+        for box in found:
+            mains[host, *box].add(main)
+            times[host, *box] += 1
+    want = defaultdict(set)
+    for (host, slot, content, inside), seen in mains.items():
+        if inside and len(seen) >= max(5, on[host] / 100) and 2 * len(seen) >= times[host, slot, content, inside]:
+            want[host].add(("inside", content))
+        elif not inside and len(seen) >= max(3, on[host] / 100):
+            want[host].add(("contents", content))
+    for host, slot in {k[:2] for k in mains if not k[3]}:
+        sizes = [len(v) for k, v in mains.items() if k[:2] == (host, slot) and not k[3]]
+        if sum(sizes) >= max(5, on[host] / 10) and len(sizes) <= 0.8 * sum(sizes):
+            want[host].add(("slots", slot))
+    got = {r["host"]: {(k, h) for k in ("contents", "slots", "inside") for h in r[k]} for r in html_text.site_templates(pages).collect()}
+    assert got == want and any(k == "slots" for found in got.values() for k, _ in found)
 
 
 def test_deep_and_long_pages():
     deep = "<div>" * 30_000 + "x" + "</div>" * 30_000
     assert html_text.main_text(deep, set()) == "x"
     assert html_text.main_text("<p>" + "word " * 200_000, set()) == ("word " * 200_000).strip()
+    n = 20_000
+    for hard in ("<div>" * n + "<a href=x>l</a>" + "</div>" * n, "</b></div></p>" * n, "<i>" * n + "<hr>" * n, "<div>" * n + "<li></li>" * n, "<i>" * n + "</b>" * n, "<b><div>" * n + "</b>" * n, "<article>x</article>" * n):
+        began = time.perf_counter()
+        html_text.main_text(hard, {1})
+        assert time.perf_counter() - began < 20
 
 
 def plain_verdicts(rows, rules, threshold=0.05, rounds=20):
