@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch handed to Python. Documents can be very long, so the usual 10,000 would be too many.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch handed to Python; a batch ends where it reaches either. Documents can be very long.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +21,42 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of each Arrow batch, and so the memory of a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and bytes of each Arrow batch, and so the memory of a Python worker.
+
+    These are settings of the session, and stay; only larger values are lowered.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch("([0-9]+)b?", spark.conf.get(key))
+        if now is None or int(now[1]) > most:
+            spark.conf.set(key, str(most))
+
+
+@dataclass(frozen=True)
+class Heads:
+    """A sample of bounded size: the first `rows` rows of some partitions; the other tasks read nothing."""
+
+    partitions: frozenset[int]
+    rows: int
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = self.rows if TaskContext.get().partitionId() in self.partitions else 0
+        while left > 0:
+            batch = next(batches, None)
+            if batch is None:
+                return
+            yield batch.iloc[:left]
+            left -= len(batch)
+
+
+def heads(df: DataFrame, rows: int, partitions: int = 16) -> Heads:
+    """About `rows` rows from up to `partitions` partitions spread over the table, for what may depend on a sample: speed.
+
+    To be called on the batches of mapInPandas directly after the scan. A task stops its scan after the batch that it needs.
+    """
+    n = df.rdd.getNumPartitions()
+    some = max(1, min(n, partitions))
+    return Heads(frozenset(i * n // some for i in range(some)), -(-rows // some))
 
 
 def shared_root(spark: SparkSession) -> str:

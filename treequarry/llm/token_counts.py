@@ -16,33 +16,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treequarry.llm import tokens
-from treequarry.llm.common import small_batches, with_text
+from treequarry.llm.common import heads, small_batches, with_text
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def frequent_lengths(documents: DataFrame, tokenizer: str = TOKENIZER, table_rows: int = 20_000, sample_rows: int = 4000, seed: int = 3) -> dict[str, int]:
-    """Lengths of up to `table_rows` frequent pre-tokens, from about `sample_rows` documents.
+def frequent_lengths(documents: DataFrame, tokenizer: str = TOKENIZER, table_rows: int = 20_000, sample_rows: int = 4000) -> dict[str, int]:
+    """Lengths of up to `table_rows` frequent pre-tokens, from the first of about `sample_rows` documents in a few partitions.
 
-    The sample is counted in a few tasks that send their most frequent pre-tokens alone, so what the driver gets
-    has a fixed bound. An empty table gives an empty dictionary.
+    Each of these tasks sends its most frequent pre-tokens alone, so what the driver gets and encodes has a fixed
+    bound. An empty table gives an empty dictionary.
     """
     small_batches(documents.sparkSession)
-    share = min(1.0, sample_rows / max(1, documents.count()))
+    head = heads(documents, sample_rows)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         times: Counter[str] = Counter()
-        for batch in batches:
+        for batch in head(batches):
             for text in batch["text"].dropna():
-                times.update(c for line in text.split("\n") for c in line.split(" ")[1:])
-        encoder = tokens.PreTokens(tokenizer, len, sum)
-        common = {c: n for c, n in times.most_common(table_rows) if tokens.splits(c) and len(c) <= tokens.LONGEST and not any(s in c for s in encoder.special)}
-        lengths = {c: (common[c], k) for c, k in encoder.learn(common).items()}
-        yield pd.DataFrame([(c, n, k) for c, (n, k) in lengths.items()], columns=["chunk", "n", "length"])
-
-    sample = documents.select("text").sample(fraction=share, seed=seed).coalesce(4)
-    found = sample.mapInPandas(counted, "chunk string, n long, length int").groupBy("chunk").agg(F.sum("n").alias("n"), F.min("length").alias("length"))
-    return {r["chunk"]: r["length"] for r in found.orderBy(F.desc("n"), "chunk").limit(table_rows).collect()}
+                times.update(c for line in text.split("\n") for c in line.split(" ")[1:] if len(c) <= tokens.LONGEST)
+        yield pd.DataFrame([(c, n) for c, n in times.most_common(table_rows) if tokens.splits(c)], columns=["chunk", "n"])
+
+    found = documents.select("text").mapInPandas(counted, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    common = [r["chunk"] for r in found.orderBy(F.desc("n"), "chunk").limit(table_rows).collect()]
+    encoder = tokens.PreTokens(tokenizer, len, sum)
+    return encoder.learn(c for c in common if not any(s in c for s in encoder.special)) if encoder.exact else {}
 
 
 def counter(documents: DataFrame, tokenizer: str = TOKENIZER, table_rows: int = 20_000) -> Column:
