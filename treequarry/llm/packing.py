@@ -11,14 +11,19 @@ As many bins are opened by the pattern as the histogram allows. Each pattern use
 of what a bin took of it, so a length limits the pattern at most as often as its first count in a bin can be halved. At the end each bin is downsized to the least permitted length that holds its contents.
 
 Pieces get their ranks within their length from counts per length and salt, so that no length, however frequent, is
-ranked in one task, and ranks meet the plan's ranges in a join.
+ranked in one task. The plan is broadcast as sorted ranges of ranks, in which a piece's place is found by bisection. Its size is
+bounded by the largest capacity C alone: a length L limits at most 2 + log2(C / L) patterns, so there are fewer than
+3.5 C of them, and a pattern has no more different lengths than sum to C.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +33,6 @@ from treequarry.llm.common import checkpointed
 CAPACITIES = (1024, 2048, 4096, 8192)
 #: What opening a bin costs beside its length, in tokens.
 BIN_COST = 64
-#: A plan of at most so many rows of a few numbers is broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -110,6 +113,27 @@ def pieces_of(documents: DataFrame, length: str, largest: int) -> DataFrame:
     return cut.withColumn("piece_start", F.col("piece") * largest).withColumn("piece_length", F.least(F.col(length) - F.col("piece_start"), F.lit(largest)).cast("long"))
 
 
+class Places:
+    """The ranges of a plan in order of length and rank, for look-ups of many pieces at once."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int, int, int, int]]):
+        self.table = np.array(sorted(rows), np.int64).reshape(-1, 7)
+        lengths = self.table[:, 0]
+        self.first = np.searchsorted(lengths, np.arange((lengths[-1] if len(lengths) else 0) + 2))
+
+    def __call__(self, length: np.ndarray, rank: np.ndarray) -> pd.DataFrame:
+        """bin_id, bin_capacity and bin_offset of pieces of these lengths and ranks."""
+        row = np.zeros(len(length), np.int64)
+        order = np.argsort(length, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            if len(part):
+                a, b = self.first[length[part[0]]], self.first[length[part[0]] + 1]
+                row[part] = a + np.searchsorted(self.table[a:b, 1], rank[part], side="right") - 1
+        _, low, _, per_bin, first_bin, capacity, offset = self.table[row].T
+        at = rank - low
+        return pd.DataFrame({"bin_id": first_bin + at // per_bin, "bin_capacity": capacity, "bin_offset": offset + at % per_bin * length})
+
+
 def pack(pieces: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, salt_rows: int = 200_000) -> DataFrame:
     """Rows with doc_id, piece and piece_length get bin_id, bin_capacity and bin_offset; every row goes to one bin.
 
@@ -125,15 +149,15 @@ def pack(pieces: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost:
     starts = counts.select("piece_length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("piece_length", "salt").orderBy("doc_id", "piece")
     ranked = salted.withColumn("rank_in", F.row_number().over(within) - 1).join(starts, ["piece_length", "salt"]).withColumn("rank", F.col("base") + F.col("rank_in"))
-    rows = ranges(plan(histogram, capacities, bin_cost))
-    table = spark.createDataFrame(rows, "length long, low long, high long, per_bin long, first_bin long, bin_capacity long, first_offset long")
-    if len(rows) <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    met = ranked.join(table, (F.col("piece_length") == F.col("length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    at = F.col("rank") - F.col("low")
+    places = spark.sparkContext.broadcast(Places(ranges(plan(histogram, capacities, bin_cost))))
+
+    @F.pandas_udf("bin_id long, bin_capacity long, bin_offset long")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for length, rank in batches:
+            yield places.value(length.to_numpy(np.int64), rank.to_numpy(np.int64))
+
     own = [c for c in pieces.columns if c not in ("bin_id", "bin_capacity", "bin_offset")]
-    placed = met.withColumn("bin_id", F.col("first_bin") + F.floor(at / F.col("per_bin"))).withColumn("bin_offset", F.col("first_offset") + F.pmod(at, F.col("per_bin")) * F.col("piece_length"))
-    return placed.select(*own, "bin_id", "bin_capacity", "bin_offset")
+    return ranked.withColumn("place", place("piece_length", "rank")).select(*own, "place.*")
 
 
 def packed_documents(documents: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, tokenizer: str = token_counts.TOKENIZER) -> DataFrame:
@@ -141,7 +165,8 @@ def packed_documents(documents: DataFrame, capacities: tuple[int, ...] = CAPACIT
 
     A document's length is its tokens and one end token, so a null or empty text is a piece of length 1. Documents
     longer than the largest capacity are cut into pieces; nothing is dropped. Repeated rows are packed each for
-    itself. Columns beside doc_id and text play no part.
+    itself. Pieces of equal length are alike to the plan; ties go by doc_id and piece. An empty table gives an empty
+    result. Columns beside doc_id and text play no part.
     """
     counted = token_counts.token_counts(documents, tokenizer).select("doc_id", (F.col("n_tokens") + 1).alias("length"))
     pieces = pieces_of(checkpointed(counted), "length", max(capacities)).select("doc_id", "piece", "piece_start", "piece_length")
