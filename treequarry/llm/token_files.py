@@ -216,7 +216,7 @@ def look_up(keys: DataFrame, files: TokenFiles) -> DataFrame:
     index = spark.read.parquet(files.index)
 
     def find(rows: pd.DataFrame, bucket: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("doc_id", "occurrence", "number", "offset", "n_tokens")})
+        empty = pd.DataFrame({c: pd.Series(dtype="bool" if c == "none" else "int64") for c in ("id", "none", "occurrence", "number", "offset", "n_tokens")})
         if not len(rows) or not len(bucket):
             return empty
         n, d, table = int(bucket["n_keys"].iloc[0]), np.frombuffer(bucket["displacements"].iloc[0], "<i8"), np.frombuffer(bucket["slots"].iloc[0], SLOT)
@@ -225,11 +225,14 @@ def look_up(keys: DataFrame, files: TokenFiles) -> DataFrame:
         own = (at >= 0) & (at < n)
         found = table[np.where(own, at, 0)]
         own &= found["fingerprint"] == (y & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        out = rows.loc[own, ["doc_id", "occurrence"]]
+        out = rows.loc[own, ["id", "none", "occurrence"]]
         return out.assign(number=found["shard"][own].astype(np.int64), offset=found["offset"][own].astype(np.int64), n_tokens=found["length"][own].astype(np.int64))
 
     hashed = with_hashes(keys, index.agg(F.coalesce(F.max("n_buckets"), F.lit(1)).alias("n")).first()["n"])
-    return hashed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, "doc_id long, occurrence long, number long, offset long, n_tokens long")
+    # pandas would turn a column of numbers with a null among them into floats
+    apart = hashed.select("bucket", "x", "y", "occurrence", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none"))
+    found = apart.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, "id long, none boolean, occurrence long, number long, offset long, n_tokens long")
+    return found.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "occurrence", "number", "offset", "n_tokens")
 
 
 def read_back(keys: DataFrame, files: TokenFiles) -> DataFrame:

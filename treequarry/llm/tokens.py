@@ -5,13 +5,16 @@ a single space belongs to what follows it. So a text in which no white space sta
 line ends and spaces into chunks whose ids do not depend on their neighbours. Chunks are looked up. A missing chunk
 is cut by the pattern, and the library's model encodes the pieces that are new. The library encodes whole every text
 that does not split exactly (runs of white space, white space at either end, a special string), and every chunk
-with characters for which Unicode versions might differ.
+with characters for which Unicode versions might differ. Of a vocabulary that is not byte-level, or that has a normaliser,
+every text is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 #: Longer chunks are encoded without being kept.
 LONGEST = 48
@@ -36,6 +39,18 @@ def splits(chunk: str) -> bool:
     return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 
 
+@lru_cache(maxsize=8)
+def byte_level(path: str) -> bool:
+    """Whether a vocabulary cuts texts by the known pattern into bytes, changes nothing before, and adds nothing after."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    cut, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    bare = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    added = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in parts.get("added_tokens") or ())
+    return plain and bare and not added and not parts.get("normalizer")
+
+
 class PreTokens:
     """Values of whole texts. `value` turns a list of ids into what is kept of it (a count, bytes), `join` puts the values
     of parts together.
@@ -50,6 +65,8 @@ class PreTokens:
         import regex
         from tokenizers import Tokenizer
 
+        #: whether texts may be split; every other vocabulary is left to the library
+        self.exact = byte_level(tokenizer_path(name))
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -98,7 +115,7 @@ class PreTokens:
             self.at_start = {}
         if len(self.pieces) > self.limit:
             self.pieces = {}
-        lines = [None if not t or any(s in t for s in self.special) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        lines = [None if not t or not self.exact or any(s in t for s in self.special) else [line.split(" ") for line in t.split("\n")] for t in texts]
         wanted: set[str] = set()
         for text in lines:
             for line in text or ():
