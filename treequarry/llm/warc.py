@@ -3,9 +3,9 @@
 A table of WARC response records gives two records per response: `metadata` (application/warc-fields: the source's
 status, headers, digest, title and number of links) and `conversion` (text/plain). Both name the response in
 WARC-Refers-To and each other in WARC-Concurrent-To; the response's HTTP headers and payload digest are carried
-over. Record ids are derived from the response's, so a repeated run gives the same ids. Everything is DataFrame
-functions without a shuffle, but for character references: the plain text goes through Python's table of them. The
-title keeps its references as they stand.
+over. Record ids are derived from the response's, so a repeated run gives the same ids. Nothing is shuffled. The plain
+text and the title come from one pass over each payload in Python, which knows every character reference; all else is
+DataFrame functions.
 
 Records are written with Spark's text writer, whose line separator is the two line ends that close a WARC record,
 and read back by their Content-Length.
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from treequarry.llm.common import small_batches
 
@@ -55,16 +54,25 @@ def decoded(text: str) -> str:
     return entities.unescape(text.replace("&nbsp;", " ")) if "&" in text else text
 
 
-@F.pandas_udf(StringType())
-def _decoded(texts: pd.Series) -> pd.Series:
-    return texts.map(decoded)
+_hidden, _break, _tag, _title, _link = (re.compile(p.replace(r"\z", r"\Z"), re.A) for p in (HIDDEN, BREAK, "<[^>]*>", TITLE, LINK))
+_spaces = re.compile(r"[ \t\r\f]{2,}|[\t\r\f]")
 
 
-def plain_text(html: Column) -> Column:
-    shown = F.regexp_replace(html, HIDDEN, "")
-    text = F.regexp_replace(F.regexp_replace(shown, BREAK, "\n"), r"<[^>]*>", "")
-    text = F.regexp_replace(F.regexp_replace(_decoded(text), r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
-    return F.btrim(text, F.lit(" \n"))
+def plain_text(html: str) -> str:
+    """What a page shows: a line for each block that is not empty, single spaces."""
+    text = decoded(_tag.sub("", _break.sub("\n", _hidden.sub("", html))))
+    lines = (line.strip(" ") for line in _spaces.sub(" ", text).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def title(html: str) -> str:
+    """The first title on one line, without markup characters."""
+    found = _title.search(html)
+    return " ".join(x for x in re.split(r"[ \t\r\n\f]+", decoded(found[1])) if x) if found else ""
+
+
+def _read(payloads: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(plain_text(p), title(p), len(_link.findall(p))) for p in payloads], columns=["shown", "title", "links"])
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -72,17 +80,16 @@ def derivatives(records: DataFrame) -> DataFrame:
     content_type, source_headers, source_digest, block, block_digest, content_length, n_links.
 
     The title is the first title element's text on one line; a payload without one has an empty title, and an empty
-    payload an empty conversion. Rows that repeat give the same records again. Null columns of a record count as
-    empty text; extra columns are dropped.
+    payload an empty conversion. Rows that repeat give the same records, ids included, again. Null columns of a record
+    count as empty text; extra columns are dropped; an empty table gives an empty result. A payload is read whole.
     """
     known = {c: F.coalesce(c, F.lit("")) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload", "payload_digest")}
     small_batches(records.sparkSession)
     source = records.select("page_id", *[v.alias(k) for k, v in known.items()])
     # before the rows are two, so that Python gets each text once
-    source = source.withColumn("shown", plain_text(F.col("payload")))
-    source = source.withColumn("title", F.btrim(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n\f]+", " ")))
+    source = source.withColumn("read", F.pandas_udf(_read, "shown string, title string, links long")("payload")).select("*", "read.shown", "read.title")
     status = F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
-    links = F.regexp_count("payload", F.lit(LINK)).cast("long")
+    links = F.col("read.links")
     listed = F.regexp_replace(F.regexp_replace("http_headers", r"^HTTP[^\n]*\n", ""), r"(?m)^([^:\r\n]+:)", "source-$1")
     fields = F.concat(F.lit("source-status: "), status, F.lit("\r\n"), listed, F.lit("source-digest: "), F.col("payload_digest"), F.lit("\r\ntitle: "), F.col("title"), F.lit("\r\nlinks: "), links.cast("string"), F.lit("\r\n"))
     both = F.array(
@@ -105,7 +112,7 @@ def serialised(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = 100_000) -> None:
-    """Derivatives as gzipped WARC files below `path`."""
+    """Derivatives as gzipped WARC files below `path`; lower `records_per_file` where records are long, as a file is read whole."""
     serialised(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -113,8 +120,12 @@ HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
 READ = "file string, number long, headers map<string,string>, block string"
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of gzipped or plain WARC files: file, number, headers (a map), block. Each file is one row of its reader."""
+def read_warc(spark: SparkSession, path: str, files: str = "part-*") -> DataFrame:
+    """Records of gzipped or plain WARC files: file, number, headers (a map), block.
+
+    Each file is one row of its reader, so files are limited to 2 GB by Spark; records come out one batch at a time.
+    Bytes that are not UTF-8 are replaced.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import gzip
@@ -122,15 +133,32 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows, at = [], 0
+                rows, at, number = [], 0, 0
                 while head := HEAD.match(data, at):
-                    headers = dict(line.split(": ", 1) for line in head[1].decode("utf-8").split("\r\n"))
+                    headers = {k: v.strip() for k, _, v in (line.partition(":") for line in head[1].decode("utf-8", "replace").split("\r\n"))}
                     end = head.end() + int(headers["Content-Length"])
-                    rows.append((name, len(rows), headers, data[head.end() : end].decode("utf-8", "replace")))
-                    at = end + 4
+                    rows.append((name, number, headers, data[head.end() : end].decode("utf-8", "replace")))
+                    at, number = end + 4, number + 1
+                    if len(rows) == 256:
+                        yield pd.DataFrame(rows, columns=["file", "number", "headers", "block"])
+                        rows = []
                 yield pd.DataFrame(rows, columns=["file", "number", "headers", "block"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInPandas(parse, READ)
+    return spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("path", "content").mapInPandas(parse, READ)
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """The responses among records of `read_warc`, as `derivatives` takes them; page_id is null.
+
+    The block of a response is its HTTP head, an empty line, and the payload; its digest is taken over where it is given.
+    """
+    header = lambda name: F.coalesce(F.col("headers")[name], F.lit(""))
+    cut = F.locate("\r\n\r\n", F.col("block"))
+    head = F.when(cut > 0, F.expr("substring(block, 1, locate('\\r\\n\\r\\n', block) + 1)")).otherwise(F.col("block"))
+    payload = F.when(cut > 0, F.expr("substring(block, locate('\\r\\n\\r\\n', block) + 4)")).otherwise("")
+    digest = F.coalesce(F.col("headers")["WARC-Payload-Digest"], F.concat(F.lit("sha1:"), F.sha1(payload)))
+    own = records.filter(header("WARC-Type") == "response")
+    return own.select(F.lit(None).cast("long").alias("page_id"), header("WARC-Record-ID").alias("record_id"), header("WARC-Target-URI").alias("target_uri"), header("WARC-Date").alias("warc_date"), head.alias("http_headers"), payload.alias("payload"), digest.alias("payload_digest"))
 
 
 def oracle(date: str = DATE) -> str:
@@ -140,8 +168,9 @@ def oracle(date: str = DATE) -> str:
     uuid = lambda h: "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
     text = f"regexp_replace(payload, {q(HIDDEN)}, '', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {q(BREAK)}, chr(10), 'g'), '<[^>]*>', '', 'g')"
+    title = f"regexp_extract(payload, {q(TITLE)}, 1)"
     for reference, char in REFERENCES.items():
-        text = f"replace({text}, {raw(reference)}, {raw(char)})"
+        text, title = (f"replace({x}, {raw(reference)}, {raw(char)})" for x in (text, title))
     text = f"trim(regexp_replace(regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
     end = "chr(13) || chr(10)"
     return f"""
@@ -149,7 +178,7 @@ WITH page AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, ''
 response AS (SELECT *, {uuid("sha256('response|' || target_uri || '|' || sha1(payload))")} AS refers_to, 'sha1:' || sha1(payload) AS source_digest,
   'HTTP/1.1 200 OK' || {end} || 'Content-Type: text/html; charset=utf-8' || {end} || 'Content-Length: ' || strlen(payload) || {end} AS source_headers,
   len(regexp_extract_all(payload, {q(LINK)}))::BIGINT AS n_links,
-  trim(regexp_replace(regexp_extract(payload, {q(TITLE)}, 1), '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') AS title FROM page),
+  trim(regexp_replace({title}, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') AS title FROM page),
 derived AS (
   SELECT page_id, 'metadata' AS warc_type, 'metadata' AS own, 'conversion' AS other, refers_to, target_uri, source_headers, source_digest, n_links, 'application/warc-fields' AS content_type,
     'source-status: 200' || {end} || 'source-Content-Type: text/html; charset=utf-8' || {end} || 'source-Content-Length: ' || strlen(payload) || {end} || 'source-digest: ' || source_digest || {end} || 'title: ' || title || {end} || 'links: ' || n_links || {end} AS block FROM response
