@@ -2,10 +2,10 @@
 
 A fingerprint has 64 bits in 8 bytes. Two fingerprints with at most k differing bits differ in at most k bytes, so
 they share at least 8 - k bytes at their positions: that is the guaranteed minimum of matches. Posting lists of
-single bytes would pair every fingerprint with a 256th of all others, so the index has one posting list for each
-set of 8 - k positions and the bytes there; a pair that meets in any list has reached the minimum, and no pair
-that reaches it is missed. Pairs in a list tally their shared bytes, those below the minimum are dropped, and the
-rest are verified bit by bit.
+single bytes would pair every fingerprint with a 256th of all others, so a list of the index stands for several
+positions and the bytes there, one fewer than the minimum: a pair that reaches the minimum meets in a list, and none
+is missed. Pairs in a list tally their shared bytes, those below the minimum are dropped, and the rest are verified
+bit by bit.
 
 Equal fingerprints are one entry of the index, however many documents have it. Lists are counted with map-side
 aggregation, and only entries of lists with company are shuffled again. Long lists are cut into blocks of at most
@@ -29,6 +29,8 @@ from treequarry.llm.common import checkpointed, small_batches, with_text
 from treequarry.llm.components import connected_components
 
 BYTES = 8
+#: Parts among which the members of a component are dealt when they get its name.
+SALTS = 32
 
 
 def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -62,10 +64,10 @@ def _byte(x: Column, position: int) -> Column:
     return F.shiftrightunsigned(x, 8 * position).bitwiseAND(F.lit(255))
 
 
-def _postings(nodes: DataFrame, shared: int) -> DataFrame:
-    """A row (list, fp) for each set of `shared` byte positions. The list is the set's number and the bytes there."""
+def _postings(nodes: DataFrame, places: int) -> DataFrame:
+    """A row (list, fp) for each set of `places` byte positions. The list is the set's number and the bytes there."""
     keys = []
-    for number, positions in enumerate(combinations(range(BYTES), shared)):
+    for number, positions in enumerate(combinations(range(BYTES), places)):
         mask = sum(255 << (8 * p) for p in positions)
         masked = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
         keys.append(F.struct(F.lit(number).cast("byte").alias("positions"), masked.alias("bytes")))
@@ -99,7 +101,7 @@ def fingerprint_edges(nodes: DataFrame, bits: int = 4, block: int = 1024) -> Dat
     shared = BYTES - bits
     if not 0 < shared < BYTES:
         raise ValueError("the index needs 1 to 7 differing bits")
-    postings = _postings(nodes, shared)
+    postings = _postings(nodes, max(1, shared - 1))
     lists = postings.groupBy("positions", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     lists = checkpointed(lists)
     differ = F.col("a").bitwiseXOR(F.col("b"))
@@ -133,9 +135,12 @@ def fingerprint_components(documents: DataFrame, width: int = 4, seed: int = 42,
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first")).repartition(parts, "fp"))
     roots = connected_components(fingerprint_edges(nodes.select("fp"), bits))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = labelled.join(lowest, "root").select("fp", "component_id")
+    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    # a component can be large, so its lowest doc_id is laid out under several salts, and its members are dealt among them
+    linked = checkpointed(labelled.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))))
+    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    component = linked.join(lowest, ["root", "salt"]).select("fp", "component_id")
+    component = component.unionByName(labelled.filter("root is null").select("fp", F.col("first").alias("component_id")))
     return found.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
