@@ -6,9 +6,11 @@ items too short for one. For each length m there is a shift table over blocks of
 that does selects the patterns of its bucket, keyed by the hash of the pattern's last words, and their words are
 compared directly.
 
-The pattern tables are broadcast in blocks of at most `block_windows` windows, so what a worker holds is bounded
-however large the benchmark is; the documents pass one block after another. Per document only hit words and items
-are kept, never pairs of documents and windows.
+Spark cuts the items into windows and deals pairs of window and item by hash into blocks of about `block_windows`,
+which are broadcast one after another, so what the driver and a worker hold is bounded however large the benchmark or
+an item is. With one block, its findings stand beside the documents at once; with several, each pass leaves only the
+hit stretches and items of texts with hits, by a hash of the text, and these meet the documents at the end. Pairs of
+documents and windows are never kept.
 """
 
 from __future__ import annotations
@@ -102,69 +104,111 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def pattern_blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[Windows]:
-    """The benchmark's windows in blocks, read one partition of items at a time."""
-    block: Windows = {}
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").isNotNull()).toLocalIterator():
-        for w in windows_of(words_of(row["text"]), width):
-            block.setdefault(w, set()).add(row["item_id"] or "")
-        if len(block) >= block_windows:
-            yield block
-            block = {}
-    if block:
-        yield block
+def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """(window, item), each pair once: the words of a window joined by spaces."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([[b" ".join(w).decode() for w in windows_of(words_of(t), width)] for t in texts], dtype=object)
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter(F.col("text").isNotNull())
+    return rows.select("item", F.explode(cut("text")).alias("window")).select("window", "item").distinct()
+
+
+def pattern_blocks(benchmark: DataFrame, width: int, block_windows: int) -> list[DataFrame]:
+    """The windows of a benchmark in blocks; none if it has no window."""
+    table = checkpointed(item_windows(benchmark, width))
+    blocks = -(-table.count() // block_windows)
+    return [table.filter(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def windows_in(block: DataFrame) -> Windows:
+    found: Windows = {}
+    for row in block.toLocalIterator():
+        found.setdefault(tuple(row["window"].encode().split(b" ")), set()).add(row["item"])
+    return found
 
 
 FOUND = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
+COLUMNS = ["n_words", "starts", "ends", "items"]
+#: The last block of windows that this worker has seen, and its matcher.
+_built: list[tuple[Windows, Matcher]] = []
+
+
+def _matcher(windows: Windows) -> Matcher:
+    if not _built or _built[0][0] is not windows:
+        _built[:] = [(windows, Matcher(windows))]
+    return _built[0][1]
 
 
 def search_column(table):
-    """A Pandas UDF of a text and what earlier blocks found in it; `table` is a broadcast block of windows."""
+    """A Pandas UDF of a text: what a broadcast block of windows finds in it."""
 
     @F.pandas_udf(FOUND)
-    def search(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        match = Matcher(table.value)
-        for texts, before in batches:
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        match = _matcher(table.value)
+        for texts in batches:
             rows = []
-            for text, starts, ends, items in zip(texts, before["starts"], before["ends"], before["items"], strict=True):
+            for text in texts:
                 words = words_of(text)
                 spans, own = match(words)
-                if starts is not None:
-                    spans, own = [*spans, *zip(starts, ends, strict=True)], own | set(items)
                 spans = merged(spans)
                 rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(own)))
-            yield pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return search
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 200_000) -> DataFrame:
-    """The documents' rows and columns with a struct `found`: n_words, hit stretches (starts, ends, in words) and item ids.
+def _gathered(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+    """What all blocks found in each text: `found` has a struct for each that found something, or is null."""
+    rows = []
+    for text, blocks in zip(texts, found, strict=True):
+        blocks = list(blocks) if blocks is not None else []
+        spans = merged([x for b in blocks for x in zip(b["starts"], b["ends"], strict=True)])
+        rows.append((len(words_of(text)), [a for a, _ in spans], [b for _, b in spans], sorted({i for b in blocks for i in b["items"]})))
+    return pd.DataFrame(rows, columns=COLUMNS)
 
-    The stretches are disjoint and in order.
-    """
+
+def searched(documents: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 200_000) -> DataFrame:
+    """(row, found): each document row as a struct, and what occurs in it."""
     with_text(documents)
     with_text(benchmark)
     spark = documents.sparkSession
     small_batches(spark)
-    out, number = documents.select(F.struct("*").alias("row"), F.col("text").alias("text"), F.lit(None).cast(FOUND).alias("found")), 0
-    for windows in pattern_blocks(benchmark, width, block_windows):
-        table = spark.sparkContext.broadcast(windows)
+    blocks = pattern_blocks(benchmark, width, block_windows)
+    rows = documents.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    gathered = F.pandas_udf(_gathered, FOUND)
+    if len(blocks) == 1:
+        return rows.select("row", search_column(spark.sparkContext.broadcast(windows_in(blocks[0])))("text").alias("found"))
+    keys = [F.xxhash64(F.lit(k), "text").alias(f"key{k}") for k in (1, 2)]
+    parts = None
+    for block in blocks:
+        table = spark.sparkContext.broadcast(windows_in(block))
+        part = documents.select(*keys, search_column(table)("text").alias("f")).filter(F.size("f.starts") > 0)
+        part = checkpointed(part.dropDuplicates(["key1", "key2"]))
+        table.unpersist()
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return rows.select("row", gathered("text", F.lit(None).cast(f"array<{FOUND}>")).alias("found"))
+    all_found = parts.groupBy("key1", "key2").agg(F.collect_list("f").alias("f"))  # a row a block at most
+    return rows.select("*", *keys).join(all_found, ["key1", "key2"], "left").select("row", gathered("text", "f").alias("found"))
 
-        if number:
-            out = checkpointed(out)
-        out, number = out.withColumn("found", search_column(table)("text", "found")), number + 1
-    if not number:
 
-        @F.pandas_udf("long")
-        def count(texts: pd.Series) -> pd.Series:
-            return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+def hits(documents: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 200_000) -> DataFrame:
+    """The documents' rows and columns with a struct `found`: n_words, hit stretches (starts, ends, in words) and item ids.
 
-        empty = F.array().cast("array<bigint>")
-        out = out.withColumn("found", F.struct(count("text").alias("n_words"), empty.alias("starts"), empty.alias("ends"), F.array().cast("array<string>").alias("items")))
+    The stretches are disjoint and in order. Nulls, repeats and empty tables are as in `contamination`; a text of any
+    length is searched whole, by one worker. An input column named found is replaced.
+    """
+    out = searched(documents, benchmark, width, block_windows)
     return out.select(*[F.col("row")[c].alias(c) for c in documents.columns if c != "found"], "found")
 
 
+def uncontaminated(documents: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 200_000) -> DataFrame:
+    """The documents' rows, with their columns whatever their names, in which no window occurs."""
+    return searched(documents, benchmark, width, block_windows).filter(F.size("found.starts") == 0).select("row.*")
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 200_000) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
