@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from treequarry.operators.graph import DISCLOSE, trace
+from treequarry.operators.graph import BROADCAST_ROWS, DISCLOSE, trace
 
 
 def tiers(edges: DataFrame, located: DataFrame, focus: DataFrame, depth: int = DISCLOSE) -> DataFrame:
     """(file, level, focus_ord): level 3 for the focus files (file, focus_ord), 2 for files of what they call, 1 for
     files within `depth` steps. A file keeps the level at which it was found first, walking the focus files in order,
     each with its callees before its trace. located: name, file."""
-    named = located.join(focus, "file").select("name", "focus_ord")
-    direct = named.join(edges, F.col("name") == F.col("src")).select(F.col("dst").alias("name"), "focus_ord", F.lit(2).cast("long").alias("level"))
-    far = trace(edges, named.select(F.col("name").alias("seed")), depth)[0].select(F.col("seed"), F.col("name").alias("reached"))
-    further = named.join(far, F.col("name") == F.col("seed")).select(F.col("reached").alias("name"), "focus_ord", F.lit(1).cast("long").alias("level"))
-    found = direct.unionByName(further).join(located, "name").filter("file is not null")
+    named = located.join(F.broadcast(focus) if focus.count() <= BROADCAST_ROWS else focus, "file").select(F.col("focus_ord").alias("seed"), "name")
+    # a trace for each focus file, not for each function in it: what they reach within the file has level 3 anyway
+    far = trace(edges, named, depth)[0]
+    level = F.when(F.col("depth") == 1, 2).otherwise(1).cast("long").alias("level")
+    found = far.select("name", F.col("seed").alias("focus_ord"), level).join(located, "name").filter("file is not null")
     first = found.groupBy("file").agg(F.min(F.struct("focus_ord", (-F.col("level")).alias("late"))).alias("first"))
     deps = first.join(focus.select("file"), "file", "left_anti").select("file", (-F.col("first.late")).alias("level"), F.col("first.focus_ord").alias("focus_ord"))
     return focus.select("file", F.lit(3).cast("long").alias("level"), "focus_ord").unionByName(deps)
@@ -31,17 +35,23 @@ def charged(files: DataFrame) -> DataFrame:
 def greedy(items: DataFrame, budget: int, order: list[str], group: list[str]) -> DataFrame:
     """Items (with cost) with taken: in order, each that still fits, going on past those that do not.
 
-    The choice depends on all before it, so a group is folded in order in one row; a group is the plan of one request.
+    The choice depends on all before it, so a plan is one request's, and its items pass through one task in order. They
+    stream: what is kept of a plan is the budget used. A null cost counts as nothing.
     """
-    own = [c for c in items.columns if c not in group]
-    listed = F.array_sort(F.collect_list(F.struct(*order, *[c for c in own if c not in order])))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
-    step = lambda s, x: F.struct(
-        (s["used"] + F.when(s["used"] + x["cost"] <= budget, x["cost"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(s["taken"], F.array(s["used"] + x["cost"] <= budget)).alias("taken")
-    )
-    folded = items.groupBy(*group).agg(listed.alias("l")).select(*group, "l", F.aggregate("l", start, step)["taken"].alias("taken"))
-    pairs = folded.select(*group, F.explode(F.arrays_zip("l", "taken")).alias("p"))
-    return pairs.select(*group, *[F.col("p.l")[c].alias(c) for c in own], F.col("p.taken").alias("taken"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, used = None, 0
+        for batch in batches:
+            taken = []
+            for *key, cost in zip(*(batch.column(c).to_pylist() for c in (*group, "cost")), strict=True):
+                if key != plan:
+                    plan, used = key, 0
+                taken.append(used + (cost or 0) <= budget)
+                used += taken[-1] * (cost or 0)
+            yield batch.append_column("taken", pa.array(taken, pa.bool_()))
+
+    dealt = items.repartition(*group).sortWithinPartitions(*group, *order)
+    return dealt.mapInArrow(fold, StructType([*items.schema.fields, StructField("taken", BooleanType())]))
 
 
 def summary(plan: DataFrame, group: list[str]) -> DataFrame:
@@ -52,5 +62,11 @@ def summary(plan: DataFrame, group: list[str]) -> DataFrame:
 
 
 def ordered_tiers(plan: DataFrame) -> DataFrame:
-    """All of a level before the next, then by focus and file: `ord` from 1."""
-    return plan.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("level"), "focus_ord", "file")).cast("long"))
+    """All of a level before the next, then by focus and file: `ord` from 1.
+
+    Places are counted within each level and focus, after what all groups before hold, so no task ranks the whole plan.
+    """
+    own = Window.partitionBy("level", "focus_ord").orderBy("file")
+    before = Window.orderBy(F.desc("level"), "focus_ord").rowsBetween(Window.unboundedPreceding, -1)  # over a row a group
+    starts = plan.groupBy("level", "focus_ord").agg(F.count("*").alias("n")).select("level", "focus_ord", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return plan.join(starts, ["level", "focus_ord"]).withColumn("ord", (F.col("start") + F.row_number().over(own)).cast("long")).select(*plan.columns, "ord")

@@ -7,12 +7,11 @@ meets what was seen, and each level goes to a reliable checkpoint.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treequarry.functions.names import is_std
+from treequarry.session import shared_root
 
 #: Depths that the commands of the engine use.
 REACHABLE, CALLERS, CONTEXT, DISCLOSE = 100, 10, 2, 5
@@ -24,10 +23,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names; local sessions without one get a temporary folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="treequarry-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -53,26 +49,35 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def trace(edges: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """Breadth-first traces from many seeds at once.
 
-    seeds: a column seed. Returns (seed, name, depth) without the seeds themselves, and (seed, revisits): whether an
-    edge scanned on the way led to something already seen, which is more than a cycle: diamonds and repeated edges
-    count too. Seeds that are on no edge have no rows in the first and false in the second.
+    seeds: a column seed, the function to start from; or seed, a label, and name, the functions that start under it.
+    Returns (seed, name, depth) without the start itself, and (seed, revisits): whether an edge scanned on the way led
+    to something already seen, which is more than a cycle: diamonds and repeated edges count too. Seeds that are on no
+    edge have no rows in the first and false in the second.
+
+    Edges are counted, dealt by source and written once; a level joins them with the frontier and is written in turn.
     """
-    seeds = checkpointed(seeds.select("seed").distinct())
-    frontier = seeds.select("seed", F.col("seed").alias("name"), F.lit(0).cast("long").alias("depth"))
-    size, seen, scanned = seeds.count(), frontier, []
+    named = seeds.select("seed", F.col("name") if "name" in seeds.columns else F.col("seed").alias("name")).distinct()
+    frontier = checkpointed(named.select("seed", "name", F.lit(0).cast("long").alias("depth")))
+    size = total = frontier.count()
+    labels, seen, scanned = frontier.select("seed").distinct(), frontier, []
+    if size and max_depth > 1:
+        edges = checkpointed(edges.groupBy("src", "dst").agg(F.count("*").alias("times")))
+    elif size:
+        edges = edges.select("src", "dst", F.lit(1).cast("long").alias("times"))
     for depth in range(1, max_depth + 1):
         if not size:
             break
-        near = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
-        step = near.join(edges, F.col("name") == F.col("src")).groupBy("seed", F.col("dst").alias("name")).agg(F.count("*").alias("times"))
-        step = checkpointed(step.join(seen.select("seed", "name", F.lit(True).alias("old")), ["seed", "name"], "left"))
+        near, known = (F.broadcast(t) if n <= BROADCAST_ROWS else t for t, n in ((frontier, size), (seen, total)))
+        step = edges.join(near, F.col("src") == F.col("name")).groupBy("seed", F.col("dst").alias("name")).agg(F.sum("times").alias("times"))
+        step = checkpointed(step.join(known.select("seed", "name", F.lit(True).alias("old")), ["seed", "name"], "left"))
         scanned.append(step.groupBy("seed").agg((F.sum("times") > F.count(F.when(F.col("old").isNull(), 1))).alias("again")))
         frontier = step.filter("old is null").select("seed", "name", F.lit(depth).cast("long").alias("depth"))
-        size, seen = frontier.count(), seen.unionByName(frontier)
-    again = scanned[0] if scanned else seeds.select("seed", F.lit(False).alias("again"))
+        size = frontier.count()
+        total, seen = total + size, seen.unionByName(frontier)
+    again = scanned[0] if scanned else labels.select("seed", F.lit(False).alias("again"))
     for more in scanned[1:]:
         again = again.unionByName(more)
-    flags = seeds.join(again.groupBy("seed").agg(F.bool_or("again").alias("again")), "seed", "left").select("seed", F.coalesce("again", F.lit(False)).alias("revisits"))
+    flags = labels.join(again.groupBy("seed").agg(F.bool_or("again").alias("again")), "seed", "left").select("seed", F.coalesce("again", F.lit(False)).alias("revisits"))
     return seen.filter("depth > 0"), flags
 
 
@@ -122,27 +127,34 @@ def context_files(edges: DataFrame, located: DataFrame, start: str, depth: int =
     return reachable_files(edges, located, start, depth).unionByName(own).distinct()
 
 
-def tree_text(levels: DataFrame, flags: DataFrame, forward: bool = True) -> DataFrame:
-    """(seed, text): a trace as a tree, names in order within a level."""
-    last = Window.partitionBy("seed")
-    rows = levels.join(flags, "seed").withColumn("deepest", F.max("depth").over(last))
+def _framed(head: DataFrame, body: DataFrame, flags: DataFrame) -> DataFrame:
+    """(seed, section, depth, name, line): the head, the lines of the levels, and what a trace with revisits ends in."""
+    end = flags.filter("revisits").select("seed", F.lit(3).cast("long").alias("section"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("name"), F.explode(F.array(F.lit(""), F.lit("(cycle detected - trace may be incomplete)"))).alias("line"))
+    return head.unionByName(body).unionByName(end)
+
+
+def tree_lines(levels: DataFrame, flags: DataFrame, forward: bool = True) -> DataFrame:
+    """(seed, section, depth, name, line): a trace as a tree, a row for each line; in order of section, depth and name.
+
+    Branches of the deepest level are last ones, where the trace came to an end.
+    """
+    deepest = levels.groupBy("seed").agg(F.max("depth").alias("deepest")).join(flags, "seed")
+    rows = levels.join(deepest, "seed")
     mark = F.when((F.col("depth") == F.col("deepest")) & ~F.col("revisits"), "└──").otherwise("├──")
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), mark, F.lit(" "), "name", F.lit("\n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "name", line.alias("line")))), lambda x: x["line"]), "")
-    shown = rows.groupBy("seed").agg(text.alias("body"))
-    verb = "calls" if forward else "is called by"
-    end = F.when(F.col("revisits"), "\n(cycle detected - trace may be incomplete)\n").otherwise("")
-    return flags.join(shown, "seed", "left").select("seed", F.concat("seed", F.lit(f" {verb}:\n"), F.coalesce("body", F.lit("")), end).alias("text"))
-
-
-def list_text(levels: DataFrame, flags: DataFrame, forward: bool = True) -> DataFrame:
-    """(seed, text): a trace as a list by depth."""
-    by_level = levels.groupBy("seed", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list("name")), lambda n: F.concat(F.lit("  - "), n, F.lit("\n"))), "").alias("names"))
-    part = F.concat(F.lit("\n[Depth "), F.col("depth").cast("string"), F.lit("]\n"), "names")
-    shown = by_level.groupBy("seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", part.alias("part")))), lambda x: x["part"]), "").alias("body"))
-    head = F.concat(F.lit("Called: " if forward else "Called by: "), "seed", F.lit("\n" + "=" * 40 + "\n"))
-    end = F.when(F.col("revisits"), "\n(cycle detected - trace may be incomplete)\n").otherwise("")
-    return flags.join(shown, "seed", "left").select("seed", F.concat(head, F.coalesce("body", F.lit("")), end).alias("text"))
+    body = rows.select("seed", F.lit(2).cast("long").alias("section"), "depth", "name", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), mark, F.lit(" "), "name").alias("line"))
+    none = [F.lit(1).cast("long").alias("section"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("name")]
+    head = flags.select("seed", *none, F.concat("seed", F.lit(" calls:" if forward else " is called by:")).alias("line"))
+    return _framed(head, body, flags)
+
+
+def list_lines(levels: DataFrame, flags: DataFrame, forward: bool = True) -> DataFrame:
+    """(seed, section, depth, name, line): a trace as a list by depth, a row for each line; a level's own line has no name
+    and comes first."""
+    body = levels.select("seed", F.lit(2).cast("long").alias("section"), "depth", "name", F.concat(F.lit("  - "), "name").alias("line"))
+    tops = levels.select("seed", "depth").distinct().select("seed", F.lit(2).cast("long").alias("section"), "depth", F.lit(None).cast("string").alias("name"), F.concat(F.lit("[Depth "), F.col("depth").cast("string"), F.lit("]")).alias("line"))
+    none = [F.lit(1).cast("long").alias("section"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("name")]
+    head = flags.select("seed", *none, F.concat(F.lit("Called: " if forward else "Called by: "), "seed").alias("line"))
+    return _framed(head, body.unionByName(tops), flags)
 
 
 def dot_lines(edges: DataFrame) -> DataFrame:

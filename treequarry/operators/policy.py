@@ -1,8 +1,8 @@
 """What is hidden: ordered lists of patterns with line ranges, the markers that stand for hidden lines, restoring.
 
 Policies: list (black or white), ord, kind (file, dir, regex), pattern, ranges (an array of (s, e), null for all lines).
-Patterns meet each distinct path once; literal ones by an equi join, the others by a join with a broadcast of the few
-entries that are left.
+Patterns meet each distinct path once; files and folders by an equi join (a path has few folders), regular expressions
+by a join with a broadcast of at most so many of them at a time.
 """
 
 from __future__ import annotations
@@ -10,36 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Policies are written by hand; a longer list is joined without a hint.
-BROADCAST_ENTRIES = 10_000
+from treequarry.operators.graph import checkpointed
+
+#: Regular expressions of a broadcast; rows of paths with the entries that fit them, up to which these are broadcast.
+BROADCAST_ENTRIES, BROADCAST_ROWS = 1000, 100_000
 POLICY = "list string, ord long, kind string, pattern string, ranges array<struct<s:long,e:long>>"
 
 
 def matches(paths: DataFrame, policy: DataFrame) -> DataFrame:
     """(path, list, ord, ranges) for each entry that fits a path; a directory's pattern ends in a slash."""
     p = paths.select("path").distinct()
-    literal = p.join(policy.filter("kind = 'file'"), F.col("path") == F.col("pattern"))
-    rest = policy.filter("kind <> 'file'")
-    if rest.count() <= BROADCAST_ENTRIES:
-        rest = F.broadcast(rest)
-    fits = F.when(F.col("kind") == "dir", F.startswith("path", F.col("pattern"))).otherwise(F.expr("path rlike pattern"))
-    other = p.join(rest, fits)
     own = ["path", "list", "ord", "ranges"]
-    return literal.select(*own).unionByName(other.select(*own))
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
+    places = F.when(F.size(parts) > 1, F.concat(F.array("path"), folders)).otherwise(F.array("path"))
+    out = p.select("path", F.explode(places).alias("pattern")).join(policy.filter("kind in ('file', 'dir')"), "pattern").filter("(kind = 'dir') = endswith(pattern, '/')").select(*own)
+    regex = policy.filter("kind = 'regex'")
+    numbered = regex.withColumn("block", F.floor(F.col("ord") / BROADCAST_ENTRIES))
+    for block in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
+        some = numbered.filter(F.col("block") == block)
+        out = out.unionByName(p.join(F.broadcast(some), F.expr("path rlike pattern")).select(*own))
+    return out
 
 
-def hidden_lines(lines: DataFrame, policy: DataFrame, whitelist: bool) -> DataFrame:
-    """Lines (path, line_no) with hidden.
+def hidden_lines(lines: DataFrame, policy: DataFrame, whitelist: bool, files: DataFrame | None = None) -> DataFrame:
+    """Lines (path, line_no) with hidden. `files` (path) spares a pass over the lines where it is known.
 
     Without a whitelist, the first blacklist entry that fits the path decides, even where its ranges miss the line.
     With one, any blacklist entry that covers the line hides it; else the first whitelist entry that fits decides;
     else it is hidden.
     """
-    lists = matches(lines, policy).groupBy("path").agg(
+    lists = matches(files if files is not None else lines, policy).groupBy("path").agg(
         F.array_sort(F.collect_list(F.when(F.col("list") == "black", F.struct("ord", "ranges")))).alias("black"),
         F.array_sort(F.collect_list(F.when(F.col("list") == "white", F.struct("ord", "ranges")))).alias("white"),
     )
-    rows = lines.select("path", "line_no").join(lists, "path", "left")
+    lists = checkpointed(lists)
+    rows = lines.select("path", "line_no").join(F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists, "path", "left")
     covers = lambda x: x["ranges"].isNull() | F.exists(x["ranges"], lambda r: F.col("line_no").between(r["s"], r["e"]))
     first = lambda c: F.when(F.size(c) > 0, covers(F.element_at(c, 1)))
     if whitelist:

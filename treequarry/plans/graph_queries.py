@@ -36,6 +36,13 @@ def walk(start: str, depth: int, edges: str = "fx_edges", back: bool = False) ->
     )
 
 
+def reach(start: str, back: bool = False) -> str:
+    """Recursive SQL: (seed, name) of all nodes that the rows of `start` reach, themselves included. The graph is so narrow
+    that this is the same as within the depths of `graph.REACHABLE` and `graph.CALLERS`."""
+    a, b = ("dst", "src") if back else ("src", "dst")
+    return f"once AS (SELECT DISTINCT {a} AS a, {b} AS b FROM fx_edges), seeds AS ({start}), level(seed, name) AS (SELECT seed, seed FROM seeds UNION SELECT r.seed, e.b FROM level r JOIN once e ON r.name = e.a)"
+
+
 def one(*names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in names) + ") AS v(seed)"
 
@@ -70,23 +77,28 @@ def g5_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.stats(S.edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {walk(one('C5'), 3)}, {LOCATED} SELECT DISTINCT file FROM level JOIN located USING (name) WHERE depth > 0")
+@query(f"WITH RECURSIVE {reach(one('C5'))}, {LOCATED} SELECT DISTINCT file FROM level JOIN located USING (name) WHERE name <> seed")
 def g6_reachable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = S.edges(spark, sf_dir)
-    return graph.reachable_files(edges, located(edges), "C5", 3)
+    return graph.reachable_files(edges, located(edges), "C5")
 
 
-@query(f"WITH RECURSIVE {walk(one('C5'), 3)}, {LOCATED} SELECT DISTINCT file FROM located WHERE file NOT IN (SELECT file FROM level JOIN located USING (name) WHERE depth > 0)")
+@query(f"WITH RECURSIVE {reach(one('C5'))}, {LOCATED} SELECT DISTINCT file FROM located WHERE file NOT IN (SELECT file FROM level JOIN located USING (name) WHERE name <> seed)")
 def j8_unreachable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = S.edges(spark, sf_dir)
-    return graph.unreachable_files(edges, located(edges), "C5", 3)
+    return graph.unreachable_files(edges, located(edges), "C5")
 
 
-@query(f"WITH RECURSIVE {walk(one('S3'), 10, edges='(SELECT * FROM fx_edges WHERE src[1] <> ' + chr(39) + 'S' + chr(39) + ')', back=True)}, {LOCATED} SELECT DISTINCT file FROM level JOIN located USING (name) WHERE depth > 0")
+@query(f"WITH RECURSIVE {reach(one('S3'), back=True)}, {LOCATED} SELECT DISTINCT file FROM level JOIN located USING (name) WHERE name <> seed")
 def g7_callers_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = S.edges(spark, sf_dir)
-    acyclic = edges.filter(F.substring("src", 1, 1) != "S")
-    return graph.reachable_files(graph.reversed_edges(acyclic), located(edges), "S3", graph.CALLERS)
+    return graph.reachable_files(graph.reversed_edges(edges), located(edges), "S3", graph.CALLERS)
+
+
+@query(f"WITH RECURSIVE {reach(one('O7'))}, {LOCATED} SELECT DISTINCT file FROM level JOIN located USING (name) WHERE name <> seed")
+def g7_callees_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = S.edges(spark, sf_dir)
+    return graph.reachable_files(edges, located(edges), "O7", graph.CALLERS)
 
 
 @query(f"WITH RECURSIVE {walk(one('N4'), 2)}, {LOCATED} SELECT DISTINCT file FROM level JOIN located USING (name)")
@@ -142,23 +154,25 @@ def f11_std_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).withColumn("std", is_std(F.col("name")))
 
 
+_again = "SELECT seed, 3, NULL, NULL, unnest(['', '(cycle detected - trace may be incomplete)']) FROM flag WHERE again"
 _tree = f"{walk(one('R3', 'S5'), 2)}, flag AS (SELECT seed, coalesce((SELECT count(*) FROM level l JOIN fx_edges ON l.name = src WHERE l.depth < 2 AND l.seed = seeds.seed), 0) > (SELECT count(*) FROM level l WHERE l.seed = seeds.seed AND depth > 0) AS again FROM seeds)"
 
 
 @query(
-    f"WITH RECURSIVE {_tree} SELECT seed, seed || ' calls:' || chr(10) || string_agg(repeat('  ', depth::INT) || CASE WHEN depth = deepest AND NOT again THEN '└──' ELSE '├──' END || ' ' || name || chr(10), '' ORDER BY depth, name) || CASE WHEN any_value(again) THEN chr(10) || '(cycle detected - trace may be incomplete)' || chr(10) ELSE '' END AS text "
-    "FROM (SELECT *, max(depth) OVER (PARTITION BY seed) AS deepest FROM level JOIN flag USING (seed) WHERE depth > 0) GROUP BY seed"
+    f"WITH RECURSIVE {_tree} SELECT seed, 1::BIGINT AS section, NULL::BIGINT AS depth, NULL::VARCHAR AS name, seed || ' calls:' AS line FROM seeds UNION ALL "
+    "SELECT seed, 2, depth, name, repeat('  ', depth::INT) || CASE WHEN depth = deepest AND NOT again THEN '└──' ELSE '├──' END || ' ' || name FROM (SELECT *, max(depth) OVER (PARTITION BY seed) AS deepest FROM level JOIN flag USING (seed) WHERE depth > 0) "
+    f"UNION ALL {_again}"
 )
 def x1_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.tree_text(*graph.trace(S.edges(spark, sf_dir), seeds(spark, "R3", "S5"), 2))
+    return graph.tree_lines(*graph.trace(S.edges(spark, sf_dir), seeds(spark, "R3", "S5"), 2))
 
 
 @query(
-    f"WITH RECURSIVE {_tree}, part AS (SELECT seed, depth, chr(10) || '[Depth ' || depth || ']' || chr(10) || string_agg('  - ' || name || chr(10), '' ORDER BY name) AS part FROM level WHERE depth > 0 GROUP BY seed, depth) "
-    "SELECT seed, 'Called: ' || seed || chr(10) || repeat('=', 40) || chr(10) || string_agg(part, '' ORDER BY depth) || CASE WHEN any_value(again) THEN chr(10) || '(cycle detected - trace may be incomplete)' || chr(10) ELSE '' END AS text FROM part JOIN flag USING (seed) GROUP BY seed"
+    f"WITH RECURSIVE {_tree} SELECT seed, 1::BIGINT AS section, NULL::BIGINT AS depth, NULL::VARCHAR AS name, 'Called: ' || seed AS line FROM seeds UNION ALL SELECT DISTINCT seed, 2, depth, NULL, '[Depth ' || depth || ']' FROM level WHERE depth > 0 "
+    f"UNION ALL SELECT seed, 2, depth, name, '  - ' || name FROM level WHERE depth > 0 UNION ALL {_again}"
 )
 def x2_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.list_text(*graph.trace(S.edges(spark, sf_dir), seeds(spark, "R3", "S5"), 2))
+    return graph.list_lines(*graph.trace(S.edges(spark, sf_dir), seeds(spark, "R3", "S5"), 2))
 
 
 @query("""SELECT 0::BIGINT AS section, '    "' || name || '" [label="' || name || '"];' AS line FROM (SELECT src AS name FROM fx_edges UNION SELECT dst FROM fx_edges) UNION ALL SELECT 1, '    "' || src || '" -> "' || dst || '";' FROM fx_edges""")
@@ -214,7 +228,7 @@ def j1_symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.look_up(wanted, s)
 
 
-@query("SELECT name, count(*) AS n_entries, string_agg(file || ':' || line_start, ',' ORDER BY file, line_start) AS entries FROM fx_symbols GROUP BY name")
+@query("SELECT name, count(*) OVER (PARTITION BY name) AS n_entries, file, line_start FROM fx_symbols")
 def a10_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.inverted_index(S.symbols(spark, sf_dir))
 
@@ -226,20 +240,20 @@ def a2_counts_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n_symbols, count(DISTINCT file) AS n_files, count(DISTINCT name) AS n_names FROM fx_symbols")
 def a3_symbol_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.symbols(spark, sf_dir).agg(F.count("*").alias("n_symbols"), F.count_distinct("file").alias("n_files"), F.count_distinct("name").alias("n_names"))
+    return symbols.totals(S.symbols(spark, sf_dir))
 
 
-@query("SELECT file, line_start, line_end, lag(line_end) OVER w AS prev_end, coalesce(line_start > lag(line_end) OVER w + 1, false) AS gap FROM fx_symbols WHERE kind = 'Function' AND ordinal % 2 = 0 WINDOW w AS (PARTITION BY file ORDER BY line_start, line_end)")
+@query("SELECT file, line_start, line_end, lag(line_end) OVER w AS prev_end, coalesce(line_start > lag(line_end) OVER w + 1, false) AS gap FROM fx_symbols WHERE kind = 'Function' WINDOW w AS (PARTITION BY file ORDER BY line_start, line_end)")
 def w6_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.gaps(S.symbols(spark, sf_dir).filter("kind = 'Function' and ordinal % 2 = 0"))
+    return symbols.gaps(S.symbols(spark, sf_dir).filter("kind = 'Function'"))
 
 
 @query(
-    "WITH r AS (SELECT file, line_start + 1 AS s, line_start + 2 AS e FROM fx_symbols WHERE ordinal % 3 = 1) SELECT file, s, e, coalesce(arg_min(line_start, (line_end - line_start, line_start, line_end)), s) AS from_line, coalesce(arg_min(line_end, (line_end - line_start, line_start, line_end)), e) AS to_line FROM (SELECT DISTINCT r.*, x.line_start, x.line_end FROM r LEFT JOIN fx_symbols x ON r.file = x.file AND x.line_start <= s AND e <= x.line_end) GROUP BY file, s, e"
+    "WITH r AS (SELECT file, line_start + 1 AS s, line_start + 2 AS e FROM fx_symbols) SELECT file, s, e, coalesce(arg_min(line_start, (line_end - line_start, line_start, line_end)), s) AS from_line, coalesce(arg_min(line_end, (line_end - line_start, line_start, line_end)), e) AS to_line FROM (SELECT DISTINCT r.*, x.line_start, x.line_end FROM r LEFT JOIN fx_symbols x ON r.file = x.file AND x.line_start <= s AND e <= x.line_end) GROUP BY file, s, e"
 )
 def m11_symbol_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.symbols(spark, sf_dir)
-    return symbols.aligned(s.filter("ordinal % 3 = 1").select("file", (F.col("line_start") + 1).alias("s"), (F.col("line_start") + 2).alias("e")), s)
+    return symbols.aligned(s.select("file", (F.col("line_start") + 1).alias("s"), (F.col("line_start") + 2).alias("e")), s)
 
 
 @query(
@@ -359,7 +373,8 @@ def a1_group_entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FOCUS = ["f/C7.py", "f/N2.py"]
 _tiers = f"""{LOCATED}, focus(file, focus_ord) AS (VALUES ('f/C7.py', 1::BIGINT), ('f/N2.py', 2::BIGINT)), named AS (SELECT name, focus_ord FROM located JOIN focus USING (file)),
- {walk('SELECT DISTINCT name AS seed FROM named', 2)}, found AS (SELECT n.focus_ord, 2::BIGINT AS level, dst AS name FROM named n JOIN fx_edges ON n.name = src UNION ALL SELECT n.focus_ord, 1, l.name FROM named n JOIN level l ON l.seed = n.name WHERE depth > 0),
+ once AS (SELECT DISTINCT src AS a, dst AS b FROM fx_edges), walk(focus_ord, name, depth) AS (SELECT focus_ord, name, 0 FROM named UNION SELECT w.focus_ord, b, w.depth + 1 FROM walk w JOIN once ON w.name = a WHERE w.depth < 5),
+ found AS (SELECT focus_ord, name, CASE WHEN min(depth) = 1 THEN 2::BIGINT ELSE 1 END AS level FROM walk GROUP BY focus_ord, name HAVING min(depth) > 0),
  tier AS (SELECT file, 3::BIGINT AS level, focus_ord FROM focus UNION ALL SELECT file, -arg_min(-level, (focus_ord, -level)) AS level, min(focus_ord) FROM found JOIN located USING (name) WHERE file NOT IN (SELECT file FROM focus) GROUP BY file),
  cost AS (SELECT *, tokens * CASE level WHEN 3 THEN 100 WHEN 2 THEN 60 ELSE 20 END // 100 AS cost FROM (SELECT *, strlen(file) * 13 % 97 AS tokens FROM tier))"""
 
@@ -367,7 +382,7 @@ _tiers = f"""{LOCATED}, focus(file, focus_ord) AS (VALUES ('f/C7.py', 1::BIGINT)
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = S.edges(spark, sf_dir)
     focus = spark.createDataFrame([(f, i + 1) for i, f in enumerate(FOCUS)], "file string, focus_ord long")
-    tiers = budget.tiers(edges, located(edges), focus, depth=2)
+    tiers = budget.tiers(edges, located(edges), focus)
     return budget.charged(tiers.withColumn("tokens", (F.octet_length("file") * 13 % 97).cast("long")))
 
 
@@ -376,6 +391,12 @@ def a12_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)
 
 
+@query(f"WITH RECURSIVE {_tiers} SELECT file, level, focus_ord, row_number() OVER (ORDER BY level DESC, focus_ord, file) AS ord FROM cost")
+def u3_ordered_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of a level before the next."""
+    return budget.ordered_tiers(_plan(spark, sf_dir)).select("file", "level", "focus_ord", "ord")
+
+
 _fold = """numbered AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY ord) AS i FROM items),
  fold(plan, i, used, dropped, taken) AS (SELECT plan, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BOOLEAN FROM (SELECT DISTINCT plan FROM numbered) UNION ALL
  SELECT f.plan, n.i, f.used + CASE WHEN f.used + n.cost <= {budget} THEN n.cost ELSE 0 END, f.dropped + CASE WHEN f.used + n.cost <= {budget} THEN 0 ELSE n.cost END, f.used + n.cost <= {budget} FROM fold f JOIN numbered n ON n.plan = f.plan AND n.i = f.i + 1)"""
