@@ -1,16 +1,18 @@
-"""Unified diffs: parsing, applying and reversing, one file's hunks together."""
+"""Unified diffs as tables of lines: parsing, applying, reversing, and a queue from which patches can be taken back.
 
-from __future__ import annotations
+A hunk's lines are told from file heads by the counts in its head, which running sums follow. Hunks that fit change
+lines of the file as it was, so applying is a join of old lines with the file's, and an order of what stays and what
+is new; no file is folded hunk by hunk.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treequarry.operators.graph import checkpointed
+
 HEAD = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
-LINES = "patch_id long, file string, new_file string, hunk_no long, line_no long, old_start long, op string, text string"
 
 
 def hunk_offsets(hunks: DataFrame) -> DataFrame:
@@ -26,86 +28,148 @@ def hunk_heads(heads: DataFrame, keys: list[str]) -> DataFrame:
     return heads.filter(F.col("head").rlike(HEAD)).select(*keys, number(1).alias("old_start"), count(2).alias("old_count"), number(3).alias("new_start"), count(4).alias("new_count"))
 
 
-def clean_path(path: str) -> str:
-    """Without quotes, a/ or b/ in front, and what follows a tab."""
-    path = path.split("\t")[0].strip().strip('"')
-    return path[2:] if path[:2] in ("a/", "b/") else path
+def clean_path(path: Column) -> Column:
+    """Without what follows a tab, quotes, and a/ or b/ in front."""
+    plain = F.btrim(F.btrim(F.substring_index(path, "\t", 1)), F.lit('"'))
+    return F.regexp_replace(plain, "^[ab]/", "")
+
+
+def patch_format(text: Column) -> Column:
+    """git, unified, or null for what is neither."""
+    return F.when(text.rlike(r"(?m)^diff --git "), "git").when(text.rlike(r"(?m)^--- ") & text.rlike(r"(?m)^\+\+\+ "), "unified")
 
 
 def parse(patches: DataFrame) -> DataFrame:
-    """Patches (patch_id, text) to their lines: file and new_file (/dev/null where one is missing), hunk, op (space, -, + or \\), text."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for patch_id, text in zip(batch["patch_id"], batch["text"], strict=True):
-                file, new, hunk, number, start, left = "", "", 0, 0, 0, (0, 0)
-                for line in (text or "").split("\n"):
-                    if left > (0, 0) and line[:1] in (" ", "-", "+", "\\", ""):
-                        if line[:1] == "\\":
-                            out.append((patch_id, file, new, hunk, number, start, "\\", ""))
-                            continue
-                        op = line[:1] or " "
-                        number += 1
-                        out.append((patch_id, file, new, hunk, number, start, op, line[1:]))
-                        left = (left[0] - (op != "+"), left[1] - (op != "-"))
-                    elif line.startswith("\\") and hunk:
-                        out.append((patch_id, file, new, hunk, number, start, "\\", ""))
-                    elif line.startswith("--- "):
-                        file, hunk = clean_path(line[4:]), 0
-                    elif line.startswith("+++ "):
-                        new = clean_path(line[4:])
-                    elif head := re.match(HEAD, line):
-                        hunk, number, start = hunk + 1, 0, int(head[1])
-                        left = (int(head[2] or 1), int(head[4] or 1))
-            yield pd.DataFrame(out, columns=["patch_id", "file", "new_file", "hunk_no", "line_no", "old_start", "op", "text"])
-
-    return patches.select("patch_id", "text").mapInPandas(rows, LINES)
+    """Patches (patch_id, text) to their lines: patch_id, file and new_file (/dev/null where one is missing), hunk_no (in the
+    file, from 1), line_no (in the hunk, from 1), old_start, op (space, -, + or \\), text.
+
+    A null text has no lines. Heads of files count as such only outside of hunks.
+    """
+    order = Window.partitionBy("patch_id").orderBy("n")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("patch_id", "part").orderBy("n")
+    count = lambda i: F.coalesce(F.regexp_extract("line", HEAD, i).try_cast("long"), F.lit(1).cast("long"))
+    is_head = F.col("line").rlike(HEAD)
+    rows = patches.select("patch_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("part", F.sum(F.when(is_head, 1).otherwise(0)).over(order))
+    op = F.when(F.col("line") == "", " ").otherwise(F.substring("line", 1, 1))
+    rows = rows.withColumn("head", is_head).withColumn("op", op)
+    # of each part: its head's numbers, and how many old and new lines stand before a line
+    number = lambda c: F.first(F.when(F.col("head"), c), True).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("old_start", number(F.regexp_extract("line", HEAD, 1).try_cast("long"))).withColumn("olds", number(count(2))).withColumn("news", number(count(4)))
+    so_far = lambda ops: F.coalesce(F.sum(F.when(~F.col("head") & F.col("op").isin(*ops), 1).otherwise(0)).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = (so_far(" -") < F.col("olds")) | (so_far(" +") < F.col("news"))
+    rows = rows.withColumn("body", (F.col("part") > 0) & ~F.col("head") & ((left & F.col("op").isin(*" -+")) | (F.col("op") == "\\")))
+    outside = ~F.col("body") & ~F.col("head")
+    named = lambda mark: F.last(F.when(outside & F.col("line").startswith(mark), clean_path(F.substring("line", 5, 1 << 30))), True).over(before)
+    rows = rows.withColumn("file", named("--- ")).withColumn("new_file", named("+++ ")).withColumn("file_no", F.coalesce(F.sum(F.when(outside & F.col("line").startswith("--- "), 1).otherwise(0)).over(before), F.lit(0)))
+    in_file = Window.partitionBy("patch_id", "file_no").orderBy("n")
+    rows = rows.withColumn("hunk_no", F.sum(F.when(F.col("head"), 1).otherwise(0)).over(in_file)).filter("body")
+    number_in = F.row_number().over(Window.partitionBy("patch_id", "part").orderBy("n"))
+    text = F.when(F.col("op") == "\\", "").otherwise(F.substring("line", 2, 1 << 30))
+    return rows.select("patch_id", "file", "new_file", F.col("hunk_no").cast("long").alias("hunk_no"), number_in.cast("long").alias("line_no"), "old_start", "op", text.alias("text"))
 
 
 def reverse(lines: DataFrame) -> DataFrame:
     """Patch lines with additions and deletions changed about, as the patch that undoes them: starts are the new ones."""
     delta = F.when(F.col("op") == "+", 1).when(F.col("op") == "-", -1).otherwise(0)
-    before = lines.groupBy("patch_id", "file", "new_file", "hunk_no").agg(F.sum(delta).alias("n"), F.first("old_start").alias("old_start"))
-    order = Window.partitionBy("patch_id", "file", "new_file").orderBy("hunk_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = before.select("patch_id", "file", "new_file", "hunk_no", (F.col("old_start") + F.coalesce(F.sum("n").over(order), F.lit(0))).alias("old_start"))
-    turned = lines.drop("old_start").join(starts, ["patch_id", "file", "new_file", "hunk_no"])
+    key = ["patch_id", "file", "new_file"]
+    whole = lambda op: F.count(F.when(F.col("op").isin(*op), 1))
+    before = lines.groupBy(*key, "hunk_no").agg(F.sum(delta).alias("n"), F.first("old_start").alias("old_start"), whole(" -").alias("olds"), whole(" +").alias("news"))
+    order = Window.partitionBy(*key).orderBy("hunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    # a side without lines counts from the line before it
+    start = F.col("old_start") + F.coalesce(F.sum("n").over(order), F.lit(0)) + F.when(F.col("olds") == 0, 1).otherwise(0) - F.when(F.col("news") == 0, 1).otherwise(0)
+    turned = lines.drop("old_start").join(before.select(*key, "hunk_no", start.alias("old_start")), [*key, "hunk_no"])
     return turned.select("patch_id", F.col("new_file").alias("file"), F.col("file").alias("new_file"), "hunk_no", "line_no", "old_start", F.translate("op", "+-", "-+").alias("op"), "text")
 
 
-def apply_hunks(lines: list[str], hunks: list[list[tuple[int, str, str]]]) -> list[str] | None:
-    """A file's lines after hunks of (old_start, op, text); None where context or deleted lines are not what is there."""
-    out, shift = list(lines), 0
-    for hunk in hunks:
-        start = hunk[0][0]
-        old = [t for _, op, t in hunk if op in " -"]
-        new = [t for _, op, t in hunk if op in " +"]
-        at = max(0, start - 1 + shift) if old else max(0, start + shift)
-        if out[at : at + len(old)] != old:
-            return None
-        out[at : at + len(old)] = new
-        shift += len(new) - len(old)
-    return out
-
-
 def apply(files: DataFrame, patch_lines: DataFrame) -> DataFrame:
     """path, content, status of the files (path, content) that one patch's lines change: applied, created, deleted or mismatch.
 
-    A file's hunks and content meet in one task; files are spread over the cluster.
+    Context and deleted lines must be what the file has at their places, and hunks of a file in order, or nothing of
+    the file changes. A mark of a missing line end decides how the file ends; without one it ends as before, and a new
+    file with a line end.
     """
-
-    def change(key: tuple, file: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        if not len(lines):
-            return pd.DataFrame(columns=["path", "content", "status"], dtype=object)
-        text = file["content"].iloc[0] if len(file) else ""
-        lines = lines[lines["op"] != "\\"].sort_values(["hunk_no", "line_no"])
-        hunks = [list(zip(h["old_start"], h["op"], h["text"], strict=True)) for _, h in lines.groupby("hunk_no", sort=True)]
-        body = text[:-1] if text.endswith("\n") else text
-        done = apply_hunks(body.split("\n") if body else [], hunks)
-        gone, new = (lines["new_file"] == "/dev/null").any(), (lines["file"] == "/dev/null").any()
-        status = "mismatch" if done is None else "deleted" if gone else "created" if new else "applied"
-        content = text if done is None else "\n".join(done) + ("\n" if text.endswith("\n") and done else "")
-        return pd.DataFrame({"path": [key[0]], "content": [None if status == "deleted" else content], "status": [status]})
-
-    target = patch_lines.withColumn("path", F.when(F.col("file") == "/dev/null", F.col("new_file")).otherwise(F.col("file")))
-    return files.select("path", "content").groupBy("path").cogroup(target.groupBy("path")).applyInPandas(change, "path string, content string, status string")
+    lines = checkpointed(patch_lines.withColumn("path", F.when(F.col("file") == "/dev/null", F.col("new_file")).otherwise(F.col("file"))))
+    hunk = Window.partitionBy("path", "hunk_no").orderBy("line_no")
+    olds = lambda upto: F.coalesce(F.sum(F.when(F.col("op").isin(*" -"), 1).otherwise(0)).over(hunk.rowsBetween(Window.unboundedPreceding, upto)), F.lit(0))
+    whole = F.sum(F.when(F.col("op").isin(*" -"), 1).otherwise(0)).over(Window.partitionBy("path", "hunk_no"))
+    # the line of the file that an old line is, or after which a new one comes
+    first = F.greatest(F.col("old_start") - F.when(whole == 0, 0).otherwise(1), F.lit(0))
+    placed = lines.withColumn("at", (first + olds(0)).cast("long")).withColumn("last", F.lag("op").over(hunk))
+    body = F.when(F.endswith("content", F.lit("\n")), F.expr("left(content, char_length(content) - 1)")).otherwise(F.col("content"))
+    touched = files.join(placed.select("path").distinct(), "path", "left_semi").select("path", "content", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n")).alias("parts"))
+    there = touched.select("path", F.posexplode("parts").alias("at", "now")).withColumn("at", (F.col("at") + 1).cast("long"))
+    want = placed.filter(F.col("op").isin(*" -")).select("path", "at", "op", "text", "hunk_no")
+    met = want.join(there, ["path", "at"], "left")
+    # twice the place of an old line, and one more for new lines after it
+    spot = 2 * F.col("at") + F.when(F.col("op") == "+", 1).otherwise(0)
+    spans = placed.groupBy("path", "hunk_no").agg(F.min(spot).alias("low"), F.max(spot).alias("high"))
+    reached = F.lag("high").over(Window.partitionBy("path").orderBy("hunk_no"))
+    early = (F.col("low") < reached) | ((F.col("low") == reached) & (F.col("low") % 2 == 0))
+    late = spans.withColumn("late", F.coalesce(early, F.lit(False))).groupBy("path").agg(F.bool_or("late").alias("late"))
+    wrong = met.groupBy("path").agg(F.bool_or(F.col("now").isNull() | (F.col("now") != F.col("text"))).alias("wrong"))
+    gone = met.filter("op = '-'").select("path", "at").distinct()
+    stays = there.join(gone, ["path", "at"], "left_anti").select("path", "at", F.lit(0).cast("long").alias("hunk_no"), F.lit(0).cast("long").alias("line_no"), F.col("now").alias("text"))
+    new = placed.filter("op = '+'").select("path", "at", "hunk_no", "line_no", "text")
+    listed = F.array_sort(F.collect_list(F.struct("at", "hunk_no", "line_no", "text")))
+    joined = stays.unionByName(new).groupBy("path").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("joined"), F.count("*").alias("n"))
+    marked = lambda ops: F.coalesce(F.bool_or((F.col("op") == "\\") & F.col("last").isin(*ops)), F.lit(False))
+    facts = placed.groupBy("path").agg((F.max("new_file") == "/dev/null").alias("deleted"), (F.max("file") == "/dev/null").alias("created"), marked(" +").alias("open"), marked("-").alias("closed"))
+    out = facts.join(touched.select("path", "content"), "path", "left").join(late, "path", "left").join(wrong, "path", "left").join(joined, "path", "left")
+    bad = F.coalesce("wrong", F.lit(False)) | F.coalesce("late", F.lit(False)) | (F.col("content").isNull() & ~F.col("created"))
+    status = F.when(bad, "mismatch").when(F.col("deleted"), "deleted").when(F.col("created"), "created").otherwise("applied")
+    ends = F.when(F.col("open"), "").when(F.col("closed") | F.col("created") | F.endswith("content", F.lit("\n")), "\n").otherwise("")
+    content = F.when(F.col("status") == "mismatch", F.col("content")).when(F.col("status") != "deleted", F.when(F.coalesce("n", F.lit(0)) > 0, F.concat("joined", ends)).otherwise(""))
+    return out.withColumn("status", status).select("path", content.alias("content"), "status")
+
+
+def patched(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """All files (path, content) after `apply` found these changes."""
+    kept = files.select("path", "content").join(changes.select("path"), "path", "left_anti")
+    return kept.unionByName(changes.filter("content is not null").select("path", "content"))
+
+
+def tallies(changes: DataFrame) -> DataFrame:
+    """n_files, n_applied, n_conflicts"""
+    return changes.agg(F.count("*").alias("n_files"), F.count_if(F.col("status") != "mismatch").alias("n_applied"), F.count_if(F.col("status") == "mismatch").alias("n_conflicts"))
+
+
+def queued(queue: DataFrame, patch_lines: DataFrame, patch_id: int) -> DataFrame:
+    """The queue (patch_id, place) with one more patch at its end, whose lines must be there."""
+    last = queue.agg(F.coalesce(F.max("place"), F.lit(0)).alias("last")).first()["last"]
+    new = patch_lines.filter(F.col("patch_id") == patch_id).select("patch_id").distinct()
+    return queue.select("patch_id", "place").unionByName(new.select("patch_id", F.lit(last + 1).cast("long").alias("place")))
+
+
+def unapply(files: DataFrame, queue: DataFrame, patch_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files and queue without the patch that was applied last; as they are where the queue is empty."""
+    last = queue.orderBy(F.desc("place")).first()
+    if last is None:
+        return files, queue
+    back = apply(files, reverse(patch_lines.filter(F.col("patch_id") == last["patch_id"])))
+    return patched(files, back), queue.filter(F.col("place") < last["place"])
+
+
+def yank(files: DataFrame, queue: DataFrame, patch_lines: DataFrame, patch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Take a patch out of the queue: it and all later ones are taken back, and the later ones applied again in order.
+
+    Returns files, queue and a report (patch_id, path, status) of what was applied again. A queue is the few patches of one
+    working tree; each step is a join over its files.
+    """
+    place = queue.filter(F.col("patch_id") == patch_id).first()
+    if place is None:
+        raise ValueError(f"no patch {patch_id} in the queue")
+    later = [r["patch_id"] for r in queue.filter(F.col("place") > place["place"]).orderBy("place").collect()]
+    for back in [*reversed(later), patch_id]:
+        files = checkpointed(patched(files, apply(files, reverse(patch_lines.filter(F.col("patch_id") == back)))))
+    report = None
+    for again in later:
+        changes = checkpointed(apply(files, patch_lines.filter(F.col("patch_id") == again)))
+        files = checkpointed(patched(files, changes))
+        rows = changes.select(F.lit(again).cast("long").alias("patch_id"), "path", "status")
+        report = rows if report is None else report.unionByName(rows)
+    if report is None:
+        report = files.select(F.lit(None).cast("long").alias("patch_id"), "path", F.lit("").alias("status")).limit(0)
+    left = queue.filter(F.col("patch_id") != patch_id)
+    order = Window.orderBy("place")  # over a row a patch
+    return files, left.select("patch_id", F.row_number().over(order).cast("long").alias("place")), report
