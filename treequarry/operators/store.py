@@ -27,6 +27,13 @@ def append_objects(contents: DataFrame, path: str) -> None:
     new_objects(contents, stored).withColumn("first", F.substring("hash", 1, 2)).write.mode("append").partitionBy("first").parquet(path)
 
 
+def listed(stored: DataFrame) -> DataFrame:
+    """Hashes in the store, each once; names that are none are passed over."""
+    from treequarry.functions.text import is_hash
+
+    return stored.select("hash").filter(is_hash(F.col("hash"))).distinct()
+
+
 def garbage(stored: DataFrame, referenced: DataFrame) -> DataFrame:
     """Stored objects, each once, that nothing refers to."""
     return stored.dropDuplicates(["hash"]).join(referenced.select("hash").distinct(), "hash", "left_anti")
