@@ -5,50 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What went wrong, in the order of the codes from E001.
+#: Kinds of error, in the order of the codes from E001.
 ERRORS = (
-    "relative path",
-    "hidden without path",
-    "symlink outside",
-    "binary partial",
-    "binary whole",
-    "directory has binary",
-    "checkpoint name",
-    "directory with ranges",
-    "bad range",
-    "ranges overlap",
-    "empty file",
-    "already hidden",
-    "overlapping ranges",
-    "marker collision",
-    "marker integrity",
-    "not hidden",
-    "object missing",
-    "config protected",
-    "data folder protected",
-    "version control excluded",
-    "bad regex",
-    "bad hash",
-    "input or output",
-    "yaml",
-    "checkpoint missing",
-    "corrupt marker",
-    "parse",
-    "syntax",
-    "cache",
-    "patch mismatch",
-    "partial restore",
-    "nothing to undo",
-    "nothing to redo",
-    "not undoable",
-    "hash collision",
+    "RelativePath",
+    "HiddenFileWithoutPath",
+    "SymlinkOutsideProject",
+    "BinaryFilePartialVeil",
+    "BinaryFileVeil",
+    "DirectoryContainsBinary",
+    "InvalidCheckpointName",
+    "DirectoryWithLineRanges",
+    "InvalidLineRange",
+    "OverlappingRanges",
+    "EmptyFile",
+    "AlreadyVeiled",
+    "OverlappingVeil",
+    "MarkerCollision",
+    "MarkerIntegrityError",
+    "NotVeiled",
+    "ObjectNotFound",
+    "ConfigFileProtected",
+    "DataDirectoryProtected",
+    "VcsDirectoryExcluded",
+    "InvalidRegex",
+    "InvalidHash",
+    "Io",
+    "Yaml",
+    "CheckpointNotFound",
+    "CorruptedMarker",
+    "ParseError",
+    "TreeSitterError",
+    "CacheError",
+    "PatchMismatch",
+    "PartialRestore",
+    "HistoryEmpty",
+    "NothingToRedo",
+    "ActionNotUndoable",
+    "HashCollision",
 )
 RANGES = r"[0-9]+-[0-9]+(,[0-9]+-[0-9]+)*"
 
 
-def error_code(message: Column) -> Column:
+def error_code(kind: Column) -> Column:
     """E001 to E035; E000 for what is not known."""
-    return F.concat(F.lit("E"), F.lpad(F.coalesce(F.array_position(F.array(*map(F.lit, ERRORS)), message), F.lit(0)).cast("string"), 3, "0"))
+    return F.concat(F.lit("E"), F.lpad(F.coalesce(F.array_position(F.array(*map(F.lit, ERRORS)), kind), F.lit(0)).cast("string"), 3, "0"))
 
 
 def line_range(text: Column) -> Column:

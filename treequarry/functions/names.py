@@ -1,8 +1,11 @@
-"""Names of standard functions, which traces can leave out."""
+"""What names say: standard functions, which traces can leave out; tests, hooks and components; style sheets."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from treequarry.functions import paths as P
 
 #: Fixed values.
 STD = (
@@ -21,3 +24,37 @@ STD = (
 
 def is_std(name: Column) -> Column:
     return name.isin(STD) | name.startswith("test_0_")
+
+
+def is_go_test_file(path: Column) -> Column:
+    return F.endswith(P.stem(path), F.lit("_test"))
+
+
+def is_go_test(name: Column) -> Column:
+    return name.rlike("^(Test|Benchmark|Example)")
+
+
+def is_zig_test(name: Column) -> Column:
+    return name.rlike("^(test|bench)")
+
+
+def is_tsx(path: Column) -> Column:
+    return F.coalesce(P.extension(path) == "tsx", F.lit(False))
+
+
+def is_scss(path: Column) -> Column:
+    return F.coalesce(P.extension(path).isin("scss", "sass"), F.lit(False))
+
+
+def is_react_hook(name: Column) -> Column:
+    """`use` and a capital."""
+    return name.rlike(r"^use\p{Lu}")
+
+
+def is_react_component(name: Column) -> Column:
+    return name.rlike(r"^\p{Lu}")
+
+
+def has_tailwind(path: Column, content: Column) -> Column:
+    """By the file's name or a directive in it."""
+    return F.contains(P.file_name(path), F.lit("tailwind")) | content.rlike("@(tailwind|apply|layer)")

@@ -1,8 +1,8 @@
-"""Operators over files: which of them patterns mean, ignore rules, headings and blocks of markup."""
+"""Operators over files: which of them patterns mean, ignore rules, scans, binaries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treequarry.functions import paths as P
@@ -19,6 +19,20 @@ def affected(files: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     return out if out is not None else files.select(F.lit("").alias("pattern"), "path").limit(0)
 
 
+def first_binaries(files: DataFrame) -> DataFrame:
+    """folder, first: of each top folder that holds a binary file the first such by path; protected paths do not count."""
+    path = F.col("path")
+    open_ = ~(P.is_config(path) | P.in_data_dir(path) | P.is_vcs(path))
+    found = files.filter(open_ & path.contains("/") & P.is_binary(path, F.col("content")))
+    return found.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.min("path").alias("first"))
+
+
+def empty_lines(files: DataFrame) -> DataFrame:
+    """path, any_empty, none_empty: over the lines of each file."""
+    parts = F.split("content", "\n")
+    return files.select("path", F.exists(parts, lambda x: x == "").alias("any_empty"), F.forall(parts, lambda x: x != "").alias("none_empty"))
+
+
 def ignore_rules(text: str) -> list[tuple[int, str, bool]]:
     """Lines of an ignore file as (order, regex over relative paths, negated)."""
     rules = []
@@ -53,11 +67,3 @@ def scan(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
     relative = F.regexp_replace("path", "^.*?" + "\\Q" + root.rstrip("/").removeprefix("file:") + "\\E/", "")
     rows = found.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return not_ignored(rows.filter(P.supported(F.col("path"))), ignore_rules(ignore))
-
-
-def markdown_headings(lines: DataFrame) -> DataFrame:
-    """path, line_no, level, title of headings (# to ######) outside of fenced blocks."""
-    before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    fences = F.coalesce(F.sum(F.startswith("text", F.lit("```")).cast("int")).over(before), F.lit(0))
-    heads = lines.withColumn("fences", fences).filter((F.col("fences") % 2 == 0) & F.col("text").rlike("^#{1,6} "))
-    return heads.select("path", "line_no", F.length(F.regexp_extract("text", "^(#{1,6}) ", 1)).cast("long").alias("level"), F.regexp_extract("text", "^#{1,6} (.*)", 1).alias("title"))

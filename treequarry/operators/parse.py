@@ -31,6 +31,11 @@ IMPORTS = {
     "go": r"""^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"\s*$""",
     "zig": r"""@import\("([^"]+)"\)""",
 }
+#: What stands in the parentheses of a definition, and what it returns.
+PARAMS = r"\(((?:[^()]|\([^()]*\))*)\)"
+RETURNS = {"rust": r"\)\s*->\s*([^{;]+)", "python": r"\)\s*->\s*([^:]+):", "typescript": r"\)\s*:\s*([^{;]+)", "go": r"\)\s*([^(){]*[^(){\s])\s*\{", "zig": r"\)\s*([^(){;]*[^(){;\s])\s*\{"}
+#: A parameter: no comma but in brackets, one level of them.
+PARAM = r"((?:[^,()<>\[\]{}]|\([^()]*\)|<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\})+)"
 CALL = r"([A-Za-z_]\w*)\s*\("
 NO_CALLS = "if for while switch match return fn func def function class elif and or not in catch async await struct".split()
 
@@ -92,6 +97,39 @@ def definitions(lines: DataFrame) -> DataFrame:
     return closed.select("path", "name", "kind", "line_start", F.greatest("line_start", "line_end").cast("long").alias("line_end"), "is_async", "visibility", "language")
 
 
+def parameters(text: Column) -> Column:
+    """What stands in the parentheses of a definition as an array of (name, type): the type after the first colon, or null.
+
+    A receiver of its own (self) is none, nor is text without a type that has parentheses.
+    """
+    plain = F.transform(F.regexp_extract_all(text, F.lit(PARAM), 1), lambda p: F.btrim(p, F.lit(" \t")))
+    split = F.transform(plain, lambda p: F.struct(F.btrim(F.when(F.contains(p, F.lit(":")), F.substring_index(p, ":", 1)).otherwise(p)).alias("name"), F.when(F.contains(p, F.lit(":")), F.btrim(F.regexp_replace(p, "^[^:]*:", ""))).alias("type")))
+    return F.filter(split, lambda p: (p["name"] != "") & ~p["name"].isin("self", "&self", "&mut self") & (p["type"].isNotNull() | ~p["name"].rlike("[()]")))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """path, name, kind, line_no, is_async, visibility, params (an array of name and type), returns (null without one).
+
+    Read from the first line of each definition.
+    """
+    found = _starts(lines)
+    returns = F.lit(None).cast("string")
+    for language, pattern in RETURNS.items():
+        returns = F.when((F.col("language") == language) & F.col("text").rlike(pattern), F.btrim(F.regexp_extract("text", pattern, 1))).otherwise(returns)
+    # a method of Go names its receiver first
+    text = F.when(F.col("language") == "go", F.regexp_replace("text", r"^func\s+\([^)]*\)", "func ")).otherwise(F.col("text"))
+    function = F.col("kind") == "Function"
+    params = F.when(function, parameters(F.regexp_extract(text, PARAMS, 1)))
+    return found.select("path", "name", "kind", "line_no", "is_async", "visibility", params.alias("params"), F.when(function, returns).alias("returns"))
+
+
+def import_rows(lines: DataFrame) -> DataFrame:
+    """path, import_path, kind, line_no: two rows for each import, its path and its whole statement."""
+    both = imports(lines).join(lines.select("path", "line_no", "text"), ["path", "line_no"])
+    rows = F.array(F.struct(F.lit("path").alias("kind"), F.col("import_path")), F.struct(F.lit("statement").alias("kind"), F.btrim(F.col("text"), F.lit(" \t\r")).alias("import_path")))
+    return both.select("path", "line_no", F.inline(rows)).select("path", "import_path", "kind", "line_no")
+
+
 def imports(lines: DataFrame) -> DataFrame:
     """path, import_path, line_no; Python's plain imports give the first module they name."""
     found = F.lit(None).cast("string")

@@ -41,10 +41,9 @@ def first_definitions(symbols: DataFrame) -> DataFrame:
 
 
 def inverted_index(symbols: DataFrame) -> DataFrame:
-    """name, n_entries, entries: file:line in order."""
-    listed = F.array_sort(F.collect_list(F.struct("file", "line_start")))
-    shown = F.array_join(F.transform(listed, lambda x: F.concat(x["file"], F.lit(":"), x["line_start"].cast("string"))), ",")
-    return symbols.groupBy("name").agg(F.count("*").alias("n_entries"), shown.alias("entries"))
+    """name, n_entries, file, line_start: a row for each place of a name, so that a frequent name is no single row."""
+    counts = symbols.groupBy("name").agg(F.count("*").alias("n_entries"))
+    return symbols.select("name", "file", "line_start").join(counts, "name").select("name", "n_entries", "file", "line_start")
 
 
 def counts_by_file(symbols: DataFrame, calls: DataFrame) -> DataFrame:
@@ -75,6 +74,46 @@ def aligned(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
     return ranges.join(sym, held, "left").groupBy("file", "s", "e").agg(best.alias("b")).select("file", "s", "e", F.coalesce("b.line_start", "s").alias("from_line"), F.coalesce("b.line_end", "e").alias("to_line"))
 
 
+def with_attribute(symbols: DataFrame, part: str) -> DataFrame:
+    """Symbols of which an attribute holds a text."""
+    return symbols.filter(F.exists("attributes", lambda a: F.contains(a, F.lit(part))))
+
+
+def called_by(calls: DataFrame, caller: str) -> DataFrame:
+    """Calls (file, caller, callee, line) that a function makes."""
+    return calls.filter(F.col("caller") == caller)
+
+
+def listed(symbols: DataFrame) -> DataFrame:
+    """file, names: the names of a file in order of their lines."""
+    rows = F.array_sort(F.collect_list(F.struct("line_start", "name")))
+    return symbols.groupBy("file").agg(F.array_join(F.transform(rows, lambda x: x["name"]), ",").alias("names"))
+
+
+def call_counts(symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """file, name, n_calls of functions: how often their own file calls them."""
+    made = calls.select("file", F.col("callee").alias("name"), F.lit(1).alias("one"))
+    return symbols.filter("kind = 'Function'").join(made, ["file", "name"], "left").groupBy("file", "name").agg(F.count("one").alias("n_calls"))
+
+
+META = "name string, kind string, line_start long, line_end long, ordinal long"
+
+
+def to_meta(symbols: DataFrame) -> DataFrame:
+    """file, json: each symbol as metadata keep it."""
+    return symbols.select("file", F.to_json(F.struct("name", "kind", "line_start", "line_end", "ordinal")).alias("json"))
+
+
+def from_meta(rows: DataFrame) -> DataFrame:
+    """Symbols from their metadata."""
+    return rows.select("file", F.from_json("json", META).alias("m")).select("file", "m.*")
+
+
+def totals(symbols: DataFrame) -> DataFrame:
+    """n_symbols, n_files, n_names"""
+    return symbols.agg(F.count("*").alias("n_symbols"), F.count_distinct("file").alias("n_files"), F.count_distinct("name").alias("n_names"))
+
+
 def outline(symbols: DataFrame) -> DataFrame:
     """file, text: what headers show of a file, signature by signature with the number of hidden lines."""
     hidden = F.col("line_end") - F.col("line_start")

@@ -105,12 +105,12 @@ def _policy(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {_fits} SELECT path, line_no, coalesce(arg_min(hit, ord) FILTER (list = 'black'), false) AS hidden FROM fit GROUP BY path, line_no")
 def f2_policy_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.hidden_lines(S.lines(spark, sf_dir), _policy(spark), whitelist=False)
+    return policy.hidden_lines(S.lines(spark, sf_dir), _policy(spark), whitelist=False, files=S.files(spark, sf_dir))
 
 
 @query(f"WITH {_fits} SELECT path, line_no, coalesce(bool_or(hit) FILTER (list = 'black'), false) OR coalesce(NOT arg_min(hit, ord) FILTER (list = 'white'), true) AS hidden FROM fit GROUP BY path, line_no")
 def f3_policy_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.hidden_lines(S.lines(spark, sf_dir), _policy(spark), whitelist=True)
+    return policy.hidden_lines(S.lines(spark, sf_dir), _policy(spark), whitelist=True, files=S.files(spark, sf_dir))
 
 
 PREFIXES = ["", "./", "../", ".", ".treequarry/", "a/.git/", "x\x01", "CVS/", ".treequarry_config"]
@@ -207,23 +207,3 @@ def x5_numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT path, line_no, text FROM fx_lines WHERE line_no BETWEEN 2 AND 4")
 def o4_line_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.sliced(S.lines(spark, sf_dir), 2, 4)
-
-
-@query("SELECT path, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS shown, count_scripts AS n_scripts, count_styles AS n_styles FROM (SELECT path, regexp_extract(content, '(?is)<title>([^<]*)', 1) AS content, len(regexp_extract_all(content, '(?i)<script[ >]'))::BIGINT AS count_scripts, len(regexp_extract_all(content, '(?i)<style[ >]'))::BIGINT AS count_styles FROM fx_files WHERE path LIKE 'web/%')")
-def p14_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    web = S.files(spark, sf_dir).filter("path like 'web/%'")
-    title = F.trim(F.regexp_replace(F.regexp_extract("content", r"(?is)<title>([^<]*)", 1), r"\s+", " "))
-    return web.select("path", title.alias("shown"), F.regexp_count("content", F.lit("(?i)<script[ >]")).cast("long").alias("n_scripts"), F.regexp_count("content", F.lit("(?i)<style[ >]")).cast("long").alias("n_styles"))
-
-
-_marked = "(SELECT path, line_no, CASE line_no % 6 WHEN 1 THEN repeat('#', (line_no % 4 + 1)::INT) || ' ' || text WHEN 2 THEN '```' || CASE WHEN line_no % 12 = 2 THEN 'py' ELSE '' END ELSE text END AS text FROM fx_lines WHERE path LIKE '%.md')"
-
-
-@query(
-    f"SELECT path, line_no, len(regexp_extract(text, '^(#{{1,6}}) ', 1))::BIGINT AS level, regexp_extract(text, '^#{{1,6}} (.*)', 1) AS title FROM (SELECT *, coalesce(sum(starts_with(text, '```')::INT) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fences FROM {_marked}) WHERE fences % 2 = 0 AND regexp_matches(text, '^#{{1,6}} ')"
-)
-def p17_markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of Markdown files get heads and fences; heads inside of fences are none."""
-    n = F.col("line_no")
-    marked = S.lines(spark, sf_dir).filter("path like '%.md'").withColumn("text", F.when(n % 6 == 1, F.concat(F.repeat(F.lit("#"), (n % 4 + 1).cast("int")), F.lit(" "), "text")).when(n % 6 == 2, F.concat(F.lit("```"), F.when(n % 12 == 2, "py").otherwise(""))).otherwise(F.col("text")))
-    return O.markdown_headings(marked)

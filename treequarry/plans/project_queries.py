@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treequarry.functions import paths as P
+from treequarry.operators import files as O
 from treequarry.operators import policy, project, symbols
 from treequarry.plans.file_queries import EXT, quoted
 from treequarry.plans.registry import query
@@ -83,10 +84,10 @@ def m14_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.step(*history(spark, sf_dir), redo=True)
 
 
-@query("SELECT file, first, last FROM (SELECT file, coalesce(max(line_end) OVER (PARTITION BY file ORDER BY line_start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS first, line_start - 1 AS last FROM (SELECT file, line_start, line_end, 0 AS e FROM fx_symbols WHERE ordinal % 2 = 1 UNION ALL SELECT file, max(line_end) + 1, max(line_end) + 1, 1 FROM fx_symbols GROUP BY file)) WHERE last >= first")
+@query("SELECT file, first, last FROM (SELECT file, coalesce(max(line_end) OVER (PARTITION BY file ORDER BY line_start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS first, line_start - 1 AS last FROM (SELECT file, line_start, line_end, 0 AS e FROM fx_symbols WHERE kind = 'Function' UNION ALL SELECT file, max(line_end) + 1, max(line_end) + 1, 1 FROM fx_symbols GROUP BY file)) WHERE last >= first")
 def w7_text_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.symbols(spark, sf_dir)
-    return project.between(s.filter("ordinal % 2 = 1"), s.groupBy("file").agg(F.max("line_end").alias("n")))
+    return project.between(s.filter("kind = 'Function'"), s.groupBy("file").agg(F.max("line_end").alias("n")))
 
 
 @query("SELECT name, file, line_start FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file, line_start) AS n FROM fx_symbols) WHERE n = 1")
@@ -97,8 +98,7 @@ def w2_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT file, string_agg(name, ',' ORDER BY line_start) AS names FROM fx_symbols GROUP BY file")
 def o1_sorted_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("line_start", "name")))
-    return S.symbols(spark, sf_dir).groupBy("file").agg(F.array_join(F.transform(listed, lambda x: x["name"]), ",").alias("names"))
+    return symbols.listed(S.symbols(spark, sf_dir))
 
 
 @query("SELECT path, 'store' AS source FROM (SELECT DISTINCT path FROM fx_ranges) UNION ALL SELECT path, 'disk' FROM fx_files WHERE path NOT IN (SELECT path FROM fx_ranges)")
@@ -128,8 +128,7 @@ def j7_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT path, list_has_any(string_split(content, chr(10)), ['']) AS any_empty, len(list_filter(string_split(content, chr(10)), lambda x: x = '')) = 0 AS none_empty FROM fx_files")
 def a15_quantifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split("content", "\n")
-    return S.files(spark, sf_dir).select("path", F.exists(parts, lambda x: x == "").alias("any_empty"), F.forall(parts, lambda x: x != "").alias("none_empty"))
+    return O.empty_lines(S.files(spark, sf_dir))
 
 
 @query("SELECT path, sum(e - s + 1)::BIGINT AS n_lines, count(*) AS n_ranges FROM fx_ranges GROUP BY path")
@@ -158,27 +157,9 @@ def t10_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT path, CASE WHEN strlen(content) > 50 THEN left(content, 47) || '...' ELSE content END AS shown FROM fx_files")
-def p15_short_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of more than 50 bytes are cut after 47 characters."""
-    return S.files(spark, sf_dir).select("path", F.when(F.octet_length("content") > 50, F.concat(F.substring("content", 1, 47), F.lit("..."))).otherwise(F.col("content")).alias("shown"))
-
-
-@query("SELECT path, regexp_extract(content, '<([a-zA-Z]+)[ >]', 1) AS root FROM fx_files WHERE path LIKE 'web/%'")
-def p16_root_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.files(spark, sf_dir).filter("path like 'web/%'").select("path", F.regexp_extract("content", "<([a-zA-Z]+)[ >]", 1).alias("root"))
-
-
-@query("SELECT file, name, starts_with(name, 'user') AND NOT regexp_matches(name, '_0$') AS hook FROM fx_symbols")
-def p21_symbol_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.symbols(spark, sf_dir).select("file", "name", (F.col("name").startswith("user") & ~F.col("name").rlike("_0$")).alias("hook"))
-
-
 @query("SELECT s.file, s.name, count(c.callee) AS n_calls FROM fx_symbols s LEFT JOIN fx_calls c ON c.file = s.file AND c.callee = s.name WHERE s.kind = 'Function' GROUP BY ALL")
 def m27_outline_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = S.calls(spark, sf_dir).select("file", F.col("callee").alias("name"), F.lit(1).alias("one"))
-    s = S.symbols(spark, sf_dir).filter("kind = 'Function'")
-    return s.join(calls, ["file", "name"], "left").groupBy("file", "name").agg(F.count("one").alias("n_calls"))
+    return symbols.call_counts(S.symbols(spark, sf_dir), S.calls(spark, sf_dir))
 
 
 @query("SELECT path, string_agg(text, chr(10) ORDER BY line_no) AS content FROM fx_lines GROUP BY path")
@@ -186,7 +167,7 @@ def m4_joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.contents(S.lines(spark, sf_dir))
 
 
-@query("SELECT name, count(*) AS n_entries, string_agg(file || ':' || line_start, ',' ORDER BY file, line_start) AS entries FROM (SELECT name, file, line_start FROM fx_symbols UNION ALL SELECT name, file, line_start FROM fx_classes) GROUP BY name")
+@query("SELECT name, count(*) OVER (PARTITION BY name) AS n_entries, file, line_start FROM (SELECT name, file, line_start FROM fx_symbols UNION ALL SELECT name, file, line_start FROM fx_classes)")
 def m19_rebuilt_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols and classes by name."""
     every = S.symbols(spark, sf_dir).select("name", "file", "line_start").unionByName(S.classes(spark, sf_dir).select("name", "file", "line_start"))

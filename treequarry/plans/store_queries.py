@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treequarry.functions import codes
-from treequarry.operators import patches, store
+from treequarry.operators import output, patches, store
 from treequarry.plans.registry import query
 from treequarry.sources import tables as S
 
@@ -177,6 +177,13 @@ def j13_snapshot_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.actions(spark, sf_dir).select("workspace", "id", F.lag("command").over(order).alias("before"), F.col("command").alias("after")).filter("before is not null")
 
 
-@query("SELECT json_extract_string(to_json({'workspace': workspace, 'id': id, 'command': command}), '$') AS json FROM fx_actions WHERE id <= 5")
+@query("SELECT json_extract_string(to_json({'command': command, 'workspace': workspace, 'id': id}), '$') AS json FROM fx_actions")
 def k13_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.actions(spark, sf_dir).filter("id <= 5").select(F.to_json(F.struct("workspace", "id", "command")).alias("json"))
+    return output.results(S.actions(spark, sf_dir).select("command", "workspace", "id"))
+
+
+@query("SELECT doc_id, json_extract_string(to_json({'error': true, 'code': CASE WHEN doc_id % 36 = 0 THEN 'E000' ELSE 'E' || lpad((doc_id % 36)::VARCHAR, 3, '0') END, 'message': source || ': ' || kind}), '$') AS json FROM (SELECT doc_id, source, ([" + ", ".join(f"'{m}'" for m in ["unknown", *codes.ERRORS]) + "])[doc_id % 36 + 1] AS kind FROM documents)")
+def k13_error_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ["unknown", *codes.ERRORS]))
+    failed = S.table(spark, sf_dir, "documents").select("doc_id", "source", F.element_at(names, F.pmod("doc_id", F.lit(36)).cast("int") + 1).alias("kind"))
+    return output.errors(failed.withColumn("message", F.concat("source", F.lit(": "), "kind")), ["doc_id"])
