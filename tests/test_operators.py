@@ -135,6 +135,35 @@ def test_patches(spark):
     assert back == {"f.txt": before["f.txt"]}
 
 
+def test_patch_edges(spark):
+    text = "--- a/x\n+++ b/x\n@@ -1,4 +1,3 @@\n--- old\n+++ new\n \n-c\n z\n--- a/y\n+++ b/y\n@@ -2,0 +3 @@\n+in\n@@ -4,2 +6,2 @@\n d\n-e\n+E\n\\ No newline at end of file\n--- a/z\n+++ b/z\n@@ -2 +2 @@\n-two\n+2\n@@ -2 +2 @@\n-two\n+3\n--- /dev/null\n+++ b/n\n@@ -0,0 +1 @@\n+one"
+    lines = patches.parse(spark.createDataFrame([(1, text), (2, None), (3, "nothing here")], "patch_id long, text string"))
+    assert {r["patch_id"] for r in lines.collect()} == {1}
+    assert rows(lines.filter("file = 'x'"), "line_no", "op", "text") == [(1, "-", "-- old"), (2, "+", "++ new"), (3, " ", ""), (4, "-", "c"), (5, " ", "z")]
+    table = spark.createDataFrame([("x", "-- old\n\nc\nz"), ("y", "a\nb\nc\nd\ne\n"), ("z", "one\ntwo\n"), ("far", "q")], "path string, content string")
+    done = {r["path"]: (r["status"], r["content"]) for r in patches.apply(table, lines).collect()}
+    assert done == {"x": ("applied", "++ new\n\nz"), "y": ("applied", "a\nb\nin\nc\nd\nE"), "z": ("mismatch", "one\ntwo\n"), "n": ("created", "one\n")}
+    fine = lines.filter("file <> 'z'")
+    after = patches.patched(table, patches.apply(table, fine))
+    assert rows(patches.patched(after, patches.apply(after, patches.reverse(fine))), "path", "content") == [("far", "q"), ("x", "-- old\n\nc\nz"), ("y", "a\nb\nc\nd\ne\n"), ("z", "one\ntwo\n")]
+
+
+def test_patch_queue(spark):
+    one = lambda i, old, new, at: (i, f"--- a/f\n+++ b/f\n@@ -{at} +{at} @@\n-{old}\n+{new}\n")
+    table = spark.createDataFrame([("f", "a\nb\nc\n")], "path string, content string")
+    lines = patches.parse(spark.createDataFrame([one(7, "a", "A", 1), one(8, "b", "B", 2), one(9, "A", "AA", 1)], "patch_id long, text string"))
+    queue, now = spark.createDataFrame([], "patch_id long, place long"), table
+    for i in (7, 8, 9):
+        now, queue = patches.patched(now, patches.apply(now, lines.filter(f"patch_id = {i}"))), patches.queued(queue, lines, i)
+    assert rows(now, "content") == [("AA\nB\nc\n",)] and rows(queue, "patch_id", "place") == [(7, 1), (8, 2), (9, 3)]
+    back, short = patches.unapply(now, queue, lines)
+    assert rows(back, "content") == [("A\nB\nc\n",)] and rows(short, "patch_id") == [(7,), (8,)]
+    left, rest, report = patches.yank(now, queue, lines, 8)
+    assert rows(left, "content") == [("AA\nb\nc\n",)] and rows(rest, "patch_id", "place") == [(7, 1), (9, 2)] and rows(report, "patch_id", "status") == [(9, "applied")]
+    left, rest, report = patches.yank(now, queue, lines, 7)
+    assert rows(left, "content") == [("a\nB\nc\n",)] and rows(report, "patch_id", "status") == [(8, "applied"), (9, "mismatch")]
+
+
 def test_store_appends_what_is_new(spark, tmp_path):
     path = str(tmp_path / "objects")
     store.append_objects(spark.createDataFrame([("a",), ("b",), ("a",)], "content string"), path)
@@ -176,3 +205,38 @@ def test_hide_show_round_trip(spark):
     assert rows(left, "path") == [(".git/h",), ("b.rs",), ("c.png",)] and objects.count() == 1 and known.count() == 2
     back, still = project.show(wanted, left, known, objects)
     assert rows(back, "path", "content") == rows(files_, "path", "content") and still.count() == 0
+
+
+def test_state_versions(spark, tmp_path):
+    from treequarry.operators import state
+
+    table = state.Table(f"file://{tmp_path}/t", "name string, n long")
+    assert state.load(spark, table).count() == 0
+    one = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], table.schema)
+    assert state.save(one, table) == 1 and state.put(spark.createDataFrame([("b", 9)], table.schema), table, "name") == 2
+    assert rows(state.load(spark, table), "name", "n") == [("a", 1), ("b", 9)] and state.load(spark, table, 1).count() == 3
+    # rows of a writer that failed before its commit are not seen
+    one.write.parquet(f"{table.path}/rows/lost")
+    assert state.save(one.limit(0), table) == 3
+    assert state.load(spark, table).count() == 0 and state.load(spark, table, 2).count() == 2 and state.load(spark, table, 7).count() == 0
+
+
+def test_markup_blocks(spark):
+    from treequarry.operators import markup
+
+    page = spark.createDataFrame([("p", "<!doctype html>\n<div>\n<script>\nvar a = '<div>';\n</script></div>\n<style>b{}</style>\n<section>x</section>\n")], "path string, content string")
+    assert rows(markup.html_blocks(page), "name", "line_start", "line_end") == [("<element>", 2, 7), ("<element>", 2, 7), ("<script>", 3, 5), ("<style>", 6, 6)]
+    sheet = spark.createDataFrame([("s", "/* a { } */\n.a,\n.b { c: d; }\n@media x {\n  .y { z: 1 }\n}\n@apply foo;\n")], "path string, content string")
+    assert rows(markup.css_blocks(sheet), "name", "line_start", "line_end") == [(".a,\n.b", 2, 3), ("@apply (Tailwind)", 7, 7), ("@media", 4, 6)]
+    text = "# One\n\nTwo\n---\n```py\n# no\n```\n\n---\n####### seven\n## Three ##\n```\nopen"
+    assert rows(markup.markdown_blocks(tables.lines_of(spark.createDataFrame([("m", text)], "path string, content string"))), "name", "line_start", "line_end") == [("# One", 1, 1), ("## Three", 11, 11), ("## Two", 3, 4), ("```code", 12, 13), ("```py", 5, 7)]
+
+
+def test_parameters(spark):
+    from pyspark.sql import functions as F
+
+    from treequarry.operators import parse
+
+    texts = ["", "self", "&mut self, a: u8", "a, b=1", "f: (i32, u8), g: Map<a, b>", "(x)", " "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse.parameters(F.col("t")).alias("p")).collect()
+    assert {r["t"]: [tuple(p) for p in r["p"]] for r in got} == {"": [], "self": [], "&mut self, a: u8": [("a", "u8")], "a, b=1": [("a", None), ("b=1", None)], "f: (i32, u8), g: Map<a, b>": [("f", "(i32, u8)"), ("g", "Map<a, b>")], "(x)": [], " ": []}
