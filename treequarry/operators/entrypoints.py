@@ -6,6 +6,8 @@ line, entry_type, language, description. Where the rules of a language are a cha
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ COLUMNS = ["name", "file", "line", "entry_type", "language", "description"]
 Rule = tuple[Column, str, str | None]
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Rules of a language over files or symbols, the first of which that holds gives a row; `none` gives none."""
+
+    language: str
+    rules: list[Rule]
+    where: Column
+    name: Column
+
+
 def _name() -> Column:
     return F.col("name")
 
@@ -27,24 +39,26 @@ def _token(*words: str) -> Column:
     return F.arrays_overlap(F.split("name", "_"), F.array(*map(F.lit, words)))
 
 
-def _file_rows(files: DataFrame, language: str, rules: list[Rule], name: str | None = None) -> DataFrame:
+def _file_rows(language: str, rules: list[Rule], name: str | None = None, where: Column | None = None) -> Rules:
     """The first rule that holds for a file's name gives a row at line 1."""
-    kind = note = F.lit(None).cast("string")
-    for test, entry_type, description in reversed(rules):
-        kind, note = F.when(test, entry_type).otherwise(kind), F.when(test, description).otherwise(note)
-    shown = F.lit(name) if name else F.col("base")
-    rows = files.withColumn("base", P.file_name(F.col("path"))).select(shown.alias("name"), F.col("path").alias("file"), F.lit(1).cast("long").alias("line"), kind.alias("entry_type"), F.lit(language).alias("language"), note.alias("description"))
-    return rows.filter("entry_type is not null")
+    return Rules(language, rules, F.lit(True) if where is None else where, F.lit(name) if name else F.col("base"))
+
+
+def _symbol_rows(language: str, rules: list[Rule], kind: str = "Function", name: Column | None = None) -> Rules:
+    """The first rule that holds for a symbol of the language gives a row."""
+    return Rules(language, rules, (F.col("kind") == kind) & (F.col("own") == language), name if name is not None else _name())
 
 
-def _symbol_rows(symbols: DataFrame, language: str, rules: list[Rule], kind: str = "Function", name: Column | None = None) -> DataFrame:
-    """The first rule that holds for a symbol gives a row."""
-    found = note = F.lit(None).cast("string")
-    for test, entry_type, description in reversed(rules):
-        found, note = F.when(test, entry_type).otherwise(found), F.when(test, description).otherwise(note)
-    own = symbols.filter((F.col("kind") == kind) & (P.language(F.col("file")) == language)).withColumn("base", P.file_name(F.col("file")))
-    rows = own.select((name if name is not None else _name()).alias("name"), "file", F.col("line_start").alias("line"), found.alias("entry_type"), F.lit(language).alias("language"), note.alias("description"))
-    return rows.filter("entry_type not in ('none')")
+def _found(rows: DataFrame, every: list[Rules], line: Column) -> DataFrame:
+    """One pass over files or symbols (file, base and what rules ask for) with the rules of all languages."""
+    structs = []
+    for r in every:
+        kind = note = F.lit(None).cast("string")
+        for test, entry_type, description in reversed(r.rules):
+            kind, note = F.when(test, entry_type).otherwise(kind), F.when(test, description).otherwise(note)
+        structs.append(F.struct(r.name.alias("name"), F.when(r.where, kind).alias("entry_type"), F.lit(r.language).alias("language"), note.alias("description")))
+    out = rows.select("file", line.cast("long").alias("line"), F.explode(F.filter(F.array(*structs), lambda x: x["entry_type"].isNotNull() & (x["entry_type"] != "none"))).alias("e"))
+    return out.select("e.name", "file", "line", "e.entry_type", "e.language", "e.description")
 
 
 def _base(*names: str) -> Column:
@@ -55,28 +69,30 @@ def _ends(*ends: str) -> Column:
     return F.col("base").rlike("(" + "|".join(e.replace(".", r"\.") for e in ends) + ")$")
 
 
-def rust(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    return _symbol_rows(
-        symbols,
-        "rust",
-        [
-            (_name() == "main", "main", None),
-            (_attr(lambda a: F.contains(a, F.lit("test"))), "test", None),
-            (_name().startswith("test_") | _name().endswith("_test"), "test", None),
-            (_attr(lambda a: F.contains(a, F.lit("main"))), "main", "async main"),
-            (_attr(lambda a: F.contains(a, F.lit("derive")) & F.contains(a, F.lit("Parser"))), "cli", "clap CLI"),
-        ],
-    )
+def rust() -> tuple[list[Rules], list[Rules]]:
+    return [], [
+        _symbol_rows(
+            "rust",
+            [
+                (_name() == "main", "main", None),
+                (_attr(lambda a: F.contains(a, F.lit("test"))), "test", None),
+                (_name().startswith("test_") | _name().endswith("_test"), "test", None),
+                (_attr(lambda a: F.contains(a, F.lit("main"))), "main", "async main"),
+                (_attr(lambda a: F.contains(a, F.lit("derive")) & F.contains(a, F.lit("Parser"))), "cli", "clap CLI"),
+            ],
+        )
+    ]
 
 
-def typescript(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def typescript() -> tuple[list[Rules], list[Rules]]:
     tsx = _ends(".tsx")
     pascal = _name().rlike(r"^\p{Lu}")
-    own = files.filter(P.language(F.col("path")) == "typescript")
-    page = _file_rows(own, "typescript", [(_base("page.tsx", "layout.tsx"), "main", "Next.js page/layout")])
-    app = _file_rows(own, "typescript", [(_base("App.tsx"), "main", "React App component")], "App")
+    own = F.col("own") == "typescript"
+    pages = [
+        _file_rows("typescript", [(_base("page.tsx", "layout.tsx"), "main", "Next.js page/layout")], where=own),
+        _file_rows("typescript", [(_base("App.tsx"), "main", "React App component")], "App", own),
+    ]
     functions = _symbol_rows(
-        symbols,
         "typescript",
         [
             (tsx & pascal & (_name().isin("App", "Main") | F.array_contains("attributes", "entrypoint")), "main", "React component"),
@@ -85,87 +101,96 @@ def typescript(files: DataFrame, symbols: DataFrame) -> DataFrame:
             ((_name() == "test") | _name().rlike(r"^test(_|\p{Lu})") | _name().startswith("it(") | _name().startswith("describe("), "test", None),
         ],
     )
-    elements = _symbol_rows(symbols, "typescript", [(tsx & _name().startswith("<") & _name().endswith(">"), "handler", "JSX element")], "Module")
-    return page.unionByName(app).unionByName(functions).unionByName(elements)
+    return pages, [functions, _symbol_rows("typescript", [(tsx & _name().startswith("<") & _name().endswith(">"), "handler", "JSX element")], "Module")]
 
 
-def python(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def python() -> tuple[list[Rules], list[Rules]]:
     """A name may be a command and an endpoint at once."""
     first = [(_name().isin("main", "cli", "run"), "main", None), (_name().startswith("test_"), "test", None)]
-    command = _symbol_rows(symbols, "python", [*first, (_token("command", "cmd"), "cli", None)])
-    route = _symbol_rows(symbols, "python", [(first[0][0] | first[1][0], "none", None), (_token("route", "endpoint"), "handler", None)])
-    return command.unionByName(route)
+    command = _symbol_rows("python", [*first, (_token("command", "cmd"), "cli", None)])
+    return [], [command, _symbol_rows("python", [(first[0][0] | first[1][0], "none", None), (_token("route", "endpoint"), "handler", None)])]
 
 
-def bash(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    return _file_rows(files, "bash", [(_ends(".sh", ".bash"), "main", "shell script")]).unionByName(_symbol_rows(symbols, "bash", [(_name().isin("main", "run", "start"), "main", "script function")]))
+def bash() -> tuple[list[Rules], list[Rules]]:
+    return [_file_rows("bash", [(_ends(".sh", ".bash"), "main", "shell script")])], [_symbol_rows("bash", [(_name().isin("main", "run", "start"), "main", "script function")])]
 
 
-def terraform(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    config = _file_rows(files, "terraform", [(_base("main.tf", "variables.tf", "outputs.tf"), "main", "terraform config")])
-    return config.unionByName(_symbol_rows(symbols, "terraform", [(_ends(".tf") & _name().rlike("^(resource|module|data)"), "handler", "terraform block")], name=F.concat("base", F.lit(":"), "name")))
+def terraform() -> tuple[list[Rules], list[Rules]]:
+    blocks = _symbol_rows("terraform", [(_ends(".tf") & _name().rlike("^(resource|module|data)"), "handler", "terraform block")], name=F.concat("base", F.lit(":"), "name"))
+    return [_file_rows("terraform", [(_base("main.tf", "variables.tf", "outputs.tf"), "main", "terraform config")])], [blocks]
 
 
-def helm(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    main = _file_rows(files, "helm", [(_base("Chart.yaml"), "main", "helm chart metadata"), (_base("values.yaml"), "main", "helm values")])
-    return main.unionByName(_file_rows(files, "helm", [(F.contains("path", F.lit("/templates/")) & _ends(".yaml"), "handler", "helm template")]))
+def helm() -> tuple[list[Rules], list[Rules]]:
+    main = _file_rows("helm", [(_base("Chart.yaml"), "main", "helm chart metadata"), (_base("values.yaml"), "main", "helm values")])
+    return [main, _file_rows("helm", [(F.contains("file", F.lit("/templates/")) & _ends(".yaml"), "handler", "helm template")])], []
 
 
-def go(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    test_file = _ends("_test.go")
+def go() -> tuple[list[Rules], list[Rules]]:
+    """Besides, a file with a main function is a program, see `_programs`."""
     functions = _symbol_rows(
-        symbols,
         "go",
         [
             (_name() == "main", "main", "Go main function"),
             (_name() == "init", "main", "Go init function"),
-            (test_file & _name().rlike("^(Test|Benchmark|Example|Fuzz)"), "test", "Go test/benchmark/example"),
+            (_ends("_test.go") & _name().rlike("^(Test|Benchmark|Example|Fuzz)"), "test", "Go test/benchmark/example"),
             (F.array_contains("attributes", "entrypoint"), "main", None),
         ],
     )
-    programs = functions.filter("name = 'main'").select("file").distinct().withColumn("base", P.file_name(F.col("file"))).filter(~test_file)
-    return functions.unionByName(programs.select(F.col("base").alias("name"), "file", F.lit(1).cast("long").alias("line"), F.lit("main").alias("entry_type"), F.lit("go").alias("language"), F.lit("Go executable").alias("description")))
+    return [], [functions]
 
 
-def zig(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def _programs(symbols: DataFrame) -> DataFrame:
+    """A row for each file of Go, but for tests, that has a main function."""
+    found = symbols.filter((F.col("kind") == "Function") & (F.col("own") == "go") & (_name() == "main") & ~_ends("_test.go")).select("base", "file").distinct()
+    return found.select(F.col("base").alias("name"), "file", F.lit(1).cast("long").alias("line"), F.lit("main").alias("entry_type"), F.lit("go").alias("language"), F.lit("Go executable").alias("description"))
+
+
+def zig() -> tuple[list[Rules], list[Rules]]:
     functions = _symbol_rows(
-        symbols, "zig", [(_name() == "main", "main", "Zig main function"), (_name().startswith('test "') | F.array_contains("attributes", "test"), "test", "Zig test"), (F.array_contains("attributes", "entrypoint"), "main", None)]
+        "zig", [(_name() == "main", "main", "Zig main function"), (_name().startswith('test "') | F.array_contains("attributes", "test"), "test", "Zig test"), (F.array_contains("attributes", "entrypoint"), "main", None)]
     )
-    return functions.unionByName(_file_rows(files, "zig", [(_base("build.zig"), "main", "Zig build script")]))
+    return [_file_rows("zig", [(_base("build.zig"), "main", "Zig build script")])], [functions]
 
 
-def html(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    out = _file_rows(files, "html", [(_ends(".html", ".htm"), "main", "HTML document")])
-    for tag, name, note in (("<script>", "inline script", "JavaScript block"), ("<style>", "inline style", "CSS block")):
-        out = out.unionByName(_symbol_rows(symbols, "html", [(_name() == tag, "handler", note)], "Module", F.lit(name)))
-    return out
+def html() -> tuple[list[Rules], list[Rules]]:
+    blocks = (("<script>", "inline script", "JavaScript block"), ("<style>", "inline style", "CSS block"))
+    return [_file_rows("html", [(_ends(".html", ".htm"), "main", "HTML document")])], [_symbol_rows("html", [(_name() == tag, "handler", note)], "Module", F.lit(name)) for tag, name, note in blocks]
 
 
-def css(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def css() -> tuple[list[Rules], list[Rules]]:
     sheet = _ends(".css", ".scss", ".sass")
     main = _base("main.css", "index.css", "styles.css", "app.css", "main.scss", "index.scss") | F.contains("base", F.lit("tailwind"))
-    out = _file_rows(files, "css", [(sheet & main, "main", "Main stylesheet"), (sheet, "handler", "CSS module")])
-    return out.unionByName(_symbol_rows(symbols, "css", [(_name().rlike("@(tailwind|apply|layer)"), "handler", "Tailwind directive")], "Module"))
+    directive = _symbol_rows("css", [(_name().rlike("@(tailwind|apply|layer)"), "handler", "Tailwind directive")], "Module")
+    return [_file_rows("css", [(sheet & main, "main", "Main stylesheet"), (sheet, "handler", "CSS module")])], [directive]
 
 
-def xml(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def xml() -> tuple[list[Rules], list[Rules]]:
     config = _base("pom.xml", "AndroidManifest.xml", "web.xml", "settings.xml") | _ends(".config.xml")
-    return _file_rows(files, "xml", [(_ends(".xml"), "main", "XML document")]).unionByName(_file_rows(files, "xml", [(config, "main", "XML configuration")]))
+    return [_file_rows("xml", [(_ends(".xml"), "main", "XML document")]), _file_rows("xml", [(config, "main", "XML configuration")])], []
 
 
-def markdown(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def markdown() -> tuple[list[Rules], list[Rules]]:
     page = _ends(".md", ".markdown")
     main = _base("README.md", "CONTRIBUTING.md", "CHANGELOG.md", "LICENSE.md", "INSTALL.md", "API.md") | F.col("base").startswith("README")
-    out = _file_rows(files, "markdown", [(page & main, "main", "Main documentation"), (page, "handler", "Documentation")])
-    return out.unionByName(_symbol_rows(symbols, "markdown", [(_name().startswith("# ") & (F.col("line_start") == 1), "main", "Document title")], "Module"))
+    title = _symbol_rows("markdown", [(_name().startswith("# ") & (F.col("line_start") == 1), "main", "Document title")], "Module")
+    return [_file_rows("markdown", [(page & main, "main", "Main documentation"), (page, "handler", "Documentation")])], [title]
 
 
-DETECTORS = {f.__name__: f for f in (rust, typescript, python, bash, terraform, helm, go, zig, html, css, xml, markdown)}
+LANGUAGES = {f.__name__: f for f in (rust, typescript, python, bash, terraform, helm, go, zig, html, css, xml, markdown)}
 
 
-def entrypoints(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Of all languages."""
-    rows = [detect(files, symbols) for detect in DETECTORS.values()]
+def entrypoints(files: DataFrame, symbols: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """Of some languages or all, in one pass over the files and one over the symbols."""
+    wanted = list(LANGUAGES) if languages is None else languages
+    rules = [LANGUAGES[name]() for name in wanted]
+    own = lambda rows: rows.withColumn("base", P.file_name(F.col("file"))).withColumn("own", P.language(F.col("file")))
+    named, known = own(files.select(F.col("path").alias("file"))), own(symbols)
+    rows = []
+    for every, source, line in (([r for f, _ in rules for r in f], named, F.lit(1)), ([r for _, s in rules for r in s], known, F.col("line_start"))):
+        if every:
+            rows.append(_found(source, every, line))
+    if "go" in wanted:
+        rows.append(_programs(known))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)

@@ -346,7 +346,7 @@ _every = " UNION ALL ".join(p for parts in RULES.values() for p in parts)
 
 def _detector(number: int, language: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return entrypoints.DETECTORS[language](*project_tables(spark, sf_dir))
+        return entrypoints.entrypoints(*project_tables(spark, sf_dir), [language])
 
     run.__name__ = f"e{number}_{language}"
     query(f"WITH {_sym} " + " UNION ALL ".join(RULES[language]))(run)
