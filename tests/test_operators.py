@@ -87,11 +87,11 @@ def test_first_entry_decides(spark):
 
 
 def test_scan_honours_ignore_rules(spark, tmp_path):
-    for name in ("a.py", "sub/b.rs", "sub/c.txt", "build/d.py", "keep/build.py", ".hidden.py", "e.log.py"):
+    for name in ("a.py", "sub/b.rs", "sub/c.txt", "build/d.py", "keep/build.py", ".hidden.py", "_folder/f.go", ".git/x.py", ".secret.txt", "e.log.py"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x = 1\n")
     found = files.scan(spark, str(tmp_path), "build/\n*.log.py\n# note\n!keep/build.py\n")
-    assert rows(found, "path", "content") == [(n, "x = 1\n") for n in ("a.py", "keep/build.py", "sub/b.rs")]
+    assert rows(found, "path", "content") == [(n, "x = 1\n") for n in (".hidden.py", "_folder/f.go", "a.py", "keep/build.py", "sub/b.rs")]
 
 
 PATCH = """diff --git a/f.txt b/f.txt

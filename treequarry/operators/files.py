@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +61,39 @@ def not_ignored(files: DataFrame, rules: list[tuple[int, str, bool]]) -> DataFra
     return files.filter(~verdict)
 
 
-def scan(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
-    """path (relative), content, size, modified of the supported source files below a folder.
+def hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (whole), length, modificationTime, content of files below a folder whose name, or a folder's on the way, begins
+    with a dot or an underscore: those that Spark's readers pass over. Names are listed on the driver, as Spark does with
+    the others; contents are read in tasks."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    start, listing, rows = system.makeQualified(place).toString(), system.listFiles(place, True), []
+    while listing.hasNext():
+        status = listing.next()
+        name = status.getPath().toString()
+        if any(part[:1] in (".", "_") for part in name[len(start) :].split("/")):
+            rows.append((name, status.getLen(), status.getModificationTime()))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            contents = []
+            for name in batch["path"]:
+                system, path = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                with system.open_input_stream(path) as file:
+                    contents.append(file.read())
+            yield batch.assign(content=contents)
 
-    Spark's listing leaves out names that begin with a dot or an underscore.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = spark.createDataFrame(rows, "path string, length long, modified long").repartition(max(1, len(rows) // 100))
+    found = listed.mapInPandas(read, "path string, length long, modified long, content binary")
+    return found.select("path", "length", F.timestamp_millis("modified").alias("modificationTime"), "content")
+
+
+def scan(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
+    """path (relative), content, size, modified of the supported source files below a folder, hidden ones too."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime", "content")
+    found = found.unionByName(hidden_files(spark, root))
     relative = F.regexp_replace("path", "^.*?" + "\\Q" + root.rstrip("/").removeprefix("file:") + "\\E/", "")
     rows = found.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return not_ignored(rows.filter(P.supported(F.col("path"))), ignore_rules(ignore))
+    return not_ignored(rows.filter(P.supported(F.col("path")) & ~P.is_vcs(F.col("path"))), ignore_rules(ignore))
