@@ -163,3 +163,23 @@ def test_quality(documents, nothing):
 @pytest.mark.parametrize("text, kept", [("good words " + " ".join(f"w{i}x" for i in range(40)), True), (" ".join(f"w{i}###" for i in range(40)), False), (" ".join(f"{i}" for i in range(40)), False), (" ".join(f"W{chr(65 + i % 26) * (i % 7 + 1)}" for i in range(40)), False)])
 def test_quality_rules(spark, text, kept):
     assert quality.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["kept"] is kept
+
+
+def test_null_and_large_ids_are_looked_up(spark, tmp_path):
+    """A null among the ids of a bucket must not cost large ids their last digits."""
+    big = 2**60
+    rows = [(big + i, f"text {i}") for i in range(6)] + [(None, "none"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["start"]) for r in token_files.token_files(table).collect()}
+    assert sorted(i for i, _ in got if i is not None) == [big + i for i in range(6)] and len([1 for i, _ in got if i is None]) == 2
+
+
+def test_contaminated_documents_go_and_columns_stay(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    rows = [(1, f"x {item} y", "mine"), (2, "clean words only", "kept"), (3, None, "null")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    for block in (200_000, 2):
+        out = decontaminate.uncontaminated(table, bench, block_windows=block)
+        assert out.columns == table.columns and sorted(map(tuple, out.collect())) == rows[1:]
+    assert decontaminate.uncontaminated(table, bench.limit(0)).count() == 3 and decontaminate.uncontaminated(table.limit(0), bench).count() == 0

@@ -1,5 +1,6 @@
 """Operators 1, 9 and 10 on small fixtures."""
 
+import gzip
 import re
 import time
 from collections import Counter, defaultdict
@@ -209,3 +210,18 @@ def test_warc_round_trip(spark, tmp_path):
     text = {r["page_id"]: r["block"] for r in records.filter("warc_type = 'conversion'").collect()}
     assert text[1] == "Home\nA&B\nOne\ntwo\nthree\nFour <five> six\n© me" and text[2] == text[3] == "" and text[5] == "line one\nline two y"
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_responses_of_warc_files(spark, tmp_path):
+    """A response record of a file, through the reader, gives the same derivatives as one made from a page."""
+    head = "HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\n"
+    body = "<head><title>a &mdash; b</title></head><p>caf&eacute;\r\n\r\n<p>x"
+    block = (head + "\r\n" + body).encode()
+    record = lambda kind, block: f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(record("warcinfo", b"n") + record("response", block) + record("request", b"GET")))
+    responses = warc.responses_of(warc.read_warc(spark, str(tmp_path), "*.warc.gz"))
+    row = responses.first()
+    assert responses.count() == 1 and row["http_headers"] == head and row["payload"] == body
+    out = {r["warc_type"]: r for r in warc.derivatives(responses).collect()}
+    assert out["conversion"]["block"] == "café\nx" and out["conversion"]["refers_to"] == "<urn:uuid:1>"
+    assert "source-status: 404" in out["metadata"]["block"] and "title: a — b\r\n" in out["metadata"]["block"]

@@ -1,8 +1,9 @@
 """Operators 5 and 6 on small fixtures."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from treequarry.llm import packing, substrings
@@ -120,3 +121,75 @@ def test_packed_documents(documents, nothing):
     want = sum(len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in documents.collect())
     assert sum(p["piece_length"] for p in out) == want
     assert packing.packed_documents(nothing).count() == 0
+
+
+def test_removed_passages_stand_earlier_and_repeats_go(spark, passages):
+    """Without the module's units: what is cut stands earlier word for word, and repeated lines and passages go."""
+    shared, clean, dirty = passages
+    rng = random.Random(12)
+    line = " ".join("".join(rng.choices("klmnop", k=5)) for _ in range(20))
+    rows = list(enumerate([*clean, *dirty, line + "\n" + clean[0][:300], clean[1] + "\n" + line.upper(), line + "\n" + line]))
+    out = {r["doc_id"]: r for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    before = " \0"
+    for i, text in rows:
+        own = ""
+        at = 0
+        for span in out[i]["removed_spans"]:
+            own += " \0 " + " ".join(text[at : span["start"]].lower().split()) + " "
+            for part in text[span["start"] : span["end"]].lower().split("\n"):
+                words = part.split()
+                assert all(f" {' '.join(words[k : k + 5])} " in f" {before} \0 {own} " for k in range(max(1, len(words) - 4))), (i, part)
+            at = span["end"]
+        before += " \0 " + " ".join(text.lower().split()) + " "
+    assert all(not out[i]["removed_spans"] for i in range(len(clean)))
+    n = len(clean) + len(dirty)
+    assert line not in out[n + 1]["text"].lower() and out[n + 2]["text"] == "" and out[n]["text"].startswith(line)
+    kept = [len(set(shared.split()) & set(out[i]["text"].lower().split())) for i in range(len(clean) + 1, n)]
+    assert max(kept) <= 24
+
+
+def test_places_against_a_plain_search():
+    rng = random.Random(5)
+    histogram = {rng.randint(1, 300): rng.randint(1, 2000) for _ in range(120)}
+    rows = packing.ranges(packing.plan(histogram, (100, 200, 300)))
+    places = packing.Places(rows)
+    pieces = [(length, rank) for length, n in histogram.items() for rank in range(n)]
+    rng.shuffle(pieces)
+    length, rank = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+    got = places(length, rank)
+    at = defaultdict(list)
+    for row in rows:
+        at[row[0]].append(row)
+    for i in range(0, len(pieces), 97):
+        _, low, _, per_bin, first, capacity, offset = next(r for r in at[length[i]] if r[1] <= rank[i] < r[2])
+        k = int(rank[i]) - low
+        assert tuple(got.iloc[i]) == (first + k // per_bin, capacity, offset + k % per_bin * length[i])
+    assert len(packing.Places([])(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
+def test_size_of_a_plan_is_bounded_by_the_capacity():
+    rng = random.Random(8)
+    for largest, most in ((64, 10**9), (64, 5), (300, 10**7)):
+        patterns = packing.plan({length: rng.randint(1, most) for length in range(1, largest + 1)}, (largest // 2, largest))
+        assert len(patterns) <= 3.5 * largest and all(sum(p.counts) <= largest for p in patterns)
+
+
+def test_cost_near_the_best_on_small_cases():
+    """Against the least cost over all ways to fill bins, tried out."""
+    rng = random.Random(3)
+    for _ in range(25):
+        lengths, capacities = sorted(rng.randint(1, 12) for _ in range(6)), (6, 12)
+        cost = sum((p.capacity + 2) * p.bins for p in packing.plan(dict(Counter(lengths)), capacities, bin_cost=2))
+
+        def best(left):
+            if not left:
+                return 0
+            found, rest = 10**9, left[:-1]
+            for mask in range(1 << len(rest)):
+                used = left[-1] + sum(x for k, x in enumerate(rest) if mask >> k & 1)
+                if used <= 12:
+                    found = min(found, (6 if used <= 6 else 12) + 2 + best([x for k, x in enumerate(rest) if not mask >> k & 1]))
+            return found
+
+        least = best(lengths)
+        assert least <= cost <= 1.35 * least

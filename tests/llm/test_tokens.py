@@ -19,3 +19,10 @@ def test_random_texts():
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(4000)] + [None, ""]
     encoder = tokens.PreTokens("byte_bpe_50k.json", list, lambda parts: [i for p in parts for i in p], limit=50)
     assert encoder.many(texts) == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_other_vocabularies_are_left_to_the_library():
+    encoder = tokens.PreTokens("word_bpe_49k.json", list, lambda parts: [i for p in parts for i in p])
+    texts = ["Hello World, it's 1 test", "  two   spaces ", "", None, "a\nb c\nd", "éÉ"]
+    assert not encoder.exact and tokens.PreTokens("byte_bpe_50k.json", len, sum).exact
+    assert encoder.many(texts) == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]

@@ -1,10 +1,8 @@
-"""What the operators of this subpackage share: reading tables, the shared folder, checkpoints, batch sizes."""
+"""What the operators of this subpackage share: reading tables, checkpoints, batch sizes, samples."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +10,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from treequarry.session import shared_folder, shared_root  # noqa: F401
+
 #: Rows and bytes of an Arrow batch handed to Python; a batch ends where it reaches either. Documents can be very long.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
@@ -59,25 +59,6 @@ def heads(df: DataFrame, rows: int, partitions: int = 16) -> Heads:
     return Heads(frozenset(i * n // some for i in range(some)), -(-rows // some))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, a temporary one."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if context._jsc.sc().getCheckpointDir().isDefined():
-            return context._jsc.sc().getCheckpointDir().get()
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="treequarry-")
-        context.setCheckpointDir(root)
-    return root
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared root."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: the lineage is cut, and the rows survive the loss of any executor."""
     spark = df.sparkSession
