@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 
+from tests.llm import test_near_copies as near
 from tests.llm.test_documents import plain_quality
 from tests.llm.test_passages_and_packing import check_bins, plain_removed
 from treequarry.llm import near_copies, substrings
@@ -14,15 +15,10 @@ pipeline = pytest.importorskip("corpus_pipeline")
 
 
 def plain_heads(pairs):
-    """The smallest doc_id of each component of the documents whose fingerprints are near enough, trying all pairs."""
-    prints = [(i, sum((f % (1 << 64)) << 64 * k for k, f in enumerate(near_copies.wide_simhash(t)))) for i, t in sorted(pairs)]
-    top = {i: i for i, _ in prints}
-    for _ in prints:
-        for i, a in prints:
-            for j, b in prints:
-                if (a ^ b).bit_count() <= near_copies.BITS:
-                    top[i] = top[j] = min(top[i], top[j])
-    return set(top.values())
+    """The smallest doc_id of each component of the documents that are similar enough, trying all pairs."""
+    pairs = sorted(pairs)
+    heads = near.plain_heads([t or "" for _, t in pairs])
+    return {pairs[k][0] for k in heads}
 
 
 def test_near_copies(spark):
