@@ -152,9 +152,9 @@ def test_patch_queue(spark):
     one = lambda i, old, new, at: (i, f"--- a/f\n+++ b/f\n@@ -{at} +{at} @@\n-{old}\n+{new}\n")
     table = spark.createDataFrame([("f", "a\nb\nc\n")], "path string, content string")
     lines = patches.parse(spark.createDataFrame([one(7, "a", "A", 1), one(8, "b", "B", 2), one(9, "A", "AA", 1)], "patch_id long, text string"))
-    queue, now = spark.createDataFrame([], "patch_id long, place long"), table
+    queue, now, lines = spark.createDataFrame([], "patch_id long, place long"), table, graph.checkpointed(lines)
     for i in (7, 8, 9):
-        now, queue = patches.patched(now, patches.apply(now, lines.filter(f"patch_id = {i}"))), patches.queued(queue, lines, i)
+        now, queue = graph.checkpointed(patches.patched(now, patches.apply(now, lines.filter(f"patch_id = {i}")))), graph.checkpointed(patches.queued(queue, lines, i))
     assert rows(now, "content") == [("AA\nB\nc\n",)] and rows(queue, "patch_id", "place") == [(7, 1), (8, 2), (9, 3)]
     back, short = patches.unapply(now, queue, lines)
     assert rows(back, "content") == [("A\nB\nc\n",)] and rows(short, "patch_id") == [(7,), (8,)]

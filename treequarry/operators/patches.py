@@ -146,6 +146,7 @@ def unapply(files: DataFrame, queue: DataFrame, patch_lines: DataFrame) -> tuple
     last = queue.orderBy(F.desc("place")).first()
     if last is None:
         return files, queue
+    files = checkpointed(files)
     back = apply(files, reverse(patch_lines.filter(F.col("patch_id") == last["patch_id"])))
     return patched(files, back), queue.filter(F.col("place") < last["place"])
 
@@ -159,6 +160,7 @@ def yank(files: DataFrame, queue: DataFrame, patch_lines: DataFrame, patch_id: i
     place = queue.filter(F.col("patch_id") == patch_id).first()
     if place is None:
         raise ValueError(f"no patch {patch_id} in the queue")
+    files, queue, patch_lines = checkpointed(files), checkpointed(queue), checkpointed(patch_lines)
     later = [r["patch_id"] for r in queue.filter(F.col("place") > place["place"]).orderBy("place").collect()]
     for back in [*reversed(later), patch_id]:
         files = checkpointed(patched(files, apply(files, reverse(patch_lines.filter(F.col("patch_id") == back)))))
