@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treequarry.llm import decontaminate, html_text, packing, quality, simhash, substrings, token_counts, token_files, urls, warc
+from treequarry.llm import decontaminate, html_text, packing, quality, simhash, substrings, token_counts, token_files, urls, vector_codes, warc
 from treequarry.llm.common import read_table
 
 
@@ -50,7 +50,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_token_files, op3_token_counts, op4_decontamination, op5_substring_dedup, op6_best_fit_packing, op7_simhash, op8_quality_rules, op9_url_filters, op10_html_extraction)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_token_files, op3_token_counts, op4_decontamination, op5_substring_dedup, op6_best_fit_packing, op7_simhash, op8_quality_rules, op9_url_filters, op10_html_extraction, op13_vector_codes)}
 
 LOWERED = f"translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}')"
 ITEM_WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -106,4 +110,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score > {urls.THRE
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle(), "op4_decontamination": DECONTAMINATION_SQL, "op8_quality_rules": QUALITY_SQL, "op9_url_filters": url_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle(), "op4_decontamination": DECONTAMINATION_SQL, "op8_quality_rules": QUALITY_SQL, "op9_url_filters": url_sql(), "op13_vector_codes": vector_codes.oracle()}
