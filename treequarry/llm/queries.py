@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treequarry.llm import bpe, decontaminate, html_text, packing, quality, simhash, substrings, token_counts, token_files, urls, vector_codes, warc
+from treequarry.llm import alignment, bpe, decontaminate, html_text, packing, quality, simhash, substrings, token_counts, token_files, urls, vector_codes, warc
 from treequarry.llm.common import read_table
 
 
@@ -54,11 +54,15 @@ def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(read_table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_token_files, op3_token_counts, op4_decontamination, op5_substring_dedup, op6_best_fit_packing, op7_simhash, op8_quality_rules, op9_url_filters, op10_html_extraction, op11_byte_level_bpe, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_token_files, op3_token_counts, op4_decontamination, op5_substring_dedup, op6_best_fit_packing, op7_simhash, op8_quality_rules, op9_url_filters, op10_html_extraction, op11_byte_level_bpe, op12_token_alignment, op13_vector_codes)}
 
 LOWERED = f"translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}')"
 ITEM_WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
