@@ -5,8 +5,8 @@ a row (piece, position, id). A step of the recursive query joins the rows, each
 table of merges, and contracts each piece's leftmost pair of the lowest rank; a piece leaves when none of its pairs
 merges. Decoding joins ids with the vocabulary and puts the bytes together by an ordered aggregate.
 
-Pieces repeat, so the ids of texts between spaces are kept in bounded caches of each worker; what is new in a batch
-goes into one query. Pieces of many bytes go into a query of their own that contracts every copy of a piece's lowest
+Pieces repeat, so the ids of texts between spaces are kept in a bounded cache of each worker (`units`); what is new in a
+batch goes into one query. Pieces of many bytes go into a query of their own that contracts every copy of a piece's lowest
 pair at once, where no contraction of it can make a lower one: then the order of contractions is the same, and the
 steps follow the number of different pairs, not the length.
 """
@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from treequarry.llm.common import small_batches, with_text
-from treequarry.llm.tokens import LONGEST, splits, tokenizer_path
+from treequarry.llm.tokens import tokenizer_path
+from treequarry.llm.units import CUT, Units, single_spaced
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Longer pieces, in bytes, go into the query for long ones.
@@ -38,7 +38,7 @@ WITH RECURSIVE step AS (
   SELECT key, id, false AS done FROM start
   UNION ALL (
     WITH neighbours AS (SELECT key, id, lead(key) OVER o AS next_key, lead(id) OVER o AS next_id, lag(key) OVER o AS before_key FROM step WHERE NOT done WINDOW o AS (ORDER BY key)),
-    pairs AS (SELECT key, id, before_key, merged FROM neighbours LEFT JOIN merges ON a = id AND b = next_id AND next_key >> 32 = key >> 32),
+    pairs AS (SELECT key, id, before_key, merged FROM neighbours LEFT JOIN merges ON both_ids = CASE WHEN next_key >> 32 = key >> 32 THEN id::BIGINT << 32 | next_id END),
     lowest AS (SELECT key >> 32 AS piece, min(merged::BIGINT << 32 | (key & 4294967295)) AS pair FROM pairs GROUP BY piece)
     SELECT key, CASE WHEN pair & 4294967295 = key & 4294967295 THEN merged ELSE id END, pair IS NULL
     FROM pairs JOIN lowest ON piece = key >> 32
@@ -51,8 +51,8 @@ WITH RECURSIVE step(key, id, done) USING KEY (key) AS (
   SELECT key, id, false AS done FROM start
   UNION ALL (
     WITH neighbours AS (SELECT key, id, lead(key) OVER o AS next_key, lead(id) OVER o AS next_id, row_number() OVER o AS nth FROM recurring.step WHERE NOT done AND id >= 0 WINDOW o AS (ORDER BY key)),
-    pairs AS (SELECT key, next_key, nth, merged, calm FROM neighbours LEFT JOIN merges ON a = id AND b = next_id AND next_key >> 32 = key >> 32),
-    lowest AS (SELECT key >> 32 AS piece, min(merged) AS pair, min(key) FILTER (merged IS NOT NULL) AS any_key FROM pairs GROUP BY piece),
+    pairs AS (SELECT key, next_key, nth, merged, calm FROM neighbours LEFT JOIN merges ON both_ids = CASE WHEN next_key >> 32 = key >> 32 THEN id::BIGINT << 32 | next_id END),
+    lowest AS (SELECT key >> 32 AS piece, min(merged) AS pair FROM pairs GROUP BY piece),
     copies AS (SELECT key, next_key, merged, calm, nth, row_number() OVER (PARTITION BY piece ORDER BY key) AS copy, piece FROM pairs JOIN lowest ON piece = key >> 32 WHERE merged = pair),
     chosen AS (SELECT key, next_key, merged FROM (SELECT *, row_number() OVER (PARTITION BY piece, nth - copy ORDER BY key) AS in_run FROM copies) WHERE CASE WHEN calm THEN in_run % 2 = 1 ELSE copy = 1 END)
     SELECT key, merged, false FROM chosen UNION ALL SELECT next_key, -1, false FROM chosen))
@@ -69,11 +69,11 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """Each pair of tokens that make a token: a, b, merged; `calm` where no pair with `merged` in it has a lower rank."""
+    """Each pair of tokens that make a token: both_ids (the first above 32 bits of the second), merged; `calm` where no pair with `merged` in it has a lower rank."""
     pairs = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
     a, b, merged = (np.array(x, np.int32) for x in (zip(*pairs, strict=True) if pairs else ([], [], [])))
     wild = np.unique(np.concatenate([a[merged < a], b[merged < b]]))
-    return pa.table({"a": a, "b": b, "merged": merged, "calm": ~np.isin(merged, wild)})
+    return pa.table({"both_ids": (a.astype(np.int64) << 32) + b, "merged": merged, "calm": ~np.isin(merged, wild)})
 
 
 class Coder:
@@ -132,77 +132,37 @@ class Coder:
         return out
 
 
-@dataclass
-class Kept:
-    """Ids of units (texts between spaces, or pieces) that have been encoded: a unit's number by its text, ids in one array."""
-
-    units: dict[str, int]
-    shown: list[str]  # ids as decimal numbers with commas
-    ends: np.ndarray  # of a unit's ids in `ids`; the first is 0
-    ids: np.ndarray
-
-    @classmethod
-    def empty(cls) -> Kept:
-        return cls({}, [], np.zeros(1, np.int64), np.zeros(0, np.int32))
-
-    def add(self, units: list[str], ids: list[np.ndarray]) -> None:
-        self.units.update(zip(units, range(len(self.shown), len(self.shown) + len(units)), strict=True))
-        self.shown += [",".join(map(str, x.tolist())) for x in ids]
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, *ids])
-
-    def of(self, numbers: list[int]) -> np.ndarray:
-        """The ids of units one after another."""
-        n = np.array(numbers, np.int64)
-        starts, lengths = self.ends[n], self.ends[n + 1] - self.ends[n]
-        total = np.cumsum(lengths)
-        return self.ids[np.repeat(starts - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)]
-
-
 class TextCoder:
-    """Ids of whole texts. A text in which no white space stands beside white space is cut at line ends and spaces first,
-    since a space belongs to what follows it and a line end stands alone; any other text goes to the pattern whole."""
+    """Ids of whole texts, by units where a text may be cut into them; any other text goes to the pattern whole."""
 
-    def __init__(self, name: str, limit: int = 400_000):
+    def __init__(self, name: str, limit: int = 1_000_000):
         import public_tokenizers
         import regex
 
-        self.coder, self.limit = Coder(name), limit
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.kept = Kept.empty()
-
-    def units(self, text: str) -> list[str]:
-        lines = [line.split(" ") for line in text.split("\n")]
-        if not all(splits(chunk) for line in lines for chunk in line):
-            return self.cut(text)
-        out = []
-        for first, *rest in lines:
-            out.append(first)
-            out += [" " + chunk for chunk in rest]
-            out.append("\n")
-        return out[:-1]
+        self.coder = Coder(name)
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.units = Units(limit, ids=np.int32)
 
     def many(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
         """Of each text its ids, and the same as decimal numbers with commas; null counts as empty."""
-        if len(self.kept.units) > self.limit:
-            self.kept = Kept.empty()
-        cut = [self.units(t) if t else [] for t in texts]
-        new = sorted({u for units in cut for u in units if u not in self.kept.units})
-        pieces = [self.cut(u) for u in new]
-        distinct = sorted({p for ps in pieces for p in ps})
-        ids = dict(zip(distinct, self.coder.encode([p.encode("utf-8") for p in distinct]), strict=True))
-        self.kept.add(new, [ids[ps[0]] if len(ps) == 1 else np.concatenate([ids[p] for p in ps]) for ps in pieces])
-        kept, out = self.kept, []
-        for units in cut:
-            numbers = list(map(kept.units.__getitem__, units))
-            out.append((kept.of(numbers), ",".join(map(kept.shown.__getitem__, numbers))))
-        self._forget([u for u in new if len(u) > LONGEST])
-        return out
-
-    def _forget(self, long: list[str]) -> None:
-        """Very long units would fill the cache with what never comes again."""
-        if sum(map(len, long)) > 1 << 20:
-            self.kept = Kept.empty()
+        units = self.units
+        cut = [[] if not t else CUT(t) if single_spaced(t) else self.pieces(t) for t in texts]
+        new = units.missing(cut)
+        pieces = [self.pieces(u) for u in new]
+        distinct = list(set().union(*pieces))
+        of_piece = dict(zip(distinct, self.coder.encode([p.encode("utf-8") for p in distinct]), strict=True))
+        ids = [of_piece[ps[0]] if len(ps) == 1 else np.concatenate([of_piece[p] for p in ps]) for ps in pieces]
+        if new:
+            flat, lengths = np.concatenate(ids), [len(x) for x in ids]
+            signs, ends = list(map(str, flat.tolist())), np.cumsum(lengths).tolist()
+            units.add(new, [",".join(signs[end - n : end]) for end, n in zip(ends, lengths, strict=True)], ids=(flat, lengths))
+        return [(units.arrays["ids"].of(numbers)[0], ",".join(map(units.shown.__getitem__, numbers.tolist()))) for numbers in units.of(cut)]
+
+
+@lru_cache(maxsize=1)
+def text_coder(name: str) -> TextCoder:
+    """One for all tasks of a worker, so that what it has kept goes on being of use."""
+    return TextCoder(name)
 
 
 def encoded(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -211,7 +171,7 @@ def encoded(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextCoder(ranks)
+        coder = text_coder(ranks)
         for batch in batches:
             found = coder.many(batch.column("text").to_pylist())
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.array([ids for ids, _ in found], pa.list_(pa.int32()))})
@@ -224,7 +184,7 @@ def decoded(tokens: DataFrame, ranks: str = RANKS) -> DataFrame:
     small_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(ranks)
+        coder = text_coder(ranks).coder
         for batch in batches:
             ids = [np.array([] if x is None else [i for i in x if i is not None], np.int32) for x in batch.column("ids").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "bytes": pa.array(coder.decode(ids), pa.binary())})
@@ -244,7 +204,7 @@ def round_trip(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
     digest = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextCoder(ranks)
+        coder = text_coder(ranks)
         for batch in batches:
             found = coder.many(batch.column("text").to_pylist())
             texts = coder.coder.decode([ids for ids, _ in found])
