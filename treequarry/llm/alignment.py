@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treequarry.llm.common import shared_folder, small_batches, with_text
-from treequarry.llm.tokens import BYTE_SIGNS, LONGEST, byte_level, splits, tokenizer_path
+from treequarry.llm.tokens import BYTE_SIGNS, byte_level, tokenizer_path
+from treequarry.llm.units import CUT, Units, single_spaced
 
 SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs in the broadcast table at most.
 BROADCAST_PAIRS = 200_000
+#: Links of a group that are written out before they are counted.
+FEW_LINKS = 64
 #: The sign of a space in pieces.
 SPACE = "▁"
 
@@ -76,88 +80,121 @@ class SideB:
         return [ids if t[:1] == " " else ids[len(self.line_end) :] for t, ids in zip(texts, found, strict=True)]
 
 
-def groups_of(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
-    """Of each group, where it ends among the tokens of either side. The bytes of both sides together are the same."""
-    out, i, j, end_a, end_b = [], 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b and i < len(a):
-            end_a += len(a[i])
-            i += 1
-        else:
-            end_b += len(b[j])
-            j += 1
-        if end_a == end_b:
-            out.append((i, j))
-    return out
+def merged_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two pointers over ascending token ends of either side: the places in `a` and in `b` of each end that both have.
 
+    A step of the pointers is a step through both sides merged in order; equal ends stand beside each other there.
+    """
+    both = np.concatenate([a, b])
+    order = np.argsort(both, kind="stable")  # of two ascending runs: one merge
+    met = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+    return order[met], order[met + 1] - len(a)
 
-class Aligned:
-    """The alignment of a text or part: its groups as text, numbers of tokens, groups and links, pairs and how often."""
 
-    __slots__ = ("groups", "numbers", "pairs", "times")
+@dataclass
+class Aligned:
+    """The alignment of a text: its groups as text, numbers of tokens, groups and links, pairs and how often each is linked."""
 
-    def __init__(self, groups: str, numbers: tuple[int, int, int, int], pairs: list[int], times: list[int]):
-        self.groups, self.numbers, self.pairs, self.times = groups, numbers, pairs, times
+    groups: str
+    numbers: tuple[int, int, int, int]
+    pairs: np.ndarray
+    times: np.ndarray
 
 
 class Aligner:
-    def __init__(self, side_a: str, side_b: str, limit: int = 300_000):
-        self.a, self.b, self.limit = SideA(side_a), SideB(side_b), limit
-        self.kept: dict[str, Aligned | None] = {}
+    def __init__(self, side_a: str, side_b: str, limit: int = 500_000):
+        self.a, self.b = SideA(side_a), SideB(side_b)
+        self.cuts = self.a.cuts and self.b.cuts
+        self.bytes_a, self.bytes_b = self.a.bytes, self.b.bytes
+        #: of each part: n_a, n_b, n_groups, n_links, and whether the bytes of both sides are its own
+        self.known = Units(limit, numbers=np.int64, pairs=np.int64, times=np.int64)
 
     def parts(self, text: str) -> list[str]:
         """What is aligned for itself; together they are the text with a space before it."""
-        if self.a.cuts and self.b.cuts:
-            lines = [line.split(" ") for line in text.split("\n")]
-            if all(splits(chunk) for line in lines for chunk in line):
-                out = [" " + lines[0][0], *(" " + chunk for chunk in lines[0][1:])]
-                for first, *rest in lines[1:]:
-                    out += ["\n", first]
-                    out += [" " + chunk for chunk in rest]
-                return out
-        return [" " + text]
-
-    def align(self, part: str, a: list[int], b: list[int]) -> Aligned | None:
-        bytes_a, bytes_b = [self.a.bytes[i] for i in a], [self.b.bytes[i] for i in b]
-        whole = part.encode("utf-8", "surrogatepass")
-        if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
-            return None
-        links: Counter[int] = Counter()
-        shown, n_links, i, j = [], 0, 0, 0
-        ends = groups_of(bytes_a, bytes_b)
-        for i_end, j_end in ends:
-            own_a, own_b = a[i:i_end], b[j:j_end]
-            shown.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            n_links += len(own_a) * len(own_b)
-            times_b = Counter(own_b)
-            for x, n in Counter(own_a).items():
-                for y, m in times_b.items():
-                    links[x << 32 | y] += n * m
-            i, j = i_end, j_end
-        return Aligned(";".join(shown), (len(a), len(b), len(ends), n_links), list(links), list(links.values()))
+        return CUT(" " + text) if self.cuts and single_spaced(text) else [" " + text]
+
+    def learn(self, parts: list[str]) -> None:
+        """Align parts, all at once: their tokens stand one after another on both sides."""
+        ids_a, ids_b = self.a.encode(parts), self.b.encode(parts)
+        for k, part in enumerate(parts):
+            own = part.encode("utf-8")
+            if b"".join([self.bytes_a[i] for i in ids_a[k]]) != own or b"".join([self.bytes_b[i] for i in ids_b[k]]) != own:
+                ids_a[k] = ids_b[k] = ()
+        counts_a, counts_b = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
+        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
+        ends_a, ends_b = (np.cumsum(np.fromiter((len(of[i]) for i in ids.tolist()), np.int64, len(ids))) for of, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        last_a, last_b = merged_ends(ends_a, ends_b)
+        sizes_a, sizes_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        first_a, first_b = last_a + 1 - sizes_a, last_b + 1 - sizes_b
+        part_of = np.searchsorted(np.cumsum(counts_a), last_a, "right")
+        pairs, times, pair_part = self._links(a, b, first_a, first_b, sizes_a, sizes_b, part_of)
+        n_groups = np.bincount(part_of, minlength=len(parts))
+        n_links = np.zeros(len(parts), np.int64)
+        np.add.at(n_links, part_of, sizes_a * sizes_b)
+        right = np.array([len(x) > 0 for x in ids_a])
+        numbers = np.stack([counts_a, counts_b, n_groups, n_links, right], axis=1)
+        per_part = np.bincount(pair_part, minlength=len(parts))
+        self.known.add(parts, self._shown(a, b, last_a, last_b, first_a, first_b, counts_a + counts_b), numbers=(numbers.ravel(), [5] * len(parts)), pairs=(pairs, per_part), times=(times, per_part))
+
+    @staticmethod
+    def _links(a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, part_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs with their times and parts, in the order of the parts. Groups of few links give each; others count ids first."""
+        sizes = sizes_a * sizes_b
+        few = np.flatnonzero(sizes <= FEW_LINKS)
+        total = np.cumsum(sizes[few])
+        group = np.repeat(few, sizes[few])
+        nth = np.arange(total[-1] if len(few) else 0) - np.repeat(total - sizes[few], sizes[few])
+        x, y = a[first_a[group] + nth // sizes_b[group]], b[first_b[group] + nth % sizes_b[group]]
+        pairs, times, parts = [x << 32 | y], [np.ones(len(x), np.int64)], [part_of[group]]
+        for g in np.flatnonzero(sizes > FEW_LINKS).tolist():
+            x, n = np.unique(a[first_a[g] : first_a[g] + sizes_a[g]], return_counts=True)
+            y, m = np.unique(b[first_b[g] : first_b[g] + sizes_b[g]], return_counts=True)
+            pairs.append((x[:, None] << 32 | y).ravel())
+            times.append((n[:, None] * m).ravel())
+            parts.append(np.full(len(x) * len(y), part_of[g]))
+        part = np.concatenate(parts)
+        order = np.argsort(part, kind="stable")
+        return np.concatenate(pairs)[order], np.concatenate(times)[order], part[order]
+
+    @staticmethod
+    def _shown(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, tokens: np.ndarray) -> list[str]:
+        """The groups of each part as text, each with its end sign. In a group the tokens of A come before those of B."""
+        place_a = np.arange(len(a)) + first_b[np.searchsorted(last_a, np.arange(len(a)))] if len(a) else a
+        place_b = np.arange(len(b)) + last_a[np.searchsorted(last_b, np.arange(len(b)))] + 1 if len(b) else b
+        signs = np.empty(len(a) + len(b), object)
+        sign_a, sign_b = np.full(len(a), ","), np.full(len(b), ",")
+        sign_a[last_a], sign_b[last_b] = "|", ";"
+        signs[place_a] = [f"{i}{s}" for i, s in zip(a.tolist(), sign_a.tolist(), strict=True)]
+        signs[place_b] = [f"{i}{s}" for i, s in zip(b.tolist(), sign_b.tolist(), strict=True)]
+        flat, ends = signs.tolist(), np.cumsum(tokens).tolist()
+        return ["".join(flat[end - n : end]) for end, n in zip(ends, tokens.tolist(), strict=True)]
 
     def many(self, texts: list[str | None]) -> list[Aligned | None]:
         """Of each text its alignment; None where it is null or empty, or where the bytes of a side are not the text's."""
-        if len(self.kept) > self.limit:
-            self.kept = {}
+        known = self.known
         cut = [self.parts(t) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.kept})
-        found = dict(zip(new, map(self.align, new, self.a.encode(new), self.b.encode(new)), strict=True))
-        self.kept.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
-        look = self.kept if all(len(p) <= LONGEST for p in new) else self.kept | found
-        return [self.joined([look[p] for p in parts]) if parts else None for parts in cut]
-
-    @staticmethod
-    def joined(parts: list[Aligned | None]) -> Aligned | None:
-        if None in parts:
+        new = known.missing(cut)
+        if new:
+            self.learn(new)
+        return [self.joined(numbers) if len(numbers) else None for numbers in known.of(cut)]
+
+    def joined(self, parts: np.ndarray) -> Aligned | None:
+        arrays = self.known.arrays
+        numbers = arrays["numbers"].of(parts)[0].reshape(-1, 5)
+        if not numbers[:, 4].all():
             return None
-        pairs = np.array([x for p in parts for x in p.pairs], np.int64)
-        times = np.array([x for p in parts for x in p.times], np.int64)
+        pairs, times = arrays["pairs"].of(parts)[0], arrays["times"].of(parts)[0]
         order = np.argsort(pairs, kind="stable")
         pairs, times = pairs[order], times[order]
         first = np.flatnonzero(np.diff(pairs, prepend=-1))
-        numbers = tuple(map(sum, zip(*(p.numbers for p in parts), strict=True)))
-        return Aligned(";".join([p.groups for p in parts]), numbers, pairs[first], np.add.reduceat(times, first))
+        groups = "".join(map(self.known.shown.__getitem__, parts.tolist()))
+        return Aligned(groups[:-1], tuple(numbers[:, :4].sum(axis=0).tolist()), pairs[first], np.add.reduceat(times, first))
+
+
+@lru_cache(maxsize=1)
+def aligner(side_a: str, side_b: str) -> Aligner:
+    """One for all tasks of a worker, so that what it has kept goes on being of use."""
+    return Aligner(side_a, side_b)
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -172,12 +209,11 @@ def alignments(documents: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B,
     """
     with_text(documents)
     small_batches(documents.sparkSession)
-    none = Aligned("", (0, 0, 0, 0), [], [])
+    none = Aligned("", (0, 0, 0, 0), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(side_a, side_b)
         for batch in batches:
-            found = [x or none for x in aligner.many(list(batch["text"]))]
+            found = [x or none for x in aligner(side_a, side_b).many(list(batch["text"]))]
             out = pd.DataFrame({"doc_id": batch["doc_id"].array} | {name: [x.numbers[k] for x in found] for k, name in enumerate(NUMBERS)})
             out["groups_sha256"] = [hashlib.sha256(x.groups.encode("ascii")).hexdigest() if x.groups else "" for x in found]
             out["pair"], out["times"] = [x.pairs for x in found], [x.times for x in found]
