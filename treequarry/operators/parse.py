@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treequarry.functions import paths as P
+from treequarry.operators import intervals
 
 #: language -> kind -> a pattern whose first group is the name.
 DEFINITIONS = {
@@ -151,8 +152,8 @@ def calls(lines: DataFrame) -> DataFrame:
 def calls_with_callers(lines: DataFrame) -> DataFrame:
     """path, caller, callee, line_no; caller is the innermost function around the call, null outside of all."""
     found = calls(lines)
-    functions = definitions(lines).filter("kind = 'Function'").select(F.col("path").alias("d_path"), F.col("name").alias("caller"), "line_start", "line_end")
-    held = (F.col("path") == F.col("d_path")) & F.col("line_no").between(F.col("line_start"), F.col("line_end"))
-    ordered = found.groupBy("path", "callee", "line_no").agg(F.count("*").alias("times")).join(functions, held, "left")
-    best = ordered.groupBy("path", "callee", "line_no", "times").agg(F.max(F.struct("line_start", "caller")).alias("best"))
+    functions = definitions(lines).filter("kind = 'Function'").select("path", F.col("name").alias("caller"), "line_start", "line_end")
+    times = found.groupBy("path", "callee", "line_no").agg(F.count("*").alias("times"))
+    around = intervals.held(found.select("path", "line_no").distinct(), functions, "path", "line_no", "line_start", "line_end").groupBy("path", "line_no").agg(F.max(F.struct("line_start", "caller")).alias("best"))
+    best = times.join(around, ["path", "line_no"], "left")
     return best.select("path", F.col("best.caller").alias("caller"), "callee", "line_no", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("_n")).drop("_n")

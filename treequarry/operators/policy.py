@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treequarry.operators import intervals
 from treequarry.operators.graph import checkpointed
 
 #: Regular expressions of a broadcast; rows of paths with the entries that fit them, up to which these are broadcast.
@@ -65,7 +66,7 @@ def overlaps(ranges: DataFrame) -> DataFrame:
 
 def range_hashes(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     """path, s, e, content, hash (its first 7 digits) of what each range hides."""
-    held = lines.join(ranges.withColumnRenamed("path", "r_path"), (F.col("path") == F.col("r_path")) & F.col("line_no").between(F.col("s"), F.col("e")))
+    held = lines.join(intervals.numbers(ranges, lines, "path", "s", "e", "line_no"), ["path", "line_no"])
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
     return held.groupBy("path", "s", "e").agg(content.alias("content")).withColumn("hash", F.substring(F.sha2("content", 256), 1, 7))
 
@@ -77,9 +78,9 @@ def marker(start: Column, end: Column, line: Column, digest: Column) -> Column:
 
 def rendered(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     """Lines (path, line_no, text) with markers in place of what the ranges hide."""
-    hashed = range_hashes(lines, ranges).select(F.col("path").alias("r_path"), "s", "e", "hash")
-    joined = lines.join(hashed, (F.col("path") == F.col("r_path")) & F.col("line_no").between(F.col("s"), F.col("e")), "left")
-    shown = F.when(F.col("r_path").isNull(), F.col("text")).otherwise(marker(F.col("s"), F.col("e"), F.col("line_no"), F.col("hash")))
+    hashed = range_hashes(lines, ranges).select("path", "s", "e", "hash")
+    joined = lines.join(intervals.numbers(hashed, lines, "path", "s", "e", "line_no"), ["path", "line_no"], "left")
+    shown = F.when(F.col("hash").isNull(), F.col("text")).otherwise(marker(F.col("s"), F.col("e"), F.col("line_no"), F.col("hash")))
     return joined.select("path", "line_no", shown.alias("text"))
 
 
@@ -116,8 +117,7 @@ def sliced(lines: DataFrame, first: int, last: int) -> DataFrame:
 
 def windowed_positions(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     """Hidden lines with their place in the range, from 0."""
-    r = ranges.withColumnRenamed("path", "r_path")
-    return lines.join(r, (F.col("path") == F.col("r_path")) & F.col("line_no").between(F.col("s"), F.col("e"))).select("path", "line_no", (F.col("line_no") - F.col("s")).alias("position"))
+    return lines.join(intervals.numbers(ranges, lines, "path", "s", "e", "line_no"), ["path", "line_no"]).select("path", "line_no", (F.col("line_no") - F.col("s")).alias("position"))
 
 
 def latest(rows: DataFrame, key: str, by: str) -> DataFrame:

@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treequarry.operators import intervals
+
 
 def method_owners(functions: DataFrame, classes: DataFrame) -> DataFrame:
     """file, name, line_start, ordinal, owner: the tightest class that holds a function, the first of equals; else null.
 
     functions: file, name, line_start, line_end, ordinal; classes: file, name, line_start, line_end.
     """
-    c = classes.select(F.col("file").alias("c_file"), F.col("name").alias("c_name"), F.col("line_start").alias("c_start"), F.col("line_end").alias("c_end"))
-    held = (F.col("file") == F.col("c_file")) & (F.col("line_start") >= F.col("c_start")) & (F.col("line_end") <= F.col("c_end"))
+    c = classes.select("file", F.col("name").alias("c_name"), F.col("line_start").alias("c_start"), F.col("line_end").alias("c_end"))
     rank = F.struct((F.col("c_end") - F.col("c_start")).alias("span"), "c_start", "c_name")
     key = ["file", "name", "line_start", "ordinal"]
-    return functions.join(c, held, "left").groupBy(*key).agg(F.min(F.when(F.col("c_name").isNotNull(), rank)).alias("best")).select(*key, F.col("best.c_name").alias("owner"))
+    found = intervals.held(functions.select(*key, "line_end").distinct(), c, "file", "line_start", "c_start", "c_end").filter("line_end <= c_end")
+    best = found.select(*key, rank.alias("rank")).unionByName(functions.select(*key, F.lit(None).cast("struct<span:bigint,c_start:bigint,c_name:string>").alias("rank")))
+    return best.groupBy(*key).agg(F.min("rank").alias("best")).select(*key, F.col("best.c_name").alias("owner"))
 
 
 def enclosing_symbol(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """Points (file, line) with the function around them; of several, the last in the file's list; null outside of all."""
-    s = symbols.filter("kind = 'Function'").select(F.col("file").alias("s_file"), F.col("name").alias("s_name"), "line_start", "line_end", "ordinal")
-    held = (F.col("file") == F.col("s_file")) & F.col("line").between(F.col("line_start"), F.col("line_end"))
-    return points.join(s, held, "left").groupBy("file", "line").agg(F.max(F.when(F.col("s_name").isNotNull(), F.struct("ordinal", "s_name"))).alias("best")).select("file", "line", F.col("best.s_name").alias("caller"))
+    s = symbols.filter("kind = 'Function'").select("file", F.col("name").alias("s_name"), "line_start", "line_end", "ordinal")
+    wanted = points.select("file", "line").distinct()
+    found = intervals.held(wanted, s, "file", "line", "line_start", "line_end").select("file", "line", "ordinal", "s_name")
+    both = found.unionByName(wanted.select("file", "line", F.lit(None).cast(found.schema["ordinal"].dataType).alias("ordinal"), F.lit(None).cast("string").alias("s_name")))
+    best = F.max(F.when(F.col("s_name").isNotNull(), F.struct("ordinal", "s_name")))
+    return both.groupBy("file", "line").agg(best.alias("best")).select("file", "line", F.col("best.s_name").alias("caller"))
 
 
 def look_up(names: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -68,10 +74,11 @@ def gaps(ranges: DataFrame) -> DataFrame:
 
 def aligned(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Ranges (file, s, e) widened to the tightest symbol around them, where there is one."""
-    sym = symbols.select(F.col("file").alias("s_file"), "line_start", "line_end")
-    held = (F.col("file") == F.col("s_file")) & (F.col("line_start") <= F.col("s")) & (F.col("e") <= F.col("line_end"))
-    best = F.min(F.when(F.col("s_file").isNotNull(), F.struct((F.col("line_end") - F.col("line_start")).alias("span"), "line_start", "line_end")))
-    return ranges.join(sym, held, "left").groupBy("file", "s", "e").agg(best.alias("b")).select("file", "s", "e", F.coalesce("b.line_start", "s").alias("from_line"), F.coalesce("b.line_end", "e").alias("to_line"))
+    wanted = ranges.select("file", "s", "e").distinct()
+    found = intervals.held(wanted, symbols.select("file", "line_start", "line_end"), "file", "s", "line_start", "line_end").filter("e <= line_end")
+    tightest = found.groupBy("file", "s", "e").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("span"), "line_start", "line_end")).alias("b"))
+    # an equi join on the whole range, so that ranges without a symbol stay
+    return wanted.join(tightest, ["file", "s", "e"], "left").select("file", "s", "e", F.coalesce("b.line_start", "s").alias("from_line"), F.coalesce("b.line_end", "e").alias("to_line"))
 
 
 def with_attribute(symbols: DataFrame, part: str) -> DataFrame:

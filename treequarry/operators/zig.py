@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treequarry.operators import lexed
+from treequarry.operators import intervals, lexed
 
 #: Kinds of containers by their words; a word before them may say how they are laid out.
 CONTAINERS = {"struct": "Struct", "enum": "Enum", "union": "Class"}
@@ -76,6 +76,6 @@ def calls(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     tokens = parsed(files) if tokens is None else tokens
     found = tokens.filter((F.col("kind") == "word") & (F.col("after.text") == "(") & ~F.col("text").isin(NO_CALLS) & ~F.col("text").startswith("@")).filter(~F.coalesce(F.col("before.text").isin(".", "fn"), F.lit(False)))
     found = found.select("path", "at", F.col("text").alias("callee"), "line_no")
-    held = functions(files, tokens).select(F.col("path").alias("f_path"), "name", "line_start", "line_end")
-    joined = found.join(held, (F.col("path") == F.col("f_path")) & F.col("line_no").between(F.col("line_start"), F.col("line_end")), "left")
-    return joined.groupBy("path", "at", "callee", "line_no").agg(F.max(F.struct("line_start", "name"))["name"].alias("caller")).select("path", "caller", "callee", "line_no")
+    held = functions(files, tokens).select("path", "name", "line_start", "line_end")
+    around = intervals.held(found.select("path", "line_no").distinct(), held, "path", "line_no", "line_start", "line_end").groupBy("path", "line_no").agg(F.max(F.struct("line_start", "name"))["name"].alias("caller"))
+    return found.join(around, ["path", "line_no"], "left").select("path", "caller", "callee", "line_no")
