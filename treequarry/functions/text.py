@@ -50,10 +50,9 @@ def mode_text(bits: Column) -> Column:
 
 
 def version_parts(version: Column) -> Column:
-    """Three numbers, without a leading v and what follows a hyphen; null if it has another form."""
-    plain = F.regexp_replace(F.regexp_replace(version, "^v", ""), "-.*$", "")
-    numbers = F.transform(F.split(plain, r"\."), lambda x: x.try_cast("long"))
-    return F.when(plain.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), numbers)
+    """Three numbers, without a leading v; each part ends at its first hyphen. Null with more or fewer parts, as `1.0.0-rc.1` has."""
+    parts = F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: F.substring_index(x, "-", 1))
+    return F.when((F.size(parts) == 3) & F.forall(parts, lambda x: x.rlike("^[0-9]+$")), F.transform(parts, lambda x: x.try_cast("long")))
 
 
 def is_newer(version: Column, than: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Sources as rows of tokens, with their brackets matched: what the parsers of `typescript`, `golang` and `zig` stand on.
+"""Sources as rows of tokens, with their brackets matched: what the parsers of `typescript`, `golang`, `zig` and of style sheets stand on.
 
 A file is cut into tokens, which become rows; everything after that is window functions over a file's tokens. A bracket
 and its partner are neighbours among the brackets of their level, and the innermost bracket around a token is the last
@@ -22,6 +22,7 @@ WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
 #: Patterns of all tokens, in Java's syntax; what none of them takes is a sign of one character.
 PATTERNS = {
     "go": rf"""\s+|//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|"(?:[^"\\\n]|\\.)*"?|`[^`]*`?|'(?:[^'\\\n]|\\.)*'?|{WORD}|\d[\w.]*|\.\.\.|:=|<-|(?s:.)""",
+    "css": r"""\s+|/\*(?s:.*?)(?:\*/|\z)|"(?:[^"\\\n]|\\(?s:.))*"?|'(?:[^'\\\n]|\\(?s:.))*'?|(?i:url)\(\s*[^\s"'()][^"'()]*\)|\\(?s:.)|[^\s{};"'/\\]+|(?s:.)""",
     "zig": rf"""\s+|//[^\n]*|\\\\[^\n]*|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|@?{WORD}|@"(?:[^"\\\n]|\\.)*"?|\d\w*|=>|(?s:.)""",
 }
 
@@ -48,7 +49,7 @@ def tokens(files: DataFrame, language: str) -> DataFrame:
     return _rows(cut.withColumn("kind", kind_of(F.col("text"))))
 
 
-def nested(rows: DataFrame) -> DataFrame:
+def nested(rows: DataFrame, opening: list[str] = OPEN, closing: list[str] = CLOSE) -> DataFrame:
     """Tokens without white space and comments, with what stands around them.
 
     level (brackets around the token), inside (the innermost of them: at, text, and the token before it), partner (of a bracket: at,
@@ -57,7 +58,7 @@ def nested(rows: DataFrame) -> DataFrame:
     solid = rows.filter(~F.col("kind").isin("space", "comment"))
     order = Window.partitionBy("path").orderBy("at")
     sign = F.col("kind") == "sign"
-    opens, closes = sign & F.col("text").isin(OPEN), sign & F.col("text").isin(CLOSE)
+    opens, closes = sign & F.col("text").isin(opening), sign & F.col("text").isin(closing)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     beside = F.struct("text", "kind", "line_no", "at")
     level = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far)

@@ -1,20 +1,29 @@
 """Blocks of HTML, style sheets, XML and Markdown as rows: path, name, line_start, line_end.
 
-Markup is read by patterns over a file's text, with lines counted from the line ends before each block. Style rules may hold
-one level of blocks within. Markdown is read line by line with windows.
+Scripts, styles and roots are read by patterns over a file's text, with lines counted from the line ends before each block.
+Elements at the top are found by one pass over a file's tags, style rules from rows of tokens, so braces in strings,
+comments and addresses do not count. Markdown is read line by line with windows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treequarry.operators import lexed
+
 #: What stands before a block, and the block.
 HTML_BLOCKS = r"(?is)(.*?)(<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>)"
-CSS_BLOCKS = r"(?s)(\s*(?:/\*.*?\*/\s*)*)([^{};/]+(?:\{(?:[^{}]|\{[^{}]*\})*\}|;))"
 XML_ROOT = r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)*<([A-Za-z_][A-Za-z0-9_.:-]*)"
-#: Elements that open a level of an HTML file.
-LEVELS = "html head body div section article aside main nav header footer table ul ol dl form template"
+#: A comment or declaration, a script or style with its text, or a tag: its slash, name, and slash at the end.
+TAGS = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)(?:[^"'>]|"[^"]*"|'[^']*')*?(/?)>""", re.I | re.S)
+#: Fixed values of HTML: elements without content, and elements whose tags end a paragraph.
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+ENDS_PARAGRAPH = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 TAILWIND = ("@tailwind", "@apply", "@layer")
 
 
@@ -39,27 +48,61 @@ def _blocks(files: DataFrame, pattern: str) -> DataFrame:
     return rows.withColumn("head", head.cast("int")).withColumn("line_start", (above + 1).cast("long")).select("path", body.alias("block"), "line_start", (F.col("line_start") + _line_ends(body)).cast("long").alias("line_end"))
 
 
+def top_elements(content: str) -> Iterator[tuple[int, int]]:
+    """First and last line of each element outside of all others; one that nothing closes ends with the text."""
+    open_name, depth, began, line, counted = None, 0, 0, 1, 0
+    for tag in TAGS.finditer(content):
+        closes, name, alone = tag[2], (tag[3] or "").lower(), tag[4]
+        if not name:
+            continue
+        line += content.count("\n", counted, tag.start())
+        last = line + tag[0].count("\n")
+        if open_name == "p" and not closes and name in ENDS_PARAGRAPH:
+            yield began, 1 + content[: tag.start()].rstrip().count("\n")
+            open_name = None
+        if open_name is None:
+            if not closes and (alone or name in VOID):
+                yield line, last
+            elif not closes:
+                open_name, depth, began = name, 1, line
+        elif name == open_name and not alone:
+            depth += -1 if closes else 1
+            if depth == 0:
+                yield began, last
+                open_name = None
+        line, counted = last, tag.end()
+    if open_name is not None:
+        yield began, 1 + content.rstrip().count("\n")
+
+
+def _tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(path, "<element>", a, b) for path, content in zip(batch["path"], batch["content"], strict=True) for a, b in top_elements(content)]
+        yield pd.DataFrame(rows, columns=["path", "name", "line_start", "line_end"])
+
+
 def html_blocks(files: DataFrame) -> DataFrame:
     """`<element>` for each element at the top, `<script>` and `<style>` for each of their blocks, wherever they are."""
     inner = _blocks(files, HTML_BLOCKS).select("path", F.when(F.col("block").rlike("(?i)^<script"), "<script>").otherwise("<style>").alias("name"), "line_start", "line_end")
-    shown = F.regexp_replace("content", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
-    level = f"(?i)<(/?)(?:{'|'.join(LEVELS.split())})\\b"
-    # tags keep the line ends before them, so places are counted in the whole text with its blocks left out but for these
-    kept = files.select("path", "content", F.regexp_extract_all(shown, F.lit(level), 1).alias("tags"))
-    depth = F.aggregate("tags", F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("tops")), lambda s, t: F.struct(F.greatest(s["depth"] + F.when(t == "/", -1).otherwise(1), F.lit(0)).alias("depth"), (s["tops"] + F.when((t != "/") & (s["depth"] == 0), 1).otherwise(0)).alias("tops")))
-    tops = kept.withColumn("tops", depth["tops"]).filter("tops > 0")
-    first = _line_ends(F.regexp_extract("content", f"(?is)^(.*?)<(?:{'|'.join(LEVELS.split())})\\b", 1)) + 1
-    last = _line_ends(F.regexp_replace("content", r"\s+\z", "")) + 1
-    # where there are several, only the first one's beginning and the last one's end are known
-    rows = tops.select("path", F.explode(F.sequence(F.lit(1).cast("long"), "tops")).alias("k"), first.alias("line_start"), last.alias("line_end"))
-    return rows.select("path", F.lit("<element>").alias("name"), "line_start", "line_end").unionByName(inner)
+    tops = files.filter("content is not null").select("path", "content").mapInPandas(_tops, "path string, name string, line_start long, line_end long")
+    return tops.unionByName(inner)
 
 
 def css_blocks(files: DataFrame) -> DataFrame:
-    """A row for each rule at the top, named by its selectors, and for each at-rule, named by its keyword."""
-    keyword = F.regexp_extract("block", r"^(@[A-Za-z-]+)", 1)
-    named = F.when(keyword == "", shortened(F.regexp_extract("block", r"(?s)^([^{;]*)", 1))).when(keyword.isin(*TAILWIND), F.concat(keyword, F.lit(" (Tailwind)"))).otherwise(keyword)
-    return _blocks(files, CSS_BLOCKS).filter(F.col("block").rlike(r"\{|^@")).select("path", named.alias("name"), "line_start", "line_end")
+    """A row for each rule at the top, named by its selectors, and for each at-rule, named by its keyword.
+
+    A statement ends with the brace that closes its block, or with a `;` outside of all blocks.
+    """
+    tokens = lexed.nested(lexed.tokens(files, "css"), ["{"], ["}"]).filter("level = 0")
+    order = Window.partitionBy("path").orderBy("at")
+    ends = (F.col("kind") == "sign") & F.col("text").isin("}", ";")
+    rows = tokens.withColumn("ends", ends).withColumn("nth", F.coalesce(F.sum(ends.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    head = F.min(F.when(F.col("opens") | F.col("ends"), F.col("start")))
+    found = rows.groupBy("path", "nth").agg(F.min("start").alias("from"), head.alias("to"), F.min("line_no").alias("line_start"), F.max("end_line").alias("line_end"), F.max("opens").alias("block"), F.max("ends").alias("ended"))
+    named = lexed.sliced(found.filter("ended"), files, head=(F.col("from"), F.col("to")))
+    keyword = F.regexp_extract("head", r"^(@[A-Za-z-]+)", 1)
+    name = F.when(keyword == "", shortened(F.col("head"))).when(keyword.isin(*TAILWIND), F.concat(keyword, F.lit(" (Tailwind)"))).otherwise(keyword)
+    return named.filter(F.col("block") | (keyword != "")).select("path", name.alias("name"), "line_start", "line_end")
 
 
 def xml_roots(files: DataFrame) -> DataFrame:

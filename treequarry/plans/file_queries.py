@@ -142,13 +142,13 @@ def f18_hash_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.objects(spark, sf_dir).select("doc_id", cut.alias("hash")).withColumn("valid", T.is_hash(F.col("hash")))
 
 
-_version = "p_size % 3 || '.' || p_partkey % 4 || '.' || p_size % 5 || CASE WHEN p_partkey % 6 = 0 THEN '-rc1' WHEN p_partkey % 7 = 0 THEN '.9' ELSE '' END"
+_version = "p_size % 3 || '.' || p_partkey % 4 || '.' || p_size % 5 || CASE WHEN p_partkey % 6 = 0 THEN '-rc1' WHEN p_partkey % 7 = 0 THEN '.9' WHEN p_partkey % 11 = 0 THEN '-rc.1' ELSE '' END"
 
 
-@query(f"SELECT p_partkey, v AS version, regexp_matches(v, '^[0-9.]+[.][0-9]+(-|$)') AND NOT regexp_matches(v, '[.].*[.].*[.]') AND [split_part(v, '.', 1)::INT, split_part(v, '.', 2)::INT, regexp_extract(split_part(v, '.', 3), '^[0-9]+')::INT] > [1, 2, 3] AS newer FROM (SELECT p_partkey, {_version} AS v FROM part)")
+@query(f"SELECT p_partkey, v AS version, len(parts) = 3 AND [split_part(parts[1], '-', 1)::INT, split_part(parts[2], '-', 1)::INT, split_part(parts[3], '-', 1)::INT] > [1, 2, 3] AS newer FROM (SELECT *, string_split(v, '.') AS parts FROM (SELECT p_partkey, {_version} AS v FROM part))")
 def f22_newer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = S.table(spark, sf_dir, "part")
-    version = F.concat((F.col("p_size") % 3).cast("string"), F.lit("."), (F.col("p_partkey") % 4).cast("string"), F.lit("."), (F.col("p_size") % 5).cast("string"), F.when(F.col("p_partkey") % 6 == 0, "-rc1").when(F.col("p_partkey") % 7 == 0, ".9").otherwise(""))
+    version = F.concat((F.col("p_size") % 3).cast("string"), F.lit("."), (F.col("p_partkey") % 4).cast("string"), F.lit("."), (F.col("p_size") % 5).cast("string"), F.when(F.col("p_partkey") % 6 == 0, "-rc1").when(F.col("p_partkey") % 7 == 0, ".9").when(F.col("p_partkey") % 11 == 0, "-rc.1").otherwise(""))
     return part.select("p_partkey", version.alias("version")).withColumn("newer", T.is_newer(F.col("version"), F.lit("v1.2.3")))
 
 

@@ -1,4 +1,4 @@
-"""Queries over sources of Go, TypeScript and Zig, parsed from tokens. Each part is a file; its size says how many functions
+"""Queries over sources of Go, TypeScript and Zig, style sheets and pages, parsed from tokens. Each part is a file; its size says how many functions
 it has, and its name stands in strings with braces, which must count for nothing."""
 
 from __future__ import annotations
@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treequarry.operators import golang, typescript, zig
+from treequarry.operators import golang, markup, typescript, zig
 from treequarry.plans.registry import query
 from treequarry.sources import tables as S
 
@@ -131,3 +131,33 @@ def p13_zig_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ZIG}, {_named} SELECT path, 'f' || i AS caller, 'call' || i AS callee, (line + 1)::BIGINT AS line_no FROM f UNION ALL SELECT path, 'main', 'puts', line + 3 FROM p UNION ALL SELECT path, 'test \"of {{ ' || p_name || '\"', 'main', line + 5 FROM p JOIN named USING (k)")
 def p13_zig_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zig.calls(zig_files(spark, sf_dir))
+
+
+HTML_HEAD = "<!doctype html>\n<!-- <i>#N</i> -->\n<p>#N\n<h1 title='>'>#N</h1>\n"
+HTML_EACH = '<div a=">">\n<div>#I</div>\n</div><br>\n'
+HTML_TAIL = "<script>\"<b>\"</script>\n<ul><li>x<li>y</ul>\n<section>open\n"
+HTML = each("html", 5, 3)
+
+
+@query(
+    f"WITH {HTML} SELECT path, name, (line + a)::BIGINT AS line_start, (line + b)::BIGINT AS line_end FROM p, (VALUES ('<script>', 0, 0), ('<element>', 1, 1), ('<element>', 2, 2)) AS v(name, a, b) "
+    "UNION ALL SELECT path, '<element>', n, n FROM p, (VALUES (3), (4)) AS v(n) UNION ALL SELECT path, '<element>', line, line + 2 FROM f UNION ALL SELECT path, '<element>', line + 2, line + 2 FROM f"
+)
+def p14_html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of several elements at the top, of any name, some without an end."""
+    return markup.html_blocks(sources(spark, sf_dir, "html", HTML_HEAD, HTML_EACH, HTML_TAIL))
+
+
+CSS_HEAD = '@charset "}";\n@import url(a/b;c.css);\n/* #N { */\n@media x {\n  @supports (y: z) {\n    .c { d: url(e/f) }\n  }\n}\n'
+CSS_EACH = '#I > a[href="}"]:not(.b),\n.c#I {\n  d: "}" /* } */;\n}\n'
+CSS_TAIL = "@layer base;\n.last { a: 1 / 2 }\n.broken {\n"
+CSS = each("css", 9, 4)
+
+
+@query(
+    f"WITH {CSS} SELECT path, name, a::BIGINT AS line_start, b::BIGINT AS line_end FROM p, (VALUES ('@charset', 1, 1), ('@import', 2, 2), ('@media', 4, 8)) AS v(name, a, b) "
+    "UNION ALL SELECT path, i || ' > a[href=\"}\"]:not(.b),' || chr(10) || '.c' || i, line, line + 3 FROM f UNION ALL SELECT path, '@layer (Tailwind)', line, line FROM p UNION ALL SELECT path, '.last', line + 1, line + 1 FROM p"
+)
+def p15_css_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slashes, addresses, braces in strings and comments, and blocks in blocks in blocks."""
+    return markup.css_blocks(sources(spark, sf_dir, "css", CSS_HEAD, CSS_EACH, CSS_TAIL))
