@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treequarry.operators import store
@@ -26,10 +26,14 @@ CACHE = "path string, mtime long, size long, hash string, format long, parsed st
 METADATA = "hash string, json string"
 INDEX = "name string, n_entries long, file string, line_start long"
 MANIFEST = "path string, kind string, on_disk boolean"
+#: A change of the index: a file's symbols, or a row without a name for a file that has none (any more).
+INDEX_CHANGES = "file string, name string, line_start long"
 PATCHES = "patch_id long, text string"
 QUEUE = "patch_id long, place long"
 #: The format of cache entries that can be read.
 FORMAT = 1
+#: How tokens of versions begin that hold a whole state among changes.
+BASE = "base-"
 
 
 @dataclass(frozen=True)
@@ -59,10 +63,10 @@ def load(spark: SparkSession, table: Table, version: int | None = None) -> DataF
     return spark.createDataFrame([], table.schema) if last is None else spark.read.schema(table.schema).parquet(f"{table.path}/rows/{last['token']}")
 
 
-def save(rows: DataFrame, table: Table) -> int:
-    """Write the next version and return its number. Columns are cast and ordered as the table's."""
+def save(rows: DataFrame, table: Table, kind: str = "") -> int:
+    """Write the next version and return its number. Columns are cast and ordered as the table's. A token begins with its kind."""
     spark = rows.sparkSession
-    token = uuid.uuid4().hex
+    token = kind + uuid.uuid4().hex
     fields = spark.createDataFrame([], table.schema).schema.fields
     rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.parquet(f"{table.path}/rows/{token}")
     version = (commits(spark, table).agg(F.max("version")).first()[0] or 0) + 1
@@ -82,6 +86,49 @@ def drop(spark: SparkSession, table: Table, gone: Column) -> int:
     return save(load(spark, table).filter(~F.coalesce(gone, F.lit(False))), table)
 
 
+def changes(spark: SparkSession, table: Table) -> DataFrame:
+    """The rows of all versions since the last base, with `version`: of a table whose versions are changes, not states."""
+    found = commits(spark, table).orderBy("version").collect()  # a row for each save since the table began
+    since = max((r["version"] for r in found if r["token"].startswith(BASE)), default=0)
+    out = spark.createDataFrame([], table.schema).withColumn("version", F.lit(0).cast("long"))
+    for r in found:
+        if r["version"] >= since:
+            out = out.unionByName(spark.read.schema(table.schema).parquet(f"{table.path}/rows/{r['token']}").withColumn("version", F.lit(r["version"]).cast("long")))
+    return out
+
+
+def index_entries(spark: SparkSession, table: Table) -> DataFrame:
+    """name, n_entries, file, line_start: of each file what its last change says."""
+    all_of = changes(spark, table)
+    last = all_of.groupBy("file").agg(F.max("version").alias("version"))
+    entries = all_of.join(last, ["file", "version"]).filter("name is not null")
+    return entries.join(entries.groupBy("name").agg(F.count("*").alias("n_entries")), "name").select("name", "n_entries", "file", "line_start")
+
+
+def update_index(touched: DataFrame, symbols: DataFrame, table: Table) -> int:
+    """Save changes alone: the symbols (file, name, line_start) of touched files (file); those without symbols are marked as such.
+
+    What is written is in proportion to the change. `compact_index` merges changes into a new base from time to time.
+    """
+    own = symbols.select("file", "name", "line_start").join(touched.select("file").distinct(), "file", "left_semi")
+    gone = touched.select("file").distinct().join(own.select("file").distinct(), "file", "left_anti")
+    return save(own.unionByName(gone.select("file", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("line_start"))), table)
+
+
+def compact_index(spark: SparkSession, table: Table) -> int:
+    """Save the index as it is now as a new base, from which reading starts; older versions stay on disk."""
+    return save(index_entries(spark, table).select("file", "name", "line_start"), table, BASE)
+
+
+def places(rows: DataFrame, key: str, width: int = 100_000) -> DataFrame:
+    """Rows with place: from 1 in the order of a whole number. Ranges of the key are counted, then ranked each for itself."""
+    ranged = rows.withColumn("_range", F.floor(F.col(key) / width))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranged.join(starts, "_range").withColumn("place", (F.col("_start") + rank).cast("long")).drop("_range", "_start")
+
+
 def names(rows: DataFrame) -> DataFrame:
     """name, n: checkpoints or profiles with the number of their rows."""
     return rows.groupBy("name").agg(F.count("*").alias("n"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treequarry.operators import state, store, symbols
+from treequarry.operators import analysis, state, store, symbols
 from treequarry.plans.registry import query
+from treequarry.plans.rich_parse_queries import GO, ZIG, go_files, zig_files
 from treequarry.session import shared_folder
 from treequarry.sources import tables as S
 
@@ -127,7 +128,7 @@ def s15_patch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = d.filter("lang = 'fr'").select(F.col("doc_id").alias("patch_id"))
     left = state.load(spark, texts).join(gone, "patch_id", "left_anti")
     state.save(left, texts)
-    state.save(left.selectExpr("patch_id", "row_number() over (order by patch_id) as place"), order)
+    state.save(state.places(left.select("patch_id"), "patch_id"), order)
     return state.load(spark, order).join(state.load(spark, texts), "patch_id")
 
 
@@ -200,3 +201,61 @@ def z5_action_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def z7_log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return S.table(spark, sf_dir, "events").select("event_id", state.log_level(F.when(e % 4 == 0, "DEBUG").otherwise("loud"), F.when(e % 3 == 0, "Error")).alias("level"))
+
+
+_number = "regexp_extract(file, '([0-9]+)', 1)::BIGINT"
+
+
+@query(f"WITH now AS (SELECT name, file, line_start + CASE WHEN {_number} % 5 = 0 THEN 1 ELSE 0 END AS line_start FROM fx_symbols WHERE {_number} % 7 <> 0 AND ({_number} % 3 <> 0 OR ordinal % 2 = 0)) SELECT name, count(*) OVER (PARTITION BY name) AS n_entries, file, line_start FROM now")
+def z8_updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index after changes, against one made anew: symbols moved, then symbols and whole files gone, with a new base between."""
+    own = table(spark, "index_changes", state.INDEX_CHANGES)
+    s = S.symbols(spark, sf_dir).withColumn("k", F.regexp_extract("file", "([0-9]+)", 1).cast("long"))
+    state.update_index(s, s, own)
+    moved = s.withColumn("line_start", F.col("line_start") + F.when(F.col("k") % 5 == 0, 1).otherwise(0))
+    state.update_index(s.filter("k % 5 = 0"), moved.filter("k % 5 = 0"), own)
+    state.compact_index(spark, own)
+    state.update_index(s.filter("k % 3 = 0"), moved.filter("k % 3 = 0 and ordinal % 2 = 0"), own)
+    state.update_index(s.filter("k % 7 = 0"), s.filter("false"), own)
+    return state.index_entries(spark, own)
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return go_files(spark, sf_dir).unionByName(zig_files(spark, sf_dir))
+
+
+_symbols = (
+    f"symbols AS (SELECT path, name, kind, visibility, a AS line_start, b AS line_end FROM (WITH {GO} SELECT path, 'F' || i AS name, 'Function' AS kind, 'Public' AS visibility, line AS a, line + 2 AS b FROM f UNION ALL SELECT path, 'main', 'Function', 'Private', line, line FROM p "
+    "UNION ALL SELECT path, 'T' || k, 'Struct', 'Public', line + 1, line + 6 FROM p UNION ALL SELECT path, 'i', 'Interface', 'Private', line + 1, line + 6 FROM p) "
+    f"UNION ALL SELECT path, name, kind, visibility, a, b FROM (WITH {ZIG} SELECT path, 'f' || i AS name, 'Function' AS kind, 'Public' AS visibility, line AS a, line + 2 AS b FROM f UNION ALL SELECT path, 'puts', 'Function', 'Private', line + 2, line + 2 FROM p UNION ALL SELECT path, 'main', 'Function', 'Private', line + 3, line + 3 FROM p "
+    "UNION ALL SELECT path, 'test \"of { ' || p_name || '\"', 'Function', 'Private', line + 4, line + 6 FROM p JOIN part ON p_partkey = k UNION ALL SELECT path, 'Point', 'Struct', 'Public', 3, line FROM p UNION ALL SELECT path, 'Kind' || k, 'Enum', 'Private', line + 1, line + 1 FROM p))"
+)
+
+
+@query(f"WITH {_symbols} SELECT path, len(list(name)) AS n_symbols, string_agg(name, ',' ORDER BY line_start, line_end, name) AS names, path LIKE '%.go' AS cached FROM symbols GROUP BY path")
+def s6_parser_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Go files come from the cache, the others are parsed now; both give the same kind of record."""
+    own = table(spark, "parser_cache", state.CACHE)
+    files = sources(spark, sf_dir)
+    known = files.filter("path like '%.go'")
+    entries = known.join(analysis.parsed(known), "path").select("path", F.lit(1).alias("mtime"), F.octet_length("content").alias("size"), F.sha2("content", 256).alias("hash"), F.lit(state.FORMAT).alias("format"), "parsed")
+    state.save(entries, own)
+    found = state.cached_or_parsed(files, state.load(spark, own), analysis.parsed)
+    listed = F.from_json("parsed", "array<struct<line_start:long,line_end:long,name:string>>")
+    return found.select("path", F.size(listed).cast("long").alias("n_symbols"), F.array_join(F.transform(listed, lambda x: x["name"]), ",").alias("names"), "cached")
+
+
+@query(f"WITH {_symbols} SELECT DISTINCT name, kind, visibility, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end FROM symbols")
+def s5_project_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different symbols of a project, parsed from the contents of all its files."""
+    return analysis.symbols(sources(spark, sf_dir)).drop("path").distinct()
+
+
+@query(f"WITH {_symbols} SELECT count(DISTINCT path)::BIGINT AS n_records, count(*)::BIGINT AS n_symbols, count(DISTINCT name)::BIGINT AS n_names FROM symbols")
+def k3_parsed_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of every content is stored with the symbols that are parsed from it, and read again."""
+    own = table(spark, "parsed_metadata", state.METADATA)
+    state.put(analysis.metadata(sources(spark, sf_dir)), own, "hash")
+    record = F.from_json("json", "hash string, symbols array<struct<name:string>>")
+    rows = state.load(spark, own).select("hash", F.explode(record["symbols"]["name"]).alias("name"))
+    return rows.agg(F.countDistinct("hash").alias("n_records"), F.count("*").alias("n_symbols"), F.countDistinct("name").alias("n_names"))
