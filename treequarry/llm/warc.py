@@ -25,8 +25,15 @@ from treequarry.llm.common import small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 CONVERTER = "treequarry plain text"
-HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("head", "script", "style", "noscript", "template")) + ")"
-BREAK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|form|dl|dt|dd|hr)\b[^>]*>"
+#: The rest of a tag: quoted values may hold any sign.
+REST = r"""(?:[^"'>]|"[^"]*"|'[^']*')*>"""
+#: Comments, raw texts (which end with the page if nothing ends them), and elements that are hidden where they are closed.
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("title", "script", "style")) + "|" + "|".join(rf"{tag}\b.*?</{tag}\s*>" for tag in ("noscript", "template")) + ")"
+BREAK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|caption|article|section|header|footer|nav|aside|main|blockquote|pre|form|dl|dt|dd|hr|address|figure|figcaption|details|summary|fieldset|legend|option|body)\b" + REST
+#: Cells of a row stand apart on one line.
+CELL = r"(?i)</?(?:td|th)\b" + REST
+#: A sign that begins no tag is text; a tag with a quote that nothing closes ends at the next sign that could end it.
+TAG = rf"<[A-Za-z/!?]{REST}|<[A-Za-z/!?][^>]*>"
 TITLE = r"(?is)<title\b[^>]*>([^<]*)"
 LINK = r"(?i)<a\b[^>]*\bhref="
 #: The character references that the SQL knows; the ampersand comes last.
@@ -54,13 +61,13 @@ def decoded(text: str) -> str:
     return entities.unescape(text.replace("&nbsp;", " ")) if "&" in text else text
 
 
-_hidden, _break, _tag, _title, _link = (re.compile(p.replace(r"\z", r"\Z"), re.A) for p in (HIDDEN, BREAK, "<[^>]*>", TITLE, LINK))
+_hidden, _break, _cell, _tag, _title, _link = (re.compile(p.replace(r"\z", r"\Z"), re.A) for p in (HIDDEN, BREAK, CELL, TAG, TITLE, LINK))
 _spaces = re.compile(r"[ \t\r\f]{2,}|[\t\r\f]")
 
 
 def plain_text(html: str) -> str:
     """What a page shows: a line for each block that is not empty, single spaces."""
-    text = decoded(_tag.sub("", _break.sub("\n", _hidden.sub("", html))))
+    text = decoded(_tag.sub("", _cell.sub(" ", _break.sub("\n", _hidden.sub("", html)))))
     lines = (line.strip(" ") for line in _spaces.sub(" ", text).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -116,15 +123,49 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 100_000) -
     serialised(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
+#: A record's head up to its empty line; some writers end lines without a carriage return.
+HEAD = re.compile(rb"WARC/[0-9]\.[0-9]+\r?\n(.*?\r?\n)\r?\n", re.S)
+NEXT = re.compile(rb"(?:^|(?<=\n))WARC/[0-9]\.[0-9]+\r?\n")
+#: Names as the standard spells them, since they count alike in any case.
+NAMES = {n.lower(): n for n in "WARC-Type WARC-Record-ID WARC-Date WARC-Target-URI WARC-Refers-To WARC-Concurrent-To WARC-Block-Digest WARC-Payload-Digest WARC-Truncated WARC-Warcinfo-ID WARC-Profile WARC-Filename WARC-IP-Address WARC-Identified-Payload-Type WARC-Segment-Number Content-Type Content-Length".split()}
+SKIPPED = "skipped-bytes"
 READ = "file string, number long, headers map<string,string>, block string"
 
 
+def records_in(data: bytes) -> Iterator[tuple[dict[str, str], str]]:
+    """Headers and block of each record. What cannot be read up to the next record's first line is a row with the header
+    `skipped-bytes`; a record without a length, or longer than the file, is such a stretch."""
+    at, bad = 0, None
+    while at < len(data):
+        head = HEAD.match(data, at)
+        headers = {}
+        for line in head[1].decode("utf-8", "replace").splitlines() if head else ():
+            name, colon, value = line.partition(":")
+            if colon:
+                headers[NAMES.get(name.strip().lower(), name.strip())] = value.strip()
+        length = headers.get("Content-Length", "")
+        if head and length.isascii() and length.isdigit() and head.end() + int(length) <= len(data):
+            if bad is not None:
+                yield {SKIPPED: str(at - bad)}, ""
+            end = head.end() + int(length)
+            yield headers, data[head.end() : end].decode("utf-8", "replace")
+            bad, at = None, end
+            while data[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+        else:
+            bad = at if bad is None else bad
+            following = NEXT.search(data, at + 1)
+            at = following.start() if following else len(data)
+    if bad is not None:
+        yield {SKIPPED: str(at - bad)}, ""
+
+
 def read_warc(spark: SparkSession, path: str, files: str = "part-*") -> DataFrame:
-    """Records of gzipped or plain WARC files: file, number, headers (a map), block.
+    """Records of gzipped or plain WARC files: file, number, headers (a map, names as the standard spells them), block.
 
-    Each file is one row of its reader, so files are limited to 2 GB by Spark; records come out one batch at a time.
-    Bytes that are not UTF-8 are replaced.
+    A broken record costs no other: reading goes on with the next one, and what was skipped is a row of its own (see
+    `records_in`). Each file is one row of its reader, so files are limited to 2 GB by Spark; records come out one batch at a
+    time. Bytes that are not UTF-8 are replaced.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,13 +173,9 @@ def read_warc(spark: SparkSession, path: str, files: str = "part-*") -> DataFram
 
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows, at, number = [], 0, 0
-                while head := HEAD.match(data, at):
-                    headers = {k: v.strip() for k, _, v in (line.partition(":") for line in head[1].decode("utf-8", "replace").split("\r\n"))}
-                    end = head.end() + int(headers["Content-Length"])
-                    rows.append((name, number, headers, data[head.end() : end].decode("utf-8", "replace")))
-                    at, number = end + 4, number + 1
+                rows = []
+                for number, record in enumerate(records_in(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)):
+                    rows.append((name, number, *record))
                     if len(rows) == 256:
                         yield pd.DataFrame(rows, columns=["file", "number", "headers", "block"])
                         rows = []
@@ -167,7 +204,8 @@ def oracle(date: str = DATE) -> str:
     raw = lambda s: "'" + s.replace("'", "''") + "'"
     uuid = lambda h: "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
     text = f"regexp_replace(payload, {q(HIDDEN)}, '', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, {q(BREAK)}, chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for pattern, put in ((BREAK, "chr(10)"), (CELL, "' '"), (TAG, "''")):
+        text = f"regexp_replace({text}, {q(pattern)}, {put}, 'g')"
     title = f"regexp_extract(payload, {q(TITLE)}, 1)"
     for reference, char in REFERENCES.items():
         text, title = (f"replace({x}, {raw(reference)}, {raw(char)})" for x in (text, title))
