@@ -137,9 +137,13 @@ class Places:
 def pack(pieces: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, salt_rows: int = 200_000) -> DataFrame:
     """Rows with doc_id, piece and piece_length get bin_id, bin_capacity and bin_offset; every row goes to one bin.
 
-    Rows that repeat are different pieces. An empty table gives an empty result.
+    Rows that repeat are different pieces. An empty table gives an empty result. All other columns come back as they were,
+    whatever their names; columns of the results' names are replaced.
     """
     spark = pieces.sparkSession
+    # the row travels as one column, so no name of it meets one of these
+    own = [c for c in pieces.columns if c not in ("bin_id", "bin_capacity", "bin_offset")]
+    pieces = pieces.select(F.struct(*own).alias("row"), "doc_id", "piece", "piece_length")
     total = pieces.groupBy("piece_length").count().collect()  # no more rows than the largest capacity
     histogram = {r["piece_length"]: r["count"] for r in total}
     salts = max(8, -(-max(histogram.values(), default=1) // salt_rows))
@@ -156,8 +160,7 @@ def pack(pieces: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost:
         for length, rank in batches:
             yield places.value(length.to_numpy(np.int64), rank.to_numpy(np.int64))
 
-    own = [c for c in pieces.columns if c not in ("bin_id", "bin_capacity", "bin_offset")]
-    return ranked.withColumn("place", place("piece_length", "rank")).select(*own, "place.*")
+    return ranked.withColumn("place", place("piece_length", "rank")).select("row.*", "place.*")
 
 
 def packed_documents(documents: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, tokenizer: str = token_counts.TOKENIZER) -> DataFrame:
