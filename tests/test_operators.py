@@ -225,7 +225,7 @@ def test_markup_blocks(spark):
     from treequarry.operators import markup
 
     page = spark.createDataFrame([("p", "<!doctype html>\n<div>\n<script>\nvar a = '<div>';\n</script></div>\n<style>b{}</style>\n<section>x</section>\n")], "path string, content string")
-    assert rows(markup.html_blocks(page), "name", "line_start", "line_end") == [("<element>", 2, 7), ("<element>", 2, 7), ("<script>", 3, 5), ("<style>", 6, 6)]
+    assert rows(markup.html_blocks(page), "name", "line_start", "line_end") == [("<element>", 2, 5), ("<element>", 7, 7), ("<script>", 3, 5), ("<style>", 6, 6)]
     sheet = spark.createDataFrame([("s", "/* a { } */\n.a,\n.b { c: d; }\n@media x {\n  .y { z: 1 }\n}\n@apply foo;\n")], "path string, content string")
     assert rows(markup.css_blocks(sheet), "name", "line_start", "line_end") == [(".a,\n.b", 2, 3), ("@apply (Tailwind)", 7, 7), ("@media", 4, 6)]
     text = "# One\n\nTwo\n---\n```py\n# no\n```\n\n---\n####### seven\n## Three ##\n```\nopen"
