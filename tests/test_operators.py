@@ -62,6 +62,24 @@ def test_greedy_budget(spark, plans, limit):
     assert rows(budget.greedy(table, limit, ["ord"], ["plan"]), "plan", "ord", "cost", "taken") == sorted(want)
 
 
+def test_long_plans_are_decided_by_halving(spark, monkeypatch):
+    rng = random.Random(11)
+    shapes = [[rng.randrange(0, 30) for _ in range(300)], [c for i in range(60) for c in (1, 200 - i)], [0] * 20 + [200] + [0] * 20, [201] * 40, [rng.choice((0, 1, 64, 65, 128, 200, None)) for _ in range(200)], [3]]
+    table = spark.createDataFrame([(p if p else None, i, c) for p, items in enumerate(shapes) for i, c in enumerate(items)], "plan long, ord long, cost long")
+    for limit in (200, 1, 0, 63, 64, 5000):
+        want = []
+        for p, items in enumerate(shapes):
+            used = 0
+            for i, c in enumerate(items):
+                taken = used + (c or 0) <= limit
+                used += (c or 0) * taken
+                want.append((p, i, taken))
+        for size in ((4096, 30) if limit == 200 else (30,)):
+            monkeypatch.setattr(budget, "FOLDED", size)
+            got = sorted(((r["plan"] or 0), r["ord"], r["taken"]) for r in budget.greedy(table.repartition(7), limit, ["ord"], ["plan"]).collect())
+            assert got == want, (limit, size)
+
+
 def test_lines(spark):
     table = spark.createDataFrame([("a", "x\ny\n"), ("b", ""), ("c", "\n"), ("d", "a\n\n"), ("e", "p\r\nq"), ("f", "last")], "path string, content string")
     assert rows(tables.lines_of(table), "path", "line_no", "text") == [("a", 1, "x"), ("a", 2, "y"), ("c", 1, ""), ("d", 1, "a"), ("d", 2, ""), ("e", 1, "p"), ("e", 2, "q"), ("f", 1, "last")]
