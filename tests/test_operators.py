@@ -112,6 +112,30 @@ def test_scan_honours_ignore_rules(spark, tmp_path):
     assert rows(found, "path", "content") == [(n, "x = 1\n") for n in (".hidden.py", "_folder/f.go", "a.py", "keep/build.py", "sub/b.rs")]
 
 
+def test_nested_ignore_files_and_pruned_folders(spark, tmp_path):
+    rules = {
+        ".gitignore": "*.log\nout/\n/top.py\na/*/z.py\n\\#odd.py\n!important.log\n",
+        "a/.gitignore": "!kept.log\nb/**\n!b/c\n*.py  \n",
+        "a/.ignore": "!w.py\nimportant.log\n",
+        "out/.gitignore": "!*\n",
+    }
+    names = ["top.py", "a/top.py", "x.log", "a/kept.log", "a/x.log", "important.log", "a/important.log", "out/x.py", "d/out/x.py", "d/out.py", "a/q/z.py", "a/w.py", "a/v.py", "a/b/n.rs", "a/b/c/n.rs", "#odd.py", ".git/h.py", "d/.git/h.py", "d/.hidden/h.py", "_x/CVS/h.py"]
+    for name in [*names, *rules]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(rules.get(name, "x"))
+    found = {r["path"] for r in files.walk(spark, str(tmp_path)).collect()}
+    assert found == {".gitignore", "a/.gitignore", "a/.ignore", "a/kept.log", "important.log", "d/out.py", "a/w.py", "d/.hidden/h.py"}
+    (tmp_path / "empty").mkdir()
+    assert files.walk(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_one_ignore_file_against_paths(spark):
+    rules = files.ignore_rules("build/\n!x.py\n*.tmp\n/docs/*.md\nsrc/**/gen\n[ab]?.txt\n")
+    cases = {"build/x.py": False, "build/y.py": True, "sub/build/y.py": True, "build": False, "a.tmp": True, "d.tmp/f": True, "docs/a.md": True, "x/docs/a.md": False, "src/gen/f": True, "src/p/q/gen": True, "a1.txt": True, "c1.txt": False, "": False}
+    table = spark.createDataFrame([(c,) for c in cases], "path string")
+    assert {r[0]: r[1] for r in table.select("path", files.is_ignored(table.path, rules)).collect()} == cases
+
+
 PATCH = """diff --git a/f.txt b/f.txt
 --- a/f.txt
 +++ b/f.txt

@@ -38,11 +38,11 @@ def greedy(items: DataFrame, budget: int, order: list[str], group: list[str]) ->
     of few items are folded as arrays; longer ones are decided by halving, spread over all tasks. Both give the same.
     """
     sizes = items.groupBy(*group).agg(F.count("*").alias("_n"))
-    long_plans = checkpointed(sizes.filter(F.col("_n") > FOLDED).select(F.struct(*group).alias("_plan")))
-    n = long_plans.count()
-    if not n:
+    long_plans = sizes.filter(F.col("_n") > FOLDED).select(F.struct(*group).alias("_plan"))
+    if long_plans.isEmpty():
         return _folded(items, budget, order, group)
-    long_plans = F.broadcast(long_plans) if n <= BROADCAST_ROWS else long_plans
+    long_plans = checkpointed(long_plans)
+    long_plans = F.broadcast(long_plans) if long_plans.count() <= BROADCAST_ROWS else long_plans
     keyed = items.withColumn("_own", F.struct(*group))
     same = F.col("_own").eqNullSafe(F.col("_plan"))
     few, many = (keyed.join(long_plans, same, how).drop("_own") for how in ("left_anti", "left_semi"))

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from treequarry.functions import paths as P
+from treequarry.operators.graph import checkpointed
+
+#: Ignore files, those that decide first in front.
+IGNORE_FILES = (".ignore", ".gitignore")
+RULES = "array<struct<file:string,base:string,regex:string,negated:boolean,folders:boolean>>"
+#: Tasks of a listing or a read at most; bytes of a batch that is handed on; the largest file whose content is read.
+MOST_TASKS, BATCH_BYTES, LARGEST = 10_000, 16 << 20, 1 << 30
 
 
 def affected(files: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
@@ -36,64 +46,140 @@ def empty_lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.exists(parts, lambda x: x == "").alias("any_empty"), F.forall(parts, lambda x: x != "").alias("none_empty"))
 
 
-def ignore_rules(text: str) -> list[tuple[int, str, bool]]:
-    """Lines of an ignore file as (order, regex over relative paths, negated)."""
+def ignore_rules(text: str) -> list[tuple[str, bool, bool]]:
+    """Lines of an ignore file as (regex over paths relative to its folder, negated, folders only), in order.
+
+    A slash at the start or inside ties a pattern to the folder; otherwise it fits a name at any depth.
+    """
     rules = []
     for line in text.splitlines():
-        line = line.rstrip()
-        if not line or line.startswith("#"):
+        line = re.sub(r"(?<!\\) +$", "", line)
+        if not line.strip() or line.startswith("#"):
             continue
         negated = line.startswith("!")
-        body = line[1:] if negated else line
-        folder = body.endswith("/")
-        body = body.rstrip("/")
-        rooted = "/" in body
-        regex = P.glob_regex(body.lstrip("/"))[1:-1]
-        rules.append((len(rules), ("^" if rooted else "^(.*/)?") + regex + ("/" if folder else "(/|$)"), negated))
+        body = re.sub(r"\\([#! ])", r"\1", line[negated:])
+        folder, body = body.endswith("/"), body.rstrip("/")
+        if body:
+            tied = "/" in body
+            rules.append((("^" if tied else "^(.*/)?") + P.glob_regex(body.lstrip("/"))[1:], negated, folder))
     return rules
 
 
-def not_ignored(files: DataFrame, rules: list[tuple[int, str, bool]]) -> DataFrame:
-    """Files (path) whose last matching rule is none, or a negated one."""
-    verdict = F.lit(False)
-    for _, regex, negated in rules:
-        verdict = F.when(F.col("path").rlike(regex), F.lit(not negated)).otherwise(verdict)
-    return files.filter(~verdict)
-
-
-def hidden_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (whole), length, modificationTime, content of files below a folder whose name, or a folder's on the way, begins
-    with a dot or an underscore: those that Spark's readers pass over. Names are listed on the driver, as Spark does with
-    the others; contents are read in tasks."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    start, listing, rows = system.makeQualified(place).toString(), system.listFiles(place, True), []
-    while listing.hasNext():
-        status = listing.next()
-        name = status.getPath().toString()
-        if any(part[:1] in (".", "_") for part in name[len(start) :].split("/")):
-            rows.append((name, status.getLen(), status.getModificationTime()))
+def is_ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
+    """Whether the rules of one ignore file at the root leave a file out. The last rule that fits the path decides; where none
+    does, the last that fits its folder, and so on up to the root."""
+    parts = F.split(path, "/")
+
+    def verdict(n: Column) -> Column:
+        place, out = F.array_join(F.slice(parts, 1, n), "/"), F.lit(None).cast("boolean")
+        for regex, negated, folder in rules:
+            fits = place.rlike(regex) & (n < F.size(parts)) if folder else place.rlike(regex)
+            out = F.when(fits, F.lit(not negated)).otherwise(out)
+        return out
+
+    verdicts = F.filter(F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), verdict), lambda v: v.isNotNull())
+    return F.coalesce(F.try_element_at(verdicts, F.lit(1)), F.lit(False))
+
+
+def not_ignored(files: DataFrame, rules: list[tuple[str, bool, bool]]) -> DataFrame:
+    return files.filter(~is_ignored(F.col("path"), rules))
+
+
+def opened(place: str) -> tuple[FileSystem, str]:
+    """The file system of a place and the path in it; a place without a scheme is local."""
+    return FileSystem.from_uri(re.sub("^file:/+", "file:///", place) if ":" in place.split("/")[0] else "file://" + place)
+
+
+def _fits(rules: list[dict], path: str, folder: bool) -> bool | None:
+    """The verdict of the last rule (base, regex, negated, folders) that fits a path: true leaves it out."""
+    for rule in reversed(rules):
+        if (folder or not rule["folders"]) and path.startswith(rule["base"]) and re.search(rule["regex"], path[len(rule["base"]) :]):
+            return not rule["negated"]
+    return None
+
+
+def walk(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
+    """path (relative), size, modified of all files below a folder that no ignore file leaves out, hidden ones too.
+
+    A level of folders at a time is listed in tasks; nothing of a folder that is left out, or of version control, is listed or
+    read. Each folder adds its own ignore files to those above it: the last rule that fits decides, that of the deepest
+    file first, `.ignore` before `.gitignore`. `ignore` stands before the root's own rules. A folder is listed by one task.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = opened(root)
+        for folder, held in ((r.path, [x.asDict() if hasattr(x, "asDict") else dict(x) for x in r.rules]) for b in batches for r in b.itertuples()):
+            infos = system.get_file_info(FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/") or "/"))
+            names = {i.base_name: i for i in infos}
+            for name in IGNORE_FILES:
+                if name in names and names[name].type == FileType.File:
+                    with system.open_input_stream(names[name].path) as file:
+                        text = file.read().decode("utf-8", "replace")
+                    held = held + [{"file": name, "base": folder, "regex": x, "negated": n, "folders": f} for x, n, f in ignore_rules(text)]
+            by_file = [[r for r in held if r["file"] == name] for name in IGNORE_FILES]
+            rows = []
+            for name, info in names.items():
+                inner = info.type == FileType.Directory
+                verdicts = [_fits(rules, folder + name, inner) for rules in by_file]
+                if next((v for v in verdicts if v is not None), False) or inner and name + "/" in P.VCS:
+                    continue
+                rows.append((folder + name + "/" * inner, inner, info.size or 0, info.mtime, held if inner else None))
+            for i in range(0, len(rows), 10_000):
+                yield pd.DataFrame(rows[i : i + 10_000], columns=["path", "folder", "size", "modified", "rules"])
+
+    first = [(".gitignore", "", *rule) for rule in ignore_rules(ignore)]
+    folders, found, size = spark.createDataFrame([("", first)], f"path string, rules {RULES}"), None, 1
+    while size:
+        level = checkpointed(folders.repartition(max(1, min(size // 128, MOST_TASKS))).mapInPandas(listed, f"path string, folder boolean, size long, modified timestamp, rules {RULES}"))
+        folders, here = level.filter("folder").select("path", "rules"), level.filter("not folder").select("path", "size", "modified")
+        found = here if found is None else found.unionByName(here)
+        size = folders.count()
+    return found
+
+
+def contents(found: DataFrame, root: str) -> DataFrame:
+    """Files (path, ...) with content as binary, read in tasks; null for files above 1 GB, which no row can hold safely."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
+        system, top = opened(root)
         for batch in batches:
-            contents = []
-            for name in batch["path"]:
-                system, path = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
-                with system.open_input_stream(path) as file:
-                    contents.append(file.read())
-            yield batch.assign(content=contents)
-
-    listed = spark.createDataFrame(rows, "path string, length long, modified long").repartition(max(1, len(rows) // 100))
-    found = listed.mapInPandas(read, "path string, length long, modified long, content binary")
-    return found.select("path", "length", F.timestamp_millis("modified").alias("modificationTime"), "content")
+            start, held, texts = 0, 0, []
+            for i, (path, size) in enumerate(zip(batch["path"], batch["size"], strict=True)):
+                if size > LARGEST:
+                    texts.append(None)
+                else:
+                    with system.open_input_stream(f"{top.rstrip('/')}/{path}") as file:
+                        texts.append(file.read())
+                    held += size
+                if held > BATCH_BYTES:
+                    yield batch.iloc[start : i + 1].assign(content=texts)
+                    start, held, texts = i + 1, 0, []
+            if texts:
+                yield batch.iloc[start:].assign(content=texts)
+
+    return found.mapInPandas(read, StructType([*found.schema.fields, StructField("content", BinaryType())]))
 
 
 def scan(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
-    """path (relative), content, size, modified of the supported source files below a folder, hidden ones too."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime", "content")
-    found = found.unionByName(hidden_files(spark, root))
-    relative = F.regexp_replace("path", "^.*?" + "\\Q" + root.rstrip("/").removeprefix("file:") + "\\E/", "")
-    rows = found.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return not_ignored(rows.filter(P.supported(F.col("path")) & ~P.is_vcs(F.col("path"))), ignore_rules(ignore))
+    """path (relative), content, size, modified of the supported source files that a walk finds. Names come first: only
+    files that stay are read."""
+    path = F.col("path")
+    found = walk(spark, root, ignore).filter(P.supported(path) & ~P.is_vcs(path))
+    tasks = max(1, min(found.count() // 256, MOST_TASKS))
+    return contents(found.repartition(tasks), root).select("path", F.decode("content", "UTF-8").alias("content"), "size", "modified")
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write files (path, content) below a folder, in tasks. Writing one twice gives the same file."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = opened(root)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                place = f"{top.rstrip('/')}/{path}"
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(place) as file:
+                    file.write((content or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.select("path", "content").mapInPandas(put, "n long").agg(F.sum("n")).collect()

@@ -10,6 +10,7 @@ from treequarry.functions import text as T
 from treequarry.operators import files as O
 from treequarry.operators import policy
 from treequarry.plans.registry import query
+from treequarry.session import shared_folder
 from treequarry.sources import tables as S
 
 quoted = lambda names: ", ".join(f"'{n}'" for n in names)
@@ -45,6 +46,40 @@ def s20_affected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.affected(S.files(spark, sf_dir), PATTERNS)
 
 
+#: Ignore files of the walked tree; the first stands at the root and is also what single paths are held against.
+IGNORED = {
+    ".gitignore": "# built\n*.md\n!README.md\nsrc/src1/\n/web/p?/\nd1[0-3]*/\n\ntarget/\n",
+    "src/src0/.gitignore": "*.py\n!/de/**/*.py\n",
+    "src/src3/.gitignore": "*.py\n",
+    "src/.ignore": "*.zig\n!/src3/de/**/*.py\n",
+}
+_rules = "(1, '^(.*/)?[^/]*\\.md$', false, false), (2, '^(.*/)?README\\.md$', true, false), (3, '^src/src1$', false, true), (4, '^web/p[^/]$', false, true), (5, '^(.*/)?d1[0-3][^/]*$', false, true), (6, '^(.*/)?target$', false, true)"
+_verdicts = f"""rules(ord, regex, negated, folders) AS (VALUES {_rules}), places AS (SELECT path, n, len(parts) AS m, array_to_string(parts[1:n], '/') AS place FROM (SELECT path, parts, unnest(generate_series(1, len(parts))) AS n FROM (SELECT path, string_split(path, '/') AS parts FROM fx_files))),
+ verdicts AS (SELECT path, n, NOT arg_max(negated, ord) AS out FROM places JOIN rules ON regexp_matches(place, regex) AND (n < m OR NOT folders) GROUP BY path, n)"""
+
+
+@query(f"WITH {_verdicts} SELECT path, coalesce(out, false) AS ignored FROM fx_files LEFT JOIN (SELECT path, arg_max(out, n) AS out FROM verdicts GROUP BY path) USING (path)")
+def s3_ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ignore file against paths: the path itself first, then its folders upwards."""
+    return S.files(spark, sf_dir).select("path", O.is_ignored(F.col("path"), O.ignore_rules(IGNORED[".gitignore"])).alias("ignored"))
+
+
+_left_out = (
+    "starts_with(path, 'src/src1/') OR regexp_matches(path, '^web/p[^/]/') OR regexp_matches(path, '/d1[0-3][^/]*/') OR path LIKE '%.zig' OR path LIKE '%.md' AND path NOT LIKE '%/README.md' "
+    "OR (starts_with(path, 'src/src0/') OR starts_with(path, 'src/src3/')) AND path LIKE '%.py' AND split_part(path, '/', 3) <> 'de'"
+)
+
+
+@query(f"SELECT path, strlen(coalesce(content, ''))::BIGINT AS size, sha256(coalesce(content, '')) AS hash FROM fx_files WHERE (({EXT}) IN ({quoted(P.SUPPORTED)})) AND NOT ({_left_out})")
+def s1_project_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files written out as a tree, with ignore files at three places, version control and built files; then scanned."""
+    root = shared_folder(spark, "tree")
+    files = S.files(spark, sf_dir)
+    built = files.filter("path like '%.rs'").select(F.explode(F.array(F.concat(F.lit(".git/"), "path"), F.concat(F.lit("src/target/"), "path"))).alias("path"), "content")
+    O.write_tree(files.unionByName(built).unionByName(spark.createDataFrame(list(IGNORED.items()), "path string, content string")), root)
+    return O.scan(spark, root).select("path", "size", F.sha2("content", 256).alias("hash"))
+
+
 @query("SELECT path, line_no, text FROM fx_lines")
 def d3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lines(spark, sf_dir)
