@@ -1,10 +1,12 @@
 """Operators on literal inputs, and against plain models."""
 
 import random
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from treequarry.functions import patterns
 from treequarry.operators import budget, files, graph, patches, policy, store, symbols
 from treequarry.sources import tables
 
@@ -112,6 +114,36 @@ def test_scan_honours_ignore_rules(spark, tmp_path):
     assert rows(found, "path", "content") == [(n, "x = 1\n") for n in (".hidden.py", "_folder/f.go", "a.py", "keep/build.py", "sub/b.rs")]
 
 
+def test_regexes_filed_by_what_they_demand():
+    demands = {r"\.py$": [".py"], r"a|b": [], r"^src/(x|y)+/main\.rs$": ["src/", "/main.rs"], r"ab?c*d": ["a", "d"], r"ab{0,2}c{2}d": ["a", "c", "d"], r"[a-z]+_test": ["_test"], r"(?i)abc": [], r"\Qa.b\E": [], r"x\d+y\w": ["x", "y"], r"[]x]q": ["q"], r"[a&&b]q": [], r"a+?b": ["a", "b"], r"(a": [], r"": [], r".*": []}
+    assert {p: patterns.required_runs(p) for p in demands} == demands
+    assert patterns.keys(r"main\.rs$") == [".rs", "ain", "in.", "mai", "n.r"] and patterns.keys("a|b") == [""] and patterns.keys(None) == [""] and patterns.keys("x.y") == ["x", "y"]
+
+
+def test_many_entries_against_a_plain_model(spark, monkeypatch):
+    rng = random.Random(5)
+    names = [f"{rng.choice(('src', 'lib', 'a'))}/{rng.choice(('x', 'yy', 'zzz'))}{rng.randrange(9)}/{rng.choice(('main', 'f', 'util'))}.{rng.choice(('py', 'rs', 'c'))}" for _ in range(80)] + ["top.py", "x", ""]
+    forms = [r"\.py$", r"^src/", r"x[0-4]/", r"(main|util)\.rs$", r"zzz?\d", r".*", r"main|f\.c", r"^$", r"a/yy\d/f", r"^.$", r"(?i)MAIN", r"q{0,1}x"]
+    span = lambda: rng.choice((None, None, [(1, 1)], [(2, 3), (5, 5)], []))
+    some = [(rng.choice(("black", "white")), i, *rng.choice((("regex", rng.choice(forms)), ("regex", rng.choice(forms)), ("file", rng.choice(names)), ("dir", rng.choice(names).rpartition("/")[0] + "/"))), span()) for i in range(60)]
+    fits = {"file": lambda p, x: p == x, "dir": lambda p, x: p.startswith(x), "regex": lambda p, x: re.search(x, p) is not None}
+    lines = spark.createDataFrame([(n, i) for n in dict.fromkeys(names) for i in range(1, 6)], "path string, line_no long")
+    for few, bound, entries in ((32, 100_000, some), (100, 100_000, some), (32, 3, some), (32, 100_000, some[:20]), (2, 1, some[40:])):
+        monkeypatch.setattr(policy, "FEW", few)
+        monkeypatch.setattr(policy, "BROADCAST_ROWS", bound)
+        table = spark.createDataFrame(entries, policy.POLICY)
+        for whitelist in (False, True):
+            want = []
+            for name in dict.fromkeys(names):
+                fit = [(w, r) for w, _, k, x, r in entries if fits[k](name, x)]
+                for line in range(1, 6):
+                    covers = lambda r: r is None or any(s <= line <= e for s, e in r)  # noqa: B023, E731
+                    black, white = ([covers(r) for w, r in fit if w == c] for c in ("black", "white"))
+                    hidden = any(black) or not (white and white[0]) if whitelist else bool(black and black[0])
+                    want.append((name, line, hidden))
+            assert rows(policy.hidden_lines(lines, table, whitelist), "path", "line_no", "hidden") == sorted(want), (few, bound, whitelist)
+
+
 def test_nested_ignore_files_and_pruned_folders(spark, tmp_path):
     rules = {
         ".gitignore": "*.log\nout/\n/top.py\na/*/z.py\n\\#odd.py\n!important.log\n",

@@ -1,37 +1,82 @@
 """What is hidden: ordered lists of patterns with line ranges, the markers that stand for hidden lines, restoring.
 
 Policies: list (black or white), ord, kind (file, dir, regex), pattern, ranges (an array of (s, e), null for all lines).
-Patterns meet each distinct path once; files and folders by an equi join (a path has few folders), regular expressions
-by a join with a broadcast of at most so many of them at a time.
+Patterns meet each distinct path once. A few become one expression; of more, files and folders meet paths in an equi join (a
+path has few folders), and so do regular expressions: each is filed under the rarest of the short pieces that it demands of a
+path, and meets the paths that hold this piece.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treequarry.functions.patterns import KEY, keys
 from treequarry.operators import intervals
 from treequarry.operators.graph import checkpointed
 
-#: Regular expressions of a broadcast; rows of paths with the entries that fit them, up to which these are broadcast.
-BROADCAST_ENTRIES, BROADCAST_ROWS = 1000, 100_000
+#: Entries that are put into one expression; entries with their ranges that are broadcast. Larger ones are joined by shuffle.
+FEW, BROADCAST_ROWS = 32, 100_000
 POLICY = "list string, ord long, kind string, pattern string, ranges array<struct<s:long,e:long>>"
+OWN = ["path", "list", "ord", "ranges"]
+
+
+def _small(df: DataFrame, ranges: Column) -> DataFrame:
+    """To be broadcast, if rows and the ranges in them are few enough; written first, as it is read twice."""
+    df = checkpointed(df)
+    weight = df.agg(F.sum(1 + F.coalesce(F.greatest(F.size(ranges), F.lit(0)), F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if weight <= BROADCAST_ROWS else df
 
 
 def matches(paths: DataFrame, policy: DataFrame) -> DataFrame:
     """(path, list, ord, ranges) for each entry that fits a path; a directory's pattern ends in a slash."""
     p = paths.select("path").distinct()
-    own = ["path", "list", "ord", "ranges"]
+    few = policy.select("list", "ord", "kind", "pattern", "ranges").limit(FEW + 1).collect()
+    return _together(p, few) if len(few) <= FEW else _located(p, policy).unionByName(_filed(p, policy))
+
+
+def _together(p: DataFrame, entries: list) -> DataFrame:
+    """All entries as one expression over the path."""
+    fits = {"file": lambda e: F.col("path") == e["pattern"], "dir": lambda e: F.lit(e["pattern"].endswith("/")) & F.startswith("path", F.lit(e["pattern"])), "regex": lambda e: F.rlike("path", F.lit(e["pattern"]))}
+    ranges = lambda e: F.lit(None) if e["ranges"] is None else F.array(*[F.struct(F.lit(r["s"]).alias("s"), F.lit(r["e"]).alias("e")) for r in e["ranges"]])
+    out = [F.when(fits[e["kind"]](e), F.struct(F.lit(e["list"]).alias("list"), F.lit(e["ord"]).cast("long").alias("ord"), ranges(e).cast("array<struct<s:bigint,e:bigint>>").alias("ranges"))) for e in entries if e["kind"] in fits and e["pattern"] is not None]
+    none = F.array().cast("array<struct<list:string,ord:bigint,ranges:array<struct<s:bigint,e:bigint>>>>")
+    return p.select("path", F.inline(F.filter(F.array(*out) if out else none, lambda x: x.isNotNull())))
+
+
+def _located(p: DataFrame, policy: DataFrame) -> DataFrame:
+    """Files and folders: a path meets its own name and those of its folders."""
     parts = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
     places = F.when(F.size(parts) > 1, F.concat(F.array("path"), folders)).otherwise(F.array("path"))
-    out = p.select("path", F.explode(places).alias("pattern")).join(policy.filter("kind in ('file', 'dir')"), "pattern").filter("(kind = 'dir') = endswith(pattern, '/')").select(*own)
-    regex = policy.filter("kind = 'regex'")
-    numbered = regex.withColumn("block", F.floor(F.col("ord") / BROADCAST_ENTRIES))
-    for block in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
-        some = numbered.filter(F.col("block") == block)
-        out = out.unionByName(p.join(F.broadcast(some), F.expr("path rlike pattern")).select(*own))
-    return out
+    entries = _small(policy.filter("kind in ('file', 'dir')"), F.col("ranges"))
+    return p.select("path", F.explode(places).alias("pattern")).join(entries, "pattern").filter("(kind = 'dir') = endswith(pattern, '/')").select(*OWN)
+
+
+def _filed(p: DataFrame, policy: DataFrame) -> DataFrame:
+    """Regular expressions, by the piece that fewest of them share. Those that demand nothing meet every path, and are dealt to
+    as many groups as hold a bounded number each."""
+    regex = policy.filter("kind = 'regex' and pattern is not null").select("list", "ord", "pattern", "ranges")
+
+    def with_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(keys=[keys(x) for x in batch["pattern"]])
+
+    pieces = checkpointed(regex.select("pattern").distinct().mapInPandas(with_keys, "pattern string, keys array<string>").select("pattern", F.explode("keys").alias("key")))
+    shared = pieces.groupBy("key").agg(F.count("*").alias("n"))
+    filed = pieces.join(shared, "key").groupBy("pattern").agg(F.min(F.struct("n", "key")).alias("best")).select("pattern", F.col("best.key").alias("key"))
+    free = filed.filter("key = ''").count()
+    groups = -(-free // BROADCAST_ROWS) or 1
+    filed = filed.withColumn("group", F.when(F.col("key") == "", F.pmod(F.xxhash64("pattern"), F.lit(groups))).otherwise(0).cast("int"))
+    entries = _small(regex.join(filed, "pattern"), F.col("ranges"))
+    sizes = [r[0] for r in entries.select(F.length("key")).distinct().collect()]  # at most KEY + 1 numbers
+    of_size = lambda n: F.array(F.lit("")) if not n else F.when(F.length("path") >= n, F.transform(F.sequence(F.lit(1), F.length("path") - n + 1), lambda i: F.substring("path", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    found = F.array_distinct(F.concat(*[of_size(n) for n in sizes if n <= KEY])) if sizes else F.array().cast("array<string>")
+    held = p.select("path", F.explode(found).alias("key")).withColumn("group", F.explode(F.when(F.col("key") == "", F.sequence(F.lit(0), F.lit(groups - 1))).otherwise(F.array(F.lit(0)))))
+    return held.join(entries, ["key", "group"]).filter(F.rlike("path", F.col("pattern"))).select(*OWN)
 
 
 def hidden_lines(lines: DataFrame, policy: DataFrame, whitelist: bool, files: DataFrame | None = None) -> DataFrame:
@@ -39,20 +84,22 @@ def hidden_lines(lines: DataFrame, policy: DataFrame, whitelist: bool, files: Da
 
     Without a whitelist, the first blacklist entry that fits the path decides, even where its ranges miss the line.
     With one, any blacklist entry that covers the line hides it; else the first whitelist entry that fits decides;
-    else it is hidden.
+    else it is hidden. A path keeps only what decides: the ranges of its first entry of a list, or all that hide.
     """
+    of = lambda name: F.col("list") == name
+    first = lambda name: F.min(F.when(of(name), F.struct("ord", "ranges")))["ranges"]
+    every = F.flatten(F.collect_list(F.when(of("black"), F.col("ranges"))))
+    whole = F.bool_or(of("black") & F.col("ranges").isNull())
+    black = F.when(~F.coalesce(whole, F.lit(False)), every) if whitelist else first("black")
     lists = matches(files if files is not None else lines, policy).groupBy("path").agg(
-        F.array_sort(F.collect_list(F.when(F.col("list") == "black", F.struct("ord", "ranges")))).alias("black"),
-        F.array_sort(F.collect_list(F.when(F.col("list") == "white", F.struct("ord", "ranges")))).alias("white"),
+        F.bool_or(of("black")).alias("in_black"), black.alias("black"), F.bool_or(of("white")).alias("in_white"), (first("white") if whitelist else F.lit(None).cast("array<struct<s:bigint,e:bigint>>")).alias("white")
     )
-    lists = checkpointed(lists)
-    rows = lines.select("path", "line_no").join(F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists, "path", "left")
-    covers = lambda x: x["ranges"].isNull() | F.exists(x["ranges"], lambda r: F.col("line_no").between(r["s"], r["e"]))
-    first = lambda c: F.when(F.size(c) > 0, covers(F.element_at(c, 1)))
+    rows = lines.select("path", "line_no").join(_small(lists, F.concat(*[F.coalesce(c, F.array()) for c in ("black", "white")])), "path", "left")
+    covers = lambda c: F.col(c).isNull() | F.exists(c, lambda r: F.col("line_no").between(r["s"], r["e"]))
+    in_black, in_white = (F.coalesce(c, F.lit(False)) for c in ("in_black", "in_white"))
+    hidden = in_black & covers("black")
     if whitelist:
-        hidden = F.coalesce(F.exists("black", covers), F.lit(False)) | F.coalesce(~first("white"), F.lit(True))
-    else:
-        hidden = F.coalesce(first("black"), F.lit(False))
+        hidden = hidden | ~(in_white & covers("white"))
     return rows.select("path", "line_no", hidden.alias("hidden"))
 
 
