@@ -41,6 +41,11 @@ def test_traces_and_the_flag(spark):
     want = [plain_trace(edges, n, 3) for n in names]
     assert rows(levels, "seed", "name", "depth") == sorted(r for w, _ in want for r in w)
     assert rows(flags, "seed", "revisits") == sorted((n, w[1]) for n, w in zip(names, want, strict=True))
+    for depth in (0, 1, 3, 40):
+        want = [r for n in names for r in plain_trace(edges, n, depth)[0]]
+        assert rows(graph.reach(table, spark.createDataFrame([(n,) for n in names], "seed string"), depth), "seed", "name", "depth") == sorted(want)
+    many = spark.createDataFrame([(f"seed {i}", f"n{i % 30}") for i in range(200)], "seed string, name string")
+    assert rows(graph.reach(table, many.repartition(3), 5), "seed", "name", "depth") == rows(graph.trace(table, many, 5)[0], "seed", "name", "depth")
     none, flag = graph.trace(table, spark.createDataFrame([("a",)], "seed string"), 0)
     assert none.count() == 0 and rows(flag, "seed", "revisits") == [("a", False)]
 

@@ -81,6 +81,41 @@ def trace(edges: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame
     return seen.filter("depth > 0"), flags
 
 
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """(seed, name, depth) of what seeds reach within so many steps, each at its least depth and without the start itself: the
+    levels of `trace` without its flag. Seeds are given as there.
+
+    Seeds are numbered, and up to 64 of them share a row of a node: a mask with a bit for each. What is seen is one table with
+    a row for a node and 64 seeds, which holds the bits that each level added; a level is merged into it and written.
+    """
+    named = seeds.select("seed", F.col("name") if "name" in seeds.columns else F.col("seed").alias("name")).distinct()
+    labels = checkpointed(named.select("seed").distinct().select("seed", F.monotonically_increasing_id().alias("id")))
+    labels = labels.select("seed", F.shiftright("id", 6).alias("block"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bit"))
+    start = named.join(labels, "seed").groupBy("block", "name").agg(F.bit_or("bit").alias("mask"))
+    entry = lambda depth, mask: F.array(F.struct(F.lit(depth).cast("long").alias("depth"), mask.alias("mask")))
+    seen = checkpointed(start.select("block", "name", "mask", entry(0, F.col("mask")).alias("levels")))
+    last = F.element_at("levels", -1)
+    if max_depth > 1:
+        edges = checkpointed(edges.select("src", "dst").distinct())
+    for depth in range(1, max_depth + 1):
+        frontier = seen.filter(last["depth"] == depth - 1).select("block", "name", last["mask"].alias("bits"))
+        size = frontier.count()
+        if not size:
+            break
+        near = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
+        step = edges.join(near, F.col("src") == F.col("name")).groupBy("block", F.col("dst").alias("name")).agg(F.bit_or("bits").alias("step"))
+        known, came = F.coalesce("mask", F.lit(0).cast("long")), F.coalesce("step", F.lit(0).cast("long"))
+        fresh = came.bitwiseAND(F.bitwise_not(known))
+        levels = F.coalesce("levels", F.array().cast("array<struct<depth:bigint,mask:bigint>>"))
+        merged = seen.join(step, ["block", "name"], "full").select("block", "name", known.bitwiseOR(came).alias("mask"), F.when(fresh != 0, F.concat(levels, entry(depth, fresh))).otherwise(levels).alias("levels"))
+        seen = checkpointed(merged)
+    rows = seen.select("block", "name", F.inline("levels")).filter("depth > 0").select("block", "name", "depth", "mask")
+    held = labels.groupBy("block").agg(F.collect_list(F.struct("seed", "bit")).alias("members"))  # 64 at most
+    held = F.broadcast(held) if held.count() * 64 <= BROADCAST_ROWS else held
+    each = rows.join(held, "block").select("name", "depth", "mask", F.inline("members"))
+    return each.filter(F.col("mask").bitwiseAND(F.col("bit")) != 0).select("seed", "name", "depth")
+
+
 def without_std(levels: DataFrame, std: Column | None = None) -> DataFrame:
     """Levels without standard functions; levels that become empty close up."""
     std = is_std(F.col("name")) if std is None else std
