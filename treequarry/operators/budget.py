@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treequarry.operators.graph import BROADCAST_ROWS, DISCLOSE, checkpointed, trace
+from treequarry.operators.graph import BROADCAST_ROWS, DISCLOSE, checkpointed, reach
 
 #: Plans of at most so many items are folded as one array each.
 FOLDED = 1024
@@ -17,7 +17,7 @@ def tiers(edges: DataFrame, located: DataFrame, focus: DataFrame, depth: int = D
     each with its callees before its trace. located: name, file."""
     named = located.join(F.broadcast(focus) if focus.count() <= BROADCAST_ROWS else focus, "file").select(F.col("focus_ord").alias("seed"), "name")
     # a trace for each focus file, not for each function in it: what they reach within the file has level 3 anyway
-    far = trace(edges, named, depth)[0]
+    far = reach(edges, named, depth)
     level = F.when(F.col("depth") == 1, 2).otherwise(1).cast("long").alias("level")
     found = far.select("name", F.col("seed").alias("focus_ord"), level).join(located, "name").filter("file is not null")
     first = found.groupBy("file").agg(F.min(F.struct("focus_ord", (-F.col("level")).alias("late"))).alias("first"))

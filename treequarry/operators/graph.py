@@ -7,6 +7,8 @@ meets what was seen, and each level goes to a reliable checkpoint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,30 +88,29 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     levels of `trace` without its flag. Seeds are given as there.
 
     Seeds are numbered, and up to 64 of them share a row of a node: a mask with a bit for each. What is seen is one table with
-    a row for a node and 64 seeds, which holds the bits that each level added; a level is merged into it and written.
+    a row for a node and 64 seeds; a level is merged into it by one aggregation, which combines on the map side, and written.
     """
     named = seeds.select("seed", F.col("name") if "name" in seeds.columns else F.col("seed").alias("name")).distinct()
     labels = checkpointed(named.select("seed").distinct().select("seed", F.monotonically_increasing_id().alias("id")))
     labels = labels.select("seed", F.shiftright("id", 6).alias("block"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bit"))
     start = named.join(labels, "seed").groupBy("block", "name").agg(F.bit_or("bit").alias("mask"))
-    entry = lambda depth, mask: F.array(F.struct(F.lit(depth).cast("long").alias("depth"), mask.alias("mask")))
-    seen = checkpointed(start.select("block", "name", "mask", entry(0, F.col("mask")).alias("levels")))
-    last = F.element_at("levels", -1)
+    none = F.lit(0).cast("long")
+    seen = checkpointed(start.select("block", "name", "mask", F.col("mask").alias("fresh")))
+    levels = []
     if max_depth > 1:
-        edges = checkpointed(edges.select("src", "dst").distinct())
+        edges = checkpointed(edges.select("src", "dst"))
     for depth in range(1, max_depth + 1):
-        frontier = seen.filter(last["depth"] == depth - 1).select("block", "name", last["mask"].alias("bits"))
+        frontier = seen.filter("fresh <> 0").select("block", "name", F.col("fresh").alias("bits"))
         size = frontier.count()
         if not size:
             break
         near = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
-        step = edges.join(near, F.col("src") == F.col("name")).groupBy("block", F.col("dst").alias("name")).agg(F.bit_or("bits").alias("step"))
-        known, came = F.coalesce("mask", F.lit(0).cast("long")), F.coalesce("step", F.lit(0).cast("long"))
-        fresh = came.bitwiseAND(F.bitwise_not(known))
-        levels = F.coalesce("levels", F.array().cast("array<struct<depth:bigint,mask:bigint>>"))
-        merged = seen.join(step, ["block", "name"], "full").select("block", "name", known.bitwiseOR(came).alias("mask"), F.when(fresh != 0, F.concat(levels, entry(depth, fresh))).otherwise(levels).alias("levels"))
-        seen = checkpointed(merged)
-    rows = seen.select("block", "name", F.inline("levels")).filter("depth > 0").select("block", "name", "depth", "mask")
+        came = edges.join(near, F.col("src") == F.col("name")).select("block", F.col("dst").alias("name"), none.alias("old"), F.col("bits").alias("new"))
+        both = seen.select("block", "name", F.col("mask").alias("old"), none.alias("new")).unionByName(came)
+        merged = both.groupBy("block", "name").agg(F.bit_or("old").alias("old"), F.bit_or("new").alias("new"))
+        seen = checkpointed(merged.select("block", "name", F.expr("old | new").alias("mask"), F.expr("new & ~old").alias("fresh")))
+        levels.append(seen.filter("fresh <> 0").select("block", "name", F.lit(depth).cast("long").alias("depth"), F.col("fresh").alias("mask")))
+    rows = reduce(DataFrame.unionByName, levels) if levels else seen.limit(0).select("block", "name", none.alias("depth"), "mask")
     held = labels.groupBy("block").agg(F.collect_list(F.struct("seed", "bit")).alias("members"))  # 64 at most
     held = F.broadcast(held) if held.count() * 64 <= BROADCAST_ROWS else held
     each = rows.join(held, "block").select("name", "depth", "mask", F.inline("members"))
@@ -148,7 +149,7 @@ def files_of(names: DataFrame, located: DataFrame) -> DataFrame:
 def reachable_files(edges: DataFrame, located: DataFrame, start: str, depth: int = REACHABLE) -> DataFrame:
     """Files of what start reaches; its own only if another function in it is reached."""
     seeds = edges.sparkSession.createDataFrame([(start,)], "seed string")
-    return files_of(trace(edges, seeds, depth)[0], located)
+    return files_of(reach(edges, seeds, depth), located)
 
 
 def unreachable_files(edges: DataFrame, located: DataFrame, start: str, depth: int = REACHABLE) -> DataFrame:

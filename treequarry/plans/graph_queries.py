@@ -49,12 +49,12 @@ def one(*names: str) -> str:
 
 @query(f"WITH RECURSIVE {walk(one('R0'), 4)} SELECT seed, name, depth FROM level WHERE depth > 0")
 def g1_trace_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.trace(S.edges(spark, sf_dir), seeds(spark, "R0"), 4)[0]
+    return graph.reach(S.edges(spark, sf_dir), seeds(spark, "R0"), 4)
 
 
 @query(f"WITH RECURSIVE {walk(one('S7', 'C5'), 3, back=True)} SELECT seed, name, depth FROM level WHERE depth > 0")
 def g1_trace_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.trace(graph.reversed_edges(S.edges(spark, sf_dir)), seeds(spark, "S7", "C5"), 3)[0]
+    return graph.reach(graph.reversed_edges(S.edges(spark, sf_dir)), seeds(spark, "S7", "C5"), 3)
 
 
 @query(
@@ -68,7 +68,7 @@ def g2_cycle_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {walk(one('R1', 'R2'), 3)} SELECT name, min(depth) AS depth FROM level WHERE depth > 0 GROUP BY name")
 def g3_all_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = graph.trace(S.edges(spark, sf_dir), seeds(spark, "R1", "R2"), 3)[0]
+    levels = graph.reach(S.edges(spark, sf_dir), seeds(spark, "R1", "R2"), 3)
     return levels.groupBy("name").agg(F.min("depth").alias("depth"))
 
 
@@ -110,20 +110,20 @@ def g8_context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {walk('SELECT ' + chr(39) + 'R' + chr(39) + ' || r_regionkey AS seed FROM region', 2)} SELECT seed, count(*) AS n_reached FROM level WHERE depth > 0 GROUP BY seed")
 def g9_entrypoint_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = S.table(spark, sf_dir, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("seed"))
-    return graph.trace(S.edges(spark, sf_dir), starts, 2)[0].groupBy("seed").agg(F.count("*").alias("n_reached"))
+    return graph.reach(S.edges(spark, sf_dir), starts, 2).groupBy("seed").agg(F.count("*").alias("n_reached"))
 
 
 @query(f"WITH RECURSIVE {LOCATED}, {walk('SELECT name AS seed FROM located WHERE file = ' + chr(39) + 'f/C7.py' + chr(39), 2)} SELECT seed, name, depth FROM level WHERE depth > 0")
 def g10_focus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces from every function of one file."""
     edges = S.edges(spark, sf_dir)
-    return graph.trace(edges, located(edges).filter("file = 'f/C7.py'").select(F.col("name").alias("seed")), 2)[0]
+    return graph.reach(edges, located(edges).filter("file = 'f/C7.py'").select(F.col("name").alias("seed")), 2)
 
 
 @query(f"WITH RECURSIVE {walk('SELECT ' + chr(39) + 'R' + chr(39) + ' || r_regionkey AS seed FROM region', 3)} SELECT count(DISTINCT name) AS n_functions FROM level WHERE depth > 0")
 def a8_total_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = S.table(spark, sf_dir, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("seed"))
-    return graph.trace(S.edges(spark, sf_dir), starts, 3)[0].agg(F.count_distinct("name").alias("n_functions"))
+    return graph.reach(S.edges(spark, sf_dir), starts, 3).agg(F.count_distinct("name").alias("n_functions"))
 
 
 def std_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ _std = f"std AS (SELECT CASE WHEN src[1] = 'N' THEN ({std_names})[substr(src, 2)
 
 @query(f"WITH RECURSIVE {_std}, {walk(one('R2'), 3, edges='std')} SELECT seed, name, dense_rank() OVER (PARTITION BY seed ORDER BY depth) AS depth FROM level WHERE depth > 0 AND NOT list_contains({std_names}, name)")
 def f12_trace_without_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.without_std(graph.trace(std_edges(spark, sf_dir), seeds(spark, "R2"), 3)[0])
+    return graph.without_std(graph.reach(std_edges(spark, sf_dir), seeds(spark, "R2"), 3))
 
 
 @query(f"WITH {_std} SELECT src, dst FROM std WHERE NOT list_contains({std_names}, src) AND NOT list_contains({std_names}, dst)")
