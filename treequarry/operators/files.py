@@ -22,14 +22,11 @@ MOST_TASKS, BATCH_BYTES, LARGEST = 10_000, 16 << 20, 1 << 30
 
 
 def affected(files: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """(pattern, path) for patterns (kind, pattern) of kind file, dir, regex or glob; each pair once."""
-    out = None
-    for kind, pattern in patterns:
-        path = F.col("path")
-        test = path == pattern if kind == "file" else F.startswith(path, F.lit(pattern)) if kind == "dir" else path.rlike(P.glob_regex(pattern) if kind == "glob" else pattern)
-        rows = files.filter(test).select(F.lit(pattern).alias("pattern"), "path").distinct()
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else files.select(F.lit("").alias("pattern"), "path").limit(0)
+    """(pattern, path) for patterns (kind, pattern) of kind file, dir, regex or glob; each pair once. One scan serves all."""
+    path = F.col("path")
+    tests = {"file": lambda x: path == x, "dir": lambda x: F.startswith(path, F.lit(x)), "regex": lambda x: path.rlike(x), "glob": lambda x: path.rlike(P.glob_regex(x))}
+    fits = F.array(*[F.when(tests[kind](x), F.lit(x)) for kind, x in patterns]).cast("array<string>")
+    return files.select(F.explode(F.array_compact(fits)).alias("pattern"), "path").distinct()
 
 
 def first_binaries(files: DataFrame) -> DataFrame:
