@@ -1,9 +1,11 @@
 """Operators 1, 9 and 10 on small fixtures."""
 
 import gzip
+import hashlib
 import re
 import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 
@@ -225,3 +227,53 @@ def test_responses_of_warc_files(spark, tmp_path):
     out = {r["warc_type"]: r for r in warc.derivatives(responses).collect()}
     assert out["conversion"]["block"] == "café\nx" and out["conversion"]["refers_to"] == "<urn:uuid:1>"
     assert "source-status: 404" in out["metadata"]["block"] and "title: a — b\r\n" in out["metadata"]["block"]
+
+
+class Boxes(HTMLParser):
+    """Texts of the outermost divs below the body of well-formed pages, with their classes: no code of the operator."""
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.depth, self.found = 0, []
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "div":
+            self.depth += 1
+            if self.depth == 1:
+                self.found.append([dict(attrs)["class"], ""])
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "div"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.found[-1][1] += data
+
+
+def test_templates_decide_where_names_say_nothing(spark):
+    word = lambda *key: "w" + hashlib.md5(repr(key).encode()).hexdigest()[:6]
+    prose = lambda *key: " ".join(word(*key, i) for i in range(30)) + "."
+    rows = []
+    for p in range(30):
+        menu, end = p % 7, p % 6
+        rows.append((p, f"http://one.example/{p}", f"<html><body><div class=k1>{word('menu', menu)} {word(menu)}</div><div class=k2><p>{prose('a', p)}</p><p>{prose('b', p)}</p></div><div class=k3><div class=k4>{prose('end', end)}</div></div><div class=comments><p>{prose('said', p)}</p></div></body></html>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r for r in html_text.main_texts(pages).collect()}
+    # an independent count: contents of a class that recur on the host's pages are the site's
+    texts = {p: Boxes(html).found for p, _, html in rows}
+    times = Counter((c, t) for boxes in texts.values() for c, t in boxes)
+    for p, _, html in rows:
+        own = [t for c, t in texts[p] if times[c, t] == 1 and c != "comments"]
+        assert out[p]["by_site"]
+        assert out[p]["text"].replace("\n\n", "") == "".join(own)
+        assert out[p]["n_chars"] == len(out[p]["text"])
+        by_names = html_text.main_text(html, set())
+        assert by_names != out[p]["text"]
+        assert by_names.startswith(texts[p][0][1])
+
+
+def test_names_decide_on_hosts_of_a_few_pages(spark):
+    html = "<body><nav>Menu</nav><article><p>A story {}.</p></article><footer>End</footer></body>"
+    pages = spark.createDataFrame([(p, f"http://few.example/{p}", html.format(p)) for p in range(2)], "page_id long, url string, html string")
+    assert {(r["text"], r["by_site"]) for r in html_text.main_texts(pages).collect()} == {("A story 0.", False), ("A story 1.", False)}

@@ -5,9 +5,13 @@ and ids down to it, its shape, and whether it is mostly links) and by its conten
 pages with different main content each occurs. A content that recurs is a template. So is a slot that is on many pages
 and whose contents recur among them, such as adverts or menus that take turns; a slot with other words on every page,
 such as a summary, is none. In the main content only boxes without running prose are hashed, and must recur in
-surroundings that differ; so copies and near copies of an article never delete it. Menus of links, footers, adverts,
-forms and comments that say what they are by element, role, class or id go too, which is all there is on hosts of
-a few pages. What holds the article, or most of the text, stays whatever it is called.
+surroundings that differ; so copies and near copies of an article never delete it.
+
+Where a host has slots that are templates, and a page has one of its boxes, templates alone decide on the page: the text is
+what is left of the whole page, whatever its elements are called. But for what no count over pages can tell: adverts,
+notices and reader comments that name themselves so, and what is hidden. Elsewhere, which is on hosts of a few pages and on
+pages of another make, menus of links, footers, adverts, forms and comments go by element, role, class or id. There, what holds
+the article, or most of the text, stays whatever it is called. A column says which of the two decided.
 
 The first pass sends one row per page and box, which Spark combines before the shuffle and counts by hash; no host is
 gathered in a task. What a host's templates are is bounded by shares of its pages. Texts are not shuffled when the
@@ -72,10 +76,10 @@ DIGITS, SENTENCE = re.compile(r"[0-9]+"), re.compile(r"[.!?]\s")
 
 
 class Node:
-    __slots__ = ("children", "gone", "hash", "linked", "links", "named", "names", "parent", "shape", "sig", "size", "stop", "tag", "unseen", "within")
+    __slots__ = ("children", "gone", "hash", "linked", "links", "named", "names", "parent", "shape", "sig", "size", "stop", "strong", "tag", "unseen", "within")
 
-    def __init__(self, tag: str, parent: Node | None, names: str = "", named: bool = False):
-        self.tag, self.parent, self.names, self.named = tag, parent, names, named
+    def __init__(self, tag: str, parent: Node | None, names: str = "", named: bool = False, strong: bool = False):
+        self.tag, self.parent, self.names, self.named, self.strong = tag, parent, names, named, strong
         self.unseen, self.gone = tag in UNSEEN, False
         self.children: list[Node | str] = []
         self.hash = self.shape = self.sig = self.size = self.linked = self.links = 0
@@ -96,21 +100,25 @@ def tells(names: str) -> set[str]:
     return found
 
 
-def furniture(tag: str, attributes: str, within: bool) -> tuple[str, bool]:
-    """Classes and id of an element, and whether it says that it is not the article; `within`: it stands in an article or main."""
+def furniture(tag: str, attributes: str, within: bool) -> tuple[str, bool, bool]:
+    """Classes and id of an element, whether it says that it is not the article, and whether that is so on a site of any
+    size: adverts, notices, reader comments and what is hidden. `within`: it stands in an article or main."""
     own = tag in GONE or (tag == "header" and not within)
     if not attributes.strip() or tag in ("html", "body"):
-        return "", own
+        return "", own, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     names = found.get("class", "") + " " + found.get("id", "")
-    if own or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("role", "").lower() in ROLES:
-        return names, True
     words = tells(names)
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+        return names, True, True
+    strong = bool(words & STRONG)
+    if own or found.get("role", "").lower() in ROLES:
+        return names, True, strong
     if tag in HEADINGS or tag == "main":
-        return names, False
+        return names, False, False
     if tag in PROSE or tag == "article":
-        return names, bool(words & STRONG)
-    return names, bool(words & WORDS - ({"header"} if within else set()))
+        return names, strong, strong
+    return names, bool(words & WORDS - ({"header"} if within else set())), strong
 
 
 def parse(source: str) -> Node:
@@ -166,8 +174,7 @@ def parse(source: str) -> Node:
             if tag == "br":
                 node.children.append(" ")
             continue
-        names, named = furniture(tag, token[3], node.within or node.tag in MAIN)
-        child = Node(tag, node, names, named)
+        child = Node(tag, node, *furniture(tag, token[3], node.within or node.tag in MAIN))
         node.children.append(child)
         if tag in VOID or token[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -372,21 +379,30 @@ def boxes(source: str | None) -> tuple[int, list[tuple[int, int, bool]]]:
     return signature(order), sorted({(slot_of(n), n.hash, inside) for n, inside in candidates(order)})
 
 
-def main_text(source: str | None, templates: set[int], slots: set[int] | None = None, inside: set[int] | None = None, names: bool = True) -> str:
-    """Blocks of the article in page order, joined by an empty line, without boxes of the given contents and slots.
+def decided_text(source: str | None, templates: set[int], slots: set[int] | None = None, inside: set[int] | None = None, names: bool = True) -> tuple[str, bool]:
+    """Blocks of the article in page order, joined by an empty line, and whether the site's templates alone decided.
 
-    `inside` are contents that go in the main content too. Without `names` only templates go, from the whole page.
+    templates, slots and inside are contents and slots of boxes that go, and contents that go in the main content too.
+    Without `names` only templates go, from the whole page, and nothing by what it is called.
     """
     order = read(source)
     roots = content_roots(order)
+    site = False
     if templates or slots or inside:
         for node, within in list(candidates(order)):
-            node.gone = node.hash in (inside or ()) if within else node.hash in templates or (bool(slots) and slot_of(node) in slots)
-    if not names:
+            of_slot = not within and bool(slots) and slot_of(node) in slots
+            node.gone = node.hash in (inside or ()) if within else of_slot or node.hash in templates
+            site = site or of_slot
+    if site or not names:
         roots = order[:1]
         for node in order:
-            node.named = False
-    return "\n\n".join(b for r in roots for b in pieces(r, names and r.tag not in MAIN))
+            node.named = names and node.named and node.strong
+    return "\n\n".join(b for r in roots for b in pieces(r, not site and names and r.tag not in MAIN)), site
+
+
+def main_text(source: str | None, templates: set[int], slots: set[int] | None = None, inside: set[int] | None = None, names: bool = True) -> str:
+    """The text alone."""
+    return decided_text(source, templates, slots, inside, names)[0]
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
@@ -416,7 +432,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, names: bool = True) -> DataFrame:
-    """One row per page row: page_id, url, text, n_chars.
+    """One row per page row: page_id, url, text, n_chars, by_site (whether the host's templates alone decided).
 
     A null or empty html gives an empty text. A null url counts as the empty host. Repeated rows each get their row,
     and count as pages of their host, but not as different main content. A page of any length or depth is read whole, in
@@ -426,14 +442,19 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
     small_batches(pages.sparkSession)
     hashes = ("contents", "slots", "inside")
 
-    @F.pandas_udf("string")
-    def extract(texts: pd.Series, contents: pd.Series, slots: pd.Series, inside: pd.Series) -> pd.Series:
-        rows = zip(texts, contents, slots, inside, strict=True)
-        return pd.Series([main_text(t, *(set(x) if x is not None else set() for x in found), names=names) for t, *found in rows], dtype=object)
+    @F.pandas_udf("struct<text:string,by_site:boolean>")
+    def extract(hosts: pd.Series, texts: pd.Series, contents: pd.Series, slots: pd.Series, inside: pd.Series) -> pd.DataFrame:
+        known: dict[str, list[set[int]]] = {}  # sets of a host are made once a batch
+        out = []
+        for host, text, *found in zip(hosts, texts, contents, slots, inside, strict=True):
+            if host not in known:
+                known[host] = [set(x) if x is not None else set() for x in found]
+            out.append(decided_text(text, *known[host], names=names))
+        return pd.DataFrame(out, columns=["text", "by_site"]).astype({"text": object, "by_site": bool})
 
     found = checkpointed(site_templates(pages, min_pages, share))
     total = found.agg(F.coalesce(F.sum(sum((F.size(c) for c in hashes), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
     keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     joined = keyed.join(F.broadcast(found) if total <= BROADCAST_HASHES else found, "host", "left")
-    out = joined.select("page_id", "url", extract("html", *hashes).alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    out = joined.select("page_id", "url", extract("host", "html", *hashes).alias("e"))
+    return out.select("page_id", "url", "e.text", F.length("e.text").cast("long").alias("n_chars"), "e.by_site")
