@@ -22,6 +22,8 @@ LANGUAGES = {
     "markdown": ["md", "markdown", "mdown", "mkd"],
 }
 CODE = ["rust", "typescript", "python", "go", "zig"]
+#: How languages are written in output.
+SHOWN = {"rust": "Rust", "typescript": "TypeScript", "python": "Python", "bash": "Bash/Shell", "terraform": "Terraform/HCL", "helm": "Helm/YAML", "go": "Go", "zig": "Zig", "html": "HTML", "css": "CSS", "xml": "XML", "markdown": "Markdown"}
 #: Extensions of binary files; folders of version control.
 BINARY = ["exe", "dll", "so", "dylib", "bin", "o", "a", "lib", "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "mp3", "mp4", "avi", "mov", "mkv", "wav", "flac", "zip", "tar", "gz", "bz2", "xz", "7z", "rar", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "sqlite", "db", "mdb"]
 VCS = [".git/", ".svn/", ".hg/", ".cvs/", ".bzr/", ".fslckout/", "_FOSSIL_/", "_darcs/", "CVS/"]
@@ -60,6 +62,11 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.coalesce(extension(path), F.lit(""))), F.lit("unknown"))
 
 
+def language_name(name: Column) -> Column:
+    """A language as output writes it."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SHOWN.items() for x in pair]), name), F.lit("Unknown"))
+
+
 def is_code(path: Column) -> Column:
     return language(path).isin(CODE)
 

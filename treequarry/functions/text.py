@@ -58,3 +58,14 @@ def version_parts(version: Column) -> Column:
 def is_newer(version: Column, than: Column) -> Column:
     a, b = version_parts(version), version_parts(than)
     return F.coalesce((a[0] > b[0]) | ((a[0] == b[0]) & ((a[1] > b[1]) | ((a[1] == b[1]) & (a[2] > b[2])))), F.lit(False))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The longest prefix of at most so many bytes of UTF-8 that breaks no character."""
+    data = F.encode(text, "UTF-8")
+    # a character has four bytes at most, and those after its first are 10xxxxxx
+    whole = lambda n: ~F.hex(F.substring(data, n + 1, 1)).rlike("^[89AB]")
+    at = F.lit(max(most - 3, 0))
+    for n in range(max(most - 2, 0), most + 1):
+        at = F.when(whole(n), n).otherwise(at)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(data, F.lit(1), at), "UTF-8"))

@@ -12,6 +12,9 @@ VIEWS = {
     "fx_symbols": """SELECT 'conv/c' || conv_id || '.py' AS file, role || '_' || turn AS name, CASE WHEN role = 'system' THEN 'Module' ELSE 'Function' END AS kind,
  (coalesce(sum(n) OVER w, 0) + 1)::BIGINT AS line_start, (coalesce(sum(n) OVER w, 0) + n)::BIGINT AS line_end, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::BIGINT AS ordinal
  FROM (SELECT *, len(string_split(text, chr(10))) AS n FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "fx_turns": """SELECT file, line_start + i - 1 AS line_no, text FROM (SELECT file, line_start, unnest(generate_series(1, len(parts)))::BIGINT AS i, unnest(parts) AS text FROM (
+ SELECT 'conv/c' || conv_id || '.py' AS file, (coalesce(sum(len(string_split(text, chr(10)))) OVER w, 0) + 1)::BIGINT AS line_start, string_split(text, chr(10)) AS parts
+ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))""",
     "fx_classes": """SELECT file, 'Class' || width || '_' || g AS name, line_start, line_end, width FROM (SELECT file, width, ordinal // width AS g, min(line_start) AS line_start, max(line_end) AS line_end
  FROM fx_symbols, (VALUES (2::BIGINT), (4::BIGINT)) AS w(width) WHERE kind = 'Function' GROUP BY ALL)""",
     "fx_calls": """SELECT * FROM (SELECT file, name AS caller, lag(name) OVER (PARTITION BY file ORDER BY ordinal) AS callee, line_start AS line FROM fx_symbols) WHERE callee IS NOT NULL""",

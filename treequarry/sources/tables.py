@@ -56,6 +56,16 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, line_no, text: the lines under the symbols of conversations"""
+    turns = table(spark, sf_dir, "conversations").withColumn("n", F.size(F.split("text", "\n")).cast("long"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the sums come first: beside a generator a window would run over what it makes
+    placed = turns.withColumn("before", before).select(F.concat(F.lit("conv/c"), "conv_id", F.lit(".py")).alias("file"), "before", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return placed.select("file", (F.col("before") + F.col("at") + 1).cast("long").alias("line_no"), "text")
+
+
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, name, line_start, line_end, width: nested ranges over functions"""
     functions = symbols(spark, sf_dir).filter("kind = 'Function'").withColumn("width", F.explode(F.array(*[F.lit(w).cast("long") for w in (2, 4)])))
