@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from treequarry.plans import file_queries, graph_queries, parse_queries, patch_queries, project_queries, render_queries, rich_parse_queries, state_queries, store_queries  # noqa: F401
+from treequarry.plans import file_queries, graph_queries, parse_queries, patch_queries, project_queries, render_queries, rich_parse_queries, state_queries, store_queries, timeline_queries  # noqa: F401
 from treequarry.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
