@@ -1,5 +1,6 @@
 """Operators on literal inputs, and against plain models."""
 
+import hashlib
 import random
 import re
 
@@ -319,3 +320,20 @@ def test_parameters(spark):
     texts = ["", "self", "&mut self, a: u8", "a, b=1", "f: (i32, u8), g: Map<a, b>", "(x)", " "]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse.parameters(F.col("t")).alias("p")).collect()
     assert {r["t"]: [tuple(p) for p in r["p"]] for r in got} == {"": [], "self": [], "&mut self, a: u8": [("a", "u8")], "a, b=1": [("a", None), ("b=1", None)], "f: (i32, u8), g: Map<a, b>": [("f", "(i32, u8)"), ("g", "Map<a, b>")], "(x)": [], " ": []}
+
+
+def test_appending_reads_the_parts_that_it_falls_into(spark, tmp_path):
+    contents = lambda *texts: spark.createDataFrame([(t,) for t in texts], "content string")
+    path = str(tmp_path / "objects")
+    texts = [f"text {i}" for i in range(40)]
+    store.append_objects(contents(*texts[:30], texts[0], None), path)
+    store.append_objects(contents(*texts[20:]), path)
+    schema = "hash string, size long, content string, first string"
+    rows = spark.read.schema(schema).parquet(path).collect()
+    assert sorted(r["content"] for r in rows) == sorted(texts) and all(r["hash"].startswith(r["first"]) for r in rows)
+    # a part that nothing new falls into is not opened, not even a broken one
+    mine = hashlib.sha256(texts[0].encode()).hexdigest()[:2]
+    other = next(r["first"] for r in rows if r["first"] != mine)
+    (tmp_path / "objects" / f"first={other}" / "broken.parquet").write_bytes(b"no parquet")
+    store.append_objects(contents(texts[0]), path)
+    assert spark.read.schema(schema).parquet(path).filter(f"first = '{mine}'").count() == sum(r["first"] == mine for r in rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +17,22 @@ def new_objects(contents: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def append_objects(contents: DataFrame, path: str) -> None:
-    """Write what is new below a path, partitioned by the first two digits of the hash."""
+    """Write what is new below a path, partitioned by the first two digits of the hash.
+
+    Of what is stored only the hashes of those of the 256 parts are read that the contents fall into, so a few objects cost a few
+    parts however large the store is. A path that does not exist is an empty store.
+    """
     spark = contents.sparkSession
+    part = F.substring(F.sha2("content", 256), 1, 2)
+    parts = [r["part"] for r in contents.filter("content is not null").select(part.alias("part")).distinct().collect()]  # 256 at most
     try:
-        stored = spark.read.parquet(path)
-    except Exception as error:  # a store that does not exist yet is empty
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        # with a schema, as parts such as 07 would else be read as numbers
+        stored = spark.read.schema("hash string, first string").parquet(path).filter(F.col("first").isin(parts)).select("hash")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = spark.createDataFrame([], "hash string")
-    new_objects(contents, stored).withColumn("first", F.substring("hash", 1, 2)).write.mode("append").partitionBy("first").parquet(path)
+    new_objects(contents.filter("content is not null"), stored).withColumn("first", F.substring("hash", 1, 2)).write.mode("append").partitionBy("first").parquet(path)
 
 
 def listed(stored: DataFrame) -> DataFrame:
