@@ -207,3 +207,27 @@ def test_broken_sources(files):
         assert f(of(files, "n.go")).count() == 0
     for f in (typescript.functions, typescript.parameters, typescript.markup):
         assert f(of(files, "n.ts")).count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_what_tokens_tell_of_each_other_needs_no_shuffle(files):
+    own = of(files, ".go")
+    assert exchanges(golang.types(own)) == 0 and exchanges(golang.imports(own)) == 0
+    assert exchanges(golang.functions(own)) <= 3 and exchanges(golang.calls(own)) <= 2
+    assert exchanges(zig.imports(of(files, ".zig"))) == 0 and exchanges(zig.types(of(files, ".zig"))) == 1
+    assert exchanges(typescript.functions(of(files, ".tsx"))) <= 3
+
+
+def test_nested_tokens_of_unmatched_brackets(spark):
+    rows = lexed.nested(spark.createDataFrame([("a.go", ") a ( b [ c ) { d"), ("b.go", "")], "path string, content string"), "go").orderBy("at").collect()
+    assert [(r["text"], r["level"], r["partner"] and r["partner"]["at"], r["inside"] and r["inside"]["text"]) for r in rows] == [
+        (")", -1, None, None), ("a", -1, None, None), ("(", -1, None, None), ("b", 0, None, None), ("[", 0, 12, None), ("c", 1, None, "["), (")", 0, 8, None), ("{", 0, None, None), ("d", 1, None, "{"),
+    ]
+
+
+def test_an_arrow_function_at_the_end_of_a_file_ends_behind_its_call(spark):
+    one = spark.createDataFrame([("a.ts", "const f = (x) => call(\n  x,\n)\n")], "path string, content string")
+    assert [(r["name"], r["line_start"], r["line_end"]) for r in typescript.functions(one).collect()] == [("f", 1, 3)]

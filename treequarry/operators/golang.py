@@ -16,11 +16,13 @@ NO_CALLS = "func if for switch select return go defer range case interface struc
 TYPE_WORDS = "func map chan interface struct".split()
 #: A brace after one of these belongs to a type.
 TYPE_BRACES = ["interface", "struct"]
+#: The tokens that heads of functions are told by.
+HEADS = ["func", "package", "(", "{"]
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """The tokens of Go files, nested; everything else here takes this."""
-    return lexed.nested(lexed.tokens(files, "go"))
+def parsed(files: DataFrame, *only: str) -> DataFrame:
+    """The tokens of Go files, nested, or only those of some kinds or texts; everything else here takes this."""
+    return lexed.nested(files, "go", ["ahead2", "ahead3", "ahead4", "final"], only)
 
 
 def visibility(name: Column) -> Column:
@@ -32,18 +34,25 @@ def _is(text: str, kind: str = "word") -> Column:
 
 
 def _heads(tokens: DataFrame) -> DataFrame:
-    """Declarations of functions: start, name, params, body (places as in `following`), receiver (offsets, or null)."""
+    """Declarations of functions: at, line_no, name, name_at, params, body (places as in `following`), receiver (offsets, or null), package."""
     sign = F.col("kind") == "sign"
-    body = sign & (F.col("text") == "{") & ~F.coalesce(F.col("before.text").isin(TYPE_BRACES), F.lit(False))
-    named = lexed.following(tokens, paren=sign & (F.col("text") == "("), body=body, next_func=_is("func"))
-    at_top = named.filter((F.col("level") == 0))
-    func = at_top.filter(_is("func") & F.col("body").isNotNull() & (F.col("next_func").isNull() | (F.col("next_func.at") > F.col("body.at")))).filter(F.col("before").isNull() | (F.col("before.line_no") < F.col("line_no")) | F.col("before.text").isin(";", "}"))
-    plain = func.filter(F.col("after.kind") == "word").select("path", "at", "line_no", F.col("after.text").alias("name"), F.col("after.at").alias("name_at"), F.col("paren").alias("params"), "body", F.lit(None).cast("long").alias("receiver_start"), F.lit(None).cast("long").alias("receiver_stop"))
+    paren, brace = sign & (F.col("text") == "("), sign & (F.col("text") == "{")
+    body = brace & ~F.coalesce(F.col("before.text").isin(TYPE_BRACES), F.lit(False))
+    # what is no head, bracket or package is left out before rows move
+    marks = tokens.filter((F.col("level") == 0) & (_is("func") | _is("package") | paren | body)).repartition("path")
+    marks = marks.withColumn("package", F.min(F.when(_is("package"), F.struct("at", "after.text"))).over(Window.partitionBy("path"))["text"])
+    named = lexed.following(marks, paren=paren, body=body, next_func=_is("func"))
+    # the brackets after the first ones, which are a method's parameters
+    named = lexed.following(named, ["paren"], first=paren)
+    func = named.filter(_is("func") & F.col("body").isNotNull() & (F.col("next_func").isNull() | (F.col("next_func.at") > F.col("body.at")))).filter(F.col("before").isNull() | (F.col("before.line_no") < F.col("line_no")) | F.col("before.text").isin(";", "}"))
     # a method names its receiver in the first brackets; its name is the token after them
-    methods = func.filter(F.col("after.text") == "(").select("path", "at", "line_no", F.col("paren.partner.at").alias("receiver_end"), F.col("paren.stop").alias("receiver_start"), F.col("paren.partner.start").alias("receiver_stop"), "body")
-    ends = at_top.filter(F.col("closes")).select("path", F.col("at").alias("receiver_end"), F.col("after.text").alias("name"), F.col("after.at").alias("name_at"), F.col("after.kind").alias("name_kind"), F.col("paren").alias("params"))
-    methods = methods.join(ends.filter("name_kind = 'word'"), ["path", "receiver_end"]).drop("name_kind", "receiver_end")
-    return plain.unionByName(methods.select(plain.columns)).filter(F.col("params").isNotNull() & (F.col("params.at") < F.col("body.at")))
+    method = F.col("after.text") == "("
+    end = F.when(method, F.col("paren.partner"))
+    name = F.when(method, end["after"]).otherwise(F.col("after"))
+    params = F.when(method, F.col("first.paren")).otherwise(F.col("paren"))
+    heads = func.select("path", "package", "at", "line_no", name.alias("name"), params.alias("params"), "body", F.when(method, F.col("paren.stop")).alias("receiver_start"), end["start"].alias("receiver_stop"))
+    heads = heads.filter((F.col("name.kind") == "word") & F.col("params").isNotNull() & (F.col("params.at") < F.col("body.at")))
+    return heads.withColumn("name_at", F.col("name.at")).withColumn("name", F.col("name.text"))
 
 
 def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -52,20 +61,21 @@ def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     receiver and returns are as written, or null. Functions without a body give no row. Attributes: `entrypoint` of main in
     package main, of init and of tests; `test`; `init`.
     """
-    tokens = parsed(files) if tokens is None else tokens
-    package = tokens.filter(_is("package") & (F.col("level") == 0)).groupBy("path").agg(F.min_by("after.text", "at").alias("package"))
-    found = lexed.sliced(_heads(tokens), files, receiver=(F.col("receiver_start"), F.col("receiver_stop")), returns=(F.col("params.partner.stop"), F.col("body.start"))).join(package, "path", "left")
+    tokens = parsed(files, *HEADS) if tokens is None else tokens
+    heads = _heads(tokens).select("path", "package", "name", "line_no", "receiver_start", "receiver_stop", F.col("params.partner.stop").alias("returns_start"), F.col("body.start").alias("returns_stop"), F.col("body.line_no").alias("body_start"), F.col("body.partner.line_no").alias("body_end"))
+    found = lexed.sliced(heads, files, receiver=(F.col("receiver_start"), F.col("receiver_stop")), returns=(F.col("returns_start"), F.col("returns_stop")))
     test, init = F.col("name").rlike("^(Test|Benchmark|Example)"), F.col("name") == "init"
     entry = test | init | ((F.col("name") == "main") & (F.coalesce("package", F.lit("")) == "main"))
     attributes = F.array_compact(F.array(F.when(entry, "entrypoint"), F.when(test, "test"), F.when(init, "init")))
-    return found.select("path", "name", "receiver", F.nullif("returns", F.lit("")).alias("returns"), visibility(F.col("name")).alias("visibility"), attributes.alias("attributes"), F.col("line_no").alias("line_start"), F.col("body.partner.line_no").alias("line_end"), F.col("body.line_no").alias("body_start"), F.col("body.partner.line_no").alias("body_end"))
+    return found.select("path", "name", "receiver", F.nullif("returns", F.lit("")).alias("returns"), visibility(F.col("name")).alias("visibility"), attributes.alias("attributes"), F.col("line_no").alias("line_start"), F.col("body_end").alias("line_end"), "body_start", "body_end")
 
 
 def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, function, line_no (of the function), pos, param, type; unnamed parameters give no rows, receivers neither."""
-    tokens = parsed(files) if tokens is None else tokens
-    heads = _heads(tokens).select("path", F.col("params.at").alias("opened"), F.col("name").alias("function"), "line_no")
-    inner = tokens.select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop", "closes", "after", "partner", "opens").join(heads, ["path", "opened"])
+    heads, tokens = (parsed(files, *HEADS), parsed(files)) if tokens is None else (tokens, tokens)
+    heads = _heads(heads).select("path", F.col("params.at").alias("opened"), F.col("name").alias("function"), "line_no")
+    # functions stand outside of all brackets, so their parameters are one level deep
+    inner = tokens.filter((F.col("level") == 1) & (F.col("inside.text") == "(")).select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop", F.struct("partner.at").alias("partner")).join(heads, ["path", "opened"])
     order = Window.partitionBy("path", "opened").orderBy("at")
     comma = (F.col("kind") == "sign") & (F.col("text") == ",")
     inner = inner.withColumn("field", F.sum(comma.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~comma)
@@ -85,30 +95,25 @@ def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 def types(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, name, kind (Struct or Interface), visibility, line_start, line_end; types of one group have the group's lines."""
-    tokens = parsed(files) if tokens is None else tokens
-    braces = lexed.following(tokens, body=(F.col("kind") == "sign") & (F.col("text") == "{"))
-    word = (F.col("kind") == "word") & F.col("text").isin(TYPE_BRACES) & (F.col("after.text") == "{")
-    bodies = braces.filter(word).select("path", F.col("before.at").alias("name_at"), F.col("text").alias("what"), F.col("body.partner.line_no").alias("line_end"))
+    tokens = parsed(files, *TYPE_BRACES) if tokens is None else tokens
     # parameters of a type stand between its name and its body; then what is before the body is their bracket
-    names = tokens.filter("kind = 'word'").select("path", F.col("at").alias("name_at"), F.col("text").alias("name"), "before", "inside")
-    opened = tokens.filter((F.col("text") == "]") & (F.col("kind") == "sign")).select("path", F.col("at").alias("name_at"), F.col("partner.at").alias("opened"))
-    of_bracket = tokens.filter((F.col("text") == "[") & (F.col("kind") == "sign")).select("path", F.col("at").alias("opened"), F.col("before.at").alias("own_at"))
-    generic = bodies.join(opened, ["path", "name_at"]).join(of_bracket, ["path", "opened"]).select("path", F.col("own_at").alias("name_at"), "what", "line_end")
-    found = bodies.unionByName(generic).join(names, ["path", "name_at"])
+    generic = (F.col("before.text") == "]") & (F.col("before.kind") == "sign")
+    name = F.when(generic, F.col("before_partner.before")).otherwise(F.col("before"))
+    before = F.when(generic, F.col("before_partner.earlier")).otherwise(F.col("earlier"))
+    word = (F.col("kind") == "word") & F.col("text").isin(TYPE_BRACES) & (F.col("after.text") == "{")
+    found = tokens.filter(word).withColumn("name", name).withColumn("before", before).filter("name.kind = 'word'")
     alone, grouped = F.col("before.text") == "type", (F.col("inside.text") == "(") & (F.col("inside.before.text") == "type")
-    found = found.filter(alone | grouped).withColumn("declared", F.when(alone, F.col("before.at")).otherwise(F.col("inside.before.at"))).withColumn("group", F.when(~alone, F.col("inside.at")))
-    starts = tokens.filter(_is("type")).select("path", F.col("at").alias("declared"), F.col("line_no").alias("line_start"))
-    ends = tokens.filter((F.col("text") == "(") & (F.col("kind") == "sign")).select("path", F.col("at").alias("group"), F.col("partner.line_no").alias("group_end"))
-    found = found.join(starts, ["path", "declared"]).join(ends, ["path", "group"], "left")
-    return found.select("path", "name", F.initcap("what").alias("kind"), visibility(F.col("name")).alias("visibility"), "line_start", F.coalesce("group_end", "line_end").alias("line_end"))
+    found = found.filter(alone | grouped)
+    line_start = F.when(alone, F.col("before.line_no")).otherwise(F.col("inside.before.line_no"))
+    line_end = F.coalesce(F.when(~F.coalesce(alone, F.lit(False)), F.col("inside.partner_line")), "after.partner_line")
+    return found.select("path", F.col("name.text").alias("name"), F.initcap("text").alias("kind"), visibility(F.col("name.text")).alias("visibility"), line_start.alias("line_start"), line_end.alias("line_end"))
 
 
 def imports(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, import_path, alias (null without one), line_no; single and grouped imports."""
-    tokens = parsed(files) if tokens is None else tokens
+    tokens = parsed(files, "string") if tokens is None else tokens
     before, inside = F.col("before"), F.col("inside")
-    order = Window.partitionBy("path").orderBy("at")
-    found = tokens.withColumn("earlier", F.lag("before").over(order)).filter((F.col("kind") == "string") & F.col("text").startswith('"'))
+    found = tokens.filter((F.col("kind") == "string") & F.col("text").startswith('"'))
     grouped = (inside["text"] == "(") & (inside["before"]["text"] == "import")
     named = (before["kind"] == "word") & (before["text"] != "import") | before["text"].isin(".", "_")
     alias = F.when(named & (before["line_no"] == F.col("line_no")), before["text"])
@@ -118,14 +123,18 @@ def imports(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 def calls(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, caller (null outside of functions), callee, line_no: names and fields before brackets, conversions of plain types too."""
-    tokens = parsed(files) if tokens is None else tokens
-    heads = _heads(tokens).select("path", "at", "name_at", "name", "line_no", F.col("body.partner.line_no").alias("line_end"))
+    heads, tokens = (parsed(files, *HEADS), parsed(files, "word")) if tokens is None else (tokens, tokens)
+    heads = _heads(heads).select("path", "name_at", "name", "line_no", F.col("body.partner.line_no").alias("line_end"))
+    held = "struct<line_no: long, line_end: long, name: string>"
     method = (F.col("inside.text") == "{") & (F.col("inside.before.text") == "interface")
     found = tokens.filter((F.col("kind") == "word") & (F.col("after.text") == "(") & ~F.col("text").isin(NO_CALLS)).filter(~F.coalesce(F.col("before.text").isin("func", "]"), F.lit(False)) & ~F.coalesce(method, F.lit(False)))
-    found = found.join(heads.select("path", F.col("name_at").alias("at")), ["path", "at"], "left_anti").select("path", "at", F.col("text").alias("callee"), "line_no")
+    found = found.select("path", "at", F.col("text").alias("callee"), "line_no")
+    # the name of a head is no call: it stands beside what would be one, in the same place
+    kept = Window.partitionBy("path", "at")
+    heads = heads.withColumn("at", F.col("name_at"))
+    both = found.withColumns({"held": F.lit(None).cast(held), "named": F.lit(False)}).unionByName(heads.select("path", "at", F.lit(None).cast("string").alias("callee"), "line_no", F.struct("line_no", "line_end", "name").alias("held"), F.lit(True).alias("named"))).repartition("path")
+    both = both.withColumn("named", F.max("named").over(kept)).filter("held is not null or not named")
     # functions do not nest: the last one begun on or before the line holds it, or none does
-    starts = heads.select("path", "line_no", F.lit(-1).cast("long").alias("at"), F.struct("line_no", "line_end", "name").alias("held"), F.lit(None).cast("string").alias("callee"))
-    both = found.withColumn("held", F.lit(None).cast(starts.schema["held"].dataType)).unionByName(starts)
-    so_far = Window.partitionBy("path").orderBy("line_no", "at").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last("held", True).over(so_far)
-    return both.withColumn("held", held).filter("callee is not null").select("path", F.when(F.col("held.line_end") >= F.col("line_no"), F.col("held.name")).alias("caller"), "callee", "line_no")
+    so_far = Window.partitionBy("path").orderBy("line_no", F.col("held").isNull(), "at").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("held", F.last("held", True).over(so_far))
+    return both.filter("callee is not null").select("path", F.when(F.col("held.line_end") >= F.col("line_no"), F.col("held.name")).alias("caller"), "callee", "line_no")

@@ -1,8 +1,7 @@
 """Sources as rows of tokens, with their brackets matched: what the parsers of `typescript`, `golang`, `zig` and of style sheets stand on.
 
-A file is cut into tokens, which become rows; everything after that is window functions over a file's tokens. A bracket
-and its partner are neighbours among the brackets of their level, and the innermost bracket around a token is the last
-one opened a level above it, so both are found in one pass per file. Braces in strings, comments, templates and
+A file is cut into tokens, which become rows. Brackets are matched by a stack in the task that cuts the file, which also
+tells of each token what stands beside and around it; what asks further is filtered first, then goes through window functions. Braces in strings, comments, templates and
 expressions of markup are parts of their tokens, or belong to their own level, and do not count.
 
 Files have path and content. Null contents have no tokens.
@@ -11,11 +10,15 @@ Files have path and content. Null contents have no tokens.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 OPEN, CLOSE = ["(", "[", "{", "${"], [")", "]", "}"]
 WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
@@ -49,45 +52,163 @@ def tokens(files: DataFrame, language: str) -> DataFrame:
     return _rows(cut.withColumn("kind", kind_of(F.col("text"))))
 
 
-def nested(rows: DataFrame, opening: list[str] = OPEN, closing: list[str] = CLOSE) -> DataFrame:
-    """Tokens without white space and comments, with what stands around them.
+#: What is told of a token beside another one, of a bracket's partner, and of the bracket around.
+BESIDE = pa.struct({"text": pa.string(), "kind": pa.string(), "line_no": pa.int64(), "at": pa.int64(), "end_line": pa.int64(), "stop": pa.int64(), "partner_line": pa.int64()})
+PARTNER = pa.struct({"at": pa.int64(), "line_no": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "after": BESIDE})
+INSIDE = pa.struct({"at": pa.int64(), "text": pa.string(), "before": BESIDE, "partner_line": pa.int64()})
+#: The columns of `nested`.
+NESTED = pa.schema(
+    {"path": pa.string(), "at": pa.int64(), "text": pa.string(), "kind": pa.string()}
+    | dict.fromkeys(("line_no", "end_line", "start", "stop", "level", "nth"), pa.int64())
+    | dict.fromkeys(("opens", "closes"), pa.bool_())
+    | dict.fromkeys(("earlier", "before", "after", "ahead2", "ahead3", "ahead4"), BESIDE)
+    | {"partner": PARTNER, "before_partner": pa.struct({"before": BESIDE, "earlier": BESIDE}), "inside": INSIDE, "final": pa.struct({"end_line": pa.int64(), "stop": pa.int64()})}
+)
+#: What `following` tells of a token, unless asked for other columns.
+FOUND = ("at", "line_no", "start", "stop", "partner")
+#: Tokens that a task holds before it hands them on; one file stays whole.
+HELD = 20_000
 
-    level (brackets around the token), inside (the innermost of them: at, text, and the token before it), partner (of a bracket: at,
-    line_no, start, stop), before and after (the tokens beside it: text, kind, line_no, at), nth (place among the rest).
+
+@lru_cache(1 << 16)
+def _kind(text: str) -> str:
+    """As `kind_of`, by the first characters."""
+    first = text[0]
+    if first in " \t\n\x0b\f\r":
+        return "space"
+    if first == "/" and text[1:2] in ("/", "*"):
+        return "comment"
+    if first in "\"'`" or text[:2] in ('@"', "\\\\"):
+        return "string"
+    if first.isalpha() or first in "_$" or (first == "@" and (text[1:2].isalpha() or text[1:2] in ("_", "$"))):
+        return "word"
+    return "number" if "0" <= first <= "9" else "sign"
+
+
+class _Solid:
+    """Tokens of some files without white space and comments; brackets are matched by a stack as they come."""
+
+    def __init__(self, only: frozenset[str], opening: list[str], closing: list[str]) -> None:
+        self.only = only
+        self.opening, self.closing = frozenset(opening), frozenset(closing)
+        self.columns: dict[str, list] = {name: [] for name in ("path", "at", "text", "kind", "line_no", "end_line", "start", "stop", "opens", "closes", "level", "nth", "partner", "inside", "final")}
+
+    def add(self, path: str, pieces: Iterable[tuple[str, str]]) -> None:
+        c = self.columns
+        base = len(c["path"])
+        rows, partners, insides, stack, ends = [], [], [], [], {}
+        level, line, offset, n = 0, 1, 0, base
+        for at, (kind, text) in enumerate(pieces):
+            start, first_line = offset, line
+            offset += len(text)
+            if "\n" in text:
+                line += text.count("\n")
+            if kind == "space" or kind == "comment":
+                continue
+            opens = closes = False
+            partner = None
+            if kind == "sign":
+                opens, closes = text in self.opening, text in self.closing
+                if closes:
+                    level -= 1
+                    if stack:
+                        partner = stack.pop()
+                        partners[partner - base] = n
+            inside = stack[-1] if stack and level > 0 else None
+            rows.append((path, at, text, kind, first_line, line, start, offset, opens, closes, level, n - base + 1))
+            partners.append(partner)
+            insides.append(inside)
+            if inside is not None or level == 0:
+                ends[inside] = n
+            if opens:
+                level += 1
+                stack.append(n)
+            n += 1
+        for name, values in zip(c, zip(*rows, strict=True), strict=False):
+            c[name].extend(values)
+        c["partner"].extend(partners)
+        c["inside"].extend(insides)
+        c["final"].extend(map(ends.get, insides))
+
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        """Everything so far in the columns of `nested`, or some of them."""
+        linked = ("partner", "inside", "final")
+        c = {name: pa.array(values, pa.int64() if name in linked else NESTED.field(name).type) for name, values in self.columns.items()}
+        c["partner_line"] = c["line_no"].take(c["partner"])
+        here, nth = np.arange(len(c["path"])), np.array(self.columns["nth"])
+        first = here - nth + 1
+        length = np.diff(np.append(np.flatnonzero(nth == 1), len(here)))
+        last = first + np.repeat(length, length) - 1
+        beside = {"earlier": -2, "before": -1, "after": 1, "ahead2": 2, "ahead3": 3, "ahead4": 4}
+        places = {name: pa.array(here + gap, mask=(here + gap < first) | (here + gap > last)) for name, gap in beside.items()} | {name: c[name] for name in linked}
+        places["before_partner"] = c["partner"].take(places["before"])
+
+        def told(kind: pa.StructType, of: pa.Array) -> pa.Array:
+            parts = [told(f.type, places[f.name].take(of)) if pa.types.is_struct(f.type) else c[f.name].take(of) for f in kind]
+            return pa.StructArray.from_arrays(parts, fields=list(kind), mask=of.is_null())
+
+        kept = pa.array([n for n, (kind, text) in enumerate(zip(self.columns["kind"], self.columns["text"], strict=True)) if not self.only or kind in self.only or text in self.only], pa.int64())
+        return pa.RecordBatch.from_arrays([told(f.type, places[f.name].take(kept)) if f.name in places else c[f.name].take(kept) for f in schema], schema=schema)
+
+
+def _nested(language: str, schema: pa.Schema, only: Iterable[str], opening: list[str], closing: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: of (path, content) in TypeScript, else of (path, pieces)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Solid(frozenset(only), opening, closing)
+        for batch in batches:
+            for path, source in zip(batch.column(0), batch.column(1), strict=True):
+                path, source = path.as_py(), source.as_py()
+                held.add(path, lex(source, path.endswith(".tsx")) if language == "typescript" else [(_kind(text), text) for text in source])
+                if len(held.columns["path"]) >= HELD:
+                    yield held.batch(schema)
+                    held = _Solid(frozenset(only), opening, closing)
+        if held.columns["path"]:
+            yield held.batch(schema)
+
+    return of
+
+
+def nested(files: DataFrame, language: str, without: Sequence[str] = (), only: Iterable[str] = (), opening: list[str] = OPEN, closing: list[str] = CLOSE) -> DataFrame:
+    """Tokens of files without white space and comments, with what stands around them; no row leaves its task.
+
+    level (brackets around the token), inside (the innermost of them, and the token before it), partner (of a bracket, with the token
+    after it), before_partner (of the token before: what stands before its partner), earlier, before, after, ahead2 to ahead4 (the tokens around in the order of the file), nth (place among the rest), final
+(end of the last token with the same bracket around). See `NESTED`, of which the columns `without` are left out, and
+    of the rows all but those whose kind or text is among `only`, if that is given; places of files are as in `tokens`.
+    """
+    own = files.filter("content is not null")
+    cut = F.col("content") if language == "typescript" else F.regexp_extract_all("content", F.lit(PATTERNS[language]), 0)
+    schema = pa.schema([f for f in NESTED if f.name not in without])
+    return own.select("path", cut.alias("pieces")).mapInArrow(_nested(language, schema, only, opening, closing), from_arrow_schema(schema))
+
+
+def following(rows: DataFrame, tell: Sequence[str] = FOUND, **wanted: Column) -> DataFrame:
+    """For each token, of each kind wanted the first one after it with the same brackets around, as a struct of the columns to tell.
+
+    Rows that neither ask nor are wanted can be left out before. A column of an earlier call can be told too: what follows what follows.
     """
-    solid = rows.filter(~F.col("kind").isin("space", "comment"))
-    order = Window.partitionBy("path").orderBy("at")
-    sign = F.col("kind") == "sign"
-    opens, closes = sign & F.col("text").isin(opening), sign & F.col("text").isin(closing)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    beside = F.struct("text", "kind", "line_no", "at")
-    level = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far)
-    out = solid.withColumn("opens", opens).withColumn("closes", closes).withColumn("level", level - F.when(opens, 1).otherwise(0))
-    out = out.withColumn("before", F.lag(beside).over(order)).withColumn("after", F.lead(beside).over(order)).withColumn("nth", F.row_number().over(order))
-    # a bracket and its partner stand on one level, and no other bracket of that level stands between them
-    own = Window.partitionBy("path", "level", F.col("opens") | F.col("closes")).orderBy("at")
-    place = F.struct("at", "line_no", "start", "stop")
-    out = out.withColumn("partner", F.when(F.col("opens"), F.lead(place).over(own)).when(F.col("closes"), F.lag(place).over(own)))
-    # what is inside of a bracket opened on a level is one level above: both in the order of the file
-    whole = F.struct("at", "text", "before")
-    shared = out.select("path", F.col("level").alias("depth"), "at", F.struct(*out.columns).alias("token"), F.lit(None).cast(out.select(whole.alias("w")).schema["w"].dataType).alias("bracket"))
-    brackets = out.filter("opens").select("path", (F.col("level") + 1).alias("depth"), "at", F.lit(None).cast(shared.schema["token"].dataType).alias("token"), whole.alias("bracket"))
-    around = Window.partitionBy("path", "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    both = shared.unionByName(brackets).withColumn("inside", F.when(F.col("depth") > 0, F.last("bracket", True).over(around)))
-    return both.filter("token is not null").select("token.*", "inside")
-
-
-def following(rows: DataFrame, **wanted: Column) -> DataFrame:
-    """For each token, of each kind wanted the first one after it with the same brackets around: at, line_no, end_line, start, stop, partner, before."""
     later = Window.partitionBy("path", "level", "inside.at").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    found = F.struct("at", "line_no", "end_line", "start", "stop", "partner", "before")
-    return rows.select("*", *(F.last(F.when(c, found), True).over(later).alias(name) for name, c in wanted.items()))
+    return rows.select("*", *(F.last(F.when(c, F.struct(*tell)), True).over(later).alias(name) for name, c in wanted.items()))
+
+
+def _cut(contents: pd.Series, offsets: pd.Series) -> pd.Series:
+    """Of each content the texts between pairs of offsets, without white space around; null where one is null."""
+    of = lambda content, pairs: [None if a is None or b is None else content[a:b].strip(" \t\r\n") for a, b in pairs]
+    return pd.Series([of(content, [[None if pd.isna(x) else int(x) for x in pair] for pair in pairs]) for content, pairs in zip(contents, offsets, strict=True)])
 
 
 def sliced(rows: DataFrame, files: DataFrame, **spans: tuple[Column, Column]) -> DataFrame:
-    """Rows with texts of their files between two offsets, without white space around; null where an offset is null."""
-    text = lambda a, b: F.btrim(F.substr("content", (a + 1).cast("int"), (b - a).cast("int")), F.lit(" \t\r\n"))
-    return rows.join(files.select("path", "content"), "path").withColumns({name: F.when(a.isNotNull() & b.isNotNull(), text(a, b)) for name, (a, b) in spans.items()}).drop("content")
+    """Rows with texts of their files between two offsets, without white space around; null where an offset is null.
+
+    A file meets all its rows at once, so that its text is copied and read once, however many they are.
+    """
+    pairs = F.array(*(F.array(a.cast("long"), b.cast("long")) for a, b in spans.values()))
+    packed = rows.groupBy("path").agg(F.collect_list(F.struct(F.struct(*rows.columns).alias("row"), pairs.alias("pairs"))).alias("all"))
+    cut = F.pandas_udf(_cut, "array<string>")
+    texts = packed.join(files.select("path", "content"), "path").select("all.row", cut("content", F.flatten("all.pairs")).alias("texts"))
+    each = texts.select("texts", F.posexplode("row").alias("n", "row"))
+    return each.select("row.*", *(F.get("texts", F.col("n") * len(spans) + k).alias(name) for k, name in enumerate(spans)))
 
 
 #: White space, comments, strings, numbers, words and signs of TypeScript.

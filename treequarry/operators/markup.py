@@ -93,10 +93,12 @@ def css_blocks(files: DataFrame) -> DataFrame:
 
     A statement ends with the brace that closes its block, or with a `;` outside of all blocks.
     """
-    tokens = lexed.nested(lexed.tokens(files, "css"), ["{"], ["}"]).filter("level = 0")
+    tokens = lexed.nested(files, "css", ["earlier", "after", "ahead2", "ahead3", "ahead4", "before_partner", "partner", "inside", "final"], opening=["{"], closing=["}"]).filter("level = 0")
     order = Window.partitionBy("path").orderBy("at")
     ends = (F.col("kind") == "sign") & F.col("text").isin("}", ";")
-    rows = tokens.withColumn("ends", ends).withColumn("nth", F.coalesce(F.sum(ends.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # of a statement its first token, its brace and its end tell everything
+    begins = F.col("before").isNull() | ((F.col("before.kind") == "sign") & F.col("before.text").isin("{", "}", ";"))
+    rows = tokens.withColumn("ends", ends).filter(F.col("opens") | F.col("ends") | begins).withColumn("nth", F.coalesce(F.sum(ends.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     head = F.min(F.when(F.col("opens") | F.col("ends"), F.col("start")))
     found = rows.groupBy("path", "nth").agg(F.min("start").alias("from"), head.alias("to"), F.min("line_no").alias("line_start"), F.max("end_line").alias("line_end"), F.max("opens").alias("block"), F.max("ends").alias("ended"))
     named = lexed.sliced(found.filter("ended"), files, head=(F.col("from"), F.col("to")))

@@ -15,12 +15,14 @@ from treequarry.operators import lexed
 BEFORE_TYPE = [":", "|", "&", ",", "<", "=>", "=", "extends", "is", "keyof", "readonly"]
 #: After one of these a new line goes on with the statement.
 GOES_ON = ["=", "(", "[", ",", ":", "?", "+", "-", "*", "/", "%", "&&", "||", "??", "=>", ".", "?.", "<", ">", "<=", "==", "===", "!=", "!==", "!", "&", "|", "^", "~", "...", "return", "typeof", "await", "new", "extends", "in", "of"]
+#: The tokens that heads of functions are told by.
+HEADS = ["word", "(", "{", "=>", ";", "="]
 ENTRYPOINTS = ["App", "Main", "Page"]
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """The tokens of TypeScript files, nested; everything else here takes this."""
-    return lexed.nested(lexed.tokens(files, "typescript"))
+def parsed(files: DataFrame, *only: str) -> DataFrame:
+    """The tokens of TypeScript files, nested, or only those of some kinds or texts; everything else here takes this."""
+    return lexed.nested(files, "typescript", ["earlier", "ahead3", "ahead4", "before_partner"], only)
 
 
 def _starts() -> Column:
@@ -35,45 +37,37 @@ def _heads(tokens: DataFrame) -> DataFrame:
     sign = F.col("kind") == "sign"
     is_ = lambda text: sign & (F.col("text") == text)
     typed = F.coalesce(F.col("before.text").isin(BEFORE_TYPE), F.lit(False))
-    rows = tokens.withColumn("starts", _starts())
-    rows = lexed.following(rows, paren=is_("("), body=is_("{") & ~typed, brace=is_("{"), arrow=is_("=>"), semicolon=is_(";"), next_start=F.col("starts") | is_(";"))
-    order = Window.partitionBy("path").orderBy("at")
-    ahead = F.struct("text", "kind", "at", "paren", "arrow")
-    rows = rows.withColumns({f"ahead{n}": F.lead(ahead, n).over(order) for n in (1, 2, 3, 4)})
-    at, a1, a2 = F.col("at"), F.col("ahead1"), F.col("ahead2")
+    # what neither begins a statement nor is one of these signs is left out before rows move
+    marks = tokens.withColumn("starts", F.coalesce(_starts(), F.lit(False))).filter(F.col("starts") | (sign & F.col("text").isin("(", "{", "=>", ";", "="))).repartition("path")
+    rows = lexed.following(marks, paren=is_("("), body=is_("{") & ~typed, brace=is_("{"), semicolon=is_(";"))
+    rows = lexed.following(rows, ["at", "before"], next_start=F.col("starts") | is_(";"))
+    rows = lexed.following(rows, ["at", "start", "after", "brace"], arrow=is_("=>"))
+    rows = lexed.following(rows, ["at", "paren", "arrow", "after", "ahead2"], equals=is_("="))
+    a1, a2 = F.col("after"), F.col("ahead2")
     first_of = lambda place: place.isNotNull() & (F.col("next_start").isNull() | (place["at"] < F.col("next_start.at")))
+    result = [F.col("params.partner.stop").alias("result_start"), "result_stop", "line_start", "line_end", "from", "to", "arrow"]
     # function declarations; `async` begins the statement, and the word after it would begin none
     is_async = F.col("text") == "async"
     name = F.when(is_async, a2).otherwise(a1)
     declared = F.when(is_async, a1["text"] == "function").otherwise(F.col("text") == "function")
-    plain = rows.filter(F.col("starts") & declared & (name["kind"] == "word") & first_of(F.col("body")) & first_of(F.col("paren")))
-    plain = plain.select("path", name["text"].alias("name"), F.col("paren").alias("params"), F.col("paren.partner.stop").alias("result_start"), F.col("body.start").alias("result_stop"), F.col("line_no").alias("line_start"), F.col("body.partner.line_no").alias("line_end"), F.col("start").alias("from"), F.col("body.partner.stop").alias("to"), F.lit(False).alias("arrow"))
+    plain = F.col("starts") & declared & (name["kind"] == "word") & first_of(F.col("body")) & first_of(F.col("paren"))
     # const name = async? <T>? ( ... ) : type => : the arrow comes after the brackets, with nothing but a type between
-    arrows = rows.filter(F.col("starts") & F.col("text").isin("const", "let") & (a1["kind"] == "word"))
-    values = rows.filter(is_("=") & F.col("paren").isNotNull() & F.col("arrow").isNotNull())
+    paren, arrow, b1, b2 = F.col("equals.paren"), F.col("equals.arrow"), F.col("equals.after"), F.col("equals.ahead2")
     # what stands right after `=` must be the brackets, but for `async` and type parameters
-    b1, b2 = F.col("ahead1"), F.col("ahead2")
     opened = F.when(b1["text"] == "async", b2).otherwise(b1)
-    values = values.filter((opened["text"] == "<") | ((opened["text"] == "(") & (opened["at"] == F.col("paren.at")))).filter(F.col("paren.partner.at") < F.col("arrow.at"))
-    # between brackets and arrow: nothing, or a type
-    ends = rows.filter(is_(")")).select("path", F.col("at").alias("closed_at"), F.col("after.text").alias("closed_after"))
-    values = values.select("path", F.col("at").alias("equals_at"), "paren", F.col("arrow").alias("the_arrow"), F.col("paren.partner.at").alias("closed_at")).join(ends, ["path", "closed_at"]).filter(F.col("closed_after").isin("=>", ":"))
-    own = lexed.following(rows.drop("paren", "body", "brace", "arrow", "semicolon", "next_start"), equals=is_("=")).select("path", "at", "equals")
-    arrows = arrows.join(own, ["path", "at"]).withColumn("equals_at", F.col("equals.at")).filter(first_of(F.col("equals"))).drop("paren").join(values, ["path", "equals_at"])
-    # the whole ends with the brace that closes its body, or with the last token of its statement
-    after_arrow = rows.filter(is_("=>")).select("path", F.col("at").alias("arrow_at"), F.col("after.text").alias("body_sign"), F.col("brace").alias("own_body"))
-    arrows = arrows.withColumn("arrow_at", F.col("the_arrow.at")).join(after_arrow, ["path", "arrow_at"])
-    last = rows.select("path", F.col("after.at").alias("stop_at"), F.col("end_line").alias("last_line"), F.col("stop").alias("last_stop"))
-    arrows = arrows.withColumn("stop_at", F.col("next_start.at")).join(last, ["path", "stop_at"], "left")
-    # without a later statement beside it, the statement ends where its surroundings or the file end
-    length = tokens.groupBy("path", F.col("inside.at").alias("around"), "level").agg(F.max(F.struct("at", F.coalesce("partner.line_no", "end_line").alias("line"), F.coalesce("partner.stop", "stop").alias("to"))).alias("final"))
-    final = length.filter("level = 0 or around is not null").select("path", F.coalesce("around", F.lit(-1)).alias("around"), "final")
-    arrows = arrows.withColumn("around", F.coalesce("inside.at", F.lit(-1).cast("long"))).join(final, ["path", "around"])
+    valued = ((opened["text"] == "<") | ((opened["text"] == "(") & (opened["at"] == paren["at"]))) & (paren["partner"]["at"] < arrow["at"]) & paren["partner"]["after"]["text"].isin("=>", ":")
+    arrows = F.col("starts") & F.col("text").isin("const", "let") & (a1["kind"] == "word") & first_of(F.col("equals")) & valued & F.col("final").isNotNull()
+    # the whole ends with the brace that closes its body, or with the last token of its statement; without a later
+    # statement beside it, the statement ends where its surroundings or the file end
     ended = F.col("semicolon").isNotNull() & (F.col("semicolon.at") == F.col("next_start.at"))
-    line_end = F.when(F.col("body_sign") == "{", F.coalesce(F.when(ended, F.col("semicolon.line_no")), F.col("own_body.partner.line_no"))).otherwise(F.coalesce(F.when(ended, F.col("semicolon.line_no")), "last_line", "final.line"))
-    to = F.when(F.col("body_sign") == "{", F.col("own_body.partner.stop")).otherwise(F.coalesce("last_stop", "final.to"))
-    arrows = arrows.select("path", F.col("ahead1.text").alias("name"), F.col("paren").alias("params"), F.col("paren.partner.stop").alias("result_start"), F.col("the_arrow.start").alias("result_stop"), F.col("line_no").alias("line_start"), line_end.alias("line_end"), F.col("start").alias("from"), to.alias("to"), F.lit(True).alias("arrow"))
-    return plain.unionByName(arrows)
+    braced, own_body = arrow["after"]["text"] == "{", arrow["brace"]["partner"]
+    semicolon = F.when(ended, F.col("semicolon.line_no"))
+    line_end = F.when(braced, F.coalesce(semicolon, own_body["line_no"])).otherwise(F.coalesce(semicolon, "next_start.before.end_line", "final.end_line"))
+    to = F.when(braced, own_body["stop"]).otherwise(F.coalesce("next_start.before.stop", "final.stop"))
+    of_plain = F.struct(name["text"].alias("name"), F.col("paren").alias("params"), F.col("body.start").alias("result_stop"), F.col("body.partner.line_no").alias("line_end"), F.col("body.partner.stop").alias("to"), F.lit(False).alias("arrow"))
+    of_arrow = F.struct(a1["text"].alias("name"), paren.alias("params"), arrow["start"].alias("result_stop"), line_end.alias("line_end"), to.alias("to"), F.lit(True).alias("arrow"))
+    found = rows.select("path", F.col("line_no").alias("line_start"), F.col("start").alias("from"), F.when(plain, of_plain).when(arrows, of_arrow).alias("head")).filter("head is not null")
+    return found.select("path", "line_start", "from", "head.*").select("path", "name", "params", *result)
 
 
 def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -82,8 +76,8 @@ def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     Declarations with a body, and const or let with a name and an arrow function with brackets for a value. `is_async` says that
     the word stands in the text of the whole. Attributes, in .tsx files only: `component`, and `entrypoint` of App, Main and Page.
     """
-    tokens = parsed(files) if tokens is None else tokens
-    found = lexed.sliced(_heads(tokens), files, result=(F.col("result_start"), F.col("result_stop")), whole=(F.col("from"), F.col("to")))
+    tokens = parsed(files, *HEADS) if tokens is None else tokens
+    found = lexed.sliced(_heads(tokens).drop("params"), files, result=(F.col("result_start"), F.col("result_stop")), whole=(F.col("from"), F.col("to")))
     component = F.col("path").endswith(".tsx") & F.col("name").rlike(r"^\p{Lu}")
     attributes = F.array_compact(F.array(F.when(component, "component"), F.when(component & F.col("name").isin(ENTRYPOINTS), "entrypoint")))
     returns = F.nullif(F.btrim(F.regexp_replace("result", "^:+", "")), F.lit(""))
@@ -96,9 +90,9 @@ def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
     Commas in angle brackets of types part nothing; a default value belongs to neither.
     """
-    tokens = parsed(files) if tokens is None else tokens
-    heads = _heads(tokens).select("path", F.col("params.at").alias("opened"), F.col("name").alias("function"), F.col("line_start").alias("line_no"))
-    inner = tokens.select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop").join(heads, ["path", "opened"])
+    heads, tokens = (parsed(files, *HEADS), parsed(files)) if tokens is None else (tokens, tokens)
+    heads = _heads(heads).select("path", F.col("params.at").alias("opened"), F.col("name").alias("function"), F.col("line_start").alias("line_no"))
+    inner = tokens.filter(F.col("inside.text") == "(").select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop").join(heads, ["path", "opened"])
     order = Window.partitionBy("path", "opened").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     sign = F.col("kind") == "sign"
     angle = F.sum(F.when(sign & (F.col("text") == "<"), 1).when(sign & (F.col("text") == ">"), -1).otherwise(0)).over(order)
@@ -110,11 +104,12 @@ def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     stop = F.coalesce("equals.start", "to")
     colon = F.when(F.col("colon.at") < F.coalesce("equals.at", F.col("colon.at") + 1), F.col("colon"))
     mark = F.when(F.col("optional.start") < F.coalesce(colon["start"], F.col("to") + 1), F.col("optional.start"))
-    found = lexed.sliced(fields, files, param=(F.col("from"), F.coalesce(F.least(mark, colon["start"], F.col("equals.start")), "to")), type=(colon["stop"], F.when(colon.isNotNull(), stop)))
+    fields = fields.select("path", "function", "line_no", "field", "from", F.coalesce(F.least(mark, colon["start"], F.col("equals.start")), "to").alias("to"), colon["stop"].alias("type_from"), F.when(colon.isNotNull(), stop).alias("type_to"))
+    found = lexed.sliced(fields, files, param=(F.col("from"), F.col("to")), type=(F.col("type_from"), F.col("type_to")))
     return found.select("path", "function", "line_no", F.col("field").cast("long").alias("pos"), "param", F.nullif("type", F.lit("")).alias("type"))
 
 
 def markup(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, name (`<tag>`), line_no of the first element of each tag that has a closing tag, in .tsx files."""
-    tokens = parsed(files) if tokens is None else tokens
+    tokens = parsed(files, "opening") if tokens is None else tokens
     return tokens.filter("kind = 'opening'").groupBy("path", F.concat(F.lit("<"), "text", F.lit(">")).alias("name")).agg(F.min("line_no").alias("line_no"))

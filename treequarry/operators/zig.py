@@ -14,23 +14,24 @@ MODIFIERS = ["pub", "export", "extern", "inline", "noinline", "async"]
 NO_CALLS = "fn if while for switch catch orelse return try and or struct enum union error test align linksection callconv".split()
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """The tokens of Zig files, nested; everything else here takes this."""
-    return lexed.nested(lexed.tokens(files, "zig"))
+def parsed(files: DataFrame, *only: str) -> DataFrame:
+    """The tokens of Zig files, nested, or only those of some kinds or texts; everything else here takes this."""
+    return lexed.nested(files, "zig", ["earlier", "before_partner", "final"], only)
 
 
 def _word(text: str) -> Column:
     return (F.col("kind") == "word") & (F.col("text") == text)
 
 
-def _begun(tokens: DataFrame) -> DataFrame:
-    """Tokens with `begun`: where the modifiers before them begin (line_no, and whether one is `pub` or `async`)."""
+def _begun(tokens: DataFrame, wanted: Column) -> DataFrame:
+    """The tokens wanted, and modifiers, with `begun`: where the modifiers before them begin (line_no, and whether one is `pub` or `async`)."""
     order = Window.partitionBy("path").orderBy("at")
     modifier = F.col("kind").isin("word", "string") & (F.col("text").isin(MODIFIERS) | ((F.col("kind") == "string") & (F.col("before.text") == "extern")))
-    rows = tokens.withColumn("modifier", modifier)
-    run = F.sum(F.when(~F.coalesce(F.lag("modifier").over(order), F.lit(False)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = tokens.withColumn("modifier", F.coalesce(modifier, F.lit(False))).filter(wanted | F.col("modifier")).repartition("path")
+    goes_on = F.lag("modifier").over(order) & (F.lag("nth").over(order) == F.col("nth") - 1)
     within = Window.partitionBy("path", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("run", run).withColumn("begun", F.struct(F.min("line_no").over(within).alias("line_no"), F.max(F.col("text") == "pub").over(within).alias("is_pub"), F.max(F.col("text") == "async").over(within).alias("is_async")))
+    rows = rows.withColumn("goes_on", goes_on).withColumn("run", F.sum(F.when(F.coalesce("goes_on", F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("goes_on")
+    return rows.withColumn("begun", F.struct(F.min("line_no").over(within).alias("line_no"), F.max(F.col("text") == "pub").over(within).alias("is_pub"), F.max(F.col("text") == "async").over(within).alias("is_async")))
 
 
 def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -38,10 +39,11 @@ def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
     A function begins with its modifiers and ends with its body, or the `;` of a prototype. A test is named `test "name"`.
     """
-    tokens = parsed(files) if tokens is None else tokens
+    tokens = parsed(files, "fn", "test", "{", ";", "string", *MODIFIERS) if tokens is None else tokens
     sign = F.col("kind") == "sign"
     operand = F.coalesce(F.col("before.text").isin("error", "struct", "enum", "union", "opaque"), F.lit(False))
-    rows = lexed.following(_begun(tokens), body=sign & (F.col("text") == "{") & ~operand, halt=sign & (F.col("text") == ";"))
+    body, halt = sign & (F.col("text") == "{") & ~operand, sign & (F.col("text") == ";")
+    rows = lexed.following(_begun(tokens, _word("fn") | _word("test") | body | halt), body=body, halt=halt)
     body_first = F.col("body").isNotNull() & (F.col("halt").isNull() | (F.col("body.at") < F.col("halt.at")))
     line_end = F.when(body_first, F.col("body.partner.line_no")).otherwise(F.col("halt.line_no"))
     public = F.when(F.col("begun.is_pub"), "Public").otherwise("Private")
@@ -53,29 +55,28 @@ def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 def types(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, name, kind, visibility, line_start, line_end of containers that are declared outside of all others."""
-    tokens = parsed(files) if tokens is None else tokens
-    order = Window.partitionBy("path").orderBy("at")
-    ahead = lambda n: F.lead(F.struct("text", "kind"), n).over(order)
-    rows = lexed.following(_begun(tokens), end=(F.col("kind") == "sign") & (F.col("text") == ";"))
-    rows = rows.withColumns({"named": ahead(1), "equals": ahead(2), "first": ahead(3), "second": ahead(4)})
+    tokens = parsed(files, "const", "var", ";", "string", *MODIFIERS) if tokens is None else tokens
+    end, declared = (F.col("kind") == "sign") & (F.col("text") == ";"), _word("const") | _word("var")
+    rows = lexed.following(_begun(tokens.filter("level = 0"), declared | end), end=end)
+    rows = rows.withColumnsRenamed({"after": "named", "ahead2": "equals", "ahead3": "first", "ahead4": "second"})
     what = F.when(F.col("first.text").isin(LAYOUTS), F.col("second.text")).otherwise(F.col("first.text"))
-    found = rows.filter((_word("const") | _word("var")) & (F.col("level") == 0) & (F.col("named.kind") == "word") & (F.col("equals.text") == "=") & what.isin(list(CONTAINERS)))
+    found = rows.filter(declared & (F.col("named.kind") == "word") & (F.col("equals.text") == "=") & what.isin(list(CONTAINERS)))
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in CONTAINERS.items() for x in pair]), what)
     return found.select("path", F.col("named.text").alias("name"), kind.alias("kind"), F.when(F.col("begun.is_pub"), "Public").otherwise("Private").alias("visibility"), F.col("begun.line_no").alias("line_start"), F.col("end.line_no").alias("line_end"))
 
 
 def imports(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, import_path, line_no of each @import of a string."""
-    tokens = parsed(files) if tokens is None else tokens
+    tokens = parsed(files, "string") if tokens is None else tokens
     found = tokens.filter((F.col("kind") == "string") & (F.col("inside.text") == "(") & (F.col("inside.before.text") == "@import"))
     return found.select("path", F.btrim("text", F.lit('"')).alias("import_path"), F.col("inside.before.line_no").alias("line_no"))
 
 
 def calls(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, caller (the innermost function or test around, null outside of all), callee, line_no; fields and builtins are no calls."""
-    tokens = parsed(files) if tokens is None else tokens
+    held = functions(files, tokens).select("path", "name", "line_start", "line_end")
+    tokens = parsed(files, "word") if tokens is None else tokens
     found = tokens.filter((F.col("kind") == "word") & (F.col("after.text") == "(") & ~F.col("text").isin(NO_CALLS) & ~F.col("text").startswith("@")).filter(~F.coalesce(F.col("before.text").isin(".", "fn"), F.lit(False)))
     found = found.select("path", "at", F.col("text").alias("callee"), "line_no")
-    held = functions(files, tokens).select("path", "name", "line_start", "line_end")
     around = intervals.held(found.select("path", "line_no").distinct(), held, "path", "line_no", "line_start", "line_end").groupBy("path", "line_no").agg(F.max(F.struct("line_start", "name"))["name"].alias("caller"))
     return found.join(around, ["path", "line_no"], "left").select("path", "caller", "callee", "line_no")

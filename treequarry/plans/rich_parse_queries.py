@@ -13,7 +13,8 @@ from treequarry.sources import tables as S
 
 def sources(spark: SparkSession, sf_dir: str, extension: str, head: str, function: str, tail: str) -> DataFrame:
     """path, content: `head`, 1 to 4 times `function`, `tail`, with K (key), N (name), I (number of the function) put in."""
-    part = S.table(spark, sf_dir, "part").withColumn("n", F.col("p_size") % 4 + 1)
+    # a table of a few megabytes makes many times as much text: its rows are dealt out before, by a number that stays
+    part = S.table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey").withColumn("n", F.col("p_size") % 4 + 1)
     put = lambda text: F.replace(F.replace(F.lit(text), F.lit("#K"), F.col("p_partkey").cast("string")), F.lit("#N"), F.col("p_name"))
     each = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.replace(put(function), F.lit("#I"), i.cast("string")))
     return part.select(F.concat(F.lit("p/"), "p_partkey", F.lit(f".{extension}")).alias("path"), F.concat(put(head), F.array_join(each, ""), put(tail)).alias("content"))
