@@ -1,8 +1,10 @@
 """Parsers that stand on tokens, on sources written by hand with their rows."""
 
+import time
+
 import pytest
 
-from treequarry.operators import golang, lexed, typescript, zig
+from treequarry.operators import golang, lexed, markup, typescript, zig
 
 GO = '''package main
 
@@ -231,3 +233,10 @@ def test_nested_tokens_of_unmatched_brackets(spark):
 def test_an_arrow_function_at_the_end_of_a_file_ends_behind_its_call(spark):
     one = spark.createDataFrame([("a.ts", "const f = (x) => call(\n  x,\n)\n")], "path string, content string")
     assert [(r["name"], r["line_start"], r["line_end"]) for r in typescript.functions(one).collect()] == [("f", 1, 3)]
+
+
+def test_long_texts_behind_the_last_script_are_searched_once(spark):
+    page = spark.createDataFrame([("a.html", "x\n<script>1</script>\n" + "words " * 100_000)], "path string, content string")
+    began = time.perf_counter()
+    assert [(r["line_start"], r["line_end"]) for r in markup._blocks(page, markup.HTML_BLOCKS).collect()] == [(2, 2)]
+    assert time.perf_counter() - began < 60

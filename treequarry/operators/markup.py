@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from treequarry.operators import lexed
 
-#: What stands before a block, and the block.
-HTML_BLOCKS = r"(?is)(.*?)(<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>)"
+#: What stands before a block, and the block; `\G`: behind the last block a text is searched once, not from each of its characters.
+HTML_BLOCKS = r"(?is)\G(.*?)(<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>)"
 XML_ROOT = r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)*<([A-Za-z_][A-Za-z0-9_.:-]*)"
 #: A comment or declaration, a script or style with its text, or a tag: its slash, name, and slash at the end.
 TAGS = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)(?:[^"'>]|"[^"]*"|'[^']*')*?(/?)>""", re.I | re.S)
