@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from treequarry.operators import golang, lexed, markup, typescript, zig
+from treequarry.operators import analysis, golang, lexed, markup, state, typescript, zig
 
 GO = '''package main
 
@@ -240,3 +240,39 @@ def test_long_texts_behind_the_last_script_are_searched_once(spark):
     began = time.perf_counter()
     assert [(r["line_start"], r["line_end"]) for r in markup._blocks(page, markup.HTML_BLOCKS).collect()] == [(2, 2)]
     assert time.perf_counter() - began < 60
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_functions_of_zig_parse_a_file_once_and_modifiers_belong_to_their_own_run(spark):
+    source = 'pub const a = 1;\nfn plain() void {}\npub\nextern "c" fn far() void;\nasync fn later() void {}\ntest "x" {}\n'
+    found = zig.functions(spark.createDataFrame([("a.zig", source)], "path string, content string"))
+    assert plan(found).count("MapInArrow") == 1
+    assert sorted((r["name"], r["visibility"], r["is_async"], r["line_start"], r["line_end"]) for r in found.collect()) == [
+        ("far", "Public", False, 3, 4), ("later", "Private", True, 5, 5), ("plain", "Private", False, 2, 2), ('test "x"', "Private", False, 6, 6),
+    ]
+
+
+def test_contents_and_what_is_parsed_are_never_broadcast(spark, tmp_path):
+    # a table of one short row looks small to Spark, whatever is made of it
+    spark.createDataFrame([(1,)], "k int").write.parquet(f"{tmp_path}/k")
+    own = spark.read.parquet(f"{tmp_path}/k").selectExpr("concat('a', k, '.tsx') AS path", "'function f(a: T): R { g(a) }' AS content")
+    assert "Broadcast" not in plan(typescript.functions(own)) and "Broadcast" not in plan(typescript.parameters(own))
+    assert "Broadcast" not in plan(zig.calls(own)) and "Broadcast" not in plan(analysis.metadata(own)) and "Broadcast" not in plan(analysis.parsed(own))
+
+
+def test_first_records_are_made_once_and_contents_do_not_move(spark, tmp_path):
+    files = spark.createDataFrame([("a.zig", "fn f() void {}"), ("b.zig", "fn f() void {}"), ("c.zig", None)], "path string, content string")
+    assert "min_by" not in plan(analysis.metadata(files))
+    table = state.Table(str(tmp_path), state.METADATA)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    state.put(analysis.metadata(files).repartition(1).mapInPandas(count, "hash string, json string"), table, "hash")
+    assert made.value == 1 and state.load(spark, table).count() == 1

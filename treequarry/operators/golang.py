@@ -75,7 +75,7 @@ def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     heads, tokens = (parsed(files, *HEADS), parsed(files)) if tokens is None else (tokens, tokens)
     heads = _heads(heads).select("path", F.col("params.at").alias("opened"), F.col("name").alias("function"), "line_no")
     # functions stand outside of all brackets, so their parameters are one level deep
-    inner = tokens.filter((F.col("level") == 1) & (F.col("inside.text") == "(")).select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop", F.struct("partner.at").alias("partner")).join(heads, ["path", "opened"])
+    inner = tokens.filter((F.col("level") == 1) & (F.col("inside.text") == "(")).select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop", F.struct("partner.at").alias("partner")).join(heads.hint("merge"), ["path", "opened"])
     order = Window.partitionBy("path", "opened").orderBy("at")
     comma = (F.col("kind") == "sign") & (F.col("text") == ",")
     inner = inner.withColumn("field", F.sum(comma.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~comma)

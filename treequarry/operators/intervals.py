@@ -40,7 +40,8 @@ def held(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, en
         return points.join(ranges, key).limit(0)
     own = F.explode(F.array(*[F.struct(F.lit(w).alias("_width"), F.shiftright(F.col(at).cast("long"), w).alias("_block")) for w in sorted(widths)]))
     laid_out = points.withColumn("_b", own).select("*", F.col("_b._width").alias("_width"), F.col("_b._block").alias("_block")).drop("_b")
-    return laid_out.join(cut, [key, "_width", "_block"]).drop("_width", "_block")
+    # neither side is bounded, and what was parsed looks small before it is made: nothing here is broadcast
+    return laid_out.join(cut.hint("merge"), [key, "_width", "_block"]).drop("_width", "_block")
 
 
 def numbers(ranges: DataFrame, lines: DataFrame, key: str, start: str, end: str, line: str) -> DataFrame:

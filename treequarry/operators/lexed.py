@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -66,11 +65,14 @@ NESTED = pa.schema(
 )
 #: What `following` tells of a token, unless asked for other columns.
 FOUND = ("at", "line_no", "start", "stop", "partner")
-#: Tokens that a task holds before it hands them on; one file stays whole.
-HELD = 20_000
+#: Pieces of files that a task holds before it hands them on; one file stays whole.
+HELD = 50_000
+#: Of pieces these are no tokens.
+BLANK = ("space", "comment")
+#: Where a token stands from the one that tells of it.
+PLACES = {"earlier": -2, "before": -1, "after": 1, "ahead2": 2, "ahead3": 3, "ahead4": 4}
 
 
-@lru_cache(1 << 16)
 def _kind(text: str) -> str:
     """As `kind_of`, by the first characters."""
     first = text[0]
@@ -85,102 +87,136 @@ def _kind(text: str) -> str:
     return "number" if "0" <= first <= "9" else "sign"
 
 
-class _Solid:
-    """Tokens of some files without white space and comments; brackets are matched by a stack as they come."""
-
-    def __init__(self, only: frozenset[str], opening: list[str], closing: list[str]) -> None:
-        self.only = only
-        self.opening, self.closing = frozenset(opening), frozenset(closing)
-        self.columns: dict[str, list] = {name: [] for name in ("path", "at", "text", "kind", "line_no", "end_line", "start", "stop", "opens", "closes", "level", "nth", "partner", "inside", "final")}
-
-    def add(self, path: str, pieces: Iterable[tuple[str, str]]) -> None:
-        c = self.columns
-        base = len(c["path"])
-        rows, partners, insides, stack, ends = [], [], [], [], {}
-        level, line, offset, n = 0, 1, 0, base
-        for at, (kind, text) in enumerate(pieces):
-            start, first_line = offset, line
-            offset += len(text)
-            if "\n" in text:
-                line += text.count("\n")
-            if kind == "space" or kind == "comment":
-                continue
-            opens = closes = False
-            partner = None
-            if kind == "sign":
-                opens, closes = text in self.opening, text in self.closing
-                if closes:
-                    level -= 1
-                    if stack:
-                        partner = stack.pop()
-                        partners[partner - base] = n
-            inside = stack[-1] if stack and level > 0 else None
-            rows.append((path, at, text, kind, first_line, line, start, offset, opens, closes, level, n - base + 1))
-            partners.append(partner)
-            insides.append(inside)
-            if inside is not None or level == 0:
-                ends[inside] = n
-            if opens:
-                level += 1
-                stack.append(n)
-            n += 1
-        for name, values in zip(c, zip(*rows, strict=True), strict=False):
-            c[name].extend(values)
-        c["partner"].extend(partners)
-        c["inside"].extend(insides)
-        c["final"].extend(map(ends.get, insides))
-
-    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        """Everything so far in the columns of `nested`, or some of them."""
-        linked = ("partner", "inside", "final")
-        c = {name: pa.array(values, pa.int64() if name in linked else NESTED.field(name).type) for name, values in self.columns.items()}
-        c["partner_line"] = c["line_no"].take(c["partner"])
-        here, nth = np.arange(len(c["path"])), np.array(self.columns["nth"])
-        first = here - nth + 1
-        length = np.diff(np.append(np.flatnonzero(nth == 1), len(here)))
-        last = first + np.repeat(length, length) - 1
-        beside = {"earlier": -2, "before": -1, "after": 1, "ahead2": 2, "ahead3": 3, "ahead4": 4}
-        places = {name: pa.array(here + gap, mask=(here + gap < first) | (here + gap > last)) for name, gap in beside.items()} | {name: c[name] for name in linked}
-        places["before_partner"] = c["partner"].take(places["before"])
-
-        def told(kind: pa.StructType, of: pa.Array) -> pa.Array:
-            parts = [told(f.type, places[f.name].take(of)) if pa.types.is_struct(f.type) else c[f.name].take(of) for f in kind]
-            return pa.StructArray.from_arrays(parts, fields=list(kind), mask=of.is_null())
-
-        kept = pa.array([n for n, (kind, text) in enumerate(zip(self.columns["kind"], self.columns["text"], strict=True)) if not self.only or kind in self.only or text in self.only], pa.int64())
-        return pa.RecordBatch.from_arrays([told(f.type, places[f.name].take(kept)) if f.name in places else c[f.name].take(kept) for f in schema], schema=schema)
-
-
-def _nested(language: str, schema: pa.Schema, only: Iterable[str], opening: list[str], closing: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow: of (path, content) in TypeScript, else of (path, pieces)."""
+def _matched(brackets: list[int], opens: list[bool], files: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Of each bracket its partner, the bracket around it, and the innermost one open behind it, by a stack for each file; else -1."""
+    partners, around, behind, stack, current = dict.fromkeys(brackets, -1), [], [], [], -1
+    for n, opening, file in zip(brackets, opens, files, strict=True):
+        if file != current:
+            stack, current = [], file
+        if not opening and stack:
+            partners[n] = stack.pop()
+            partners[partners[n]] = n
+        around.append(stack[-1] if stack else -1)
+        if opening:
+            stack.append(n)
+        behind.append(stack[-1] if stack else -1)
+    return [partners[n] for n in brackets], around, behind
+
+
+def _nested_batch(paths: pa.Array, counts: np.ndarray, pieces: pa.DictionaryArray, kinds: list[str], schema: pa.Schema, only: frozenset[str], opening: list[str], closing: list[str], top: bool) -> pa.RecordBatch:
+    """The tokens of whole files in the columns of `nested`: what a text says of itself is looked up once for each different one.
+
+    counts: the pieces of each file; kinds: of each different piece.
+    """
+    own, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+    of = lambda values, kind: np.array(values, dtype=kind)[codes] if own else np.empty(0, kind)
+    sums = lambda values: np.cumsum(values, dtype=np.int64)
+    file = np.repeat(np.arange(len(counts)), counts)
+    first_piece = (np.cumsum(counts) - counts)[file]
+
+    def running(values: np.ndarray) -> np.ndarray:
+        """The sum within a file up to each piece."""
+        total = np.append(0, sums(values))
+        return total[1:] - total[first_piece]
+
+    length, breaks = of([len(t) for t in own], np.int64), of([t.count("\n") for t in own], np.int64)
+    solid = np.flatnonzero(~of([k in BLANK for k in kinds], bool))
+    stop, end_line = running(length), 1 + running(breaks)
+    columns = {"at": np.arange(len(codes)) - first_piece, "line_no": end_line - breaks, "end_line": end_line, "start": stop - length, "stop": stop}
+    opens = of([k == "sign" and t in opening for k, t in zip(kinds, own, strict=True)], bool)
+    closes = of([k == "sign" and t in closing for k, t in zip(kinds, own, strict=True)], bool)
+    columns["level"] = running(opens.astype(np.int64) - closes) - opens
+    columns = {name: values[solid] for name, values in columns.items()} | {"opens": opens[solid], "closes": closes[solid]}
+    file, here = file[solid], np.arange(len(solid))
+    size = np.bincount(file, minlength=len(counts))
+    first = (np.cumsum(size) - size)[file]
+    last, level = first + size[file] - 1, columns["level"]
+    columns["nth"] = here - first + 1
+    # between two brackets the same one is around
+    brackets = np.flatnonzero(columns["opens"] | columns["closes"])
+    partners, around, behind = _matched(brackets.tolist(), columns["opens"][brackets].tolist(), file[brackets].tolist())
+    partner, inside = np.full(len(here), -1), np.full(len(here), -1)
+    partner[brackets] = partners
+    before = np.searchsorted(brackets, here) - 1
+    known = np.flatnonzero((before >= 0) & (file[brackets[before]] == file)) if len(brackets) else brackets
+    inside[known] = np.array(behind, dtype=np.int64)[before[known]] if len(brackets) else -1
+    inside[brackets] = around
+    inside[level <= 0] = -1
+    held, outside = np.flatnonzero(inside >= 0), np.flatnonzero((inside < 0) & (level == 0))
+    final_in, final_out = np.full(len(here), -1), np.full(len(counts), -1)
+    final_in[inside[held]], final_out[file[outside]] = held, outside
+    final = np.where(inside >= 0, final_in[inside], final_out[file]) if len(here) else inside
+    index = lambda values: pa.array(values, mask=values < 0)
+    places = {name: pa.array(here + gap, mask=(here + gap < first) | (here + gap > last)) for name, gap in PLACES.items()}
+    places |= {"partner": index(partner), "inside": index(inside), "final": index(final)}
+    places["before_partner"] = places["partner"].take(places["before"])
+    c = {name: pa.array(values) for name, values in columns.items()}
+    c["path"], c["partner_line"] = paths.take(pa.array(file)), c["line_no"].take(places["partner"])
+    each = pieces.indices.take(pa.array(solid))
+    c["text"], c["kind"] = pieces.dictionary.take(each), pa.array(kinds, pa.string()).take(each)
+
+    def told(kind: pa.StructType, of: pa.Array) -> pa.Array:
+        parts = [told(f.type, places[f.name].take(of)) if pa.types.is_struct(f.type) else c[f.name].take(of) for f in kind]
+        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=of.is_null())
+
+    wanted = np.full(len(here), True) if not only else np.array([k in only or t in only for k, t in zip(kinds, own, strict=True)], dtype=bool)[codes[solid]]
+    kept = pa.array(np.flatnonzero(wanted & (level == 0) if top else wanted))
+    return pa.RecordBatch.from_arrays([told(f.type, places[f.name].take(kept)) if f.name in places else c[f.name].take(kept) for f in schema], schema=schema)
+
+
+def _coded(sources: list[str], paths: list[str]) -> tuple[pa.DictionaryArray, list[str], list[int]]:
+    """The tokens of TypeScript: each different (kind, text) once, the kinds of those, and how many tokens each file has."""
+    seen: dict[tuple[str, str], int] = {}
+    codes, counts = [], []
+    for source, path in zip(sources, paths, strict=True):
+        found = [seen.setdefault(piece, len(seen)) for piece in lex(source, path.endswith(".tsx"))]
+        codes.append(np.array(found, dtype=np.int32))
+        counts.append(len(found))
+    indices = np.concatenate(codes) if codes else np.empty(0, np.int32)
+    return pa.DictionaryArray.from_arrays(pa.array(indices), pa.array([t for _, t in seen], pa.string())), [k for k, _ in seen], counts
+
+
+def _nested(language: str, *how: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: of (path, content) in TypeScript, else of (path, pieces). A batch goes on in runs of whole files."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Solid(frozenset(only), opening, closing)
         for batch in batches:
-            for path, source in zip(batch.column(0), batch.column(1), strict=True):
-                path, source = path.as_py(), source.as_py()
-                held.add(path, lex(source, path.endswith(".tsx")) if language == "typescript" else [(_kind(text), text) for text in source])
-                if len(held.columns["path"]) >= HELD:
-                    yield held.batch(schema)
-                    held = _Solid(frozenset(only), opening, closing)
-        if held.columns["path"]:
-            yield held.batch(schema)
+            lists = batch.column(1)
+            # a token of TypeScript has about three characters
+            sizes = np.array([len(x) // 3 for x in lists.to_pylist()] if language == "typescript" else lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            run = (np.cumsum(sizes) - sizes) // HELD
+            edges = np.flatnonzero(np.diff(run)) + 1
+            for a, b in zip([0, *edges], [*edges, len(sizes)], strict=True):
+                paths, own = batch.column(0).slice(a, b - a), lists.slice(a, b - a)
+                if language == "typescript":
+                    pieces, kinds, counts = _coded(own.to_pylist(), paths.to_pylist())
+                else:
+                    pieces, counts = own.flatten().dictionary_encode(), sizes[a:b]
+                    kinds = [_kind(text) for text in pieces.dictionary.to_pylist()]
+                if len(pieces):
+                    yield _nested_batch(paths, np.array(counts, dtype=np.int64), pieces, kinds, *how)
 
     return of
 
 
-def nested(files: DataFrame, language: str, without: Sequence[str] = (), only: Iterable[str] = (), opening: list[str] = OPEN, closing: list[str] = CLOSE) -> DataFrame:
+def _pruned(fields: Iterable[pa.Field], leaves: list[str], above: str = "") -> list[pa.Field]:
+    """Fields of which only the leaves named stay, and the structs around them."""
+    cut = [pa.field(f.name, pa.struct(_pruned(f.type, leaves, f"{above}{f.name}."))) if pa.types.is_struct(f.type) else f for f in fields]
+    return [f for f in cut if (f.type.num_fields if pa.types.is_struct(f.type) else above + f.name in leaves)]
+
+
+def nested(files: DataFrame, language: str, without: Sequence[str] = (), only: Iterable[str] = (), opening: list[str] = OPEN, closing: list[str] = CLOSE, top: bool = False, leaves: str = "") -> DataFrame:
     """Tokens of files without white space and comments, with what stands around them; no row leaves its task.
 
     level (brackets around the token), inside (the innermost of them, and the token before it), partner (of a bracket, with the token
     after it), before_partner (of the token before: what stands before its partner), earlier, before, after, ahead2 to ahead4 (the tokens around in the order of the file), nth (place among the rest), final
-(end of the last token with the same bracket around). See `NESTED`, of which the columns `without` are left out, and
-    of the rows all but those whose kind or text is among `only`, if that is given; places of files are as in `tokens`.
+(end of the last token with the same bracket around). See `NESTED`, of which the columns `without` are left out, or all but
+    the `leaves` (`text before.text`): what windows and shuffles carry along; and of the rows all but those whose kind or text is among `only`, if that is given, and with `top` those in brackets; places of files are as in `tokens`.
     """
     own = files.filter("content is not null")
     cut = F.col("content") if language == "typescript" else F.regexp_extract_all("content", F.lit(PATTERNS[language]), 0)
-    schema = pa.schema([f for f in NESTED if f.name not in without])
-    return own.select("path", cut.alias("pieces")).mapInArrow(_nested(language, schema, only, opening, closing), from_arrow_schema(schema))
+    schema = pa.schema(_pruned(NESTED, leaves.split()) if leaves else [f for f in NESTED if f.name not in without])
+    return own.select("path", cut.alias("pieces")).mapInArrow(_nested(language, schema, frozenset(only), opening, closing, top), from_arrow_schema(schema))
 
 
 def following(rows: DataFrame, tell: Sequence[str] = FOUND, **wanted: Column) -> DataFrame:
@@ -192,23 +228,32 @@ def following(rows: DataFrame, tell: Sequence[str] = FOUND, **wanted: Column) ->
     return rows.select("*", *(F.last(F.when(c, F.struct(*tell)), True).over(later).alias(name) for name, c in wanted.items()))
 
 
-def _cut(contents: pd.Series, offsets: pd.Series) -> pd.Series:
-    """Of each content the texts between pairs of offsets, without white space around; null where one is null."""
-    of = lambda content, pairs: [None if a is None or b is None else content[a:b].strip(" \t\r\n") for a, b in pairs]
-    return pd.Series([of(content, [[None if pd.isna(x) else int(x) for x in pair] for pair in pairs]) for content, pairs in zip(contents, offsets, strict=True)])
+def _cut(spans: int) -> Callable[[pd.Series, pd.Series], pd.Series]:
+    """Of each content a list of texts for each row, between pairs of offsets, without white space around; null where one is below zero."""
+
+    def of(contents: pd.Series, offsets: pd.Series) -> pd.Series:
+        out = []
+        for content, flat in zip(contents, offsets, strict=True):
+            flat = flat.tolist()
+            texts = [content[a:b].strip(" \t\r\n") if a >= 0 and b >= 0 else None for a, b in zip(flat[::2], flat[1::2], strict=True)]
+            out.append([texts[n : n + spans] for n in range(0, len(texts), spans)])
+        return pd.Series(out)
+
+    return of
 
 
 def sliced(rows: DataFrame, files: DataFrame, **spans: tuple[Column, Column]) -> DataFrame:
     """Rows with texts of their files between two offsets, without white space around; null where an offset is null.
 
-    A file meets all its rows at once, so that its text is copied and read once, however many they are.
+    A file meets all its rows at once, so that its text is copied and read once, however many they are. Texts are never broadcast.
     """
-    pairs = F.array(*(F.array(a.cast("long"), b.cast("long")) for a, b in spans.values()))
+    offset = lambda x: F.coalesce(x.cast("long"), F.lit(-1))
+    pairs = F.array(*(offset(x) for span in spans.values() for x in span))
     packed = rows.groupBy("path").agg(F.collect_list(F.struct(F.struct(*rows.columns).alias("row"), pairs.alias("pairs"))).alias("all"))
-    cut = F.pandas_udf(_cut, "array<string>")
-    texts = packed.join(files.select("path", "content"), "path").select("all.row", cut("content", F.flatten("all.pairs")).alias("texts"))
-    each = texts.select("texts", F.posexplode("row").alias("n", "row"))
-    return each.select("row.*", *(F.get("texts", F.col("n") * len(spans) + k).alias(name) for k, name in enumerate(spans)))
+    cut = F.pandas_udf(_cut(len(spans)), "array<array<string>>")
+    # sizes of texts are not known before they are made, and Spark would take them for small
+    texts = packed.join(files.select("path", "content").hint("merge"), "path").select(F.arrays_zip(F.col("all.row").alias("row"), cut("content", F.flatten("all.pairs")).alias("texts")).alias("z"))
+    return texts.select(F.inline("z")).select("row.*", *(F.col("texts")[k].alias(name) for k, name in enumerate(spans)))
 
 
 #: White space, comments, strings, numbers, words and signs of TypeScript.

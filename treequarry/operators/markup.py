@@ -93,7 +93,7 @@ def css_blocks(files: DataFrame) -> DataFrame:
 
     A statement ends with the brace that closes its block, or with a `;` outside of all blocks.
     """
-    tokens = lexed.nested(files, "css", ["earlier", "after", "ahead2", "ahead3", "ahead4", "before_partner", "partner", "inside", "final"], opening=["{"], closing=["}"]).filter("level = 0")
+    tokens = lexed.nested(files, "css", leaves="path at text kind line_no end_line start opens before.text before.kind", opening=["{"], closing=["}"], top=True)
     order = Window.partitionBy("path").orderBy("at")
     ends = (F.col("kind") == "sign") & F.col("text").isin("}", ";")
     # of a statement its first token, its brace and its end tell everything

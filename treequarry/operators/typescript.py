@@ -17,12 +17,16 @@ BEFORE_TYPE = [":", "|", "&", ",", "<", "=>", "=", "extends", "is", "keyof", "re
 GOES_ON = ["=", "(", "[", ",", ":", "?", "+", "-", "*", "/", "%", "&&", "||", "??", "=>", ".", "?.", "<", ">", "<=", "==", "===", "!=", "!==", "!", "&", "|", "^", "~", "...", "return", "typeof", "await", "new", "extends", "in", "of"]
 #: The tokens that heads of functions are told by.
 HEADS = ["word", "(", "{", "=>", ";", "="]
+#: What is asked of the tokens of heads, parameters and markup.
+OF_HEADS = "path at text kind line_no start stop level before.text before.line_no before.end_line before.stop after.text after.kind after.at ahead2.text ahead2.kind ahead2.at inside.at inside.text partner.at partner.line_no partner.start partner.stop partner.after.text final.end_line final.stop"
+OF_PARAMETERS = "path at text kind start stop inside.at inside.text"
+OF_MARKUP = "path text kind line_no"
 ENTRYPOINTS = ["App", "Main", "Page"]
 
 
-def parsed(files: DataFrame, *only: str) -> DataFrame:
+def parsed(files: DataFrame, *only: str, leaves: str = "") -> DataFrame:
     """The tokens of TypeScript files, nested, or only those of some kinds or texts; everything else here takes this."""
-    return lexed.nested(files, "typescript", ["earlier", "ahead3", "ahead4", "before_partner"], only)
+    return lexed.nested(files, "typescript", ["earlier", "ahead3", "ahead4", "before_partner"], only, leaves=leaves)
 
 
 def _starts() -> Column:
@@ -76,7 +80,7 @@ def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     Declarations with a body, and const or let with a name and an arrow function with brackets for a value. `is_async` says that
     the word stands in the text of the whole. Attributes, in .tsx files only: `component`, and `entrypoint` of App, Main and Page.
     """
-    tokens = parsed(files, *HEADS) if tokens is None else tokens
+    tokens = parsed(files, *HEADS, leaves=OF_HEADS) if tokens is None else tokens
     found = lexed.sliced(_heads(tokens).drop("params"), files, result=(F.col("result_start"), F.col("result_stop")), whole=(F.col("from"), F.col("to")))
     component = F.col("path").endswith(".tsx") & F.col("name").rlike(r"^\p{Lu}")
     attributes = F.array_compact(F.array(F.when(component, "component"), F.when(component & F.col("name").isin(ENTRYPOINTS), "entrypoint")))
@@ -90,9 +94,9 @@ def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
     Commas in angle brackets of types part nothing; a default value belongs to neither.
     """
-    heads, tokens = (parsed(files, *HEADS), parsed(files)) if tokens is None else (tokens, tokens)
+    heads, tokens = (parsed(files, *HEADS, leaves=OF_HEADS), parsed(files, leaves=OF_PARAMETERS)) if tokens is None else (tokens, tokens)
     heads = _heads(heads).select("path", F.col("params.at").alias("opened"), F.col("name").alias("function"), F.col("line_start").alias("line_no"))
-    inner = tokens.filter(F.col("inside.text") == "(").select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop").join(heads, ["path", "opened"])
+    inner = tokens.filter(F.col("inside.text") == "(").select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop").join(heads.hint("merge"), ["path", "opened"])
     order = Window.partitionBy("path", "opened").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     sign = F.col("kind") == "sign"
     angle = F.sum(F.when(sign & (F.col("text") == "<"), 1).when(sign & (F.col("text") == ">"), -1).otherwise(0)).over(order)
@@ -111,5 +115,5 @@ def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 def markup(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, name (`<tag>`), line_no of the first element of each tag that has a closing tag, in .tsx files."""
-    tokens = parsed(files, "opening") if tokens is None else tokens
+    tokens = parsed(files, "opening", leaves=OF_MARKUP) if tokens is None else tokens
     return tokens.filter("kind = 'opening'").groupBy("path", F.concat(F.lit("<"), "text", F.lit(">")).alias("name")).agg(F.min("line_no").alias("line_no"))

@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treequarry.operators import intervals, lexed
+from treequarry.operators.graph import checkpointed
 
 #: Kinds of containers by their words; a word before them may say how they are laid out.
 CONTAINERS = {"struct": "Struct", "enum": "Enum", "union": "Class"}
 LAYOUTS = ["extern", "packed"]
 MODIFIERS = ["pub", "export", "extern", "inline", "noinline", "async"]
+#: What is asked of the tokens of functions, types, imports and calls.
+OF_FUNCTIONS = "path at text kind line_no level nth before.text after.text after.kind inside.at partner.line_no"
+OF_TYPES = "path at text kind line_no level nth before.text after.text after.kind ahead2.text ahead3.text ahead4.text inside.at"
+OF_IMPORTS = "path text kind inside.text inside.before.text inside.before.line_no"
+OF_CALLS = "path at text kind line_no before.text after.text"
 NO_CALLS = "fn if while for switch catch orelse return try and or struct enum union error test align linksection callconv".split()
 
 
-def parsed(files: DataFrame, *only: str) -> DataFrame:
+def parsed(files: DataFrame, *only: str, leaves: str = "", top: bool = False) -> DataFrame:
     """The tokens of Zig files, nested, or only those of some kinds or texts; everything else here takes this."""
-    return lexed.nested(files, "zig", ["earlier", "before_partner", "final"], only)
+    return lexed.nested(files, "zig", ["earlier", "before_partner", "final"], only, top=top, leaves=leaves)
 
 
 def _word(text: str) -> Column:
@@ -29,9 +35,14 @@ def _begun(tokens: DataFrame, wanted: Column) -> DataFrame:
     modifier = F.col("kind").isin("word", "string") & (F.col("text").isin(MODIFIERS) | ((F.col("kind") == "string") & (F.col("before.text") == "extern")))
     rows = tokens.withColumn("modifier", F.coalesce(modifier, F.lit(False))).filter(wanted | F.col("modifier")).repartition("path")
     goes_on = F.lag("modifier").over(order) & (F.lag("nth").over(order) == F.col("nth") - 1)
-    within = Window.partitionBy("path", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("goes_on", goes_on).withColumn("run", F.sum(F.when(F.coalesce("goes_on", F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("goes_on")
-    return rows.withColumn("begun", F.struct(F.min("line_no").over(within).alias("line_no"), F.max(F.col("text") == "pub").over(within).alias("is_pub"), F.max(F.col("text") == "async").over(within).alias("is_async")))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda wanted, told: F.last(F.when(wanted, F.col(told)), True).over(so_far)
+    # one window over a file: a window for each run of modifiers would be one for nearly each token
+    rows = rows.withColumn("first", ~F.coalesce(goes_on, F.lit(False)))
+    rows = rows.withColumns({"_from": last(F.col("first"), "at"), "_line": last(F.col("first"), "line_no"), "_pub": last(F.col("text") == "pub", "at"), "_async": last(F.col("text") == "async", "at")})
+    since = lambda name: F.coalesce(F.col(name) >= F.col("_from"), F.lit(False))
+    begun = F.struct(F.col("_line").alias("line_no"), since("_pub").alias("is_pub"), since("_async").alias("is_async"))
+    return rows.withColumn("begun", begun).drop("first", "_from", "_line", "_pub", "_async")
 
 
 def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -39,25 +50,26 @@ def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
     A function begins with its modifiers and ends with its body, or the `;` of a prototype. A test is named `test "name"`.
     """
-    tokens = parsed(files, "fn", "test", "{", ";", "string", *MODIFIERS) if tokens is None else tokens
+    tokens = parsed(files, "fn", "test", "{", ";", "string", *MODIFIERS, leaves=OF_FUNCTIONS) if tokens is None else tokens
     sign = F.col("kind") == "sign"
     operand = F.coalesce(F.col("before.text").isin("error", "struct", "enum", "union", "opaque"), F.lit(False))
     body, halt = sign & (F.col("text") == "{") & ~operand, sign & (F.col("text") == ";")
-    rows = lexed.following(_begun(tokens, _word("fn") | _word("test") | body | halt), body=body, halt=halt)
+    rows = lexed.following(_begun(tokens, _word("fn") | _word("test") | body | halt), ["at", "line_no", "partner"], body=body, halt=halt)
     body_first = F.col("body").isNotNull() & (F.col("halt").isNull() | (F.col("body.at") < F.col("halt.at")))
     line_end = F.when(body_first, F.col("body.partner.line_no")).otherwise(F.col("halt.line_no"))
-    public = F.when(F.col("begun.is_pub"), "Public").otherwise("Private")
-    found = rows.filter(_word("fn") & (F.col("after.kind") == "word")).select("path", F.col("after.text").alias("name"), public.alias("visibility"), F.col("begun.is_async").alias("is_async"), F.when(F.col("after.text") == "main", F.array(F.lit("entrypoint"))).otherwise(F.array().cast("array<string>")).alias("attributes"), F.col("begun.line_no").alias("line_start"), line_end.alias("line_end"))
-    tests = rows.filter(_word("test") & (F.col("level") == 0) & (F.col("after.kind") == "string") & body_first)
-    tests = tests.select("path", F.concat(F.lit("test "), "after.text").alias("name"), F.lit("Private").alias("visibility"), F.lit(False).alias("is_async"), F.array(F.lit("test"), F.lit("entrypoint")).alias("attributes"), F.col("line_no").alias("line_start"), line_end.alias("line_end"))
-    return found.unionByName(tests)
+    is_fn, is_test = _word("fn") & (F.col("after.kind") == "word"), _word("test") & (F.col("level") == 0) & (F.col("after.kind") == "string") & body_first
+    # both in one pass: a union would parse every file for each
+    attributes = F.array_compact(F.array(F.when(~is_fn, "test"), F.when(~is_fn | (F.col("after.text") == "main"), "entrypoint")))
+    name = F.concat(F.when(is_fn, "").otherwise("test "), "after.text")
+    visibility = F.when(is_fn & F.col("begun.is_pub"), "Public").otherwise("Private")
+    return rows.filter(is_fn | is_test).select("path", name.alias("name"), visibility.alias("visibility"), (is_fn & F.col("begun.is_async")).alias("is_async"), attributes.alias("attributes"), F.col("begun.line_no").alias("line_start"), line_end.alias("line_end"))
 
 
 def types(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, name, kind, visibility, line_start, line_end of containers that are declared outside of all others."""
-    tokens = parsed(files, "const", "var", ";", "string", *MODIFIERS) if tokens is None else tokens
+    tokens = parsed(files, "const", "var", ";", "string", *MODIFIERS, leaves=OF_TYPES, top=True) if tokens is None else tokens
     end, declared = (F.col("kind") == "sign") & (F.col("text") == ";"), _word("const") | _word("var")
-    rows = lexed.following(_begun(tokens.filter("level = 0"), declared | end), end=end)
+    rows = lexed.following(_begun(tokens.filter("level = 0"), declared | end), ["line_no"], end=end)
     rows = rows.withColumnsRenamed({"after": "named", "ahead2": "equals", "ahead3": "first", "ahead4": "second"})
     what = F.when(F.col("first.text").isin(LAYOUTS), F.col("second.text")).otherwise(F.col("first.text"))
     found = rows.filter(declared & (F.col("named.kind") == "word") & (F.col("equals.text") == "=") & what.isin(list(CONTAINERS)))
@@ -67,16 +79,17 @@ def types(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 def imports(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, import_path, line_no of each @import of a string."""
-    tokens = parsed(files, "string") if tokens is None else tokens
+    tokens = parsed(files, "string", leaves=OF_IMPORTS) if tokens is None else tokens
     found = tokens.filter((F.col("kind") == "string") & (F.col("inside.text") == "(") & (F.col("inside.before.text") == "@import"))
     return found.select("path", F.btrim("text", F.lit('"')).alias("import_path"), F.col("inside.before.line_no").alias("line_no"))
 
 
 def calls(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, caller (the innermost function or test around, null outside of all), callee, line_no; fields and builtins are no calls."""
-    held = functions(files, tokens).select("path", "name", "line_start", "line_end")
-    tokens = parsed(files, "word") if tokens is None else tokens
+    # what is held is asked for twice: written once, files are parsed for it once
+    held = checkpointed(functions(files, tokens).select("path", "name", "line_start", "line_end"))
+    tokens = parsed(files, "word", leaves=OF_CALLS) if tokens is None else tokens
     found = tokens.filter((F.col("kind") == "word") & (F.col("after.text") == "(") & ~F.col("text").isin(NO_CALLS) & ~F.col("text").startswith("@")).filter(~F.coalesce(F.col("before.text").isin(".", "fn"), F.lit(False)))
     found = found.select("path", "at", F.col("text").alias("callee"), "line_no")
     around = intervals.held(found.select("path", "line_no").distinct(), held, "path", "line_no", "line_start", "line_end").groupBy("path", "line_no").agg(F.max(F.struct("line_start", "name"))["name"].alias("caller"))
-    return found.join(around, ["path", "line_no"], "left").select("path", "caller", "callee", "line_no")
+    return found.join(around.hint("merge"), ["path", "line_no"], "left").select("path", "caller", "callee", "line_no")
