@@ -75,7 +75,9 @@ def save(rows: DataFrame, table: Table, kind: str = "") -> int:
 
 
 def put(rows: DataFrame, table: Table, key: str) -> int:
-    """Save the table with these rows in place of those with the same keys."""
+    """Save the table with these rows in place of those with the same keys; the first rows are made once."""
+    if not commits(rows.sparkSession, table).take(1):
+        return save(rows, table)
     old = load(rows.sparkSession, table).join(rows.select(key).distinct(), key, "left_anti")
     fields = [f.name for f in old.schema.fields]
     return save(old.unionByName(rows.select(*fields)), table)
@@ -170,9 +172,9 @@ def cached_or_parsed(files: DataFrame, cache: DataFrame, parse: Callable[[DataFr
     """
     hashed = files.select("path", "content", F.sha2("content", 256).alias("hash"))
     known = readable(cache).select("hash", "parsed").dropDuplicates(["hash"])
-    found = hashed.select("path", "hash").join(known, "hash").withColumn("cached", F.lit(True))
-    fresh = hashed.join(known.select("hash"), "hash", "left_anti")
-    new = fresh.select("path", "hash").join(parse(fresh), "path").withColumn("cached", F.lit(False))
+    found = hashed.select("path", "hash").join(known.hint("merge"), "hash").withColumn("cached", F.lit(True))
+    fresh = hashed.join(known.select("hash").hint("merge"), "hash", "left_anti")
+    new = fresh.select("path", "hash").join(parse(fresh).hint("merge"), "path").withColumn("cached", F.lit(False))
     columns = ["path", "hash", "parsed", "cached"]
     return found.select(*columns).unionByName(new.select(*columns))
 
