@@ -53,48 +53,59 @@ def visibility(language: Column, text: Column, name: Column) -> Column:
 
 
 def _starts(lines: DataFrame) -> DataFrame:
-    """path, line_no, name, kind, is_async, visibility, language of every first line of a definition."""
+    """Lines with name, kind, is_async, visibility, language: those that are the first of a definition."""
+    return _marked(lines).filter("kind is not null")
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """Lines with name, kind, is_async, visibility, language; the kind is null where no definition begins."""
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for language, patterns in DEFINITIONS.items():
         for k, pattern in patterns.items():
             here = (F.col("language") == language) & F.col("text").rlike(pattern)
             kind, name = F.when(here, k).otherwise(kind), F.when(here, F.regexp_extract("text", pattern, 1)).otherwise(name)
-    found = with_language(lines).withColumn("kind", kind).filter("kind is not null").withColumn("name", name)
+    found = with_language(lines).withColumn("kind", kind).withColumn("name", name)
     is_async = F.col("text").rlike(r"^\s*(?:pub(?:\([a-z]+\))?\s+|export\s+|default\s+)*async\s")
     return found.withColumn("is_async", is_async).withColumn("visibility", visibility(F.col("language"), F.col("text"), F.col("name")))
 
 
 def _levels(lines: DataFrame) -> DataFrame:
-    """Lines with `level` (nesting where the line begins) and `left`: the levels that it leaves, each with its last line."""
+    """Lines with `level` (nesting where the line begins) and `left`: the levels that it leaves, each with its last line; with `d`, the
+    definition that begins there, or null, and `n`, the last line of the file."""
     order = Window.partitionBy("path").orderBy("line_no")
     python = F.col("language") == "python"
     blank = F.trim("text") == ""
     indent = F.when(~blank, F.length("text") - F.length(F.ltrim("text")))
     opened = F.length("text") - F.length(F.replace("text", F.lit("{"), F.lit("")))
     closed = F.length("text") - F.length(F.replace("text", F.lit("}"), F.lit("")))
-    rows = with_language(lines).withColumn("indent", indent).withColumn("step", opened - closed).withColumn("closes", closed)
+    rows = _marked(lines).withColumn("indent", indent).withColumn("step", opened - closed).withColumn("closes", closed)
     after = F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("after", after).withColumn("before", F.col("after") - F.col("step"))
     rows = rows.withColumn("prev_indent", F.last("indent", True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("prev_line", F.max(F.when(~blank, F.col("line_no"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("n", F.max("line_no").over(Window.partitionBy("path")))
+    begins = F.when(F.col("kind").isNotNull(), F.struct("name", "kind", F.col("line_no").alias("line_start"), "is_async", "visibility", "language"))
     none = F.array().cast("array<int>")
     by_brace = F.when(F.col("closes") > 0, F.sequence(F.greatest(F.col("after"), F.lit(0)), F.greatest(F.col("before") + F.col("step") + F.col("closes") - 1, F.col("after"), F.lit(0)))).otherwise(none)
     by_indent = F.when(F.col("indent") <= F.col("prev_indent"), F.sequence("indent", "prev_indent")).otherwise(none)
     level = F.when(python, F.col("indent")).otherwise(F.col("before"))
-    return rows.select("path", "line_no", "text", "language", level.cast("int").alias("level"), F.when(python, by_indent).otherwise(by_brace).alias("left"), F.when(python, F.col("prev_line")).otherwise(F.col("line_no")).alias("last"))
+    return rows.select("path", "line_no", "n", "language", begins.alias("d"), level.cast("int").alias("level"), F.when(python, by_indent).otherwise(by_brace).alias("left"), F.when(python, F.col("prev_line")).otherwise(F.col("line_no")).alias("last"))
 
 
 def definitions(lines: DataFrame) -> DataFrame:
     """path, name, kind, line_start, line_end, is_async, visibility, language."""
+    # lines move once, by path: what begins and what ends are rows of one explode, and meet in the place where their file is
+    python = F.col("language") == "python"
+    event = lambda level, at, d, end: F.struct(level.cast("int").alias("level"), at.cast("long").alias("at"), d.alias("d"), end.cast("long").alias("end"))
     levels = _levels(lines)
-    starts = _starts(lines).select("path", "line_no", "name", "kind", "is_async", "visibility", "language")
-    begun = levels.select("path", "line_no", "level").join(starts, ["path", "line_no"])
-    ends = levels.select("path", F.explode("left").alias("level"), "line_no", "last", F.col("language").alias("end_language"))
-    length = lines.groupBy("path").agg(F.max("line_no").alias("n"))
-    both = begun.select("path", "level", F.when(F.col("language") == "python", F.col("line_no") + 1).otherwise(F.col("line_no")).alias("at"), F.struct("name", "kind", F.col("line_no").alias("line_start"), "is_async", "visibility", "language").alias("d"), F.lit(None).cast("long").alias("end"))
-    both = both.unionByName(ends.select("path", "level", F.col("line_no").alias("at"), F.lit(None).cast(both.schema["d"].dataType).alias("d"), F.col("last").alias("end")))
-    following = Window.partitionBy("path", "level").orderBy("at", F.col("d").isNull()).rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("line_end", F.first("end", True).over(following)).filter("d is not null")
-    closed = found.join(length, "path").select("path", "d.*", F.coalesce("line_end", "n").alias("line_end"))
+    kind = levels.schema["d"].dataType
+    begun = F.when(F.col("d").isNotNull(), F.array(event(F.col("level"), F.col("line_no") + F.when(python, 1).otherwise(0), F.col("d"), F.lit(None))))
+    ends = F.transform("left", lambda level: event(level, F.col("line_no"), F.lit(None).cast(kind), F.col("last")))
+    none = F.array().cast(f"array<struct<level:int,at:bigint,d:{kind.simpleString()},end:bigint>>")
+    both = levels.select("path", "n", F.inline(F.concat(F.coalesce(begun, none), F.coalesce(ends, none))))
+    # backwards, so that each row looks at what was seen and none is looked for again
+    later = Window.partitionBy("path", "level").orderBy(F.desc("at"), F.col("d").isNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("line_end", F.last("end", True).over(later)).filter("d is not null")
+    closed = found.select("path", "d.*", F.coalesce("line_end", "n").alias("line_end"))
     return closed.select("path", "name", "kind", "line_start", F.greatest("line_start", "line_end").cast("long").alias("line_end"), "is_async", "visibility", "language")
 
 
