@@ -276,3 +276,10 @@ def test_first_records_are_made_once_and_contents_do_not_move(spark, tmp_path):
 
     state.put(analysis.metadata(files).repartition(1).mapInPandas(count, "hash string, json string"), table, "hash")
     assert made.value == 1 and state.load(spark, table).count() == 1
+
+
+def test_a_page_is_read_once_and_does_not_move(spark):
+    page = "<p>a\n<SCRIPT x>\n1</script >\n<style>b</style><script>open\n"
+    found = markup.html_blocks(spark.createDataFrame([("a.html", page), ("b.html", None), ("c.html", "")], "path string, content string"))
+    assert plan(found).count("MapInPandas") == 1 and "Exchange" not in plan(found)
+    assert sorted((r["name"], r["line_start"], r["line_end"]) for r in found.collect() if r["name"] != "<element>") == [("<script>", 2, 3), ("<style>", 4, 4)]

@@ -37,15 +37,31 @@ def _line_ends(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
 
 
+def inner_blocks(content: str, pattern: re.Pattern) -> Iterator[tuple[str, int, int]]:
+    """Text, first and last line of each block that a pattern of two groups finds, one right behind another."""
+    at, line = 0, 1
+    while found := pattern.match(content, at):
+        first = line + found[1].count("\n")
+        line = first + found[2].count("\n")
+        yield found[2], first, line
+        at = found.end()
+
+
+def _in_place(pattern: str) -> re.Pattern:
+    # a match begins where it is asked for, which is what `\G` says
+    return re.compile(pattern.replace(r"\G", ""), re.ASCII)
+
+
 def _blocks(files: DataFrame, pattern: str) -> DataFrame:
-    """path, block, line_start, line_end of what a pattern of two groups finds one after another."""
-    pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), 1).alias("before"), F.regexp_extract_all("content", F.lit(pattern), 2).alias("block"))
-    rows = files.select("path", F.posexplode(pairs).alias("n", "p")).select("path", "n", "p.before", "p.block")
-    order = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    head = F.length("block") - F.length(F.ltrim(F.translate("block", "\t\r\n", "   ")))
-    above = F.coalesce(F.sum(_line_ends(F.concat("before", "block"))).over(order), F.lit(0)) + _line_ends(F.col("before")) + _line_ends(F.expr("left(block, head)"))
-    body = F.expr("substring(block, head + 1)")
-    return rows.withColumn("head", head.cast("int")).withColumn("line_start", (above + 1).cast("long")).select("path", body.alias("block"), "line_start", (F.col("line_start") + _line_ends(body)).cast("long").alias("line_end"))
+    """path, block, line_start, line_end of what a pattern of two groups finds one after another; no text leaves its task."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = _in_place(pattern)
+        for batch in batches:
+            rows = [(path, *block) for path, content in zip(batch["path"], batch["content"], strict=True) for block in inner_blocks(content, find)]
+            yield pd.DataFrame(rows, columns=["path", "block", "line_start", "line_end"])
+
+    return files.filter("content is not null").select("path", "content").mapInPandas(of, "path string, block string, line_start long, line_end long")
 
 
 def top_elements(content: str) -> Iterator[tuple[int, int]]:
@@ -75,17 +91,22 @@ def top_elements(content: str) -> Iterator[tuple[int, int]]:
         yield began, 1 + content.rstrip().count("\n")
 
 
-def _tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    find = _in_place(HTML_BLOCKS)
     for batch in batches:
-        rows = [(path, "<element>", a, b) for path, content in zip(batch["path"], batch["content"], strict=True) for a, b in top_elements(content)]
+        rows = []
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            rows += [(path, "<element>", first, last) for first, last in top_elements(content)]
+            rows += [(path, "<script>" if block[:7].lower() == "<script" else "<style>", first, last) for block, first, last in inner_blocks(content, find)]
         yield pd.DataFrame(rows, columns=["path", "name", "line_start", "line_end"])
 
 
 def html_blocks(files: DataFrame) -> DataFrame:
-    """`<element>` for each element at the top, `<script>` and `<style>` for each of their blocks, wherever they are."""
-    inner = _blocks(files, HTML_BLOCKS).select("path", F.when(F.col("block").rlike("(?i)^<script"), "<script>").otherwise("<style>").alias("name"), "line_start", "line_end")
-    tops = files.filter("content is not null").select("path", "content").mapInPandas(_tops, "path string, name string, line_start long, line_end long")
-    return tops.unionByName(inner)
+    """`<element>` for each element at the top, `<script>` and `<style>` for each of their blocks, wherever they are.
+
+    A page is read once, for both, and its text does not move.
+    """
+    return files.filter("content is not null").select("path", "content").mapInPandas(_pages, "path string, name string, line_start long, line_end long")
 
 
 def css_blocks(files: DataFrame) -> DataFrame:
