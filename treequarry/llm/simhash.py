@@ -33,6 +33,14 @@ BYTES = 8
 SALTS = 32
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of unsigned hashes: the bits that more than half of them have; 0 without hashes."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
+    for i in range(0, n, 1 << 14):
+        ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
     """The fingerprint of a text, unsigned; 0 for a text without words."""
     words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone is lowered, ASCII white space alone splits
@@ -44,10 +52,7 @@ def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 14):
-        ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprint_column(width: int, seed: int):
