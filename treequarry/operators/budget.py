@@ -22,7 +22,8 @@ def tiers(edges: DataFrame, located: DataFrame, focus: DataFrame, depth: int = D
     found = far.select("name", F.col("seed").alias("focus_ord"), level).join(located, "name").filter("file is not null")
     first = found.groupBy("file").agg(F.min(F.struct("focus_ord", (-F.col("level")).alias("late"))).alias("first"))
     deps = first.join(focus.select("file"), "file", "left_anti").select("file", (-F.col("first.late")).alias("level"), F.col("first.focus_ord").alias("focus_ord"))
-    return focus.select("file", F.lit(3).cast("long").alias("level"), "focus_ord").unionByName(deps)
+    # a row a file: what asks for the tiers more than once does not join the nodes again
+    return checkpointed(focus.select("file", F.lit(3).cast("long").alias("level"), "focus_ord").unionByName(deps))
 
 
 def charged(files: DataFrame) -> DataFrame:
