@@ -31,3 +31,18 @@ def test_components_and_thinning(spark):
     assert plain(kept) == plain(edges) and len(kept) < len(edges) and set(kept) <= set(edges)
     assert {r["node"]: r["root"] for r in components.connected_components(table).collect()} == plain(edges)
     assert components.connected_components(table.limit(0)).count() == 0
+
+
+def test_edges_of_one_chunk_take_no_rounds(spark, monkeypatch):
+    """A long chain in any order, and dense groups: two checkpoints where they fit a chunk, rounds with the same result where not."""
+    rng, written = random.Random(8), []
+    edges = [(i, i + 1) for i in range(300)] + [tuple(rng.sample(range(1000, 1040), 2)) for _ in range(300)]
+    rng.shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long")
+    kept = components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df: written.append(1) or kept(df))
+    roots = lambda: sorted((r["node"], r["root"]) for r in components.connected_components(table).collect())
+    assert roots() == sorted(plain(edges).items()) and len(written) == 2
+    for chunk in (50, 500):
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        assert roots() == sorted(plain(edges).items())

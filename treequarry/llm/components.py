@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from treequarry.llm.common import checkpointed
 
+#: Edges that a task joins at once.
+CHUNK = 16_384
+
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def spanning_edges(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The edges that close no circle with those before them."""
+def _joined(edges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The edges that close no circle with those before them, and an edge from the smallest node of each component to each other one."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -30,25 +33,36 @@ def spanning_edges(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if x != y:
             up[max(x, y)] = min(x, y)
             kept.append((a, b))
-    return kept
+    return kept, [(top(x), x) for x in up if top(x) != x]
+
+
+def spanning_edges(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The edges that close no circle with those before them."""
+    return _joined(edges)[0]
+
+
+def smallest_edges(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many edges with the same components: (a, b) from the smallest node a of each to every other one."""
+    return _joined(edges)[1]
 
 
-def thinned(pairs: DataFrame, n_pairs: int, chunk: int = 16_384) -> DataFrame:
-    """Edges with the same components: each chunk of about `chunk` edges keeps a spanning forest, fewer than it has nodes."""
+def thinned(pairs: DataFrame, n_pairs: int, chunk: int = CHUNK, kept: Callable = spanning_edges) -> DataFrame:
+    """Edges with the same components: each chunk of about `chunk` edges keeps a spanning forest, fewer than it has nodes.
+    Up to `chunk` edges are one chunk."""
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
 
-        def kept() -> pa.RecordBatch:
-            found = spanning_edges(edges)
+        def rows() -> pa.RecordBatch:
+            found = kept(edges)
             return pa.record_batch([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             edges += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             if len(edges) >= chunk:
-                yield kept()
+                yield rows()
                 edges = []
-        yield kept()
+        yield rows()
 
     return pairs.coalesce(max(1, -(-n_pairs // chunk))).mapInArrow(forests, "a long, b long")
 
@@ -56,15 +70,19 @@ def thinned(pairs: DataFrame, n_pairs: int, chunk: int = 16_384) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) to rows (node, root): root is the smallest node of the component; one row per node with an edge.
 
-    In a round, every node first hangs its larger neighbours on the smallest node it knows, then its smaller ones.
-    Rounds grow with the logarithm of the longest chain. Before them, edges that close circles go, chunk by chunk, so
-    that a dense group costs the rounds little more than its nodes. Rows are pre-aggregated before they are shuffled, joins are
-    keyed by node, and the edges of each round go to a reliable checkpoint.
+    Edges become stars around their smallest nodes, chunk by chunk, as long as that halves them or leaves one chunk; so edges that close circles go, and a
+    dense group costs little more than its nodes. Edges of one chunk are done with that. The others go in rounds: every node first
+    hangs its larger neighbours on the smallest node it knows, then its smaller ones. Rounds grow with the logarithm of the longest
+    chain of stars. Rows are pre-aggregated before they are shuffled, joins are keyed by node, and the edges of each round go to a
+    reliable checkpoint.
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     pairs = checkpointed(pairs)
-    pairs = checkpointed(thinned(pairs, pairs.count()))
-    seen = _signature(pairs)
+    n, before = pairs.count(), None
+    while before is None or before > CHUNK and (n <= CHUNK or 2 * n <= before):
+        pairs = checkpointed(thinned(pairs, n, CHUNK, smallest_edges))
+        n, before = pairs.count(), n
+    seen = _signature(pairs) if before > CHUNK else (0,)
     while seen[0]:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
