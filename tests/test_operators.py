@@ -337,3 +337,16 @@ def test_appending_reads_the_parts_that_it_falls_into(spark, tmp_path):
     (tmp_path / "objects" / f"first={other}" / "broken.parquet").write_bytes(b"no parquet")
     store.append_objects(contents(texts[0]), path)
     assert spark.read.schema(schema).parquet(path).filter(f"first = '{mine}'").count() == sum(r["first"] == mine for r in rows)
+
+
+def test_patches_taken_back_move_contents_once(spark):
+    text = "--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n-a\n+A\n+B\n b\n--- a/y\n+++ b/y\n@@ -1 +1 @@\n-no\n+yes\n--- /dev/null\n+++ b/n\n@@ -0,0 +1 @@\n+one\n--- a/g\n+++ /dev/null\n@@ -1 +0,0 @@\n-bye\n--- a/long\n+++ b/long\n@@ -2,0 +3 @@\n+in\n@@ -40000 +40001 @@\n-l39999\n+end\n--- a/e\n+++ b/e\n@@ -1 +1 @@\n-v\n+w"
+    lines = patches.parse(spark.createDataFrame([(1, text)], "patch_id long, text string"))
+    table = spark.createDataFrame([("x", "a\nb"), ("y", "other\n"), ("g", "bye"), ("long", "\n".join(f"l{i}" for i in range(40000))), ("e", None), ("far", None), ("same", "s\n")], "path string, content string")
+    changes = patches.apply(table, lines)
+    assert rows(changes, "path", "status") == [("e", "mismatch"), ("g", "deleted"), ("long", "applied"), ("n", "created"), ("x", "applied"), ("y", "mismatch")]
+    back = patches.taken_back(table, lines)
+    got = {r["path"]: r["content"] for r in back.collect()}
+    want = {r["path"]: r["content"] for r in table.collect()} | {"n": "one\n"}
+    assert got == {p: c for p, c in want.items() if p not in ("g", "e")}
+    assert patches.taken_back(table, lines)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [path") == 1

@@ -1,8 +1,8 @@
 """Unified diffs as tables of lines: parsing, applying, reversing, and a queue from which patches can be taken back.
 
 A hunk's lines are told from file heads by the counts in its head, which running sums follow. Hunks that fit change
-lines of the file as it was, so applying is a join of old lines with the file's, and an order of what stays and what
-is new; no file is folded hunk by hunk.
+lines of the file as it was, so applying is one join of a patch's lines, gathered by file, with the files, and an order of
+what stays and what is new; no file is folded hunk by hunk, and no file's lines are shuffled.
 """
 
 from __future__ import annotations
@@ -82,6 +82,63 @@ def reverse(lines: DataFrame) -> DataFrame:
     return turned.select("patch_id", F.col("new_file").alias("file"), F.col("file").alias("new_file"), "hunk_no", "line_no", "old_start", F.translate("op", "+-", "-+").alias("op"), "text")
 
 
+def edits(patch_lines: DataFrame) -> DataFrame:
+    """path, edit: what the lines of one patch do to each file, a row a file. Lines move once, by path."""
+    lines = patch_lines.withColumn("path", F.when(F.col("file") == "/dev/null", F.col("new_file")).otherwise(F.col("file"))).repartition("path")
+    hunk = Window.partitionBy("path", "hunk_no").orderBy("line_no")
+    old = F.col("op").isin(*" -")
+    olds = F.coalesce(F.sum(F.when(old, 1).otherwise(0)).over(hunk.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    whole = F.sum(F.when(old, 1).otherwise(0)).over(Window.partitionBy("path", "hunk_no"))
+    # the line of the file that an old line is, or after which a new one comes
+    first = F.greatest(F.col("old_start") - F.when(whole == 0, 0).otherwise(1), F.lit(0))
+    placed = lines.withColumn("at", (first + olds).cast("long")).withColumn("last", F.lag("op").over(hunk))
+    # twice the place of an old line, and one more for new lines after it
+    spot = 2 * F.col("at") + F.when(F.col("op") == "+", 1).otherwise(0)
+    marked = lambda ops: F.coalesce(F.bool_or((F.col("op") == "\\") & F.col("last").isin(*ops)), F.lit(False))
+    gathered = lambda fits, row, name: F.collect_list(F.when(fits, row)).alias(name)
+    hunks = placed.groupBy("path", "hunk_no").agg(
+        F.min(spot).alias("low"),
+        F.max(spot).alias("high"),
+        gathered(old, F.struct("at", "text"), "olds"),
+        gathered(F.col("op") == "-", F.col("at"), "gone"),
+        gathered(F.col("op") == "+", F.struct("at", "hunk_no", "line_no", "text"), "news"),
+        F.max("new_file").alias("new_file"),
+        F.max("file").alias("file"),
+        marked(" +").alias("open"),
+        marked("-").alias("closed"),
+    )
+    reached = F.lag("high").over(Window.partitionBy("path").orderBy("hunk_no"))
+    early = F.coalesce((F.col("low") < reached) | ((F.col("low") == reached) & (F.col("low") % 2 == 0)), F.lit(False))
+    of_file = [F.flatten(F.collect_list(c)).alias(c) for c in ("olds", "gone", "news")] + [F.bool_or(c).alias(c) for c in ("early", "open", "closed")]
+    whole_file = hunks.withColumn("early", early).groupBy("path").agg(*of_file, (F.max("new_file") == "/dev/null").alias("deleted"), (F.max("file") == "/dev/null").alias("created"))
+    return whole_file.select("path", F.struct("olds", "gone", "news", "early", "open", "closed", "deleted", "created").alias("edit"))
+
+
+def edited(files: DataFrame, edit: str = "edit") -> DataFrame:
+    """Files (path, content, an edit that may be null, ...) with the content after it, and status: null without an edit.
+
+    What stays and what is new is put in order within a row, which holds its file whole anyway. Each step is a generator of one
+    row, so that no filter above it makes the steps below run again for each line.
+    """
+    step = lambda column, name: F.explode(F.array(column)).alias(name)
+    e = lambda name: F.col(f"{edit}.{name}")
+    body = F.when(F.endswith("content", F.lit("\n")), F.expr("left(content, char_length(content) - 1)")).otherwise(F.col("content"))
+    none = F.array().cast("array<string>")
+    rows = files.select("*", step(F.coalesce(F.when(body == "", none).otherwise(F.split(body, "\n")), none), "parts"))
+    now = lambda at: F.when(at <= F.size("parts"), F.get("parts", (at - 1).cast("int")))
+    wrong = F.exists(e("olds"), lambda x: now(x["at"]).isNull() | F.coalesce(now(x["at"]) != x["text"], F.lit(False)))
+    bad = wrong | e("early") | (F.col("content").isNull() & ~e("created"))
+    status = F.when(F.col(edit).isNull(), F.lit(None)).when(bad, "mismatch").when(e("deleted"), "deleted").when(e("created"), "created").otherwise("applied")
+    places = F.array_except(F.when(F.size("parts") > 0, F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))).otherwise(F.array().cast("array<bigint>")), e("gone"))
+    zero = F.lit(0).cast("long")
+    stays = F.transform(places, lambda at: F.struct(at.alias("at"), zero.alias("hunk_no"), zero.alias("line_no"), now(at).alias("text")))
+    listed = F.transform(F.array_sort(F.concat(stays, e("news"))), lambda x: x["text"])
+    ends = F.when(e("open"), "").when(e("closed") | e("created") | F.endswith("content", F.lit("\n")), "\n").otherwise("")
+    changed = F.when(F.size(places) + F.size(e("news")) > 0, F.concat(F.array_join(listed, "\n"), ends)).otherwise("")
+    content = F.when(F.col("status").isNull() | (F.col("status") == "mismatch"), F.col("content")).when(F.col("status") != "deleted", changed)
+    return rows.select("*", step(status, "status")).select(*[c for c in files.columns if c != "content"], "status", step(content, "content"))
+
+
 def apply(files: DataFrame, patch_lines: DataFrame) -> DataFrame:
     """path, content, status of the files (path, content) that one patch's lines change: applied, created, deleted or mismatch.
 
@@ -89,38 +146,19 @@ def apply(files: DataFrame, patch_lines: DataFrame) -> DataFrame:
     the file changes. A mark of a missing line end decides how the file ends; without one it ends as before, and a new
     file with a line end.
     """
-    lines = checkpointed(patch_lines.withColumn("path", F.when(F.col("file") == "/dev/null", F.col("new_file")).otherwise(F.col("file"))))
-    hunk = Window.partitionBy("path", "hunk_no").orderBy("line_no")
-    olds = lambda upto: F.coalesce(F.sum(F.when(F.col("op").isin(*" -"), 1).otherwise(0)).over(hunk.rowsBetween(Window.unboundedPreceding, upto)), F.lit(0))
-    whole = F.sum(F.when(F.col("op").isin(*" -"), 1).otherwise(0)).over(Window.partitionBy("path", "hunk_no"))
-    # the line of the file that an old line is, or after which a new one comes
-    first = F.greatest(F.col("old_start") - F.when(whole == 0, 0).otherwise(1), F.lit(0))
-    placed = lines.withColumn("at", (first + olds(0)).cast("long")).withColumn("last", F.lag("op").over(hunk))
-    body = F.when(F.endswith("content", F.lit("\n")), F.expr("left(content, char_length(content) - 1)")).otherwise(F.col("content"))
-    touched = files.join(placed.select("path").distinct(), "path", "left_semi").select("path", "content", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n")).alias("parts"))
-    there = touched.select("path", F.posexplode("parts").alias("at", "now")).withColumn("at", (F.col("at") + 1).cast("long"))
-    want = placed.filter(F.col("op").isin(*" -")).select("path", "at", "op", "text", "hunk_no")
-    met = want.join(there, ["path", "at"], "left")
-    # twice the place of an old line, and one more for new lines after it
-    spot = 2 * F.col("at") + F.when(F.col("op") == "+", 1).otherwise(0)
-    spans = placed.groupBy("path", "hunk_no").agg(F.min(spot).alias("low"), F.max(spot).alias("high"))
-    reached = F.lag("high").over(Window.partitionBy("path").orderBy("hunk_no"))
-    early = (F.col("low") < reached) | ((F.col("low") == reached) & (F.col("low") % 2 == 0))
-    late = spans.withColumn("late", F.coalesce(early, F.lit(False))).groupBy("path").agg(F.bool_or("late").alias("late"))
-    wrong = met.groupBy("path").agg(F.bool_or(F.col("now").isNull() | (F.col("now") != F.col("text"))).alias("wrong"))
-    gone = met.filter("op = '-'").select("path", "at").distinct()
-    stays = there.join(gone, ["path", "at"], "left_anti").select("path", "at", F.lit(0).cast("long").alias("hunk_no"), F.lit(0).cast("long").alias("line_no"), F.col("now").alias("text"))
-    new = placed.filter("op = '+'").select("path", "at", "hunk_no", "line_no", "text")
-    listed = F.array_sort(F.collect_list(F.struct("at", "hunk_no", "line_no", "text")))
-    joined = stays.unionByName(new).groupBy("path").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("joined"), F.count("*").alias("n"))
-    marked = lambda ops: F.coalesce(F.bool_or((F.col("op") == "\\") & F.col("last").isin(*ops)), F.lit(False))
-    facts = placed.groupBy("path").agg((F.max("new_file") == "/dev/null").alias("deleted"), (F.max("file") == "/dev/null").alias("created"), marked(" +").alias("open"), marked("-").alias("closed"))
-    out = facts.join(touched.select("path", "content"), "path", "left").join(late, "path", "left").join(wrong, "path", "left").join(joined, "path", "left")
-    bad = F.coalesce("wrong", F.lit(False)) | F.coalesce("late", F.lit(False)) | (F.col("content").isNull() & ~F.col("created"))
-    status = F.when(bad, "mismatch").when(F.col("deleted"), "deleted").when(F.col("created"), "created").otherwise("applied")
-    ends = F.when(F.col("open"), "").when(F.col("closed") | F.col("created") | F.endswith("content", F.lit("\n")), "\n").otherwise("")
-    content = F.when(F.col("status") == "mismatch", F.col("content")).when(F.col("status") != "deleted", F.when(F.coalesce("n", F.lit(0)) > 0, F.concat("joined", ends)).otherwise(""))
-    return out.withColumn("status", status).select("path", content.alias("content"), "status")
+    return edited(edits(patch_lines).join(files.select("path", "content"), "path", "left")).select("path", "content", "status")
+
+
+def taken_back(files: DataFrame, patch_lines: DataFrame) -> DataFrame:
+    """All files (path, content) after one patch's lines are applied, and those that were applied are taken back.
+
+    The edits of both ways meet by path before the files do, so contents move once.
+    """
+    there, back = edits(patch_lines), edits(reverse(patch_lines)).withColumnRenamed("edit", "back")
+    after = edited(files.select("path", "content").join(there.join(back, "path", "full"), "path", "full"))
+    left = after.filter("content is not null or edit is null and back is null")
+    again = edited(left.withColumn("back", F.when(F.col("status") == "applied", F.col("back"))).drop("status", "edit"), "back")
+    return again.filter("content is not null or back is null").select("path", "content")
 
 
 def patched(files: DataFrame, changes: DataFrame) -> DataFrame:

@@ -57,11 +57,7 @@ def m20_patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_files} SELECT path, content FROM f")
 def m21_patch_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files after the patches that fit are applied and taken back."""
-    before, lines = files(spark, sf_dir).select("path", "content"), patches.parse(patch_texts(spark, sf_dir))
-    changes = patches.apply(before, lines)
-    fitting = lines.join(changes.filter("status = 'applied'").select(F.col("path").alias("file")), "file", "left_semi")
-    after = patches.patched(before, changes)
-    return patches.patched(after, patches.apply(after, patches.reverse(fitting)))
+    return patches.taken_back(files(spark, sf_dir).select("path", "content"), patches.parse(patch_texts(spark, sf_dir)))
 
 
 @query(f"WITH {_files} SELECT count(*) AS n_files, count_if(n % 3 > 0)::BIGINT AS n_applied, count_if(n % 3 = 0)::BIGINT AS n_conflicts FROM f WHERE n > 0")
