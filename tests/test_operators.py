@@ -350,3 +350,15 @@ def test_patches_taken_back_move_contents_once(spark):
     want = {r["path"]: r["content"] for r in table.collect()} | {"n": "one\n"}
     assert got == {p: c for p, c in want.items() if p not in ("g", "e")}
     assert patches.taken_back(table, lines)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [path") == 1
+
+
+def test_folders_name_their_ignore_files_and_carry_no_rules(spark, tmp_path, monkeypatch):
+    for name, text in {".gitignore": "*.log\n", "a/.ignore": "!k.log\n", "a/b/k.log": "", "a/b/x.log": "", "c/k.log": "", "c/d/y.py": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    levels, kept = [], files.checkpointed
+    monkeypatch.setattr(files, "checkpointed", lambda df: levels.append(kept(df)) or levels[-1])
+    found = {r["path"] for r in files.walk(spark, str(tmp_path), "y.*\n").collect()}
+    assert found == {".gitignore", "a/.ignore", "a/b/k.log"}
+    carried = {r["path"]: r["ignores"] for level in levels for r in level.collect() if r["folder"]}
+    assert carried == {"a/": '[["", ".gitignore"]]', "c/": '[["", ".gitignore"]]', "a/b/": '[["", ".gitignore"], ["a/", ".ignore"]]', "c/d/": '[["", ".gitignore"]]'}

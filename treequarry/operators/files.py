@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyarrow.fs import FileSelector, FileSystem, FileType
@@ -16,7 +18,6 @@ from treequarry.operators.graph import checkpointed
 
 #: Ignore files, those that decide first in front.
 IGNORE_FILES = (".ignore", ".gitignore")
-RULES = "array<struct<file:string,base:string,regex:string,negated:boolean,folders:boolean>>"
 #: Tasks of a listing or a read at most; bytes of a batch that is handed on; the largest file whose content is read.
 MOST_TASKS, BATCH_BYTES, LARGEST = 10_000, 16 << 20, 1 << 30
 
@@ -87,11 +88,11 @@ def opened(place: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(re.sub("^file:/+", "file:///", place) if ":" in place.split("/")[0] else "file://" + place)
 
 
-def _fits(rules: list[dict], path: str, folder: bool) -> bool | None:
+def _fits(rules: list[tuple], path: str, folder: bool) -> bool | None:
     """The verdict of the last rule (base, regex, negated, folders) that fits a path: true leaves it out."""
-    for rule in reversed(rules):
-        if (folder or not rule["folders"]) and path.startswith(rule["base"]) and re.search(rule["regex"], path[len(rule["base"]) :]):
-            return not rule["negated"]
+    for base, regex, negated, folders in reversed(rules):
+        if (folder or not folders) and path.startswith(base) and regex.search(path[len(base) :]):
+            return not negated
     return None
 
 
@@ -101,34 +102,47 @@ def walk(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
     A level of folders at a time is listed in tasks; nothing of a folder that is left out, or of version control, is listed or
     read. Each folder adds its own ignore files to those above it: the last rule that fits decides, that of the deepest
     file first, `.ignore` before `.gitignore`. `ignore` stands before the root's own rules. A folder is listed by one task.
+    A row names the ignore files that hold for its folder; a task reads each of them once.
     """
+    marks = "path string, ignores string"
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = opened(root)
-        for folder, held in ((r.path, [x.asDict() if hasattr(x, "asDict") else dict(x) for x in r.rules]) for b in batches for r in b.itertuples()):
-            infos = system.get_file_info(FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/") or "/"))
-            names = {i.base_name: i for i in infos}
-            for name in IGNORE_FILES:
-                if name in names and names[name].type == FileType.File:
-                    with system.open_input_stream(names[name].path) as file:
-                        text = file.read().decode("utf-8", "replace")
-                    held = held + [{"file": name, "base": folder, "regex": x, "negated": n, "folders": f} for x, n, f in ignore_rules(text)]
-            by_file = [[r for r in held if r["file"] == name] for name in IGNORE_FILES]
-            rows = []
-            for name, info in names.items():
-                inner = info.type == FileType.Directory
-                verdicts = [_fits(rules, folder + name, inner) for rules in by_file]
-                if next((v for v in verdicts if v is not None), False) or inner and name + "/" in P.VCS:
-                    continue
-                rows.append((folder + name + "/" * inner, inner, info.size or 0, info.mtime, held if inner else None))
-            for i in range(0, len(rows), 10_000):
-                yield pd.DataFrame(rows[i : i + 10_000], columns=["path", "folder", "size", "modified", "rules"])
-
-    first = [(".gitignore", "", *rule) for rule in ignore_rules(ignore)]
-    folders, found, size = spark.createDataFrame([("", first)], f"path string, rules {RULES}"), None, 1
+
+        @lru_cache(4096)
+        def rules_in(base: str, name: str) -> list[tuple]:
+            with system.open_input_stream(f"{top.rstrip('/')}/{base}{name}") as file:
+                text = file.read().decode("utf-8", "replace")
+            return [(base, re.compile(x), n, f) for x, n, f in ignore_rules(text)]
+
+        @lru_cache(1024)
+        def held_by(ignores: str) -> list[list[tuple]]:
+            given = [("", re.compile(x), n, f) for x, n, f in ignore_rules(ignore)]
+            return [(given if kind == ".gitignore" else []) + [r for base, name in json.loads(ignores) if name == kind for r in rules_in(base, name)] for kind in IGNORE_FILES]
+
+        rows = []
+        for batch in batches:
+            for folder, ignores in zip(batch["path"], batch["ignores"], strict=True):
+                names = {i.base_name: i for i in system.get_file_info(FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/") or "/"))}
+                if own := [[folder, n] for n in IGNORE_FILES if n in names and names[n].type == FileType.File]:
+                    ignores = json.dumps(json.loads(ignores) + own)
+                by_file = held_by(ignores)
+                for name, info in names.items():
+                    inner = info.type == FileType.Directory
+                    verdicts = [_fits(rules, folder + name, inner) for rules in by_file]
+                    if next((v for v in verdicts if v is not None), False) or inner and name + "/" in P.VCS:
+                        continue
+                    rows.append((folder + name + "/" * inner, inner, info.size or 0, info.mtime, ignores if inner else None))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["path", "folder", "size", "modified", "ignores"])
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "folder", "size", "modified", "ignores"])
+
+    folders, found, size = spark.createDataFrame([("", "[]")], marks), None, 1
     while size:
-        level = checkpointed(folders.repartition(max(1, min(size // 128, MOST_TASKS))).mapInPandas(listed, f"path string, folder boolean, size long, modified timestamp, rules {RULES}"))
-        folders, here = level.filter("folder").select("path", "rules"), level.filter("not folder").select("path", "size", "modified")
+        level = checkpointed(folders.repartition(max(1, min(size // 128, MOST_TASKS))).mapInPandas(listed, "path string, folder boolean, size long, modified timestamp, ignores string"))
+        folders, here = level.filter("folder").select("path", "ignores"), level.filter("not folder").select("path", "size", "modified")
         found = here if found is None else found.unionByName(here)
         size = folders.count()
     return found
