@@ -18,8 +18,9 @@ from treequarry.operators.graph import checkpointed
 
 #: Ignore files, those that decide first in front.
 IGNORE_FILES = (".ignore", ".gitignore")
-#: Tasks of a listing or a read at most; bytes of a batch that is handed on; the largest file whose content is read.
-MOST_TASKS, BATCH_BYTES, LARGEST = 10_000, 16 << 20, 1 << 30
+#: Tasks of a listing or a read at most; rows that a task hands out to those; bytes of a batch that is handed on; the largest file
+#: whose content is read.
+MOST_TASKS, HANDED_OUT, BATCH_BYTES, LARGEST = 10_000, 5_000, 16 << 20, 1 << 30
 
 
 def affected(files: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
@@ -96,6 +97,11 @@ def _fits(rules: list[tuple], path: str, folder: bool) -> bool | None:
     return None
 
 
+def _dealt(rows: DataFrame, n: int, each: int) -> DataFrame:
+    """n rows in tasks of about `each`. Few tasks hand them out: blocks of a shuffle are as many as its two sides multiplied."""
+    return rows.coalesce(max(1, n // HANDED_OUT)).repartition(max(1, min(n // each, MOST_TASKS)))
+
+
 def walk(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
     """path (relative), size, modified of all files below a folder that no ignore file leaves out, hidden ones too.
 
@@ -141,7 +147,7 @@ def walk(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
 
     folders, found, size = spark.createDataFrame([("", "[]")], marks), None, 1
     while size:
-        level = checkpointed(folders.repartition(max(1, min(size // 128, MOST_TASKS))).mapInPandas(listed, "path string, folder boolean, size long, modified timestamp, ignores string"))
+        level = checkpointed(_dealt(folders, size, 128).mapInPandas(listed, "path string, folder boolean, size long, modified timestamp, ignores string"))
         folders, here = level.filter("folder").select("path", "ignores"), level.filter("not folder").select("path", "size", "modified")
         found = here if found is None else found.unionByName(here)
         size = folders.count()
@@ -176,8 +182,7 @@ def scan(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
     files that stay are read."""
     path = F.col("path")
     found = walk(spark, root, ignore).filter(P.supported(path) & ~P.is_vcs(path))
-    tasks = max(1, min(found.count() // 256, MOST_TASKS))
-    return contents(found.repartition(tasks), root).select("path", F.decode("content", "UTF-8").alias("content"), "size", "modified")
+    return contents(_dealt(found, found.count(), 256), root).select("path", F.decode("content", "UTF-8").alias("content"), "size", "modified")
 
 
 def write_tree(files: DataFrame, root: str) -> None:
