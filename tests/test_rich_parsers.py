@@ -283,3 +283,13 @@ def test_a_page_is_read_once_and_does_not_move(spark):
     found = markup.html_blocks(spark.createDataFrame([("a.html", page), ("b.html", None), ("c.html", "")], "path string, content string"))
     assert plan(found).count("MapInPandas") == 1 and "Exchange" not in plan(found)
     assert sorted((r["name"], r["line_start"], r["line_end"]) for r in found.collect() if r["name"] != "<element>") == [("<script>", 2, 3), ("<style>", 4, 4)]
+
+
+def test_parameters_of_typescript_cut_a_file_once_and_no_row_leaves_its_task(files, spark):
+    own = of(files, ".ts%")
+    assert exchanges(typescript.parameters(own)) == exchanges(typescript.functions(own)) == 0
+    assert plan(typescript.parameters(own)).count("MapInArrow") == 1
+    # Arrow batches are bounded by the session's settings, so that a worker holds few files
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    odd = spark.createDataFrame([("a.ts", "function f(a: Map<b, c> = {}, ...d?) { }\nconst g = (h\n"), ("b.ts", "function i(")], "path string, content string")
+    assert sorted((r["function"], r["pos"], r["param"], r["type"]) for r in typescript.parameters(odd).collect()) == [("f", 0, "a", "Map<b, c>"), ("f", 1, "...d", None)]

@@ -6,18 +6,18 @@ is a fill from behind within the brackets. Names with a capital are Public.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treequarry.operators import lexed
+from treequarry.operators.lexed import told
 
 NO_CALLS = "func if for switch select return go defer range case interface struct map chan type var const import package".split()
 #: A type that begins with one of these words has no name before it.
 TYPE_WORDS = "func map chan interface struct".split()
 #: A brace after one of these belongs to a type.
 TYPE_BRACES = ["interface", "struct"]
-#: The tokens that heads of functions are told by.
-HEADS = ["func", "package", "(", "{"]
 
 
 def parsed(files: DataFrame, *only: str) -> DataFrame:
@@ -29,41 +29,52 @@ def visibility(name: Column) -> Column:
     return F.when(name.rlike(r"^\p{Lu}"), "Public").otherwise("Private")
 
 
-def _is(text: str, kind: str = "word") -> Column:
-    return (F.col("kind") == kind) & (F.col("text") == text)
-
-
-def _heads(tokens: DataFrame) -> DataFrame:
-    """Declarations of functions: at, line_no, name, name_at, params, body (places as in `following`), receiver (offsets, or null), package."""
-    sign = F.col("kind") == "sign"
-    paren, brace = sign & (F.col("text") == "("), sign & (F.col("text") == "{")
-    body = brace & ~F.coalesce(F.col("before.text").isin(TYPE_BRACES), F.lit(False))
-    # what is no head, bracket or package is left out before rows move
-    marks = tokens.filter((F.col("level") == 0) & (_is("func") | _is("package") | paren | body)).repartition("path")
-    marks = marks.withColumn("package", F.min(F.when(_is("package"), F.struct("at", "after.text"))).over(Window.partitionBy("path"))["text"])
-    named = lexed.following(marks, paren=paren, body=body, next_func=_is("func"))
+def _made(run: lexed.Run) -> dict[str, list]:
+    """Declarations of functions, with places and offsets; in Go they stand outside of all brackets."""
+    c, top = run.columns, run.columns["level"] == 0
+    at, line_no, start, stop = (c[x] for x in ("at", "line_no", "start", "stop"))
+    before, after, word = run.beside(-1), run.beside(1), run.are(kind="word")
+    func, package, paren = (top & run.are(t, kind=k) for t, k in (("func", "word"), ("package", "word"), ("(", "sign")))
+    body = top & run.are("{", kind="sign") & ~told(run.are(*TYPE_BRACES), before)
+    next_paren, next_body, next_func = (run.following(x) for x in (paren, body, func))
     # the brackets after the first ones, which are a method's parameters
-    named = lexed.following(named, ["paren"], first=paren)
-    func = named.filter(_is("func") & F.col("body").isNotNull() & (F.col("next_func").isNull() | (F.col("next_func.at") > F.col("body.at")))).filter(F.col("before").isNull() | (F.col("before.line_no") < F.col("line_no")) | F.col("before.text").isin(";", "}"))
+    second = told(next_paren, next_paren, -1)
+    begins = (before < 0) | (told(line_no, before, 0) < line_no) | told(run.are(";", "}"), before)
+    whole = (next_body >= 0) & ((next_func < 0) | (told(at, next_func, 0) > told(at, next_body, 0)))
     # a method names its receiver in the first brackets; its name is the token after them
-    method = F.col("after.text") == "("
-    end = F.when(method, F.col("paren.partner"))
-    name = F.when(method, end["after"]).otherwise(F.col("after"))
-    params = F.when(method, F.col("first.paren")).otherwise(F.col("paren"))
-    heads = func.select("path", "package", "at", "line_no", name.alias("name"), params.alias("params"), "body", F.when(method, F.col("paren.stop")).alias("receiver_start"), end["start"].alias("receiver_stop"))
-    heads = heads.filter((F.col("name.kind") == "word") & F.col("params").isNotNull() & (F.col("params.at") < F.col("body.at")))
-    return heads.withColumn("name_at", F.col("name.at")).withColumn("name", F.col("name.text"))
+    method = told(run.are("("), after)
+    end = np.where(method, told(run.partner, next_paren, -1), -1)
+    name = np.where(method, told(after, end, -1), after)
+    params = np.where(method, second, next_paren)
+    heads = np.flatnonzero(func & whole & begins & told(word, name) & (params >= 0) & (told(at, params, 0) < told(at, next_body, 0))).tolist()
+    packages: dict[int, str | None] = {}
+    for n in np.flatnonzero(package).tolist():
+        packages.setdefault(int(run.file[n]), run.text(after[n]))
+    of = lambda values, n: int(values[n]) if n >= 0 else None
+    rows = [(n, int(name[n]), int(params[n]), int(next_body[n]), int(next_paren[n]) if method[n] else -1, int(end[n])) for n in heads]
+    out = {"n": heads, "package": [packages.get(int(run.file[n])) for n in heads], "line_no": [int(line_no[n]) for n in heads]}
+    out |= {"name": [run.text(r[1]) for r in rows], "name_at": [int(at[r[1]]) for r in rows], "opened": [int(at[r[2]]) for r in rows]}
+    out |= {"from": [of(stop, r[4]) for r in rows], "to": [of(start, r[5]) for r in rows], "result_from": [of(stop, run.partner[r[2]]) for r in rows], "result_to": [int(start[r[3]]) for r in rows]}
+    return out | {"body_start": [int(line_no[r[3]]) for r in rows], "body_end": [of(line_no, run.partner[r[3]]) for r in rows]}
+
+
+#: What is made of a declaration.
+HEAD = "package string, name string, line_no long, name_at long, opened long, body_start long, body_end long"
+
+
+def _heads(files: DataFrame, texts: bool = False) -> DataFrame:
+    """path and the columns of `HEAD` of each declaration of a function, with `texts` its receiver and returns too; no row leaves its task."""
+    spans = {"receiver": ("from", "to"), "returns": ("result_from", "result_to")} if texts else {}
+    return lexed.made(files, "go", _made, HEAD + "".join(f", {name} string" for name in spans), **spans)
 
 
-def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def functions(files: DataFrame) -> DataFrame:
     """path, name, receiver, returns, visibility, attributes, line_start, line_end, body_start, body_end.
 
     receiver and returns are as written, or null. Functions without a body give no row. Attributes: `entrypoint` of main in
     package main, of init and of tests; `test`; `init`.
     """
-    tokens = parsed(files, *HEADS) if tokens is None else tokens
-    heads = _heads(tokens).select("path", "package", "name", "line_no", "receiver_start", "receiver_stop", F.col("params.partner.stop").alias("returns_start"), F.col("body.start").alias("returns_stop"), F.col("body.line_no").alias("body_start"), F.col("body.partner.line_no").alias("body_end"))
-    found = lexed.sliced(heads, files, receiver=(F.col("receiver_start"), F.col("receiver_stop")), returns=(F.col("returns_start"), F.col("returns_stop")))
+    found = _heads(files, True)
     test, init = F.col("name").rlike("^(Test|Benchmark|Example)"), F.col("name") == "init"
     entry = test | init | ((F.col("name") == "main") & (F.coalesce("package", F.lit("")) == "main"))
     attributes = F.array_compact(F.array(F.when(entry, "entrypoint"), F.when(test, "test"), F.when(init, "init")))
@@ -72,8 +83,8 @@ def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, function, line_no (of the function), pos, param, type; unnamed parameters give no rows, receivers neither."""
-    heads, tokens = (parsed(files, *HEADS), parsed(files)) if tokens is None else (tokens, tokens)
-    heads = _heads(heads).select("path", F.col("params.at").alias("opened"), F.col("name").alias("function"), "line_no")
+    tokens = parsed(files) if tokens is None else tokens
+    heads = _heads(files).select("path", "opened", F.col("name").alias("function"), "line_no")
     # functions stand outside of all brackets, so their parameters are one level deep
     inner = tokens.filter((F.col("level") == 1) & (F.col("inside.text") == "(")).select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop", F.struct("partner.at").alias("partner")).join(heads.hint("merge"), ["path", "opened"])
     order = Window.partitionBy("path", "opened").orderBy("at")
@@ -123,8 +134,8 @@ def imports(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 def calls(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, caller (null outside of functions), callee, line_no: names and fields before brackets, conversions of plain types too."""
-    heads, tokens = (parsed(files, *HEADS), parsed(files, "word")) if tokens is None else (tokens, tokens)
-    heads = _heads(heads).select("path", "name_at", "name", "line_no", F.col("body.partner.line_no").alias("line_end"))
+    tokens = parsed(files, "word") if tokens is None else tokens
+    heads = _heads(files).select("path", "name_at", "name", "line_no", F.col("body_end").alias("line_end"))
     held = "struct<line_no: long, line_end: long, name: string>"
     method = (F.col("inside.text") == "{") & (F.col("inside.before.text") == "interface")
     found = tokens.filter((F.col("kind") == "word") & (F.col("after.text") == "(") & ~F.col("text").isin(NO_CALLS)).filter(~F.coalesce(F.col("before.text").isin("func", "]"), F.lit(False)) & ~F.coalesce(method, F.lit(False)))

@@ -15,9 +15,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+from treequarry.session import small_batches
 
 OPEN, CLOSE = ["(", "[", "{", "${"], [")", "]", "}"]
 WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
@@ -103,63 +106,127 @@ def _matched(brackets: list[int], opens: list[bool], files: list[int]) -> tuple[
     return [partners[n] for n in brackets], around, behind
 
 
-def _nested_batch(paths: pa.Array, counts: np.ndarray, pieces: pa.DictionaryArray, kinds: list[str], schema: pa.Schema, only: frozenset[str], opening: list[str], closing: list[str], top: bool) -> pa.RecordBatch:
-    """The tokens of whole files in the columns of `nested`: what a text says of itself is looked up once for each different one.
+class Run:
+    """The tokens of whole files without white space and comments, as arrays of one place a token: columns, places of others (-1: none), texts by code.
 
-    counts: the pieces of each file; kinds: of each different piece.
+    counts: the pieces of each file; kinds: of each different piece. What a text says of itself is looked up once for each different one.
     """
-    own, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-    of = lambda values, kind: np.array(values, dtype=kind)[codes] if own else np.empty(0, kind)
-    sums = lambda values: np.cumsum(values, dtype=np.int64)
-    file = np.repeat(np.arange(len(counts)), counts)
-    first_piece = (np.cumsum(counts) - counts)[file]
-
-    def running(values: np.ndarray) -> np.ndarray:
-        """The sum within a file up to each piece."""
-        total = np.append(0, sums(values))
-        return total[1:] - total[first_piece]
-
-    length, breaks = of([len(t) for t in own], np.int64), of([t.count("\n") for t in own], np.int64)
-    solid = np.flatnonzero(~of([k in BLANK for k in kinds], bool))
-    stop, end_line = running(length), 1 + running(breaks)
-    columns = {"at": np.arange(len(codes)) - first_piece, "line_no": end_line - breaks, "end_line": end_line, "start": stop - length, "stop": stop}
-    opens = of([k == "sign" and t in opening for k, t in zip(kinds, own, strict=True)], bool)
-    closes = of([k == "sign" and t in closing for k, t in zip(kinds, own, strict=True)], bool)
-    columns["level"] = running(opens.astype(np.int64) - closes) - opens
-    columns = {name: values[solid] for name, values in columns.items()} | {"opens": opens[solid], "closes": closes[solid]}
-    file, here = file[solid], np.arange(len(solid))
-    size = np.bincount(file, minlength=len(counts))
-    first = (np.cumsum(size) - size)[file]
-    last, level = first + size[file] - 1, columns["level"]
-    columns["nth"] = here - first + 1
-    # between two brackets the same one is around
-    brackets = np.flatnonzero(columns["opens"] | columns["closes"])
-    partners, around, behind = _matched(brackets.tolist(), columns["opens"][brackets].tolist(), file[brackets].tolist())
-    partner, inside = np.full(len(here), -1), np.full(len(here), -1)
-    partner[brackets] = partners
-    before = np.searchsorted(brackets, here) - 1
-    known = np.flatnonzero((before >= 0) & (file[brackets[before]] == file)) if len(brackets) else brackets
-    inside[known] = np.array(behind, dtype=np.int64)[before[known]] if len(brackets) else -1
-    inside[brackets] = around
-    inside[level <= 0] = -1
-    held, outside = np.flatnonzero(inside >= 0), np.flatnonzero((inside < 0) & (level == 0))
-    final_in, final_out = np.full(len(here), -1), np.full(len(counts), -1)
-    final_in[inside[held]], final_out[file[outside]] = held, outside
-    final = np.where(inside >= 0, final_in[inside], final_out[file]) if len(here) else inside
+
+    def __init__(self, counts: np.ndarray, pieces: pa.DictionaryArray, kinds: list[str], opening: list[str], closing: list[str]) -> None:
+        own, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        of = lambda values, kind: np.array(values, dtype=kind)[codes] if own else np.empty(0, kind)
+        sums = lambda values: np.cumsum(values, dtype=np.int64)
+        file = np.repeat(np.arange(len(counts)), counts)
+        first_piece = (np.cumsum(counts) - counts)[file]
+
+        def running(values: np.ndarray) -> np.ndarray:
+            """The sum within a file up to each piece."""
+            total = np.append(0, sums(values))
+            return total[1:] - total[first_piece]
+
+        length, breaks = of([len(t) for t in own], np.int64), of([t.count("\n") for t in own], np.int64)
+        solid = np.flatnonzero(~of([k in BLANK for k in kinds], bool))
+        stop, end_line = running(length), 1 + running(breaks)
+        columns = {"at": np.arange(len(codes)) - first_piece, "line_no": end_line - breaks, "end_line": end_line, "start": stop - length, "stop": stop}
+        opens = of([k == "sign" and t in opening for k, t in zip(kinds, own, strict=True)], bool)
+        closes = of([k == "sign" and t in closing for k, t in zip(kinds, own, strict=True)], bool)
+        columns["level"] = running(opens.astype(np.int64) - closes) - opens
+        columns = {name: values[solid] for name, values in columns.items()} | {"opens": opens[solid], "closes": closes[solid]}
+        file, here = file[solid], np.arange(len(solid))
+        size = np.bincount(file, minlength=len(counts))
+        first = (np.cumsum(size) - size)[file]
+        last, level = first + size[file] - 1, columns["level"]
+        columns["nth"] = here - first + 1
+        # between two brackets the same one is around
+        brackets = np.flatnonzero(columns["opens"] | columns["closes"])
+        partners, around, behind = _matched(brackets.tolist(), columns["opens"][brackets].tolist(), file[brackets].tolist())
+        partner, inside = np.full(len(here), -1), np.full(len(here), -1)
+        partner[brackets] = partners
+        before = np.searchsorted(brackets, here) - 1
+        known = np.flatnonzero((before >= 0) & (file[brackets[before]] == file)) if len(brackets) else brackets
+        inside[known] = np.array(behind, dtype=np.int64)[before[known]] if len(brackets) else -1
+        inside[brackets] = around
+        inside[level <= 0] = -1
+        held, outside = np.flatnonzero(inside >= 0), np.flatnonzero((inside < 0) & (level == 0))
+        final_in, final_out = np.full(len(here), -1), np.full(len(counts), -1)
+        final_in[inside[held]], final_out[file[outside]] = held, outside
+        self.columns, self.file, self.here, self.first, self.last = columns, file, here, first, last
+        self.partner, self.inside = partner, inside
+        self.final = np.where(inside >= 0, final_in[inside], final_out[file]) if len(here) else inside
+        self.texts, self.kinds, self.pieces, self.solid, self.codes = own, kinds, pieces, solid, codes[solid]
+        self._order: tuple[np.ndarray, np.ndarray] | None = None
+        self._place: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.here)
+
+    def beside(self, gap: int) -> np.ndarray:
+        """The places of the tokens so many further on, in the order of the file."""
+        other = self.here + gap
+        return np.where((other < self.first) | (other > self.last), -1, other)
+
+    def are(self, *texts: str, kind: str = "") -> np.ndarray:
+        """Whether a token has one of these texts, or any if none is given, and this kind."""
+        return np.array([(not texts or t in texts) and kind in ("", k) for k, t in zip(self.kinds, self.texts, strict=True)], dtype=bool)[self.codes]
+
+    def text(self, n: int) -> str | None:
+        return self.texts[self.codes[n]] if n >= 0 else None
+
+    def _grouped(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in an order that puts those with the same brackets around together, and the number of each one's group in that order."""
+        if self._order is None:
+            level = self.columns["level"]
+            order = np.lexsort((level, self.inside, self.file))
+            new = [np.diff(x[order]) != 0 for x in (level, self.inside, self.file)]
+            self._order = order, np.append(0, np.cumsum(new[0] | new[1] | new[2])) if len(order) else order
+        return self._order
+
+    def following(self, wanted: np.ndarray) -> np.ndarray:
+        """For each token the place of the first one wanted after it with the same brackets around."""
+        order, group = self._grouped()
+        n = len(order)
+        at = np.where(wanted[order], np.arange(n), n)
+        after = np.append(np.minimum.accumulate(at[::-1])[::-1][1:], n)[:n]
+        same = after < n
+        same[same] = group[after[same]] == group[same]
+        out = np.full(n, -1)
+        out[order[same]] = order[after[same]]
+        return out
+
+    def within(self, bracket: int) -> list[int]:
+        """The places of the tokens right inside of a bracket, in order."""
+        inner = bracket + 1
+        if inner > self.last[bracket] or self.inside[inner] != bracket:
+            return []
+        order, group = self._grouped()
+        if self._place is None:
+            self._place = np.argsort(order)
+        a = int(self._place[inner])
+        return order[a : np.searchsorted(group, group[a], "right")].tolist()
+
+
+def told(values: np.ndarray, places: np.ndarray, none: object = False) -> np.ndarray:
+    """The values at some places, and `none` where there is no place."""
+    return np.where(places >= 0, values[places], none) if len(values) else np.zeros(len(places), values.dtype)
+
+
+def _nested_batch(paths: pa.Array, contents: pa.Array, run: Run, schema: pa.Schema, only: frozenset[str], top: bool) -> pa.RecordBatch:
+    """The tokens of whole files in the columns of `nested`."""
+    here, first, last, level = run.here, run.first, run.last, run.columns["level"]
     index = lambda values: pa.array(values, mask=values < 0)
     places = {name: pa.array(here + gap, mask=(here + gap < first) | (here + gap > last)) for name, gap in PLACES.items()}
-    places |= {"partner": index(partner), "inside": index(inside), "final": index(final)}
+    places |= {"partner": index(run.partner), "inside": index(run.inside), "final": index(run.final)}
     places["before_partner"] = places["partner"].take(places["before"])
-    c = {name: pa.array(values) for name, values in columns.items()}
-    c["path"], c["partner_line"] = paths.take(pa.array(file)), c["line_no"].take(places["partner"])
-    each = pieces.indices.take(pa.array(solid))
-    c["text"], c["kind"] = pieces.dictionary.take(each), pa.array(kinds, pa.string()).take(each)
+    c = {name: pa.array(values) for name, values in run.columns.items()}
+    c["path"], c["partner_line"] = paths.take(pa.array(run.file)), c["line_no"].take(places["partner"])
+    each = run.pieces.indices.take(pa.array(run.solid))
+    c["text"], c["kind"] = run.pieces.dictionary.take(each), pa.array(run.kinds, pa.string()).take(each)
 
     def told(kind: pa.StructType, of: pa.Array) -> pa.Array:
         parts = [told(f.type, places[f.name].take(of)) if pa.types.is_struct(f.type) else c[f.name].take(of) for f in kind]
         return pa.StructArray.from_arrays(parts, fields=list(kind), mask=of.is_null())
 
-    wanted = np.full(len(here), True) if not only else np.array([k in only or t in only for k, t in zip(kinds, own, strict=True)], dtype=bool)[codes[solid]]
+    wanted = np.full(len(here), True) if not only else np.array([k in only or t in only for k, t in zip(run.kinds, run.texts, strict=True)], dtype=bool)[run.codes]
     kept = pa.array(np.flatnonzero(wanted & (level == 0) if top else wanted))
     return pa.RecordBatch.from_arrays([told(f.type, places[f.name].take(kept)) if f.name in places else c[f.name].take(kept) for f in schema], schema=schema)
 
@@ -176,29 +243,58 @@ def _coded(sources: list[str], paths: list[str]) -> tuple[pa.DictionaryArray, li
     return pa.DictionaryArray.from_arrays(pa.array(indices), pa.array([t for _, t in seen], pa.string())), [k for k, _ in seen], counts
 
 
-def _nested(language: str, *how: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow: of (path, content) in TypeScript, else of (path, pieces). A batch goes on in runs of whole files."""
+def _runs(language: str, opening: list[str], closing: list[str], make: Callable[[pa.Array, pa.Array, Run], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: of (path, content) in TypeScript, else of (path, content or null, pieces). A batch goes on in runs of whole files."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(batch.num_columns - 1)
             # a token of TypeScript has about three characters
-            sizes = np.array([len(x) // 3 for x in lists.to_pylist()] if language == "typescript" else lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            sizes = np.array(pc.binary_length(lists).to_numpy(zero_copy_only=False) // 3 if language == "typescript" else lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
             run = (np.cumsum(sizes) - sizes) // HELD
             edges = np.flatnonzero(np.diff(run)) + 1
             for a, b in zip([0, *edges], [*edges, len(sizes)], strict=True):
-                paths, own = batch.column(0).slice(a, b - a), lists.slice(a, b - a)
+                paths, contents, own = (x.slice(a, b - a) for x in (batch.column(0), batch.column(1), lists))
                 if language == "typescript":
                     pieces, kinds, counts = _coded(own.to_pylist(), paths.to_pylist())
                 else:
                     pieces, counts = own.flatten().dictionary_encode(), sizes[a:b]
                     kinds = [_kind(text) for text in pieces.dictionary.to_pylist()]
                 if len(pieces):
-                    yield _nested_batch(paths, np.array(counts, dtype=np.int64), pieces, kinds, *how)
+                    yield make(paths, contents, Run(np.array(counts, dtype=np.int64), pieces, kinds, opening, closing))
 
     return of
 
 
+def _pieces(files: DataFrame, language: str, with_content: bool = False) -> DataFrame:
+    """path, content, and its pieces for languages that the JVM cuts; the content is null where it is not asked for."""
+    small_batches(files.sparkSession)
+    own = files.filter("content is not null")
+    if language == "typescript":
+        return own.select("path", "content")
+    content = F.col("content") if with_content else F.lit(None).cast("string").alias("content")
+    return own.select("path", content, F.regexp_extract_all("content", F.lit(PATTERNS[language]), 0).alias("pieces"))
+
+
+def made(files: DataFrame, language: str, make: Callable[[Run], dict[str, list]], schema: str, **spans: tuple[str, str]) -> DataFrame:
+    """Rows that a function makes of the tokens of some whole files, in the task that reads them: columns of the schema, with `n`, a token of
+    the row's file, which gives the path. spans: columns that hold the text between two offsets, which are columns that are made, without white space around; null where an offset is."""
+    out = files.sparkSession.createDataFrame([], f"path string, {schema}").schema
+    arrow = to_arrow_schema(out)
+
+    def of(paths: pa.Array, contents: pa.Array, run: Run) -> pa.RecordBatch:
+        found = make(run)
+        file = [int(run.file[n]) for n in found["n"]]
+        # a file's text is made once, not for each of its rows
+        texts = {x: contents[x].as_py() for x in set(file)} if spans else {}
+        for name, (a, b) in spans.items():
+            found[name] = [texts[x][p:q].strip(" \t\r\n") if p is not None and q is not None else None for x, p, q in zip(file, found[a], found[b], strict=True)]
+        columns = [paths.take(pa.array(file, pa.int64())), *(pa.array(found[f.name], f.type) for f in arrow if f.name != "path")]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return _pieces(files, language, bool(spans)).mapInArrow(_runs(language, OPEN, CLOSE, of), out)
+
+
 def _pruned(fields: Iterable[pa.Field], leaves: list[str], above: str = "") -> list[pa.Field]:
     """Fields of which only the leaves named stay, and the structs around them."""
     cut = [pa.field(f.name, pa.struct(_pruned(f.type, leaves, f"{above}{f.name}."))) if pa.types.is_struct(f.type) else f for f in fields]
@@ -213,10 +309,10 @@ def nested(files: DataFrame, language: str, without: Sequence[str] = (), only: I
 (end of the last token with the same bracket around). See `NESTED`, of which the columns `without` are left out, or all but
     the `leaves` (`text before.text`): what windows and shuffles carry along; and of the rows all but those whose kind or text is among `only`, if that is given, and with `top` those in brackets; places of files are as in `tokens`.
     """
-    own = files.filter("content is not null")
-    cut = F.col("content") if language == "typescript" else F.regexp_extract_all("content", F.lit(PATTERNS[language]), 0)
     schema = pa.schema(_pruned(NESTED, leaves.split()) if leaves else [f for f in NESTED if f.name not in without])
-    return own.select("path", cut.alias("pieces")).mapInArrow(_nested(language, schema, frozenset(only), opening, closing, top), from_arrow_schema(schema))
+    wanted = frozenset(only)
+    make = lambda paths, contents, run: _nested_batch(paths, contents, run, schema, wanted, top)
+    return _pieces(files, language).mapInArrow(_runs(language, opening, closing, make), from_arrow_schema(schema))
 
 
 def following(rows: DataFrame, tell: Sequence[str] = FOUND, **wanted: Column) -> DataFrame:
@@ -247,6 +343,7 @@ def sliced(rows: DataFrame, files: DataFrame, **spans: tuple[Column, Column]) ->
 
     A file meets all its rows at once, so that its text is copied and read once, however many they are. Texts are never broadcast.
     """
+    small_batches(files.sparkSession)
     offset = lambda x: F.coalesce(x.cast("long"), F.lit(-1))
     pairs = F.array(*(offset(x) for span in spans.values() for x in span))
     packed = rows.groupBy("path").agg(F.collect_list(F.struct(F.struct(*rows.columns).alias("row"), pairs.alias("pairs"))).alias("all"))

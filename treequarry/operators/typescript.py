@@ -6,82 +6,86 @@ what can end a statement. All functions are Public. In .tsx files those with a c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treequarry.operators import lexed
+from treequarry.operators.lexed import told
 
 #: A brace after one of these begins a type or a value, not a body.
 BEFORE_TYPE = [":", "|", "&", ",", "<", "=>", "=", "extends", "is", "keyof", "readonly"]
 #: After one of these a new line goes on with the statement.
 GOES_ON = ["=", "(", "[", ",", ":", "?", "+", "-", "*", "/", "%", "&&", "||", "??", "=>", ".", "?.", "<", ">", "<=", "==", "===", "!=", "!==", "!", "&", "|", "^", "~", "...", "return", "typeof", "await", "new", "extends", "in", "of"]
-#: The tokens that heads of functions are told by.
-HEADS = ["word", "(", "{", "=>", ";", "="]
-#: What is asked of the tokens of heads, parameters and markup.
-OF_HEADS = "path at text kind line_no start stop level before.text before.line_no before.end_line before.stop after.text after.kind after.at ahead2.text ahead2.kind ahead2.at inside.at inside.text partner.at partner.line_no partner.start partner.stop partner.after.text final.end_line final.stop"
-OF_PARAMETERS = "path at text kind start stop inside.at inside.text"
+#: What is asked of the tokens of markup.
 OF_MARKUP = "path text kind line_no"
 ENTRYPOINTS = ["App", "Main", "Page"]
 
 
 def parsed(files: DataFrame, *only: str, leaves: str = "") -> DataFrame:
-    """The tokens of TypeScript files, nested, or only those of some kinds or texts; everything else here takes this."""
+    """The tokens of TypeScript files, nested, or only those of some kinds or texts."""
     return lexed.nested(files, "typescript", ["earlier", "ahead3", "ahead4", "before_partner"], only, leaves=leaves)
 
 
-def _starts() -> Column:
+def _starts(run: lexed.Run) -> np.ndarray:
     """Whether a token can begin a statement; in round and square brackets nothing does."""
-    before, word = F.col("before"), F.col("kind") == "word"
-    fresh = before.isNull() | before["text"].isin(";", "{", "}") | before["text"].isin("export", "default") | ((before["line_no"] < F.col("line_no")) & ~before["text"].isin(GOES_ON))
-    return word & F.coalesce(fresh, F.lit(True)) & (F.col("inside").isNull() | F.col("inside.text").isin("{", "${"))
-
-
-def _heads(tokens: DataFrame) -> DataFrame:
-    """path, name, params, result_start, result_stop, line_start, line_end, from (offsets of the whole), to, arrow."""
-    sign = F.col("kind") == "sign"
-    is_ = lambda text: sign & (F.col("text") == text)
-    typed = F.coalesce(F.col("before.text").isin(BEFORE_TYPE), F.lit(False))
-    # what neither begins a statement nor is one of these signs is left out before rows move
-    marks = tokens.withColumn("starts", F.coalesce(_starts(), F.lit(False))).filter(F.col("starts") | (sign & F.col("text").isin("(", "{", "=>", ";", "="))).repartition("path")
-    rows = lexed.following(marks, paren=is_("("), body=is_("{") & ~typed, brace=is_("{"), semicolon=is_(";"))
-    rows = lexed.following(rows, ["at", "before"], next_start=F.col("starts") | is_(";"))
-    rows = lexed.following(rows, ["at", "start", "after", "brace"], arrow=is_("=>"))
-    rows = lexed.following(rows, ["at", "paren", "arrow", "after", "ahead2"], equals=is_("="))
-    a1, a2 = F.col("after"), F.col("ahead2")
-    first_of = lambda place: place.isNotNull() & (F.col("next_start").isNull() | (place["at"] < F.col("next_start.at")))
-    result = [F.col("params.partner.stop").alias("result_start"), "result_stop", "line_start", "line_end", "from", "to", "arrow"]
+    before, line_no = run.beside(-1), run.columns["line_no"]
+    fresh = (before < 0) | told(run.are(";", "{", "}", "export", "default"), before) | ((told(line_no, before, 0) < line_no) & ~told(run.are(*GOES_ON), before))
+    return run.are(kind="word") & fresh & told(run.are("{", "${"), run.inside, True)
+
+
+def _heads(run: lexed.Run) -> dict[str, list]:
+    """Declarations and arrow functions: places n and params, name, line_start, line_end, and offsets: of the result, and of the whole."""
+    c = run.columns
+    line_no, end_line, start, stop = (c[x] for x in ("line_no", "end_line", "start", "stop"))
+    before, a1, a2 = run.beside(-1), run.beside(1), run.beside(2)
+    word, starts = run.are(kind="word"), _starts(run)
+    sign = lambda text: run.are(text, kind="sign")
+    typed = told(run.are(*BEFORE_TYPE), before)
+    paren, body, brace, semicolon = (run.following(x) for x in (sign("("), sign("{") & ~typed, sign("{"), sign(";")))
+    next_start, arrow, equals = run.following(starts | sign(";")), run.following(sign("=>")), run.following(sign("="))
+    first_of = lambda place: (place >= 0) & ((next_start < 0) | (place < next_start))
     # function declarations; `async` begins the statement, and the word after it would begin none
-    is_async = F.col("text") == "async"
-    name = F.when(is_async, a2).otherwise(a1)
-    declared = F.when(is_async, a1["text"] == "function").otherwise(F.col("text") == "function")
-    plain = F.col("starts") & declared & (name["kind"] == "word") & first_of(F.col("body")) & first_of(F.col("paren"))
+    is_async = run.are("async")
+    name = np.where(is_async, a2, a1)
+    declared = np.where(is_async, told(run.are("function"), a1), run.are("function"))
+    plain = starts & declared & told(word, name) & first_of(body) & first_of(paren)
     # const name = async? <T>? ( ... ) : type => : the arrow comes after the brackets, with nothing but a type between
-    paren, arrow, b1, b2 = F.col("equals.paren"), F.col("equals.arrow"), F.col("equals.after"), F.col("equals.ahead2")
+    own_paren, own_arrow, b1, b2 = (told(x, equals, -1) for x in (paren, arrow, a1, a2))
     # what stands right after `=` must be the brackets, but for `async` and type parameters
-    opened = F.when(b1["text"] == "async", b2).otherwise(b1)
-    valued = ((opened["text"] == "<") | ((opened["text"] == "(") & (opened["at"] == paren["at"]))) & (paren["partner"]["at"] < arrow["at"]) & paren["partner"]["after"]["text"].isin("=>", ":")
-    arrows = F.col("starts") & F.col("text").isin("const", "let") & (a1["kind"] == "word") & first_of(F.col("equals")) & valued & F.col("final").isNotNull()
+    opened = np.where(told(is_async, b1), b2, b1)
+    closed = told(run.partner, own_paren, -1)
+    valued = (told(run.are("<"), opened) | (told(run.are("("), opened) & (opened == own_paren))) & (closed >= 0) & (closed < own_arrow) & told(run.are("=>", ":"), told(a1, closed, -1))
+    arrows = ~plain & starts & run.are("const", "let") & told(word, a1) & first_of(equals) & valued & (run.final >= 0)
     # the whole ends with the brace that closes its body, or with the last token of its statement; without a later
     # statement beside it, the statement ends where its surroundings or the file end
-    ended = F.col("semicolon").isNotNull() & (F.col("semicolon.at") == F.col("next_start.at"))
-    braced, own_body = arrow["after"]["text"] == "{", arrow["brace"]["partner"]
-    semicolon = F.when(ended, F.col("semicolon.line_no"))
-    line_end = F.when(braced, F.coalesce(semicolon, own_body["line_no"])).otherwise(F.coalesce(semicolon, "next_start.before.end_line", "final.end_line"))
-    to = F.when(braced, own_body["stop"]).otherwise(F.coalesce("next_start.before.stop", "final.stop"))
-    of_plain = F.struct(name["text"].alias("name"), F.col("paren").alias("params"), F.col("body.start").alias("result_stop"), F.col("body.partner.line_no").alias("line_end"), F.col("body.partner.stop").alias("to"), F.lit(False).alias("arrow"))
-    of_arrow = F.struct(a1["text"].alias("name"), paren.alias("params"), arrow["start"].alias("result_stop"), line_end.alias("line_end"), to.alias("to"), F.lit(True).alias("arrow"))
-    found = rows.select("path", F.col("line_no").alias("line_start"), F.col("start").alias("from"), F.when(plain, of_plain).when(arrows, of_arrow).alias("head")).filter("head is not null")
-    return found.select("path", "line_start", "from", "head.*").select("path", "name", "params", *result)
-
-
-def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    last = told(before, next_start, -1)
+    last = np.where(last >= 0, last, run.final)
+    braced = told(run.are("{"), told(a1, own_arrow, -1))
+    own_body = told(run.partner, told(brace, own_arrow, -1), -1)
+    ended = (semicolon >= 0) & (semicolon == next_start)
+    of = lambda values, n: int(values[n]) if n >= 0 else None
+    rows = []
+    for n in np.flatnonzero(plain | arrows).tolist():
+        if plain[n]:
+            params, till, end, named = int(paren[n]), int(body[n]), int(run.partner[body[n]]), int(name[n])
+            line_end = of(line_no, end)
+        else:
+            params, till, end, named = int(own_paren[n]), int(own_arrow[n]), int(own_body[n] if braced[n] else last[n]), int(a1[n])
+            line_end = int(line_no[semicolon[n]]) if ended[n] else of(line_no if braced[n] else end_line, end)
+        rows.append((n, params, run.text(named), of(stop, run.partner[params]), int(start[till]), int(line_no[n]), line_end, int(start[n]), of(stop, end), bool(arrows[n])))
+    columns = ("n", "params", "name", "result_from", "result_to", "line_start", "line_end", "from", "to", "arrow")
+    return {name: [r[k] for r in rows] for k, name in enumerate(columns)}
+
+
+def functions(files: DataFrame) -> DataFrame:
     """path, name, returns (null without), is_async, arrow, attributes, line_start, line_end.
 
     Declarations with a body, and const or let with a name and an arrow function with brackets for a value. `is_async` says that
     the word stands in the text of the whole. Attributes, in .tsx files only: `component`, and `entrypoint` of App, Main and Page.
+    No row leaves its task.
     """
-    tokens = parsed(files, *HEADS, leaves=OF_HEADS) if tokens is None else tokens
-    found = lexed.sliced(_heads(tokens).drop("params"), files, result=(F.col("result_start"), F.col("result_stop")), whole=(F.col("from"), F.col("to")))
+    found = lexed.made(files, "typescript", _heads, "name string, arrow boolean, line_start long, line_end long, result string, whole string", result=("result_from", "result_to"), whole=("from", "to"))
     component = F.col("path").endswith(".tsx") & F.col("name").rlike(r"^\p{Lu}")
     attributes = F.array_compact(F.array(F.when(component, "component"), F.when(component & F.col("name").isin(ENTRYPOINTS), "entrypoint")))
     returns = F.nullif(F.btrim(F.regexp_replace("result", "^:+", "")), F.lit(""))
@@ -89,28 +93,45 @@ def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     return found.select("path", "name", returns.alias("returns"), is_async.alias("is_async"), "arrow", attributes.alias("attributes"), "line_start", "line_end")
 
 
-def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def _fields(run: lexed.Run) -> dict[str, list]:
+    """The parts between commas of each function's parameters, with offsets of the pattern and of the type; angle brackets of types hold commas back."""
+    start, stop = run.columns["start"], run.columns["stop"]
+    heads, sign = _heads(run), run.are(kind="sign")
+    out: dict[str, list] = {name: [] for name in ("n", "function", "line_no", "pos", "from", "to", "type_from", "type_to")}
+    for n, params, function, line_no in zip(heads["n"], heads["params"], heads["name"], heads["line_start"], strict=True):
+        parts: dict[int, dict] = {}
+        angle = field = 0
+        for at in run.within(params):
+            text = run.text(at) if sign[at] else ""
+            angle += (text == "<") - (text == ">")
+            if text == "," and angle == 0:
+                field += 1
+                continue
+            part = parts.setdefault(field, {"from": int(start[at])})
+            part["to"] = int(stop[at])
+            if angle == 0 and text in (":", "=", "?"):
+                part.setdefault(text, at)
+        for pos, part in parts.items():
+            colon, equals, optional = (part.get(x) for x in (":", "=", "?"))
+            if colon is not None and equals is not None and colon > equals:
+                colon = None
+            if optional is not None and colon is not None and optional > colon:
+                optional = None
+            ends = [int(start[x]) for x in (optional, colon, equals) if x is not None]
+            row = (n, function, line_no, pos, part["from"], min(ends, default=part["to"]))
+            row += (None, None) if colon is None else (int(stop[colon]), part["to"] if equals is None else int(start[equals]))
+            for name, value in zip(out, row, strict=True):
+                out[name].append(value)
+    return out
+
+
+def parameters(files: DataFrame) -> DataFrame:
     """path, function, line_no (of the function), pos, param (its pattern as written, `...` too), type (null without).
 
-    Commas in angle brackets of types part nothing; a default value belongs to neither.
+    Commas in angle brackets of types part nothing; a default value belongs to neither. A file is cut once, and no row leaves its task.
     """
-    heads, tokens = (parsed(files, *HEADS, leaves=OF_HEADS), parsed(files, leaves=OF_PARAMETERS)) if tokens is None else (tokens, tokens)
-    heads = _heads(heads).select("path", F.col("params.at").alias("opened"), F.col("name").alias("function"), F.col("line_start").alias("line_no"))
-    inner = tokens.filter(F.col("inside.text") == "(").select("path", F.col("inside.at").alias("opened"), "at", "text", "kind", "start", "stop").join(heads.hint("merge"), ["path", "opened"])
-    order = Window.partitionBy("path", "opened").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    sign = F.col("kind") == "sign"
-    angle = F.sum(F.when(sign & (F.col("text") == "<"), 1).when(sign & (F.col("text") == ">"), -1).otherwise(0)).over(order)
-    inner = inner.withColumn("angle", angle)
-    comma = sign & (F.col("text") == ",") & (F.col("angle") == 0)
-    inner = inner.withColumn("field", F.sum(comma.cast("int")).over(order)).filter(~comma)
-    at_first = lambda text: F.min(F.when(sign & (F.col("text") == text) & (F.col("angle") == 0), F.struct("at", "start", "stop")))
-    fields = inner.groupBy("path", "opened", "function", "line_no", "field").agg(F.min("start").alias("from"), F.max("stop").alias("to"), at_first(":").alias("colon"), at_first("=").alias("equals"), at_first("?").alias("optional"))
-    stop = F.coalesce("equals.start", "to")
-    colon = F.when(F.col("colon.at") < F.coalesce("equals.at", F.col("colon.at") + 1), F.col("colon"))
-    mark = F.when(F.col("optional.start") < F.coalesce(colon["start"], F.col("to") + 1), F.col("optional.start"))
-    fields = fields.select("path", "function", "line_no", "field", "from", F.coalesce(F.least(mark, colon["start"], F.col("equals.start")), "to").alias("to"), colon["stop"].alias("type_from"), F.when(colon.isNotNull(), stop).alias("type_to"))
-    found = lexed.sliced(fields, files, param=(F.col("from"), F.col("to")), type=(F.col("type_from"), F.col("type_to")))
-    return found.select("path", "function", "line_no", F.col("field").cast("long").alias("pos"), "param", F.nullif("type", F.lit("")).alias("type"))
+    found = lexed.made(files, "typescript", _fields, "function string, line_no long, pos long, param string, type string", param=("from", "to"), type=("type_from", "type_to"))
+    return found.withColumn("type", F.nullif("type", F.lit("")))
 
 
 def markup(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treequarry.operators import intervals, lexed
 from treequarry.operators.graph import checkpointed
+from treequarry.operators.lexed import told
 
 #: Kinds of containers by their words; a word before them may say how they are laid out.
 CONTAINERS = {"struct": "Struct", "enum": "Enum", "union": "Class"}
 LAYOUTS = ["extern", "packed"]
 MODIFIERS = ["pub", "export", "extern", "inline", "noinline", "async"]
-#: What is asked of the tokens of functions, types, imports and calls.
-OF_FUNCTIONS = "path at text kind line_no level nth before.text after.text after.kind inside.at partner.line_no"
+#: What is asked of the tokens of types, imports and calls.
 OF_TYPES = "path at text kind line_no level nth before.text after.text after.kind ahead2.text ahead3.text ahead4.text inside.at"
 OF_IMPORTS = "path text kind inside.text inside.before.text inside.before.line_no"
 OF_CALLS = "path at text kind line_no before.text after.text"
@@ -45,24 +46,37 @@ def _begun(tokens: DataFrame, wanted: Column) -> DataFrame:
     return rows.withColumn("begun", begun).drop("first", "_from", "_line", "_pub", "_async")
 
 
-def functions(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def _made(run: lexed.Run) -> dict[str, list]:
+    """Functions, prototypes and tests. Modifiers before one begin it: a run of them right before."""
+    c = run.columns
+    before, after = run.beside(-1), run.beside(1)
+    words, strings = run.are(kind="word"), run.are(kind="string")
+    modifier = words & run.are(*MODIFIERS) | strings & (run.are(*MODIFIERS) | told(run.are("extern"), before))
+    first = np.maximum.accumulate(np.where(told(modifier, before), -1, run.here))
+    since = lambda mark: np.maximum.accumulate(np.where(mark, run.here, -1)) >= first
+    operand = told(run.are("error", "struct", "enum", "union", "opaque"), before)
+    body, halt = run.following(run.are("{", kind="sign") & ~operand), run.following(run.are(";", kind="sign"))
+    body_first = (body >= 0) & ((halt < 0) | (body < halt))
+    ends = np.where(body_first, told(run.partner, body, -1), halt)
+    is_fn = words & run.are("fn") & told(words, after)
+    is_test = words & run.are("test") & (c["level"] == 0) & told(strings, after) & body_first
+    is_pub, is_async = since(modifier & run.are("pub")), since(modifier & run.are("async"))
+    found = np.flatnonzero(is_fn | is_test).tolist()
+    out = {"n": found, "told": [run.text(after[n]) for n in found], "is_fn": is_fn[found].tolist(), "is_pub": is_pub[found].tolist(), "begun_async": is_async[found].tolist()}
+    return out | {"line_start": c["line_no"][first[found]].tolist(), "line_end": [int(c["line_no"][ends[n]]) if ends[n] >= 0 else None for n in found]}
+
+
+def functions(files: DataFrame) -> DataFrame:
     """path, name, visibility, is_async, attributes, line_start, line_end: functions at any depth, and tests with a string for a name.
 
-    A function begins with its modifiers and ends with its body, or the `;` of a prototype. A test is named `test "name"`.
+    A function begins with its modifiers and ends with its body, or the `;` of a prototype. A test is named `test "name"`. No row leaves its task.
     """
-    tokens = parsed(files, "fn", "test", "{", ";", "string", *MODIFIERS, leaves=OF_FUNCTIONS) if tokens is None else tokens
-    sign = F.col("kind") == "sign"
-    operand = F.coalesce(F.col("before.text").isin("error", "struct", "enum", "union", "opaque"), F.lit(False))
-    body, halt = sign & (F.col("text") == "{") & ~operand, sign & (F.col("text") == ";")
-    rows = lexed.following(_begun(tokens, _word("fn") | _word("test") | body | halt), ["at", "line_no", "partner"], body=body, halt=halt)
-    body_first = F.col("body").isNotNull() & (F.col("halt").isNull() | (F.col("body.at") < F.col("halt.at")))
-    line_end = F.when(body_first, F.col("body.partner.line_no")).otherwise(F.col("halt.line_no"))
-    is_fn, is_test = _word("fn") & (F.col("after.kind") == "word"), _word("test") & (F.col("level") == 0) & (F.col("after.kind") == "string") & body_first
-    # both in one pass: a union would parse every file for each
-    attributes = F.array_compact(F.array(F.when(~is_fn, "test"), F.when(~is_fn | (F.col("after.text") == "main"), "entrypoint")))
-    name = F.concat(F.when(is_fn, "").otherwise("test "), "after.text")
-    visibility = F.when(is_fn & F.col("begun.is_pub"), "Public").otherwise("Private")
-    return rows.filter(is_fn | is_test).select("path", name.alias("name"), visibility.alias("visibility"), (is_fn & F.col("begun.is_async")).alias("is_async"), attributes.alias("attributes"), F.col("begun.line_no").alias("line_start"), line_end.alias("line_end"))
+    rows = lexed.made(files, "zig", _made, "told string, is_fn boolean, is_pub boolean, begun_async boolean, line_start long, line_end long")
+    is_fn = F.col("is_fn")
+    attributes = F.array_compact(F.array(F.when(~is_fn, "test"), F.when(~is_fn | (F.col("told") == "main"), "entrypoint")))
+    name = F.concat(F.when(is_fn, "").otherwise("test "), "told")
+    visibility = F.when(is_fn & F.col("is_pub"), "Public").otherwise("Private")
+    return rows.select("path", name.alias("name"), visibility.alias("visibility"), (is_fn & F.col("begun_async")).alias("is_async"), attributes.alias("attributes"), "line_start", "line_end")
 
 
 def types(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -87,7 +101,7 @@ def imports(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 def calls(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, caller (the innermost function or test around, null outside of all), callee, line_no; fields and builtins are no calls."""
     # what is held is asked for twice: written once, files are parsed for it once
-    held = checkpointed(functions(files, tokens).select("path", "name", "line_start", "line_end"))
+    held = checkpointed(functions(files).select("path", "name", "line_start", "line_end"))
     tokens = parsed(files, "word", leaves=OF_CALLS) if tokens is None else tokens
     found = tokens.filter((F.col("kind") == "word") & (F.col("after.text") == "(") & ~F.col("text").isin(NO_CALLS) & ~F.col("text").startswith("@")).filter(~F.coalesce(F.col("before.text").isin(".", "fn"), F.lit(False)))
     found = found.select("path", "at", F.col("text").alias("callee"), "line_no")
