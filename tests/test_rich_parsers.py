@@ -293,3 +293,15 @@ def test_parameters_of_typescript_cut_a_file_once_and_no_row_leaves_its_task(fil
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
     odd = spark.createDataFrame([("a.ts", "function f(a: Map<b, c> = {}, ...d?) { }\nconst g = (h\n"), ("b.ts", "function i(")], "path string, content string")
     assert sorted((r["function"], r["pos"], r["param"], r["type"]) for r in typescript.parameters(odd).collect()) == [("f", 0, "a", "Map<b, c>"), ("f", 1, "...d", None)]
+
+
+def test_symbols_of_go_and_zig_cut_a_file_once_and_no_row_leaves_its_task(files):
+    columns = ["path", "name", "kind", "visibility", "line_start", "line_end"]
+    for end, parser in ((".go", golang), (".zig", zig)):
+        own = of(files, end)
+        apart = parser.functions(own).selectExpr("path", "name", "'Function' AS kind", "visibility", "line_start", "line_end").unionByName(parser.types(own).select(*columns))
+        found = parser.symbols(own)
+        assert exchanges(found) == 0 and plan(found).count("MapInArrow") == 1
+        assert sorted(map(tuple, found.select(*columns).collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+    # one for Go and one for Zig, two for TypeScript, one for style sheets
+    assert plan(analysis.symbols(files)).count("MapInArrow") == 5

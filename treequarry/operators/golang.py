@@ -104,20 +104,40 @@ def parameters(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     return typed.select("path", "function", "line_no", F.col("field").cast("long").alias("pos"), "param", F.first("own_type", True).over(behind).alias("type"))
 
 
-def types(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """path, name, kind (Struct or Interface), visibility, line_start, line_end; types of one group have the group's lines."""
-    tokens = parsed(files, *TYPE_BRACES) if tokens is None else tokens
+def _types(run: lexed.Run) -> dict[str, list]:
+    line_no, words = run.columns["line_no"], run.are(kind="word")
+    before, after, earlier = run.beside(-1), run.beside(1), run.beside(-2)
     # parameters of a type stand between its name and its body; then what is before the body is their bracket
-    generic = (F.col("before.text") == "]") & (F.col("before.kind") == "sign")
-    name = F.when(generic, F.col("before_partner.before")).otherwise(F.col("before"))
-    before = F.when(generic, F.col("before_partner.earlier")).otherwise(F.col("earlier"))
-    word = (F.col("kind") == "word") & F.col("text").isin(TYPE_BRACES) & (F.col("after.text") == "{")
-    found = tokens.filter(word).withColumn("name", name).withColumn("before", before).filter("name.kind = 'word'")
-    alone, grouped = F.col("before.text") == "type", (F.col("inside.text") == "(") & (F.col("inside.before.text") == "type")
-    found = found.filter(alone | grouped)
-    line_start = F.when(alone, F.col("before.line_no")).otherwise(F.col("inside.before.line_no"))
-    line_end = F.coalesce(F.when(~F.coalesce(alone, F.lit(False)), F.col("inside.partner_line")), "after.partner_line")
-    return found.select("path", F.col("name.text").alias("name"), F.initcap("text").alias("kind"), visibility(F.col("name.text")).alias("visibility"), line_start.alias("line_start"), line_end.alias("line_end"))
+    generic = told(run.are("]", kind="sign"), before)
+    bracket = told(run.partner, before, -1)
+    name, word = (np.where(generic, told(x, bracket, -1), y) for x, y in ((before, before), (earlier, earlier)))
+    around = told(before, run.inside, -1)
+    is_type = run.are("type")
+    alone, grouped = told(is_type, word), told(run.are("("), run.inside) & told(is_type, around)
+    found = np.flatnonzero(words & run.are(*TYPE_BRACES) & told(run.are("{"), after) & told(words, name) & (alone | grouped)).tolist()
+    closed = np.where(alone, -1, told(run.partner, run.inside, -1))
+    closed = np.where(closed >= 0, closed, told(run.partner, after, -1))
+    out = {"n": found, "name": [run.text(name[n]) for n in found], "kind": [run.text(n).capitalize() for n in found]}
+    return out | {"line_start": [int(line_no[(word if alone[n] else around)[n]]) for n in found], "line_end": [int(line_no[closed[n]]) if closed[n] >= 0 else None for n in found]}
+
+
+def _symbols(run: lexed.Run) -> dict[str, list]:
+    heads, types = _made(run), _types(run)
+    both = {"n": heads["n"], "name": heads["name"], "kind": ["Function"] * len(heads["n"]), "line_start": heads["line_no"], "line_end": heads["body_end"]}
+    return {name: both[name] + types[name] for name in both}
+
+
+SYMBOLS = "name string, kind string, line_start long, line_end long"
+
+
+def types(files: DataFrame) -> DataFrame:
+    """path, name, kind (Struct or Interface), visibility, line_start, line_end; types of one group have the group's lines."""
+    return lexed.made(files, "go", _types, SYMBOLS).select("path", "name", "kind", visibility(F.col("name")).alias("visibility"), "line_start", "line_end")
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """The columns of `types`, of functions and types alike: a file is cut once for both."""
+    return lexed.made(files, "go", _symbols, SYMBOLS).select("path", "name", "kind", visibility(F.col("name")).alias("visibility"), "line_start", "line_end")
 
 
 def imports(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:

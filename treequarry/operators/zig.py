@@ -46,21 +46,26 @@ def _begun(tokens: DataFrame, wanted: Column) -> DataFrame:
     return rows.withColumn("begun", begun).drop("first", "_from", "_line", "_pub", "_async")
 
 
+def _run_begins(run: lexed.Run, before: np.ndarray, words: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the run of modifiers right before a token begins, or the token itself, and whether one of them is `pub`, and `async`."""
+    modifier = words & run.are(*MODIFIERS) | strings & (run.are(*MODIFIERS) | told(run.are("extern"), before))
+    first = np.maximum.accumulate(np.where(told(modifier, before), -1, run.here))
+    since = lambda text: np.maximum.accumulate(np.where(modifier & run.are(text), run.here, -1)) >= first
+    return first, since("pub"), since("async")
+
+
 def _made(run: lexed.Run) -> dict[str, list]:
     """Functions, prototypes and tests. Modifiers before one begin it: a run of them right before."""
     c = run.columns
     before, after = run.beside(-1), run.beside(1)
     words, strings = run.are(kind="word"), run.are(kind="string")
-    modifier = words & run.are(*MODIFIERS) | strings & (run.are(*MODIFIERS) | told(run.are("extern"), before))
-    first = np.maximum.accumulate(np.where(told(modifier, before), -1, run.here))
-    since = lambda mark: np.maximum.accumulate(np.where(mark, run.here, -1)) >= first
+    first, is_pub, is_async = _run_begins(run, before, words, strings)
     operand = told(run.are("error", "struct", "enum", "union", "opaque"), before)
     body, halt = run.following(run.are("{", kind="sign") & ~operand), run.following(run.are(";", kind="sign"))
     body_first = (body >= 0) & ((halt < 0) | (body < halt))
     ends = np.where(body_first, told(run.partner, body, -1), halt)
     is_fn = words & run.are("fn") & told(words, after)
     is_test = words & run.are("test") & (c["level"] == 0) & told(strings, after) & body_first
-    is_pub, is_async = since(modifier & run.are("pub")), since(modifier & run.are("async"))
     found = np.flatnonzero(is_fn | is_test).tolist()
     out = {"n": found, "told": [run.text(after[n]) for n in found], "is_fn": is_fn[found].tolist(), "is_pub": is_pub[found].tolist(), "begun_async": is_async[found].tolist()}
     return out | {"line_start": c["line_no"][first[found]].tolist(), "line_end": [int(c["line_no"][ends[n]]) if ends[n] >= 0 else None for n in found]}
@@ -91,6 +96,27 @@ def types(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     return found.select("path", F.col("named.text").alias("name"), kind.alias("kind"), F.when(F.col("begun.is_pub"), "Public").otherwise("Private").alias("visibility"), F.col("begun.line_no").alias("line_start"), F.col("end.line_no").alias("line_end"))
 
 
+def _symbols(run: lexed.Run) -> dict[str, list]:
+    """Functions and tests, and containers that are declared outside of all others: what `functions` and `types` find, of a file that is cut once."""
+    c, words, strings = run.columns, run.are(kind="word"), run.are(kind="string")
+    first, is_pub, _ = _run_begins(run, run.beside(-1), words, strings)
+    named, equals, third, fourth = (run.beside(k) for k in (1, 2, 3, 4))
+    what = np.where(told(run.are(*LAYOUTS), third), fourth, third)
+    end = run.following((c["level"] == 0) & run.are(";", kind="sign"))
+    declared = (c["level"] == 0) & words & run.are("const", "var") & told(words, named) & told(run.are("="), equals) & told(run.are(*CONTAINERS), what)
+    found, own = np.flatnonzero(declared).tolist(), _made(run)
+    names = [told if is_fn else f"test {told}" for told, is_fn in zip(own["told"], own["is_fn"], strict=True)]
+    out = {"n": own["n"] + found, "name": names + [run.text(named[n]) for n in found], "kind": ["Function"] * len(names) + [CONTAINERS[run.text(what[n])] for n in found]}
+    out["visibility"] = ["Public" if p and fn else "Private" for p, fn in zip(own["is_pub"], own["is_fn"], strict=True)] + ["Public" if is_pub[n] else "Private" for n in found]
+    out["line_start"] = own["line_start"] + c["line_no"][first[found]].tolist()
+    return out | {"line_end": own["line_end"] + [int(c["line_no"][end[n]]) if end[n] >= 0 else None for n in found]}
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """path, name, kind, visibility, line_start, line_end of functions, tests and types; no row leaves its task."""
+    return lexed.made(files, "zig", _symbols, "name string, kind string, visibility string, line_start long, line_end long")
+
+
 def imports(files: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """path, import_path, line_no of each @import of a string."""
     tokens = parsed(files, "string", leaves=OF_IMPORTS) if tokens is None else tokens
