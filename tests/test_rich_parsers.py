@@ -305,3 +305,17 @@ def test_symbols_of_go_and_zig_cut_a_file_once_and_no_row_leaves_its_task(files)
         assert sorted(map(tuple, found.select(*columns).collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
     # one for Go and one for Zig, two for TypeScript, one for style sheets
     assert plan(analysis.symbols(files)).count("MapInArrow") == 5
+
+
+def test_what_a_cache_lacks_is_written_before_it_is_parsed(spark):
+    files = spark.createDataFrame([("a", "known"), ("b", "new"), ("c", "new"), ("d", None)], "path string, content string")
+    cache = files.filter("path = 'a'").selectExpr("path", "sha2(content, 256) AS hash", f"{state.FORMAT}L AS format", "'old' AS parsed")
+    seen = []
+
+    def parse(fresh):
+        seen.append(plan(fresh))
+        return fresh.selectExpr("path", "concat('of ', content) AS parsed")
+
+    found = state.cached_or_parsed(files.filter("content is not null"), cache, parse)
+    assert sorted((r["path"], r["parsed"], r["cached"]) for r in found.collect()) == [("a", "old", True), ("b", "of new", False), ("c", "of new", False)]
+    assert "Join" not in seen[0] and "ExistingRDD" in seen[0]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treequarry.operators import store
+from treequarry.operators.graph import checkpointed
 
 COMMITS = "version long, token string"
 #: What tables of a project hold.
@@ -173,7 +174,10 @@ def cached_or_parsed(files: DataFrame, cache: DataFrame, parse: Callable[[DataFr
     hashed = files.select("path", "content", F.sha2("content", 256).alias("hash"))
     known = readable(cache).select("hash", "parsed").dropDuplicates(["hash"])
     found = hashed.select("path", "hash").join(known.hint("merge"), "hash").withColumn("cached", F.lit(True))
-    fresh = hashed.join(known.select("hash").hint("merge"), "hash", "left_anti")
+    # contents move once, and are written: a parser reads them again for each language. They may be few bytes and much work, so their
+    # parts are not merged by size
+    parts = 4 * files.sparkSession.sparkContext.defaultParallelism
+    fresh = checkpointed(hashed.repartition(parts, "hash").join(known.select("hash").hint("merge"), "hash", "left_anti"))
     new = fresh.select("path", "hash").join(parse(fresh).hint("merge"), "path").withColumn("cached", F.lit(False))
     columns = ["path", "hash", "parsed", "cached"]
     return found.select(*columns).unionByName(new.select(*columns))

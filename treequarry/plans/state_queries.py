@@ -238,7 +238,9 @@ def s6_parser_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, "parser_cache", state.CACHE)
     files = sources(spark, sf_dir)
     known = files.filter("path like '%.go'")
-    entries = known.join(analysis.parsed(known).hint("merge"), "path").select("path", F.lit(1).alias("mtime"), F.octet_length("content").alias("size"), F.sha2("content", 256).alias("hash"), F.lit(state.FORMAT).alias("format"), "parsed")
+    # contents stay where they are read
+    listing = known.select("path", F.lit(1).alias("mtime"), F.octet_length("content").alias("size"), F.sha2("content", 256).alias("hash"), F.lit(state.FORMAT).alias("format"))
+    entries = listing.join(analysis.parsed(known).hint("merge"), "path")
     state.save(entries, own)
     found = state.cached_or_parsed(files, state.load(spark, own), analysis.parsed)
     listed = F.from_json("parsed", "array<struct<line_start:long,line_end:long,name:string>>")
